@@ -1,13 +1,21 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from gapspark.llm.decontaminate import OP3_SQL, op3_decontaminate
+from gapspark.llm.language import op6_language
+from gapspark.llm.pieces import op7_sentencepiece
 from gapspark.llm.secrets import OP2_SQL, op2_secrets
+from gapspark.llm.sharding import op4_sharding
 from gapspark.llm.simhash import op1_simhash
+from gapspark.llm.tokens import op9_tokens
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
+    "op4_sharding": op4_sharding,
+    "op6_language": op6_language,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op9_tokens": op9_tokens,
 }
 
 ORACLES = {
