@@ -1,8 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from gapspark.llm.decontaminate import OP3_SQL, op3_decontaminate
+from gapspark.llm.html import op8_html
 from gapspark.llm.language import op6_language
 from gapspark.llm.pieces import op7_sentencepiece
+from gapspark.llm.quality import op10_quality
 from gapspark.llm.secrets import OP2_SQL, op2_secrets
 from gapspark.llm.sharding import op4_sharding
 from gapspark.llm.simhash import op1_simhash
@@ -15,7 +17,9 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_language": op6_language,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_html": op8_html,
     "op9_tokens": op9_tokens,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
