@@ -112,13 +112,16 @@ def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[l
     yield block
 
 
-_STATE = "doc_id {kind}, text string, n_words long, spans array<struct<a:long,b:long>>, items array<string>, n_items long"
+_STATE = "doc_id {kind}, text string, carried {carried}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, n_items long"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, block_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, items, n_items): merged spans of hit words, and the ids of the items found (as strings)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, block_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, carried, n_words, spans, items, n_items): merged spans of hit words, ids of the items found (as strings).
+
+    carried is a struct of the columns named in `carry`, whatever their names, and one null if there are none.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")]).alias("carried"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     state = None
     for number, block in enumerate(_blocks(benchmark, window, block_windows)):
@@ -150,19 +153,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
                 items = [[names[k] for k in ks if names[k] is not None] for _, ks in each]
                 n_items = [len(ks) for _, ks in each]
                 if not first:
-                    spans = [_merged(s + [(x["a"], x["b"]) for x in o]) for s, o in zip(spans, b.column(3).to_pylist())]
-                    items = [o + i for i, o in zip(items, b.column(4).to_pylist())]
-                    n_items = [o + i for i, o in zip(n_items, b.column(5).to_pylist())]
+                    spans = [_merged(s + [(x["a"], x["b"]) for x in o]) for s, o in zip(spans, b.column(4).to_pylist())]
+                    items = [o + i for i, o in zip(items, b.column(5).to_pylist())]
+                    n_items = [o + i for i, o in zip(n_items, b.column(6).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0), b.column(1), pa.array([len(w) for w in own], pa.int64()),
+                        b.column(0), b.column(1), b.column(2), pa.array([len(w) for w in own], pa.int64()),
                         pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
                         pa.array(items, pa.list_(pa.string())), pa.array(n_items, pa.int64()),
                     ],
-                    ["doc_id", "text", "n_words", "spans", "items", "n_items"],
+                    ["doc_id", "text", "carried", "n_words", "spans", "items", "n_items"],
                 )
 
-        state = (state if number else rows).mapInArrow(match, _STATE.format(kind=kind))
+        state = (state if number else rows).mapInArrow(match, _STATE.format(kind=kind, carried=rows.schema["carried"].dataType.simpleString()))
     return state
 
 
@@ -172,6 +175,13 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs that are not contaminated, with all their columns."""
+    rest = tuple(c for c in docs.columns if c != "text")
+    found = judged(contamination(docs, benchmark, carry=rest, **options)).where(~F.col("contaminated"))
+    return found.select(*[F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256)

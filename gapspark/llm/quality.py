@@ -168,6 +168,14 @@ def assessed(docs: DataFrame, level: float = 1 - 1e-6, share: float = 0.75, step
     return told.select(*columns).unionByName(failed.select(*columns))
 
 
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs that assessed() keeps, with all their columns; a verdict belongs to a doc_id, text, lang and source."""
+    content = F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"), F.lit("/"), F.col("source").cast("string"))
+    inner = docs.select(F.struct("doc_id", content.alias("c")).alias("doc_id"), "text", "lang", "source")
+    kept = assessed(inner, **options).where("kept").select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.c").alias("c")).hint("shuffle_hash")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("i")) & (content == F.col("c")), "left_semi")
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     out = assessed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -22,10 +22,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gapspark.llm.common import ASCII_LOWER, table, written
 from gapspark.llm.components import components
@@ -133,19 +135,38 @@ def _forest(tree: BKTree, queries: np.ndarray, parent: list[int], radius: int) -
     return out
 
 
-def _shard_links(radius: int):
+def _own_forest(tree: BKTree, parent: list[int], radius: int) -> None:
+    """Unite the tree's nodes that are linked to each other.
+
+    Nodes of the largest component so far are not searched for: their links to others are found from the others.
+    """
+    todo, step = np.arange(len(parent)), 64
+    while len(todo):
+        _forest(tree, tree.values[todo[:step]], parent, radius)
+        todo, step = todo[step:], 512
+        roots = np.array([_root(parent, x) for x in range(len(parent))], np.int64)
+        todo = todo[roots[todo] != np.bincount(roots).argmax()]
+
+
+def _shard_links(radius: int, routes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard, a shard's tree nodes before its other queries."""
         key, nodes, tree, parent = None, [], None, []
+        out_s: list[int] = []
         out_u: list[int] = []
         out_v: list[int] = []
 
+        def link(u: int, v: int) -> None:
+            out_s.append((key[0] >> 32) // routes)
+            out_u.append(u)
+            out_v.append(v)
+
         def grown() -> None:
             nonlocal tree, parent
             if tree is None:
                 tree = BKTree(np.concatenate(nodes))
                 parent = list(range(len(tree.values)))
-                _forest(tree, tree.values, parent, radius)
+                _own_forest(tree, parent, radius)
 
         def ended() -> None:
             nonlocal tree, nodes, parent
@@ -153,22 +174,20 @@ def _shard_links(radius: int):
                 if tree is None and len(nodes) == 1 and len(nodes[0]) == 2:  # a tree of one edge
                     a, b = nodes[0].tolist()
                     if (a ^ b).bit_count() <= radius:
-                        out_u.append(a)
-                        out_v.append(b)
+                        link(a, b)
                 else:
                     grown()
                     plain = tree.values.tolist()
                     for i, x in enumerate(plain):
                         if (r := _root(parent, i)) != i:
-                            out_u.append(x)
-                            out_v.append(plain[r])
+                            link(x, plain[r])
             tree, nodes, parent = None, [], []
 
         def flushed() -> pa.RecordBatch:
-            arrays = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out_u, out_v)]
-            out_u.clear()
-            out_v.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["u", "v"])
+            arrays = [pa.array(out_s, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out_u, out_v))]
+            for x in (out_s, out_u, out_v):
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["space", "u", "v"])
 
         for b in batches:
             route, sub, own, fp = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("route", "sub", "own", "fp"))
@@ -186,8 +205,7 @@ def _shard_links(radius: int):
                     grown()
                     plain = tree.values.tolist()
                     for i, node in _forest(tree, fp[lo:hi], parent, radius):
-                        out_u.append(int(fp[lo + i]))
-                        out_v.append(plain[node])
+                        link(int(fp[lo + i]), plain[node])
             if len(out_u) > 50_000:
                 yield flushed()
         ended()
@@ -197,39 +215,176 @@ def _shard_links(radius: int):
 
 
 def links(fps: DataFrame, radius: int = 3, tree_nodes: int = 4096) -> DataFrame:
-    """Edges (u, v) that connect exactly the distinct fingerprints of fps(fp) that chains of links connect."""
+    """Edges (space, u, v) that connect exactly the distinct fingerprints of fps(fp) that chains of links connect.
+
+    fps may have a whole number `space` besides: fingerprints of different spaces are never linked.
+    """
+    if "space" not in fps.columns:
+        fps = fps.withColumn("space", F.lit(0))
     blocks = radius + 2
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
 
     def block(i: int):
         return F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
 
+    pairs = list(combinations(range(blocks), 2))
     routes = [
-        F.lit(k).cast("long") * (1 << 32) + block(i) * (1 << (cuts[j + 1] - cuts[j])) + block(j)
-        for k, (i, j) in enumerate(combinations(range(blocks), 2))
+        (F.col("space").cast("long") * len(pairs) + k) * (1 << 32) + block(i) * (1 << (cuts[j + 1] - cuts[j])) + block(j)
+        for k, (i, j) in enumerate(pairs)
     ]
     routed = fps.select("fp", F.explode(F.array(*routes)).alias("route"))
-    shards = routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shards = shards.select("route", F.ceil(F.col("n") / F.lit(tree_nodes)).cast("int").alias("trees"))
-    met = routed.join(shards, "route")
+    met = routed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("route"))).where("n > 1")
+    met = met.withColumn("trees", F.ceil(F.col("n") / F.lit(tree_nodes)).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     met = met.select("route", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("sub"))
     met = met.select("route", "sub", (F.col("mine") == F.col("sub")).cast("int").alias("own"), "fp")
     dealt = met.repartition("route", "sub").sortWithinPartitions("route", "sub", F.desc("own"))
-    return dealt.mapInArrow(_shard_links(radius), "u long, v long")
+    return dealt.mapInArrow(_shard_links(radius, len(pairs)), "space int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links reach, the row's own included."""
     marked = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(fps.select("fp"), radius))
+    found = components(links(fps.select("fp"), radius).select("u", "v"))
     rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near-duplicates by the similarity of shingle sets.
+
+def _mixed(h: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    z = h + seed
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, in order; fewer words make one shingle, none make none."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))], np.uint64))
+
+
+def signature(text: str | None, words: int, tables: int) -> bytes:
+    """A content key (of the shingle set), then `tables` fingerprints of the set of distinct words, 8 bytes each."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
+    key = xxhash.xxh64_digest(b" ".join(w))[::-1]
+    if not w:
+        return key + bytes(8 * tables)
+    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in set(w)], np.uint64)
+    seeds = np.array([t * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for t in range(tables)], np.uint64)
+    ones = np.zeros(BITS * tables, np.int64)
+    for i in range(0, len(h), 1024):
+        mixed = _mixed(h[i : i + 1024, None], seeds)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return key + np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
+
+
+def _similar(sets: list[np.ndarray], similarity: float, chunk: int = 2048) -> np.ndarray:
+    """Labels of the connected components of sets with at least that Jaccard similarity, all pairs compared exactly."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    at = place[value]
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((n, n), np.float32)
+    for lo in range(0, len(shared), chunk):
+        a, b = np.searchsorted(at, [lo, lo + chunk])
+        held = np.zeros((n, chunk), np.float32)
+        held[owner[a:b], at[a:b] - lo] = 1
+        common += held @ held.T
+    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-3
+    near |= np.eye(n, dtype=bool)
+    labels = np.arange(n)
+    while True:
+        least = np.where(near, labels[None, :], n).min(axis=1)
+        least = np.minimum(labels, least)[np.minimum(labels, least)]
+        if (least == labels).all():
+            return labels
+        labels = least
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 16, radius: int = 3, block: int = 1024, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows is a table of docs with _gs_row and _gs_key; classes is (_gs_key, class) of keys with near-duplicates.
+
+    Documents are near-duplicates if the sets of their `words`-word shingles have a Jaccard similarity of `similarity`
+    or more; classes are the components of this relation. Texts with the same words share a key. Candidates come from
+    `tables` SimHash fingerprints of the set of distinct words, linked by BK-trees as above in each table: a pair at
+    similarity 0.8 differs in about 4 of 64 bits, so it is within 3 bits in a table about every third time and in at least
+    one of 16 tables with odds of 99.9 %. Candidate components are cut into blocks of at most `block` keys, every pair of
+    a component's blocks is one group, and all pairs in a group are compared exactly, so no candidate is taken on trust.
+    """
+
+    @F.pandas_udf("binary")
+    def signed(text: pd.Series) -> pd.Series:
+        return pd.Series([signature(t, words, tables) for t in text])
+
+    rows = docs.withColumn("_gs_sig", signed(F.col(text_col).cast("string"))).withColumn("_gs_row", F.monotonically_increasing_id())
+
+    def number(i: int) -> Column:
+        return F.conv(F.hex(F.expr(f"substring(_gs_sig, {8 * i + 1}, 8)")), 16, -10).cast("long")
+
+    rows = written(rows.withColumn("_gs_key", number(0)), "signed")
+    keys = rows.groupBy("_gs_key").agg(F.min("_gs_row").alias("_gs_row"), F.first("_gs_sig").alias("_gs_sig"))
+    tabled = keys.select("_gs_key", F.explode(F.array(*[F.struct(F.lit(t).alias("space"), number(t + 1).alias("fp")) for t in range(tables)])).alias("x")).select("_gs_key", "x.space", "x.fp")
+    tabled = written(tabled, "tables")
+    found = links(tabled.groupBy("space", "fp").agg(F.count(F.lit(1)).alias("n")), radius)
+    found = written(found, "links")
+
+    def node(fp: str) -> Column:
+        return F.xxhash64("space", fp)
+
+    ends = found.select("space", F.col("u").alias("fp")).unionByName(found.select("space", F.col("v").alias("fp")))
+    several = tabled.groupBy("space", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("space", "fp")
+    linked = ends.unionByName(several).distinct()
+    spokes = tabled.join(linked, ["space", "fp"]).select(F.col("_gs_key").alias("u"), node("fp").alias("v"))
+    rooted = components(spokes.unionByName(found.select(node("u").alias("u"), node("v").alias("v"))))
+    members = keys.select("_gs_key", "_gs_row").join(rooted, F.col("_gs_key") == F.col("node")).select("_gs_key", "_gs_row", "root")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    members = written(members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("_gs_key"), F.col("blocks")).cast("int")), "members")
+    wanted = members.select(F.col("_gs_row").alias("r"), "_gs_key", "root", "blocks", "b").hint("shuffle_hash")
+    texts = rows.select("_gs_row", F.col(text_col).cast("string").alias("text")).join(wanted, F.col("_gs_row") == F.col("r"))
+
+    @F.pandas_udf("binary")
+    def hashes(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, words).tobytes() for t in text])
+
+    texts = texts.select("root", "_gs_key", "blocks", "b", hashes("text").alias("s"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    dealt = texts.select("root", "_gs_key", "s", "b", other).select("root", "_gs_key", "s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        key = group["_gs_key"].to_numpy()
+        label = _similar([np.frombuffer(x, np.uint64) for x in group["s"]], similarity)
+        rest = label != np.arange(len(label))
+        return pd.DataFrame({"u": key[rest], "v": key[label[rest]]})
+
+    edges = dealt.groupBy("root", "i", "j").applyInPandas(compare, "u long, v long")
+    classes = components(edges).select(F.col("node").alias("_gs_key"), F.col("root").alias("class"))
+    return rows, classes
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without near-duplicates: of each class the row of least doc_id stays (nulls last; of repeated rows, the first)."""
+    rows, classes = similar_documents(docs, **options)
+    narrow = rows.select("_gs_row", "_gs_key", "doc_id").join(classes, "_gs_key", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_gs_row")).alias("m")
+    kept = narrow.groupBy(F.coalesce("class", "_gs_key").alias("c")).agg(first).select(F.col("m._gs_row").alias("k")).hint("shuffle_hash")
+    return rows.join(kept, F.col("_gs_row") == F.col("k"), "left_semi").select(*docs.columns)
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
