@@ -9,10 +9,10 @@ An id takes the least number of bits that the vocabulary needs. A segment is one
 
 so any id is found from its block's offset alone, and whole blocks are unpacked by numpy at once. Documents are in order
 of doc_id (ties: hash of the text), a document lies in one segment, and the container of the segments is Parquet with
-(part, segment, n_ids, payload), which Spark commits and reads wherever the shared folder is.
+(part, segment, before, n_ids, doc_ids, payload), which Spark commits and reads wherever the shared folder is.
 
 Texts are cut at ASCII white space, where this tokenizer's pieces always end, and each distinct word is encoded by the
-library once for a batch, or less often; the tokenizer is checked when loaded, and one that does not drop white space
+library once for a slice of some MB of texts; the tokenizer is checked when loaded, and one that keeps white space or case
 gets whole texts.
 
 Null texts are encoded as empty ones, so they have the end id only. Null ids sort first and are kept. Repeated rows each
@@ -21,6 +21,7 @@ get a place. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,11 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapspark.llm.common import new_path, table
+from gapspark.llm.common import ASCII_LOWER, new_path, table
 
 MAGIC, VERSION = b"GSTK", 1
 _HEAD = struct.Struct("<4sIIIQI")
@@ -97,41 +99,85 @@ class Segment:
         return self.ids(*map(int, self.index[k]))
 
 
+_END = "</w>"
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    """The tokenizer; whether its pieces end at white space; which ids end a piece (by the mark of word ends)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    probe = "a b\tc\nd\r e  \x0b f"
+    probe = "a b\tc\nd\r e  \x0b f A. b, c"
     whole = t.encode(probe, add_special_tokens=False).ids
-    apart = whole == [i for w in probe.split() for i in t.encode(w, add_special_tokens=False).ids] and t.encode(" ", add_special_tokens=False).ids == []
-    return t, apart
+    apart = whole == [i for w in probe.lower().replace(".", " .").replace(",", " ,").split() for i in t.encode(w, add_special_tokens=False).ids] and t.encode(" ", add_special_tokens=False).ids == []
+    ends = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in t.get_vocab(with_added_tokens=True).items():
+        ends[i] = token.endswith(_END)
+    return t, apart, ends
 
 
 def vocabulary(path: str) -> int:
     return _tokenizer(path)[0].get_vocab_size(with_added_tokens=True)
 
 
-class Words:
-    """The ids of each distinct word."""
-
-    def __init__(self, path: str, table_words: int = 200_000):
-        self.t, self.apart = _tokenizer(path)
-        self.most = table_words
-        self.held: dict[bytes, np.ndarray] = {}
+def _encoded_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, end to end, and how many each has.
 
-    def encoded(self, texts: list[str | None]) -> list[list[int]]:
-        if not self.apart:
-            return [e.ids for e in self.t.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        split = [(t or "").encode().split() for t in texts]  # ASCII white space only
-        new = list(dict.fromkeys(w for d in split for w in d if w not in self.held))
-        if len(self.held) + len(new) > self.most:
-            self.held = {}
-            new = list(dict.fromkeys(w for d in split for w in d))
-        for w, e in zip(new, self.t.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.held[w] = e.ids
-        held = self.held
-        return [[i for w in d for i in held[w]] for d in split]
+    Words of letters alone are one piece each: many are encoded as one text and cut where a piece ends; if the
+    number of ends is not that of the words, they are encoded one by one, as all other words are.
+    """
+    t, _, ends = _tokenizer(path)
+    plain = pc.match_substring_regex(words, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+    listed = words.to_pylist()
+    out: list[list[int] | np.ndarray | None] = [None] * len(listed)
+    letters = np.flatnonzero(plain).tolist()
+    rest = np.flatnonzero(~plain).tolist()
+    for at in range(0, len(letters), 2000):
+        some = letters[at : at + 2000]
+        ids = np.array(t.encode(" ".join([listed[k] for k in some]), add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) == len(some) and cut[-1] == len(ids):
+            for k, a, b in zip(some, [0, *cut[:-1].tolist()], cut.tolist()):
+                out[k] = ids[a:b]
+        else:
+            rest += some
+    for at in range(0, len(rest), 2000):
+        some = rest[at : at + 2000]
+        for k, e in zip(some, t.encode_batch([listed[k] for k in some], add_special_tokens=False)):
+            out[k] = np.array(e.ids, np.uint32)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array([len(x) for x in out], np.int64)
+
+
+def encoded(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """The ids of every text (null: none): a table of its distinct words, joined back by position."""
+    t, apart, _ = _tokenizer(path)
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if not apart or pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are looked for in raw text
+        return [np.array(e.ids, np.uint32) for e in t.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    # A-Z to lower case, and a stop or comma after a letter and before a blank set apart: neither changes a piece
+    texts = pa.array([x.translate(ASCII_LOWER) for x in texts.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
+    texts = pc.replace_substring_regex(texts, r"([a-z])([.,])([ \n]|$)", r"\1 \2\3")
+    words = pc.ascii_split_whitespace(texts)
+    table_of = words.values.dictionary_encode()
+    at = table_of.indices.to_numpy(zero_copy_only=False)
+    ids, sizes = _encoded_words(table_of.dictionary, path)
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[at]
+    done = np.concatenate(([0], np.cumsum(n)))
+    flat = ids[np.repeat(starts[at] - done[:-1], n) + np.arange(done[-1])]
+    return np.split(flat, done[words.offsets.to_numpy()[1:-1]]) if len(texts) else []
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about that many bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int | None = 1, segment_ids: int = 1 << 20, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -148,34 +194,32 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int | None = 1, s
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(path)
-        tail = [] if end_id is None else [end_id]
+        tail = np.array([] if end_id is None else [end_id], np.uint32)
         held: list[np.ndarray] = []
         names: list = []
-        size, number, part = 0, 0, None
+        size, before, number, part, id_type = 0, 0, 0, None, None
 
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([names], pa.list_(id_type)), pa.array([segment(held, width, block)], pa.binary())],
-                ["part", "segment", "n_ids", "doc_ids", "payload"],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(id_type)), pa.array([segment(held, width, block)], pa.binary())],
+                ["part", "segment", "before", "n_ids", "doc_ids", "payload"],
             )
 
         for whole in batches:
             id_type = whole.column(0).type
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in _slices(whole, 1):
                 part = b.column(2)[0].as_py()
-                for name, ids in zip(b.column(0).to_pylist(), known.encoded(b.column(1).to_pylist())):
-                    held.append(np.array(ids + tail, np.uint32))
+                for name, ids in zip(b.column(0).to_pylist(), encoded(b.column(1), path)):
+                    held.append(np.concatenate((ids, tail)))
                     names.append(name)
                     size += len(held[-1])
                     if size >= segment_ids:
                         yield flushed()
-                        held, names, size, number = [], [], 0, number + 1
+                        held, names, before, size, number = [], [], before + size, 0, number + 1
         if held:
             yield flushed()
 
-    ordered.mapInArrow(run, f"part int, segment int, n_ids long, doc_ids array<{kind}>, payload binary").write.parquet(out)
+    ordered.mapInArrow(run, f"part int, segment int, before long, n_ids long, doc_ids array<{kind}>, payload binary").write.parquet(out)
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
@@ -191,12 +235,11 @@ def read_digests(spark, folder: str) -> DataFrame:
 def _read(spark, folder: str, schema: str, made) -> DataFrame:
     stored = spark.read.parquet(folder)
     kind = stored.schema["doc_ids"].dataType.elementType.simpleString()
-    # two sums: over the parts (as many as the writer had) and over the segments of a part
+    # A segment knows the ids before it in its part; what stands before a part is a sum over the parts. There are as many
+    # parts as the writer had shuffle partitions, 12 bytes each, which bounds what is broadcast.
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")
-    starts = stored.select("part", "segment", within.alias("inner"), "n_ids").join(before, "part").select("part", "segment", (F.col("base") + F.col("inner")).alias("start"))
-    rows = stored.join(starts, ["part", "segment"]).select("start", "doc_ids", "payload")
+    bases = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    rows = stored.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "payload")
     names = ["doc_id", "start", *[x.split()[0] for x in schema.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
