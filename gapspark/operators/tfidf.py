@@ -30,24 +30,38 @@ def vocabulary(articles: DataFrame, low: int = 1, high: int = 5, max_features: i
     return weighted.select("term", "n", (F.col("w") / norms).alias("w")).groupBy("term").agg((F.sum("w") / F.first("n")).alias("score"))
 
 
+def _substrings(c: str):
+    """Every distinct substring of a column."""
+    size = F.length(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda a: F.transform(F.sequence(F.lit(1), size - a + 1), lambda n: F.substring(F.col(c), a, n)))))
+
+
 def matched_salience(keywords: DataFrame, terms: DataFrame) -> DataFrame:
-    """keyword, tfidf, match_type. Exact terms are an equi-join; only the rest meets the vocabulary as a whole.
+    """keyword, tfidf, match_type. Exact terms are an equi-join; the rest falls back by equi-joins too.
 
-    The vocabulary has a fixed cap on its terms, which bounds what is broadcast to the rest.
+    A term inside a keyword is one of the keyword's substrings; a keyword inside a term is one of the term's substrings, and
+    the vocabulary has a fixed cap on its terms. Half of a keyword's tokens is one token for keywords of two, which
+    needs only the best term of each token; longer keywords count their shared tokens with each term that shares one.
     """
     exact = keywords.select("keyword").join(terms.withColumnRenamed("term", "keyword"), "keyword", "left")
-    rest = exact.where("score is null").select("keyword", F.split("keyword", " ").alias("kt"))
-    contains = F.contains(F.col("keyword"), F.col("term")) | F.contains(F.col("term"), F.col("keyword"))
-    own = F.array_distinct("kt")
-    overlap = (F.size(own) > 1) & (F.size(F.array_intersect(own, F.split("term", " "))) / F.size(own) >= 0.5)
-    met = rest.join(F.broadcast(terms), contains | overlap, "left")
-    best = met.groupBy("keyword").agg(F.max(F.when(contains, F.col("score"))).alias("c"), F.max(F.when(overlap, F.col("score"))).alias("o"))
-    fallback = best.select(
+    rest = exact.where("score is null and keyword <> ''").select("keyword")
+    inside = rest.select("keyword", F.explode(_substrings("keyword")).alias("term")).join(terms, "term").select("keyword", "score")
+    parts = terms.select("score", F.explode(_substrings("term")).alias("keyword"))
+    around = rest.join(parts, "keyword").select("keyword", "score")
+    contained = inside.unionByName(around).groupBy("keyword").agg(F.max("score").alias("c"))
+    left = rest.join(contained, "keyword", "left").where("c is null or c <= 0").select("keyword", F.array_distinct(F.split("keyword", " ")).alias("kt")).where(F.size("kt") > 1)
+    tokens = terms.select("term", "score", F.explode(F.array_distinct(F.split("term", " "))).alias("token"))
+    own = left.select("keyword", F.size("kt").alias("k"), F.explode("kt").alias("token"))
+    short = own.where("k = 2").join(tokens.groupBy("token").agg(F.max("score").alias("score")), "token").groupBy("keyword").agg(F.max("score").alias("o"))
+    shared = own.where("k > 2").join(tokens, "token").groupBy("keyword", "term").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"), F.first("score").alias("score"))
+    long = shared.where("n / k >= 0.5").groupBy("keyword").agg(F.max("score").alias("o"))
+    best = exact.join(contained, "keyword", "left").join(short.unionByName(long), "keyword", "left")
+    hit = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    return best.select(
         "keyword",
-        F.when(F.col("c") > 0, F.col("c")).when(F.col("o") > 0, F.col("o")).otherwise(FLOOR).alias("tfidf"),
-        F.when(F.col("c") > 0, "contains").when(F.col("o") > 0, "overlap").otherwise("fallback").alias("match_type"),
+        F.when(F.col("score").isNotNull(), F.col("score")).when(hit("c"), F.col("c")).when(hit("o"), F.col("o")).otherwise(FLOOR).alias("tfidf"),
+        F.when(F.col("score").isNotNull(), "exact").when(hit("c"), "contains").when(hit("o"), "overlap").otherwise("fallback").alias("match_type"),
     )
-    return exact.where("score is not null").select("keyword", F.col("score").alias("tfidf"), F.lit("exact").alias("match_type")).unionByName(fallback)
 
 
 def salience(articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000) -> DataFrame:
