@@ -1,0 +1,75 @@
+import hashlib
+import re
+
+from gapspark.llm import secrets as S
+
+ASSIGN = re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def brute(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_spans_equal_brute_force(docs):
+    got = sorted((str(r.doc_id), [tuple(s) for s in r.spans]) for r in S.scan_documents(docs).collect())
+    assert got == sorted((str(r.doc_id), brute(r.text)) for r in docs.collect())
+    assert any(s for _, s in got)
+
+
+def test_odd_texts(spark):
+    texts = ['x "Secret" : "abc.def=" y', "token: token: abcdefg", "api_key=ABCDEF", "apikey='q+/r-s'", "\U0001f600 passwd:123456 \U0001f600 token=zzzzzzz", "a" * 23, "a" * 24, "AKIA" + "Z" * 15, "AKIA" + "Z" * 16 + "é", "TOKEN=1234567K", "toKen=1234567"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in S.scan_documents(docs).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_only_unseen_blobs_and_new_versions_are_scanned(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    one = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh")], "doc_id long, text string")
+    two = one.unionByName(spark.createDataFrame([(3, "secret=ijklmnop")], "doc_id long, text string"))
+    S.update_ledger(one, ledger)
+    assert spark.read.parquet(f"{ledger}/seen").count() == 3
+    S.update_ledger(two, ledger)
+    assert spark.read.parquet(f"{ledger}/seen").count() == 6
+    assert spark.read.parquet(f"{ledger}/found").count() == 2
+    S.update_ledger(two, ledger)
+    assert spark.read.parquet(f"{ledger}/seen").count() == 6
+    newer = tuple(S.Rule(r.name, r.pattern, r.group, 9 if r.name == "assign" else r.least, 2 if r.name == "assign" else 1) for r in S.BASE_RULES)
+    out = S.scan_documents(two, ledger, newer)
+    assert spark.read.parquet(f"{ledger}/seen").count() == 8
+    assert {r.doc_id: len(r.spans) for r in out.collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.doc_id: len(r.spans) for r in S.scan_documents(two, ledger).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_redaction_keeps_rows_and_other_columns(docs):
+    before, after = docs.collect(), S.redacted(docs)
+    assert after.schema == docs.schema
+    rows = after.collect()
+    assert len(rows) == len(before)
+    old = {r.doc_id: r for r in before}
+    for r in rows:
+        spans = brute(old[r.doc_id].text)
+        if spans:
+            out, at = "", 0
+            for a, _, b, _ in spans:
+                if a >= at:
+                    out += old[r.doc_id].text[at:a] + "[secret]"
+                at = max(at, b)
+            out += old[r.doc_id].text[at:]
+            assert r.text == out and r.n_chars == len(out)
+        else:
+            assert r.text == old[r.doc_id].text and r.n_chars == old[r.doc_id].n_chars
+
+
+def test_empty_table(nothing):
+    assert S.scan_documents(nothing).collect() == [] and S.redacted(nothing).collect() == []
+
+
+def test_digest_of_no_spans(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = S.op2_secrets(spark, str(tmp_path)).first()
+    assert (r.n_assign, r.spans, r.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
