@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from gapspark.config import GapConfig
 from gapspark.functions import scores
 from gapspark.functions.text import PAIR_SEPARATOR, is_methodological, token_count
-from gapspark.functions.vectors import cosine_similarity
 from gapspark.operators import keywords as K
 from gapspark.operators.tfidf import FLOOR
 
@@ -84,6 +83,44 @@ def emerging_concepts(space: DataFrame, bag: DataFrame, articles: DataFrame, sal
     return article_evidence(gaps, bag, articles).select(*GAP_COLUMNS)
 
 
+def related_pairs(rows: DataFrame, config: GapConfig, block: int = 1024) -> DataFrame:
+    """Pairs of rows(cluster, keyword, first, frequency, tfidf, vector) of a cluster inside the similarity window, first before second.
+
+    A cluster's rows are cut into blocks of about `block`; every pair of blocks is one group of at most twice that many
+    vectors, compared by one matrix product, and only pairs inside the window with enough mean salience leave it.
+    """
+    (low, high), least = config.combination_similarity_range, config.min_tfidf
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    placed = rows.join(F.broadcast(sizes), "cluster").withColumn("b", F.pmod(F.xxhash64("keyword"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "keyword", F.col("first.row_id").alias("r"), F.col("first.pos").alias("p"), "frequency", "tfidf", "vector")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("cluster", "frequency")}
+    first = rows.schema["first"].dataType
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["r", "p"]).reset_index(drop=True)
+        x = np.array(pdf["vector"].tolist(), float)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        sim = x @ x.T
+        t, b = pdf["tfidf"].to_numpy(), pdf["b"].to_numpy()
+        keep = np.triu((sim > low) & (sim < high), 1) & ((t[:, None] + t[None, :]) / 2 >= least)
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            keep &= b[:, None] != b[None, :]
+        a, c = np.nonzero(keep)
+        out = {"cluster": pdf["cluster"].iloc[:1].repeat(len(a)).to_numpy(), "similarity": sim[a, c], "mean_tfidf": (t[a] + t[c]) / 2}
+        for side, at in ((1, a), (2, c)):
+            out |= {f"{name}_{side}": pdf[name].to_numpy()[at] for name in ("keyword", "r", "p", "frequency")}
+        return pd.DataFrame(out)
+
+    sides = ", ".join(f"keyword_{k} string, r_{k} {first['row_id'].dataType.simpleString()}, p_{k} {first['pos'].dataType.simpleString()}, frequency_{k} {kinds['frequency']}" for k in (1, 2))
+    found = dealt.groupBy("cluster", "i", "j").applyInPandas(run, f"cluster {kinds['cluster']}, similarity double, mean_tfidf double, {sides}")
+    return found.withColumns({f"first_{k}": F.struct(f"r_{k}", f"p_{k}") for k in (1, 2)}).drop("r_1", "p_1", "r_2", "p_2")
+
+
 def conceptual_combinations(space: DataFrame, vectors: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, config: GapConfig) -> DataFrame:
     """Type 2: pairs of established keywords of a cluster that never occur together but are related.
 
@@ -93,12 +130,7 @@ def conceptual_combinations(space: DataFrame, vectors: DataFrame, bag: DataFrame
     if config.citation_filter_active:
         rows = K.citation_filtered(rows, K.citation_support(bag, articles, config, "cluster"), config, "cluster")
     rows = with_salience(rows, salient).join(vectors.select("keyword", "vector"), "keyword")
-    side = lambda n: rows.select("cluster", *[F.col(c).alias(f"{c}_{n}") for c in ("keyword", "first", "frequency", "tfidf", "vector")])
-    low, high = config.combination_similarity_range
-    pairs = side(1).join(side(2), "cluster").where("first_1 < first_2").withColumn("mean_tfidf", (F.col("tfidf_1") + F.col("tfidf_2")) / 2)
-    pairs = pairs.where(F.col("mean_tfidf") >= config.min_tfidf)
-    pairs = pairs.withColumn("similarity", cosine_similarity(F.col("vector_1"), F.col("vector_2"))).drop("vector_1", "vector_2")
-    pairs = pairs.where((F.col("similarity") > low) & (F.col("similarity") < high))
+    pairs = related_pairs(rows, config)
     met = K.cooccurrence(bag.join(rows.select("cluster", "keyword"), ["cluster", "keyword"], "left_semi"), "cluster")
     pairs = pairs.withColumns({"left": F.least("keyword_1", "keyword_2"), "right": F.greatest("keyword_1", "keyword_2")}).join(met, ["cluster", "left", "right"], "left_anti")
     pairs = pairs.withColumn("score", scores.combination(F.col("similarity"), F.col("frequency_1"), F.col("frequency_2"), F.col("mean_tfidf"), config.combination_weights, config.combination_similarity_optimum))

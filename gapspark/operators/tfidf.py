@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapspark.sources.tables import materialized
+
 FLOOR = 0.001
 
 
@@ -67,7 +69,9 @@ def matched_salience(keywords: DataFrame, terms: DataFrame) -> DataFrame:
 def salience(articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000) -> DataFrame:
     """keyword, tfidf, match_type of every keyword of the records."""
     keywords = articles.select(F.explode("keywords_normalized").alias("keyword")).where("keyword <> ''").distinct()
-    return matched_salience(keywords, vocabulary(articles, low, high, max_features))
+    # read by every stage of the back-off, so it is computed once; it has max_features rows at most
+    terms = materialized(vocabulary(articles, low, high, max_features), "vocabulary")
+    return matched_salience(keywords, terms)
 
 
 def match_statistics(salient: DataFrame) -> DataFrame:

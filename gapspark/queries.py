@@ -16,6 +16,7 @@ from gapspark.operators import tfidf as TF
 from gapspark.plans import consensus, figures, pipelines, studies
 from gapspark.sources.corpus import Corpus, corpus_summary, from_dataframe
 from gapspark.sources.external import ordered_ranking
+from gapspark.sources.tables import materialized
 from gapspark.validation import experts, metrics as M, runner
 
 QUERIES: dict = {}
@@ -37,8 +38,10 @@ def r6(c, name: str | None = None) -> Column:
     return F.round(c, 6).alias(name) if name else F.round(c, 6)
 
 
-def _art(spark: SparkSession, sf: str) -> DataFrame:
-    return V.articles(spark, sf)
+def _art(spark: SparkSession, sf: str, kept: bool = False) -> DataFrame:
+    """The baskets; kept as a written table where a query reads them many times."""
+    out = V.articles(spark, sf)
+    return materialized(out, "articles") if kept else out
 
 
 def _freq(arts: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def _freq(arts: DataFrame) -> DataFrame:
 
 
 def _salient(arts: DataFrame) -> DataFrame:
-    return TF.salience(arts, 2, 2).withColumn("tfidf", F.round("tfidf", 9))
+    return materialized(TF.salience(arts, 2, 2).withColumn("tfidf", F.round("tfidf", 9)), "salience")
 
 
 # Column functions
@@ -236,7 +239,7 @@ def tfidf_vocabulary(spark, sf):
 
 @query("tfidf_salience", f"with {_PAIRS} select keyword, round(tfidf, 6) as tfidf, match_type from sal")
 def tfidf_salience(spark, sf):
-    return TF.salience(_art(spark, sf), 2, 2).select("keyword", r6(F.round("tfidf", 9), "tfidf"), "match_type")
+    return TF.salience(_art(spark, sf, True), 2, 2).select("keyword", r6(F.round("tfidf", 9), "tfidf"), "match_type")
 
 
 _PROBES = ("brand-1 small", "brand-1 unheard", "p1", "heard of nothing", "unknown", "small brand-1")
@@ -250,7 +253,7 @@ def tfidf_backoff(spark, sf):
 
 @query("tfidf_match_stats", f"with {_PAIRS} select match_type, count(*) as n from sal group by 1")
 def tfidf_match_stats(spark, sf):
-    return TF.match_statistics(TF.salience(_art(spark, sf), 2, 2))
+    return TF.match_statistics(TF.salience(_art(spark, sf, True), 2, 2))
 
 
 # Vectors
@@ -399,7 +402,7 @@ k as (select *, 0.25e0 * a + 0.15e0 * b + 0.3e0 * t + 0.3e0 * r as score from n)
 o as (select *, row_number() over (partition by cluster order by score desc, first) as p from k)
 select o.cluster, o.keyword, round(score, 6) as score, count(*) as n_articles, max(citations) as citations, string_agg(title, '|' order by art.row_id) as titles from o join bag b on b.keyword = o.keyword and b.cluster = o.cluster join art on art.row_id = b.row_id where p <= 3 group by 1, 2, 3""")
 def type1_emerging(spark, sf):
-    a = _art(spark, sf)
+    a = _art(spark, sf, True)
     g = D.emerging_concepts(V.spaces(spark, sf, a), V.bag(a), a, _salient(a), _freq(a), _core(a), GapConfig(**_PLAIN))
     return g.select("cluster", "keyword", r6("score", "score"), "n_articles", "citations", F.array_join("article_titles", "|").alias("titles"))
 
@@ -412,7 +415,7 @@ k as (select *, 0.4e0 * (1 - 2 * abs(sim - 0.45e0)) + 0.3e0 * least(fs / 10.0e0,
 o as (select *, row_number() over (partition by cluster order by round(score, 9) desc, f1, f2) as r from k)
 select cluster, k1 || ' x ' || k2 as keyword, round(score, 6) as score, fs as frequency from o where r <= 3""")
 def type2_combinations(spark, sf):
-    a = _art(spark, sf)
+    a = _art(spark, sf, True)
     space = V.spaces(spark, sf, a)
     g = D.conceptual_combinations(space, V.keyword_vectors(spark, sf, space), V.bag(a), a, _salient(a), GapConfig(min_tfidf=0.0001, **_PLAIN))
     return g.select("cluster", "keyword", r6("score", "score"), "frequency")
@@ -428,7 +431,7 @@ t3 as (select o.cluster, o.keyword, round(score, 6) as score, cast(total as bigi
 
 
 def _type3(spark, sf):
-    a = _art(spark, sf)
+    a = _art(spark, sf, True)
     return D.cross_cluster_concepts(V.bag(a), a, _salient(a), _core(a), GapConfig(min_tfidf=0.000001, **_PLAIN))
 
 
@@ -456,13 +459,13 @@ def article_evidence(spark, sf):
 
 @query("cluster_label_b", f"with {V.ARTICLES}, {_CORE}, t as (select cluster, keyword, row_number() over (partition by cluster order by frequency desc, first) as p from cfreq where keyword not in (select keyword from core)), l as (select cluster, string_agg(keyword, ' & ' order by p) as l from t where p <= 2 group by 1) select cluster, upper(substr(l, 1, 1)) || substr(l, 2) as cluster_label from l")
 def cluster_label_b(spark, sf):
-    a = _art(spark, sf)
+    a = _art(spark, sf, True)
     return D.cluster_labels(V.bag(a), _core(a), None)
 
 
 @query("cluster_label_a", f"with {V.ARTICLES}, {_CORE}, t as (select first // 1000 % 7 as cluster, keyword, row_number() over (partition by first // 1000 % 7 order by first) as p from freq where keyword not in (select keyword from core)), l as (select cluster, string_agg(keyword, ' & ' order by p) as l from t where p <= 2 group by 1) select cast(cluster as int) as cluster, upper(substr(l, 1, 1)) || substr(l, 2) as cluster_label from l")
 def cluster_label_a(spark, sf):
-    a = _art(spark, sf)
+    a = _art(spark, sf, True)
     space = K.keyword_frequencies(V.bag(a)).withColumn("cluster", (F.col("first.row_id") % 7).cast("int"))
     return D.member_labels(space, _core(a), None)
 
