@@ -100,6 +100,26 @@ def local_silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
 
 
+def local_quality(points: DataFrame) -> dict:
+    """The three indices of at most local_rows points(cluster, vector)."""
+    rows = points.select("cluster", "vector").collect()
+    x, label = np.array([r.vector for r in rows], float), np.array([r.cluster for r in rows])
+    names = np.unique(label)
+    if len(names) < 2:
+        return {}
+    centre = np.array([x[label == c].mean(0) for c in names])
+    n = np.array([(label == c).sum() for c in names])
+    spread = np.array([np.linalg.norm(x[label == c] - m, axis=1).mean() for c, m in zip(names, centre)])
+    apart = np.linalg.norm(centre[:, None, :] - centre[None, :, :], axis=2)
+    np.fill_diagonal(apart, np.inf)
+    with np.errstate(divide="ignore"):
+        worst = ((spread[:, None] + spread[None, :]) / apart).max(1).mean()
+    within = sum(((x[label == c] - m) ** 2).sum() for c, m in zip(names, centre))
+    between = (n * ((centre - x.mean(0)) ** 2).sum(1)).sum()
+    ratio = (between / (len(names) - 1)) / (within / (len(x) - len(names))) if within > 0 and len(x) > len(names) else None
+    return {"silhouette": local_silhouette(x, label), "davies_bouldin": float(worst), "calinski_harabasz": None if ratio is None else float(ratio)}
+
+
 def elbow(ks: list[int], wcss: list[float]) -> int | None:
     """The knee of a decreasing convex curve (Kneedle, Satopaa et al. 2011, sensitivity 1); None below three points or without one."""
     if len(ks) < 3:
