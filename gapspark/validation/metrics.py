@@ -100,7 +100,7 @@ def pairwise_agreement(judgements: DataFrame) -> DataFrame:
 
 def safe_corr(a: str, b: str) -> Column:
     """Pearson's r; null where a side does not vary."""
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
