@@ -9,12 +9,14 @@ from gapspark.llm.secrets import OP2_SQL, op2_secrets
 from gapspark.llm.sharding import op4_sharding
 from gapspark.llm.simhash import op1_simhash
 from gapspark.llm.tokens import op9_tokens
+from gapspark.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html": op8_html,

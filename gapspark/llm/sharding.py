@@ -131,7 +131,7 @@ def _key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).try_cast("bigint"), F.lit(LOW)).alias("i"), (F.octet_length(text) + 16).cast("long").alias("size")]
 
 
-def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, piece_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, piece_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size, shard and slot (gapless from 0 in each shard)."""
     keys = written(docs.select(*_key(id_col, text_col)), "keys")
     n = keys.count()
