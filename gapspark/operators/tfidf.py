@@ -32,10 +32,16 @@ def vocabulary(articles: DataFrame, low: int = 1, high: int = 5, max_features: i
     return weighted.select("term", "n", (F.col("w") / norms).alias("w")).groupBy("term").agg((F.sum("w") / F.first("n")).alias("score"))
 
 
-def _substrings(c: str):
-    """Every distinct substring of a column."""
+def _substrings(c: str, low: int, high: int):
+    """Every distinct substring of a column with low to high characters."""
     size = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda a: F.transform(F.sequence(F.lit(1), size - a + 1), lambda n: F.substring(F.col(c), a, n)))))
+    each = F.flatten(F.transform(F.sequence(F.lit(low), F.least(size, F.lit(high))), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda a: F.substring(F.col(c), a, n))))
+    return F.when(size >= low, F.array_distinct(each)).otherwise(F.expr("array()").cast("array<string>"))
+
+
+def _lengths(rows: DataFrame, c: str) -> tuple[int, int]:
+    low, high = rows.agg(F.min(F.length(c)), F.max(F.length(c))).first()
+    return max(1, low or 1), high or 1
 
 
 def matched_salience(keywords: DataFrame, terms: DataFrame) -> DataFrame:
@@ -47,8 +53,8 @@ def matched_salience(keywords: DataFrame, terms: DataFrame) -> DataFrame:
     """
     exact = keywords.select("keyword").join(terms.withColumnRenamed("term", "keyword"), "keyword", "left")
     rest = exact.where("score is null and keyword <> ''").select("keyword")
-    inside = rest.select("keyword", F.explode(_substrings("keyword")).alias("term")).join(terms, "term").select("keyword", "score")
-    parts = terms.select("score", F.explode(_substrings("term")).alias("keyword"))
+    inside = rest.select("keyword", F.explode(_substrings("keyword", *_lengths(terms, "term"))).alias("term")).join(terms, "term").select("keyword", "score")
+    parts = terms.select("score", F.explode(_substrings("term", *_lengths(rest, "keyword"))).alias("keyword"))
     around = rest.join(parts, "keyword").select("keyword", "score")
     contained = inside.unionByName(around).groupBy("keyword").agg(F.max("score").alias("c"))
     left = rest.join(contained, "keyword", "left").where("c is null or c <= 0").select("keyword", F.array_distinct(F.split("keyword", " ")).alias("kt")).where(F.size("kt") > 1)
