@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain: each category's linear model also sees the probabilities of the categories before it.
 
-Features are the distinct lower-case words of a whole text, hashed, each weighed by its log-odds for the category (so words
+Features are the distinct lower-case words of a whole text and their first letters (4, 5 and 6), and in steps the shares of
+capital words and exclamation marks, all hashed, each weighed by its log-odds for the category (so words
 that say nothing weigh nothing), and the log-odds of the earlier categories' probabilities. The models are logistic, with L2
 regularisation. While training, the earlier probabilities of a document come from models that have not seen it (out-of-fold
 over `folds` folds by hash of doc_id); in prediction they come from the final models, category by category.
@@ -35,16 +36,25 @@ class Hasher:
     def __init__(self, bits: int, most: int = 300_000):
         self.size, self.most, self.known = 1 << bits, most, {}
 
+    def _place(self, feature: str) -> int:
+        return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 7) % self.size
+
     def places(self, text: str | None) -> np.ndarray:
+        text = text or ""
         known = self.known
         if len(known) > self.most:
             known.clear()
         out = set()
-        for w in set(_WORD.findall((text or "").lower())):
-            i = known.get(w)
-            if i is None:
-                i = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) % self.size
-            out.add(i)
+        words = _WORD.findall(text)
+        for w in set(map(str.lower, words)):
+            at = known.get(w)
+            if at is None:
+                at = known[w] = [self._place(w), *[self._place(f"{w[:n]}*") for n in (4, 5, 6) if len(w) > n]]
+            out.update(at)
+        if words:  # how much is shouted, in steps
+            loud = sum(w.isupper() for w in words if len(w) > 1) / len(words)
+            out.add(self._place(f"#upper {int(loud * 10)}"))
+            out.add(self._place(f"#bang {int(min(1.0, text.count('!') / len(words)) * 10)}"))
         return np.fromiter(out, np.int32, len(out))
 
 
