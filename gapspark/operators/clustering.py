@@ -264,11 +264,33 @@ def lloyd_steps(vectors: DataFrame, centroids: DataFrame, steps: int) -> DataFra
         now = mean_vectors(vectors.join(nearest_of, "row_id"), ["cluster"])
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """One row: the mean silhouette (Euclidean) of points(row_id, cluster, vector). Exact, so quadratic in the points."""
-    a = points.select(F.col("row_id").alias("i"), F.col("cluster").alias("ci"), F.col("vector").alias("vi"))
-    b = points.select(F.col("row_id").alias("j"), F.col("cluster").alias("cj"), F.col("vector").alias("vj"))
-    sums = a.join(b, F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(distance(F.col("vi"), F.col("vj"), "euclidean")).alias("d"))
+def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
+    """One row: the mean silhouette (Euclidean) of points(row_id, cluster, vector). Exact, so quadratic in the points.
+
+    Points are cut into blocks of about `block`; each ordered pair of blocks is one group, which leaves a sum of distances for
+    each of its points and clusters.
+    """
+    n = max(1, -(-points.count() // block))
+    mine = points.select("row_id", "cluster", "vector", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
+    dealt = mine.select("row_id", "cluster", "vector", F.lit(0).alias("side"), F.col("b").alias("x"), F.col("o").alias("y")).unionByName(mine.select("row_id", "cluster", "vector", F.lit(1).alias("side"), F.col("o").alias("x"), F.col("b").alias("y")))
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("row_id", "cluster")}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        xa, xb = (np.array(t["vector"].tolist(), float) for t in (a, b))
+        out = []
+        names = b["cluster"].unique()
+        ids, ida, own = b["row_id"].to_numpy(), a["row_id"].to_numpy(), a["cluster"].to_numpy()
+        for lo in range(0, len(a) if len(b) else 0, 64):
+            d = np.sqrt(((xa[lo : lo + 64, None, :] - xb[None, :, :]) ** 2).sum(2))
+            other = ids[None, :] != ida[lo : lo + 64, None]
+            for c in names:
+                met = other & (b["cluster"].to_numpy() == c)[None, :]
+                out.append(pd.DataFrame({"i": ida[lo : lo + 64], "ci": own[lo : lo + 64], "cj": c, "s": (d * met).sum(1), "n": met.sum(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"i": [], "ci": [], "cj": [], "s": [], "n": []})
+
+    parts = dealt.groupBy("x", "y").applyInPandas(run, f"i {kinds['row_id']}, ci {kinds['cluster']}, cj {kinds['cluster']}, s double, n long")
+    sums = parts.groupBy("i", "ci", "cj").agg((F.try_divide(F.sum("s"), F.sum("n"))).alias("d")).where("d is not null")
     each = sums.groupBy("i").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
     return each.agg(F.avg(F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)).alias("silhouette"))
 
