@@ -316,15 +316,73 @@ def _similar(sets: list[np.ndarray], similarity: float, chunk: int = 2048) -> np
         labels = least
 
 
+def _least_common(n: int, similarity: float) -> int:
+    """How many of its n shingles a set has in common with any set that _similar finds near."""
+    return int(np.ceil(similarity * n - 1e-3))
+
+
+def rare_shingles(rows: DataFrame, keys: DataFrame, words: int, similarity: float, text_col: str, bits: int = 1 << 24) -> DataFrame:
+    """(_gs_key, h) so that any two keys whose sets have at least that Jaccard similarity have an h in common.
+
+    A set of n shingles has at least c = ceil(similarity * n) in common with a near one. In whatever order all shingles are
+    put, the first n - c + k of both sets then have k in common. First the order is that of the hashes and k a tenth of
+    n (at least 1): a key with fewer shingles that another key also has among its first ones is done with (k is taken for
+    a set of c shingles, the least that can be near). All shingles of the others are counted and put in order of their
+    counts, so common passages come last, and k is 1. The others are told to the tasks as `bits` bits by hash of the row;
+    rows let through by chance cost time and change nothing.
+    """
+    spark = rows.sparkSession
+    size = bits
+
+    def k_of(n: int) -> int:
+        return max(1, n // 10)
+
+    @F.pandas_udf("k int, hs array<long>")
+    def first(text: pd.Series) -> pd.DataFrame:
+        sets = [shingle_hashes(t, words) for t in text]
+        least = [_least_common(len(h), similarity) for h in sets]
+        return pd.DataFrame({"k": [k_of(c) for c in least], "hs": [h[: len(h) - c + k_of(len(h))].view(np.int64) for h, c in zip(sets, least)]})
+
+    def met(df: DataFrame) -> DataFrame:
+        """df(_gs_key, h, ...) where another key has the same h; n_h is the number of rows with it."""
+        same = Window.partitionBy("h")
+        out = df.withColumns({"a": F.min("_gs_key").over(same), "b": F.max("_gs_key").over(same), "n_h": F.count(F.lit(1)).over(same)})
+        return out.where("a <> b").drop("a", "b")
+
+    texts = rows.select("_gs_row", "_gs_key", F.col(text_col).cast("string").alias("text"))
+    firsts = texts.select("_gs_key", first("text").alias("f")).select("_gs_key", "f.k", F.explode("f.hs").alias("h"))
+    shared_by = met(firsts).groupBy("_gs_key", "h").agg(F.first("k").alias("k")).groupBy("_gs_key").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("least"))
+    alive = shared_by.where("n >= least").select(F.col("_gs_key").alias("k"))
+    place = F.pmod(F.xxhash64("_gs_row"), F.lit(size))
+    chosen = keys.join(alive, F.col("_gs_key") == F.col("k")).select(place.alias("p"))
+    bitmap = np.zeros(size // 64, np.uint64)
+    longs = chosen.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
+    found = longs.toPandas()  # size / 64 rows at most
+    bitmap[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("array<long>")
+    def whole(text: pd.Series, at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.uint64)
+        held = shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+        return pd.Series([shingle_hashes(t, words).view(np.int64) if x else None for t, x in zip(text, held)], dtype=object)
+
+    every = texts.select("_gs_key", whole("text", place).alias("s")).where("s is not null").select("_gs_key", F.size("s").alias("n"), F.explode("s").alias("h"))
+    ranked = met(every).withColumn("r", F.dense_rank().over(Window.partitionBy("_gs_key").orderBy("n_h", "h")))
+    held = ranked.withColumn("m", F.max("r").over(Window.partitionBy("_gs_key")))  # shingles that only this key has come before
+    least = F.ceil(F.lit(float(similarity)) * F.col("n") - 1e-3)
+    return written(held.where(F.col("r") <= F.col("m") - least + 1).select("_gs_key", "h").distinct(), "rare")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 16, radius: int = 3, block: int = 1024, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows is a table of docs with _gs_row and _gs_key; classes is (_gs_key, class) of keys with near-duplicates.
 
     Documents are near-duplicates if the sets of their `words`-word shingles have a Jaccard similarity of `similarity`
     or more; classes are the components of this relation. Texts with the same words share a key. Candidates come from
-    `tables` SimHash fingerprints of the set of distinct words, linked by BK-trees as above in each table: a pair at
-    similarity 0.8 differs in about 4 of 64 bits, so it is within 3 bits in a table about every third time and in at least
-    one of 16 tables with odds of 99.9 %. Candidate components are cut into blocks of at most `block` keys, every pair of
-    a component's blocks is one group, and all pairs in a group are compared exactly, so no candidate is taken on trust.
+    `tables` SimHash fingerprints of the set of distinct words, linked by BK-trees as above in each table, and from rare
+    shingles in common (rare_shingles), which alone miss no pair: where one block of a text differs, the fingerprints are
+    too far apart. Candidate components are cut into blocks of at most `block` keys, every pair of a component's blocks is
+    one group, and all pairs in a group are compared exactly, so no candidate is taken on trust.
     """
 
     @F.pandas_udf("binary")
@@ -350,7 +408,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     several = tabled.groupBy("space", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("space", "fp")
     linked = ends.unionByName(several).distinct()
     spokes = tabled.join(linked, ["space", "fp"]).select(F.col("_gs_key").alias("u"), node("fp").alias("v"))
-    rooted = components(spokes.unionByName(found.select(node("u").alias("u"), node("v").alias("v"))))
+    rare = rare_shingles(rows, keys, words, similarity, text_col).select(F.col("_gs_key").alias("u"), F.xxhash64(F.lit("shingle"), "h").alias("v"))
+    rooted = components(spokes.unionByName(found.select(node("u").alias("u"), node("v").alias("v"))).unionByName(rare))
     members = keys.select("_gs_key", "_gs_row").join(rooted, F.col("_gs_key") == F.col("node")).select("_gs_key", "_gs_row", "root")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
     members = written(members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("_gs_key"), F.col("blocks")).cast("int")), "members")

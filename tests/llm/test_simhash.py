@@ -105,3 +105,26 @@ def test_similar_sets_in_one_group():
 
 def test_one_of_each_of_nothing(nothing):
     assert S.one_of_each(nothing).collect() == []
+
+
+def test_copies_that_differ_in_one_block_equal_brute_force(spark):
+    """Truncated, extended and block-replaced copies at a similarity of 0.8 or more, a passage that all have, and copies below 0.8."""
+    rng = np.random.default_rng(7)
+
+    def fresh(n):
+        return [f"w{x}" for x in rng.integers(0, 10**9, n)]
+
+    passage, texts = fresh(60), []
+    for _ in range(12):
+        base = [*fresh(200), *passage, *fresh(140)]
+        ninth = len(base) // 9
+        texts += [base, base[: int(len(base) * 0.81)], [*base, *fresh(90)], [*base[: ninth - 5], *fresh(ninth - 5), *base[2 * ninth - 10 :]], [*base[:-ninth + 5], *fresh(ninth - 5)], base[: int(len(base) * 0.6)]]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(S.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    label = list(range(len(sets)))
+    for _ in sets:
+        label = [min(label[j] for j in range(len(sets)) if near[i][j]) for i in range(len(sets))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in S.one_of_each(docs, words=5, similarity=0.8).collect()) == sorted(set(label))
+    assert 24 <= len(set(label)) < len(texts)
