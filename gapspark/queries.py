@@ -480,7 +480,7 @@ def _small_corpus(spark, sf) -> Corpus:
 
 @query("mode_b")
 def mode_b(spark, sf):
-    config = RunConfig(50, None, EncoderConfig(dimensions=16), EncoderConfig(dimensions=16), ClusteringConfig(n_clusters=3, n_init=2), GapConfig(min_tfidf=0.0))
+    config = RunConfig(None, None, EncoderConfig(dimensions=16), EncoderConfig(dimensions=16), ClusteringConfig(n_clusters=3, n_init=2), GapConfig(min_tfidf=0.0))
     return pipelines.articles_first(_small_corpus(spark, sf), config).gaps.select("gap_type", "keyword", "cluster", r6("score", "score"), "n_articles")
 
 

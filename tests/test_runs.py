@@ -335,3 +335,23 @@ def test_registered_queries_have_the_contracts_form():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 70
+
+
+def test_registered_mode_b_takes_the_whole_table(spark, tmp_path, monkeypatch):
+    from gapspark import queries
+
+    spark.createDataFrame([(i, f"some words about item{chr(97 + i % 26)} and other things beside these") for i in range(60)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    met = []
+
+    class Seen(Exception):
+        pass
+
+    def caught(corpus, config):
+        met.append(pipelines.prepare(corpus, config).n_articles)
+        raise Seen
+
+    pipelines = queries.pipelines
+    monkeypatch.setattr(pipelines, "articles_first", caught)
+    with pytest.raises(Seen):
+        queries.mode_b(spark, str(tmp_path))
+    assert met == [60]
