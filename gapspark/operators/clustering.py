@@ -1,7 +1,7 @@
 """k-means, the choice of k, quality indices and centroids.
 
 Up to ClusteringConfig.local_rows vectors are clustered by plain Lloyd steps in one task for each (k, start), which is exact
-and repeatable; beyond, Spark ML's distributed KMeans runs with several seeds. The path taken is part of the result.
+and repeatable; beyond, Spark ML's distributed KMeans runs with as many seeds. The silhouette is exact at every size. The path taken is part of the result.
 """
 
 from __future__ import annotations
@@ -155,12 +155,12 @@ class KSelection:
 
 
 def _ml(vectors: DataFrame, k: int, config: ClusteringConfig):
-    """The best of a few seeds of Spark ML's KMeans: (model, frame with a features column)."""
+    """The best of n_init seeds of Spark ML's KMeans: (model, frame with a features column)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     ready = vectors.withColumn("_gs_features", array_to_vector("vector"))
-    models = [KMeans(k=k, featuresCol="_gs_features", predictionCol="cluster", seed=config.random_state + s, maxIter=100).fit(ready) for s in range(min(3, config.n_init))]
+    models = [KMeans(k=k, featuresCol="_gs_features", predictionCol="cluster", seed=config.random_state + s, maxIter=300).fit(ready) for s in range(config.n_init)]
     return min(models, key=lambda m: m.summary.trainingCost), ready
 
 
@@ -194,12 +194,10 @@ def select_k(vectors: DataFrame, config: ClusteringConfig) -> KSelection:
         grid = spark.createDataFrame([(k,) for k in ks], "k int").repartition(len(ks), "k")
         found = {r.k: (r.wcss, r.silhouette) for r in grid.mapInPandas(one, "k int, wcss double, silhouette double").collect()}  # k_max rows
     else:
-        from pyspark.ml.evaluation import ClusteringEvaluator
-
         found = {}
         for k in ks:
             model, ready = _ml(vectors, k, config)
-            found[k] = (model.summary.trainingCost, ClusteringEvaluator(featuresCol="_gs_features", predictionCol="cluster").evaluate(model.transform(ready)))
+            found[k] = (model.summary.trainingCost, silhouette(model.transform(ready).select("row_id", "cluster", "vector")).first()[0])
     wcss, sil = [found[k][0] for k in ks], [found[k][1] for k in ks]
     k_elbow, k_sil = elbow(ks, wcss), ks[int(np.argmax(sil))]
     middle = ks[len(ks) // 2]

@@ -87,17 +87,13 @@ def build_spaces(bag: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
 
 def quality(points: DataFrame, k: int, local_rows: int) -> dict:
     """Silhouette, Davies-Bouldin and Calinski-Harabasz; empty for one cluster. Up to local_rows points they are computed in one
-    place; beyond, Spark does it and the silhouette is ML's squared one."""
+    place; beyond, Spark does it by blocks, with the same results."""
     n = points.count()
     if k < 2 or n <= k:
         return {}
     if n <= local_rows:
         return C.local_quality(points) | {"silhouette_exact": True}
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    s = ClusteringEvaluator(featuresCol="v", predictionCol="cluster").evaluate(points.withColumn("v", array_to_vector("vector")))
-    return {"silhouette": s, "silhouette_exact": False, "davies_bouldin": C.davies_bouldin(points).first()[0], "calinski_harabasz": C.calinski_harabasz(points).first()[0]}
+    return {"silhouette": C.silhouette(points).first()[0], "silhouette_exact": True, "davies_bouldin": C.davies_bouldin(points).first()[0], "calinski_harabasz": C.calinski_harabasz(points).first()[0]}
 
 
 def separation_warning(found: dict, k: int, what: str) -> str | None:

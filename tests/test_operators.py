@@ -292,3 +292,22 @@ def test_config_checks():
     with pytest.raises(ValueError):
         EmergingWeights(0.5, 0.5, 0.5, 0.5)
     assert (GapConfig().core_domain_share, GapConfig().min_tfidf, GapConfig().max_gaps_per_cluster, GapConfig().max_keyword_frequency) == (0.5, 0.005, 3, 1)
+
+
+def test_choice_of_k_is_the_same_beyond_local_rows(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    from gapspark.config import ClusteringConfig
+    from gapspark.operators import clustering
+    from gapspark.plans.pipelines import quality
+
+    rows = [(i, [float(i % 3 * 9 + i % 5 / 4), float(i % 2 + i % 7 / 5)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "row_id long, vector array<double>")
+    starts, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, *a: starts.append((self.getK(), self.getMaxIter())) or fit(self, *a))
+    one = clustering.select_k(vectors, ClusteringConfig(n_init=4, k_min=3, k_max=3))
+    far = clustering.select_k(vectors, ClusteringConfig(n_init=4, k_min=3, k_max=3, local_rows=10))
+    assert starts == [(3, 300)] * 4
+    assert abs(one.silhouette[0] - far.silhouette[0]) < 1e-9 and one.k == far.k
+    points = vectors.selectExpr("row_id", "cast(row_id % 3 as int) as cluster", "vector")
+    assert abs(quality(points, 3, 10)["silhouette"] - quality(points, 3, 100)["silhouette"]) < 1e-9
