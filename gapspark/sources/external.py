@@ -112,7 +112,8 @@ def load_external_ranking(spark: SparkSession, source, corpus: Corpus | None = N
         missing = []
     else:
         rows = with_corpus_evidence(ranking, corpus)
-        missing = [r.keyword for r in unmatched(ranking, corpus).limit(100).collect()]
+        places = unmatched(ranking, corpus).join(ranking.select("keyword", "position"), "keyword").orderBy("position")
+        missing = [r.keyword for r in places.select("keyword").collect()]  # all of them, in the ranking's order
     rows = rows.withColumns({"members": F.array("keyword"), "rationale": F.format_string(f"place %d of the list {name}", F.col("position")), "metrics": F.map_filter(F.create_map(F.lit("external_score"), F.col("external_score"), F.lit("position"), F.col("position").cast("double")), lambda k, v: v.isNotNull())})
     gaps = rows.select(*D.GAP_COLUMNS, F.col("keyword").alias("keyword_display"), F.lit(name).alias("cluster_label")).orderBy(F.desc("score"))
     told = {"source": name, "keyword_column": keyword, "score_column": score, "rank_column": rank, "type_column": kind, "unmatched": missing}

@@ -355,3 +355,8 @@ def test_registered_mode_b_takes_the_whole_table(spark, tmp_path, monkeypatch):
     with pytest.raises(Seen):
         queries.mode_b(spark, str(tmp_path))
     assert met == [60]
+
+
+def test_all_unmatched_keywords_are_told(spark, corpus):
+    listed = [f"unheard {i}" for i in range(130)]
+    assert X.load_external_ranking(spark, listed, corpus).diagnostics["unmatched"] == listed
