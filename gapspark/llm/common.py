@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper-case A-Z to lower case and nothing else; safe on UTF-8 because ASCII bytes never occur inside longer sequences.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -15,12 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _test_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='gapspark-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster that is an error, because executors
+    would not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='gapspark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.conf.get("spark.master", "local").startswith("local") or "local-cluster" in spark.conf.get("spark.master", ""):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _test_dir()
     return folder.rstrip("/")
 
 
@@ -38,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def packed_rows(df: DataFrame) -> DataFrame:
+    """df as one struct column `doc`, so that no name of an operator's own can clash with a column of df."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+
+
+def unpacked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("doc").getField(c).alias(c) for c in columns])
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written(), once nothing reads it any more."""
     path = getattr(df, "_gapspark_path", None)

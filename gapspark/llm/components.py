@@ -11,6 +11,7 @@ from gapspark.llm.common import dropped, written
 def _linked_to_least(directed: DataFrame, keep) -> DataFrame:
     """Each neighbour v of u that keep admits, linked to the least of u and its neighbours."""
     least = directed.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    least = written(least, "least")  # both sides of the join are tables then, so that Spark may split a hot node
     return directed.join(least, directed["u"] == least["k"]).where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 

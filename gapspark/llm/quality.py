@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapspark.llm.common import dropped, table, written
+from gapspark.llm.common import dropped, packed_rows, table, unpacked_rows, written
 
 WINDOW = 8
 #: The statistics and the least spread of each: log of mean word length, log of symbols per 100 characters, shares of
@@ -170,10 +170,11 @@ def assessed(docs: DataFrame, level: float = 1 - 1e-6, share: float = 0.75, step
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """docs that assessed() keeps, with all their columns; a verdict belongs to a doc_id, text, lang and source."""
-    content = F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"), F.lit("/"), F.col("source").cast("string"))
-    inner = docs.select(F.struct("doc_id", content.alias("c")).alias("doc_id"), "text", "lang", "source")
-    kept = assessed(inner, **options).where("kept").select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.c").alias("c")).hint("shuffle_hash")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("i")) & (content == F.col("c")), "left_semi")
+    content = F.xxhash64(F.col("doc.text").cast("string"), F.col("doc.lang").cast("string"), F.lit("/"), F.col("doc.source").cast("string"))
+    rows = packed_rows(docs)
+    inner = rows.select(F.struct("doc.doc_id", content.alias("c")).alias("doc_id"), "doc.text", "doc.lang", "doc.source")
+    kept = assessed(inner, **options).where("kept").select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.c").alias("c"))
+    return unpacked_rows(rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("i")) & (content == F.col("c")), "left_semi"), docs.columns)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

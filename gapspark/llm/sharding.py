@@ -25,67 +25,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapspark.llm.common import dropped, table, written
+from gapspark.llm.common import dropped, packed_rows, table, written
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass
-class Cut:
-    """A wanted boundary: the rows before it should hold `target` bytes. Known: bytes below lo and below hi."""
-
-    target: float
-    lo: tuple[int, int]
-    hi: tuple[int, int]
-    below_lo: int
-    below_hi: int
-
-    def settled(self, tolerance: float) -> bool:
-        return self.best()[1] <= tolerance or self.neighbours()
-
-    def neighbours(self) -> bool:
-        """No key can stand between lo and hi."""
-        (a, b), (c, d) = self.lo, self.hi
-        return self.below_lo == self.below_hi or a == c and d - b <= 1 or c - a == 1 and (b, d) == (HIGH, LOW)
-
-    def best(self) -> tuple[tuple[int, int], float]:
-        """The nearer end and how far it is from the target."""
-        under, over = abs(self.target - self.below_lo), abs(self.below_hi - self.target)
-        return (self.lo, under) if under <= over else (self.hi, over)
-
-    def probes(self, n: int) -> set[tuple[int, int]]:
-        """Up to n boundaries after lo and up to hi: hashes first; doc_ids once one hash value is left."""
-        (a, b), (c, d) = self.lo, self.hi
-        if c - a > 1:
-            return {(x, LOW) for x in _spread(a, c, n)}
-        return {(a, x) for x in _spread(b, d if a == c else HIGH, n)} | ({(c, LOW)} if a != c else set())
-
-
-def _spread(a: int, b: int, n: int) -> set[int]:
-    """Up to n whole numbers in (a, b], evenly apart."""
-    return {a + max(1, (b - a) * (k + 1) // (n + 1)) for k in range(n)} if b > a else set()
+class Cuts:
+    """Wanted boundaries, in order: the rows before cut k should hold target[k] bytes.
 
+    Of each cut is known: a key lo with below_lo <= target bytes below it, a key hi with more, and these numbers of bytes.
+    """
 
-def _counted(keys: DataFrame, probes: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Bytes and rows strictly below each probe; probes are in order."""
-    hashes = np.array([p[0] for p in probes], np.int64)
-    seconds = np.array([p[1] for p in probes], np.int64)
+    target: np.ndarray
+    lo: np.ndarray  # (hash, second) in two columns
+    hi: np.ndarray
+    below_lo: np.ndarray
+    below_hi: np.ndarray
+
+    @classmethod
+    def of(cls, total: int, pieces: int) -> Cuts:
+        n = pieces - 1
+        target = total * np.arange(1, pieces) / pieces
+        return cls(target, np.full((n, 2), LOW), np.full((n, 2), HIGH), np.zeros(n, np.int64), np.full(n, total))
+
+    def settled(self, tolerance: float) -> np.ndarray:
+        """Cuts that are near enough, or between whose lo and hi no key can stand."""
+        (a, b), (c, d) = self.lo.T, self.hi.T
+        near = np.minimum(np.abs(self.target - self.below_lo), np.abs(self.below_hi - self.target)) <= tolerance
+        return near | (self.below_lo == self.below_hi) | (a == c) & (d <= np.where(b < HIGH, b + 1, HIGH)) | (c == np.where(a < HIGH, a + 1, HIGH)) & (b == HIGH) & (d == LOW)
+
+    def probes(self, is_open: np.ndarray, each: int) -> np.ndarray:
+        """`each` boundaries for every open cut, in order, within the cuts' intervals: hashes first; seconds once one hash is left."""
+        intervals, held = np.unique(np.hstack([self.lo[is_open], self.hi[is_open]]), axis=0, return_counts=True)
+        a, b, c, d = (np.ascontiguousarray(x) for x in intervals.T)
+        wide = c.view(np.uint64) - a.view(np.uint64) > 1
+        _, hashes = _spread(a[wide], c[wide], held[wide] * each)
+        a, b, c, d, held = (x[~wide] for x in (a, b, c, d, held))
+        own, seconds = _spread(b, np.where(a == c, d, HIGH), held * each)
+        parts = [np.column_stack([hashes, np.full(len(hashes), LOW)]), np.column_stack([a[own], seconds]), np.column_stack([c, np.full(len(c), LOW)])[a != c]]
+        return np.unique(np.concatenate(parts), axis=0)
+
+    def refine(self, probes: np.ndarray, below: np.ndarray) -> None:
+        """Narrow every cut, given the bytes below each probe. Both are ascending, so the target's place is bisected."""
+        if not len(probes):
+            return
+        after = np.searchsorted(below, self.target, "right")  # the first probe with more bytes below it than wanted
+        for at, name in ((after - 1, "lo"), (after, "hi")):
+            there = (at >= 0) & (at < len(probes))
+            p, size = probes[np.clip(at, 0, len(probes) - 1)], below[np.clip(at, 0, len(probes) - 1)]
+            known = getattr(self, name)
+            first = (p[:, 0] < known[:, 0]) | (p[:, 0] == known[:, 0]) & (p[:, 1] < known[:, 1])
+            better = there & (first if name == "hi" else ~first)
+            known[better] = p[better]
+            getattr(self, f"below_{name}")[better] = size[better]
+
+    def chosen(self) -> np.ndarray:
+        """The nearer end of each, in order."""
+        under, over = np.abs(self.target - self.below_lo), np.abs(self.below_hi - self.target)
+        out = np.where((under <= over)[:, None], self.lo, self.hi)
+        return out[np.lexsort((out[:, 1], out[:, 0]))]
+
+
+def _spread(a: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, x): up to n[k] whole numbers x in (a[k], c[k]], evenly apart. Differences of 64-bit numbers need unsigned ones."""
+    low, span = a.view(np.uint64), c.view(np.uint64) - a.view(np.uint64)
+    step = np.maximum(1, span // (n + 1).astype(np.uint64))
+    k = np.repeat(np.arange(len(a)), n)
+    off = step[k] * (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.uint64)
+    inside = off <= span[k]
+    return k[inside], (low[k] + off)[inside].view(np.int64)
+
+
+def _counted(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and rows strictly below each probe (and, last, in all); probes are in order."""
+    shared = keys.sparkSession.sparkContext.broadcast(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.zeros(len(hashes) + 1, np.int64)
-        rows = np.zeros(len(hashes) + 1, np.int64)
+        size = np.zeros(len(shared.value) + 1, np.int64)
+        rows = np.zeros(len(shared.value) + 1, np.int64)
         for b in batches:
-            at = _bin(*(b.column(i).to_numpy() for i in (0, 1)), hashes, seconds)
+            at = _bin(*(b.column(i).to_numpy() for i in (0, 1)), shared.value[:, 0], shared.value[:, 1])
             np.add.at(size, at, b.column(2).to_numpy())
             rows += np.bincount(at, minlength=len(rows))
         held = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(size[held]), pa.array(rows[held])], ["at", "size", "n"])
 
-    sums = keys.mapInArrow(run, "at long, size long, n long").groupBy("at").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
+    sums = keys.mapInArrow(run, "at long, size long, n long").groupBy("at").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).toPandas()
+    shared.destroy()
     size, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
-    for r in sums:
-        size[r.at], rows[r.at] = r["size"], r["n"]
-    return np.cumsum(size).tolist(), np.cumsum(rows).tolist()
+    size[sums["at"].to_numpy()], rows[sums["at"].to_numpy()] = sums["size"].to_numpy(), sums["n"].to_numpy()
+    return np.cumsum(size), np.cumsum(rows)
 
 
 def _bin(h: np.ndarray, i: np.ndarray, hashes: np.ndarray, seconds: np.ndarray) -> np.ndarray:
@@ -100,59 +130,59 @@ def _bin(h: np.ndarray, i: np.ndarray, hashes: np.ndarray, seconds: np.ndarray)
     return at
 
 
-def splitters(keys: DataFrame, pieces: int, tolerance: float = 0.005, probes: int = 24) -> tuple[list[tuple[int, int]], list[int]]:
+def splitters(keys: DataFrame, pieces: int, tolerance: float = 0.005, probes: int = 24) -> tuple[np.ndarray, list[int]]:
     """pieces - 1 boundaries of keys(h, i, size) and the rows of each piece. tolerance: a share of a piece's bytes.
 
-    What comes back to the driver is one sum for each probe: at most probes x pieces.
+    What comes back to the driver is one sum for each probe, about probes x pieces of them; the driver's own work is a
+    binary search for each cut.
     """
     total = int(keys.agg(F.sum("size")).first()[0] or 0)
-    cuts = [Cut(total * k / pieces, (LOW, LOW), (HIGH, HIGH), 0, total) for k in range(1, pieces)]
-    while open_cuts := [c for c in cuts if not c.settled(tolerance * total / pieces)]:
-        intervals = {(c.lo, c.hi): c for c in open_cuts}
-        each = max(probes, probes * len(open_cuts) // (4 * len(intervals)))
-        wanted = sorted(set().union(*(c.probes(each) for c in intervals.values())))
+    cuts = Cuts.of(total, pieces)
+    while not (done := cuts.settled(tolerance * total / pieces)).all():
+        wanted = cuts.probes(~done, probes)
         below, _ = _counted(keys, wanted)
-        for c in open_cuts:
-            for p, size in zip(wanted, below):
-                if c.lo < p < c.hi:
-                    if size <= c.target:
-                        c.lo, c.below_lo = p, size
-                    else:
-                        c.hi, c.below_hi = p, size
-    chosen = [c.best()[0] for c in cuts]
-    chosen = [max(chosen[: k + 1]) for k in range(len(chosen))]
-    _, rows = _counted(keys, chosen) if chosen else ([], [int(keys.count())])
-    return chosen, [b - a for a, b in zip([0, *rows[:-1]], rows)]
-
-
-def _key(id_col: str, text_col: str) -> list[Column]:
-    """The parts of the sorting key, and the size. Null ids become the least number; ids that are not numbers are hashed."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return [F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).try_cast("bigint"), F.lit(LOW)).alias("i"), (F.octet_length(text) + 16).cast("long").alias("size")]
-
-
-def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, piece_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, shard and slot (gapless from 0 in each shard)."""
-    keys = written(docs.select(*_key(id_col, text_col)), "keys")
-    n = keys.count()
-    per_shard = max(1, -(-n // (shards * piece_rows)))
+        cuts.refine(wanted, below)
+    chosen = cuts.chosen()
+    rows = _counted(keys, chosen)[1][:-1] if len(chosen) else np.zeros(0, np.int64)
+    return chosen, np.diff(np.concatenate(([0], rows, [keys.count()]))).tolist()
+
+
+def _key(id_col: Column, text_col: Column) -> list[Column]:
+    """The parts h and i of the sorting key, and the size. Null ids become the least number; other ids that are not numbers are hashed."""
+    text = F.coalesce(text_col.cast("string"), F.lit(""))
+    number = F.coalesce(id_col.try_cast("bigint"), F.when(id_col.isNotNull(), F.xxhash64(id_col)), F.lit(LOW))
+    return [F.xxhash64(text).alias("h"), number.alias("i"), (F.octet_length(text) + 16).cast("long").alias("size")]
+
+
+def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, piece_rows: int = 100_000, piece_bytes: int = 16 << 20, most_pieces: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with size, shard and slot (gapless from 0 in each shard).
+
+    A task sorts a piece: about `piece_rows` rows or `piece_bytes`, or more of both where that would be over `most_pieces`
+    pieces, the number that the driver handles. How a shard is cut into pieces does not change where its rows stand.
+    """
+    spark = docs.sparkSession
+    doc = [F.col("doc").getField(c) for c in (id_col, text_col)]
+    keys = written(docs.select(*_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))), "keys")
+    n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    per_shard = max(1, -(-n // (shards * piece_rows)), -(-total // (shards * piece_bytes)))
+    per_shard = min(per_shard, max(1, most_pieces // shards))
     bounds, rows = splitters(keys, shards * per_shard, tolerance)
     dropped(keys)
-    hashes, seconds = np.array([b[0] for b in bounds], np.int64), np.array([b[1] for b in bounds], np.int64)
-
-    @F.pandas_udf("int")
-    def piece(h: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series(_bin(h.to_numpy(), i.to_numpy(), hashes, seconds).astype(np.int32))
-
-    h, i, size = _key(id_col, text_col)
-    kept = [F.col(c) for c in docs.columns if c not in ("size", "shard", "slot")]
-    out = docs.select(*kept, size, h.alias("_gs_h"), i.alias("_gs_i"))
-    out = out.withColumn("_gs_piece", piece("_gs_h", "_gs_i"))
-    within = Window.partitionBy("_gs_piece").orderBy("_gs_h", "_gs_i")
-    starts = [sum(rows[k // per_shard * per_shard : k]) for k in range(shards * per_shard)]
-    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_gs_piece") + 1) if per_shard > 1 else F.lit(0).cast("long")
-    out = out.withColumn("shard", (F.col("_gs_piece") / F.lit(per_shard)).cast("int")).withColumn("slot", F.row_number().over(within) - 1 + start)
-    return out.drop("_gs_h", "_gs_i", "_gs_piece")
+    before = np.cumsum([0, *rows[:-1]])
+    starts = before - before[np.arange(len(rows)) // per_shard * per_shard]  # rows of the shard in pieces before this one
+    shared = spark.sparkContext.broadcast((bounds, starts))  # at most most_pieces x 24 bytes
+
+    @F.pandas_udf("piece int, start long")
+    def place(h: pd.Series, i: pd.Series) -> pd.DataFrame:
+        bounds, starts = shared.value
+        at = _bin(h.to_numpy(), i.to_numpy(), bounds[:, 0], bounds[:, 1])
+        return pd.DataFrame({"piece": at.astype(np.int32), "start": starts[at]})
+
+    h, i, size = _key(*doc)
+    out = packed_rows(docs).select("doc", size, h, i).withColumn("at", place("h", "i")).select("doc", "size", "h", "i", "at.piece", "at.start")
+    slot = F.row_number().over(Window.partitionBy("piece").orderBy("h", "i")) - 1 + F.col("start")
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("size", "shard", "slot")]
+    return out.repartitionById(len(rows), F.col("piece")).select(*kept, "size", (F.col("piece") / F.lit(per_shard)).cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

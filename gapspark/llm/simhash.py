@@ -3,13 +3,12 @@
 A fingerprint has 64 bits; bit j is 1 if more than half of the shingles' XXH64 have it. Fingerprints at `radius`
 or fewer differing bits are linked, and linked documents form components.
 
-Finding the links: the bits are cut into `radius + 2` blocks, of which at least two must agree exactly between
-linked fingerprints, so every pair of blocks gives a routing key (26 bits for radius 3). A key with two or more
-distinct fingerprints is a shard. Each shard is one BK-tree, or several of at most `tree_nodes` nodes where the key
-is hot; then the key's fingerprints are sent to all of its trees. A whole tree is never sent to all executors,
-because the number of distinct fingerprints has no bound; what is dealt to a shard's task is its tree and the
-queries that can meet it. A search follows only the edges whose distance is within the radius of the query's
-distance to the node. A task reports a spanning forest of what it found, never all pairs.
+Finding the links: the bits are cut into `radius + 1` blocks, of which linked fingerprints share at least one, so the
+leading bits of each block give a shard in which linked fingerprints meet. As many bits are used as leave a shard a few
+hundred fingerprints, and each shard is one BK-tree (`shards` says what becomes of hot ones). A whole tree is never sent to
+all executors, because the number of distinct fingerprints has no bound; what is dealt to a shard's task is its tree and
+the queries that can meet it. A search follows only the edges whose distance is within the radius of the query's distance
+to the node. A task reports a spanning forest of what it found, never all pairs.
 
 Nulls and empty texts have no shingle and fingerprint zero, and link like any other. Rows with a null doc_id take part
 in linking but never name a component (which is null if no member has an id). Repeated rows give repeated results.
@@ -18,8 +17,8 @@ Columns other than doc_id and text are not read. An empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapspark.llm.common import ASCII_LOWER, table, written
+from gapspark.llm.common import ASCII_LOWER, packed_rows, table, unpacked_rows, written
 from gapspark.llm.components import components
 
 BITS = 64
@@ -74,23 +73,21 @@ class BKTree:
 
     def __init__(self, values: np.ndarray):
         self.values = values = np.ascontiguousarray(values, np.uint64)
-        children: list[dict[int, int]] = []
-        plain = values.tolist()
-        for i, x in enumerate(plain):
-            children.append({})
-            at = 0
-            while i:
-                d = (x ^ plain[at]).bit_count()
-                nxt = children[at].get(d)
-                if nxt is None:
-                    children[at][d] = i
-                    break
-                at = nxt
+        # All values descend together, a level at a time; of those that meet on a free edge the first becomes the child.
+        q, at = np.arange(1, len(values)), np.zeros(max(0, len(values) - 1), np.int64)
+        keys, kids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(q):
+            edge = np.bitwise_count(values[q] ^ values[at]).astype(np.int64)
+            key, first, of = np.unique(at * (BITS + 2) + edge, return_index=True, return_inverse=True)
+            keys.append(key)
+            kids.append(q[first])
+            at = q[first][of]
+            q, at = q[q != at], at[q != at]
+        key, child = np.concatenate(keys), np.concatenate(kids)
+        order = np.argsort(key)
         #: children in order of (parent, edge); first[p, e] is where p's children with an edge of e or more begin.
-        order = [(p, e, c) for p, kids in enumerate(children) for e, c in sorted(kids.items())]
-        self.child = np.array([c for _, _, c in order], np.int64)
-        keys = np.array([p * (BITS + 2) + e for p, e, _ in order], np.int64)
-        self.first = np.searchsorted(keys, np.arange(len(plain) * (BITS + 2))).reshape(len(plain), BITS + 2) if plain else np.zeros((0, BITS + 2), np.int64)
+        self.child = child[order]
+        self.first = np.searchsorted(key[order], np.arange(len(values) * (BITS + 2))).reshape(len(values), BITS + 2)
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query index, node) of every hit, following only edges within the radius."""
@@ -148,7 +145,7 @@ def _own_forest(tree: BKTree, parent: list[int], radius: int) -> None:
         todo = todo[roots[todo] != np.bincount(roots).argmax()]
 
 
-def _shard_links(radius: int, routes: int):
+def _shard_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard, a shard's tree nodes before its other queries."""
         key, nodes, tree, parent = None, [], None, []
@@ -157,7 +154,7 @@ def _shard_links(radius: int, routes: int):
         out_v: list[int] = []
 
         def link(u: int, v: int) -> None:
-            out_s.append((key[0] >> 32) // routes)
+            out_s.append(key[0])
             out_u.append(u)
             out_v.append(v)
 
@@ -170,17 +167,12 @@ def _shard_links(radius: int, routes: int):
 
         def ended() -> None:
             nonlocal tree, nodes, parent
-            if nodes:
-                if tree is None and len(nodes) == 1 and len(nodes[0]) == 2:  # a tree of one edge
-                    a, b = nodes[0].tolist()
-                    if (a ^ b).bit_count() <= radius:
-                        link(a, b)
-                else:
-                    grown()
-                    plain = tree.values.tolist()
-                    for i, x in enumerate(plain):
-                        if (r := _root(parent, i)) != i:
-                            link(x, plain[r])
+            if nodes and (tree is not None or sum(map(len, nodes)) > 1):
+                grown()
+                plain = tree.values.tolist()
+                for i, x in enumerate(plain):
+                    if (r := _root(parent, i)) != i:
+                        link(x, plain[r])
             tree, nodes, parent = None, [], []
 
         def flushed() -> pa.RecordBatch:
@@ -190,13 +182,13 @@ def _shard_links(radius: int, routes: int):
             return pa.RecordBatch.from_arrays(arrays, ["space", "u", "v"])
 
         for b in batches:
-            route, sub, own, fp = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("route", "sub", "own", "fp"))
+            space, route, sub, own, fp = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("space", "route", "sub", "own", "fp"))
             fp = fp.view(np.uint64)
-            cuts = np.flatnonzero((route[1:] != route[:-1]) | (sub[1:] != sub[:-1]) | (own[1:] != own[:-1])) + 1
+            cuts = np.flatnonzero((space[1:] != space[:-1]) | (route[1:] != route[:-1]) | (sub[1:] != sub[:-1]) | (own[1:] != own[:-1])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
                 if lo == hi:
                     continue
-                if key != (k := (int(route[lo]), int(sub[lo]))):
+                if key != (k := (int(space[lo]), int(route[lo]), int(sub[lo]))):
                     ended()
                     key = k
                 if own[lo]:
@@ -214,32 +206,53 @@ def _shard_links(radius: int, routes: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = 3, tree_nodes: int = 4096) -> DataFrame:
+def shards(fps: DataFrame, radius: int = 3, shard_nodes: int = 256, tree_nodes: int = 4096) -> DataFrame:
+    """(space, route, sub, own, fp): the shards of fps(space, fp), each tree (sub) with its nodes (own = 1) and other queries.
+
+    Of `radius + 1` blocks of bits linked fingerprints share at least one. Each block routes by its leading bits, so many
+    that a shard has about `shard_nodes` fingerprints where they are spread evenly. A shard of more than `tree_nodes`
+    is dealt again by the whole block and one of `radius + 1` blocks of the remaining bits, which linked fingerprints share
+    for the same reason; where even that is too many, it becomes several trees, all of which its queries visit.
+    """
+    blocks = radius + 1
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    rest = BITS - (cuts[1] - cuts[0])
+    inner = [rest * j // blocks for j in range(blocks + 1)]
+
+    def bits(x: Column | str, lo: int, hi: int) -> Column:
+        return F.shiftrightunsigned(x, lo).bitwiseAND((1 << (hi - lo)) - 1) if hi - lo < BITS else F.col(x)
+
+    per_space = fps.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    wide = min(cuts[1] - cuts[0], max(1, math.ceil(math.log2(max(1, per_space) / shard_nodes))))
+    leading = [F.struct(F.lit(i).alias("i"), (bits("fp", cuts[i + 1] - wide, cuts[i + 1]) * blocks + i).alias("route")) for i in range(blocks)]
+    routed = fps.select("space", "fp", F.explode(F.array(*leading)).alias("r")).select("space", "fp", "r.i", "r.route")
+    hot = written(routed.groupBy("space", "route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_nodes).select("space", "route", F.lit(True).alias("hot")), "hot")
+    plain = [F.lit(0).alias("sub"), F.lit(1).alias("own"), "fp"]
+    if hot.first() is None:
+        return routed.select("space", "route", *plain)
+    marked = routed.join(hot, ["space", "route"], "left")
+    # the remaining bits, end to end: those below the block and those above it
+    others = [bits("fp", 0, cuts[i]) + F.shiftleft(bits("fp", cuts[i + 1], BITS), cuts[i]) if cuts[i + 1] < BITS else bits("fp", 0, cuts[i]) for i in range(blocks)]
+    finer = F.array(*[F.xxhash64(F.lit(i), F.lit(j), bits("fp", cuts[i], cuts[i + 1]), bits(others[i], inner[j], inner[j + 1])) for i in range(blocks) for j in range(blocks)])
+    again = marked.where("hot").select("space", "fp", F.explode(F.slice(finer, F.col("i") * blocks + 1, F.lit(blocks))).alias("route"))
+    several = again.groupBy("space", "route").agg(F.ceil(F.count(F.lit(1)) / F.lit(tree_nodes)).cast("int").alias("trees")).where("trees > 1")
+    dealt = again.join(written(several, "several"), ["space", "route"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    mine = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
+    dealt = dealt.select("space", "route", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("sub"))
+    dealt = dealt.select("space", "route", "sub", (F.col("mine") == F.col("sub")).cast("int").alias("own"), "fp")
+    return marked.where("hot is null").select("space", "route", *plain).unionByName(dealt)
+
+
+def links(fps: DataFrame, radius: int = 3, shard_nodes: int = 256, tree_nodes: int = 4096) -> DataFrame:
     """Edges (space, u, v) that connect exactly the distinct fingerprints of fps(fp) that chains of links connect.
 
     fps may have a whole number `space` besides: fingerprints of different spaces are never linked.
     """
     if "space" not in fps.columns:
         fps = fps.withColumn("space", F.lit(0))
-    blocks = radius + 2
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-
-    def block(i: int):
-        return F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
-
-    pairs = list(combinations(range(blocks), 2))
-    routes = [
-        (F.col("space").cast("long") * len(pairs) + k) * (1 << 32) + block(i) * (1 << (cuts[j + 1] - cuts[j])) + block(j)
-        for k, (i, j) in enumerate(pairs)
-    ]
-    routed = fps.select("fp", F.explode(F.array(*routes)).alias("route"))
-    met = routed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("route"))).where("n > 1")
-    met = met.withColumn("trees", F.ceil(F.col("n") / F.lit(tree_nodes)).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    met = met.select("route", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("sub"))
-    met = met.select("route", "sub", (F.col("mine") == F.col("sub")).cast("int").alias("own"), "fp")
-    dealt = met.repartition("route", "sub").sortWithinPartitions("route", "sub", F.desc("own"))
-    return dealt.mapInArrow(_shard_links(radius, len(pairs)), "space int, u long, v long")
+    dealt = shards(fps.select("space", "fp"), radius, shard_nodes, tree_nodes)
+    dealt = dealt.repartition("space", "route", "sub").sortWithinPartitions("space", "route", "sub", F.desc("own"))
+    return dealt.mapInArrow(_shard_links(radius), "space int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,7 +334,7 @@ def _least_common(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-3))
 
 
-def rare_shingles(rows: DataFrame, keys: DataFrame, words: int, similarity: float, text_col: str, bits: int = 1 << 24) -> DataFrame:
+def rare_shingles(texts: DataFrame, keys: DataFrame, words: int, similarity: float, bits: int = 1 << 24) -> DataFrame:
     """(_gs_key, h) so that any two keys whose sets have at least that Jaccard similarity have an h in common.
 
     A set of n shingles has at least c = ceil(similarity * n) in common with a near one. In whatever order all shingles are
@@ -331,7 +344,7 @@ def rare_shingles(rows: DataFrame, keys: DataFrame, words: int, similarity: floa
     counts, so common passages come last, and k is 1. The others are told to the tasks as `bits` bits by hash of the row;
     rows let through by chance cost time and change nothing.
     """
-    spark = rows.sparkSession
+    spark = texts.sparkSession
     size = bits
 
     def k_of(n: int) -> int:
@@ -349,7 +362,6 @@ def rare_shingles(rows: DataFrame, keys: DataFrame, words: int, similarity: floa
         out = df.withColumns({"a": F.min("_gs_key").over(same), "b": F.max("_gs_key").over(same), "n_h": F.count(F.lit(1)).over(same)})
         return out.where("a <> b").drop("a", "b")
 
-    texts = rows.select("_gs_row", "_gs_key", F.col(text_col).cast("string").alias("text"))
     firsts = texts.select("_gs_key", first("text").alias("f")).select("_gs_key", "f.k", F.explode("f.hs").alias("h"))
     shared_by = met(firsts).groupBy("_gs_key", "h").agg(F.first("k").alias("k")).groupBy("_gs_key").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("least"))
     alive = shared_by.where("n >= least").select(F.col("_gs_key").alias("k"))
@@ -374,14 +386,15 @@ def rare_shingles(rows: DataFrame, keys: DataFrame, words: int, similarity: floa
     return written(held.where(F.col("r") <= F.col("m") - least + 1).select("_gs_key", "h").distinct(), "rare")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 16, radius: int = 3, block: int = 1024, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows is a table of docs with _gs_row and _gs_key; classes is (_gs_key, class) of keys with near-duplicates.
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 2, radius: int = 3, block: int = 1024, block_bytes: int = 32 << 20, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows is a table of docs (struct doc) with _gs_row and _gs_key; classes is (_gs_key, class) of keys with near-duplicates.
 
     Documents are near-duplicates if the sets of their `words`-word shingles have a Jaccard similarity of `similarity`
     or more; classes are the components of this relation. Texts with the same words share a key. Candidates come from
     `tables` SimHash fingerprints of the set of distinct words, linked by BK-trees as above in each table, and from rare
     shingles in common (rare_shingles), which alone miss no pair: where one block of a text differs, the fingerprints are
-    too far apart. Candidate components are cut into blocks of at most `block` keys, every pair of a component's blocks is
+    too far apart. Null and empty texts share a key, so one of them is kept; so do repeated rows and ties. An empty table
+    gives empty results, and no name of a column of docs can clash. Candidate components are cut into blocks of about `block` keys or `block_bytes` of text, every pair of a component's blocks is
     one group, and all pairs in a group are compared exactly, so no candidate is taken on trust.
     """
 
@@ -389,13 +402,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     def signed(text: pd.Series) -> pd.Series:
         return pd.Series([signature(t, words, tables) for t in text])
 
-    rows = docs.withColumn("_gs_sig", signed(F.col(text_col).cast("string"))).withColumn("_gs_row", F.monotonically_increasing_id())
+    body = F.col("doc").getField(text_col).cast("string")
+    rows = packed_rows(docs).withColumn("_gs_sig", signed(body)).withColumn("_gs_row", F.monotonically_increasing_id())
 
     def number(i: int) -> Column:
         return F.conv(F.hex(F.expr(f"substring(_gs_sig, {8 * i + 1}, 8)")), 16, -10).cast("long")
 
-    rows = written(rows.withColumn("_gs_key", number(0)), "signed")
-    keys = rows.groupBy("_gs_key").agg(F.min("_gs_row").alias("_gs_row"), F.first("_gs_sig").alias("_gs_sig"))
+    rows = written(rows.withColumn("_gs_key", number(0)).withColumn("_gs_bytes", F.coalesce(F.octet_length(body), F.lit(0))), "signed")
+    keys = rows.groupBy("_gs_key").agg(F.min("_gs_row").alias("_gs_row"), F.first("_gs_sig").alias("_gs_sig"), F.max("_gs_bytes").alias("_gs_bytes"))
     tabled = keys.select("_gs_key", F.explode(F.array(*[F.struct(F.lit(t).alias("space"), number(t + 1).alias("fp")) for t in range(tables)])).alias("x")).select("_gs_key", "x.space", "x.fp")
     tabled = written(tabled, "tables")
     found = links(tabled.groupBy("space", "fp").agg(F.count(F.lit(1)).alias("n")), radius)
@@ -408,13 +422,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     several = tabled.groupBy("space", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("space", "fp")
     linked = ends.unionByName(several).distinct()
     spokes = tabled.join(linked, ["space", "fp"]).select(F.col("_gs_key").alias("u"), node("fp").alias("v"))
-    rare = rare_shingles(rows, keys, words, similarity, text_col).select(F.col("_gs_key").alias("u"), F.xxhash64(F.lit("shingle"), "h").alias("v"))
+    rare = rare_shingles(rows.select("_gs_row", "_gs_key", body.alias("text")), keys, words, similarity).select(F.col("_gs_key").alias("u"), F.xxhash64(F.lit("shingle"), "h").alias("v"))
     rooted = components(spokes.unionByName(found.select(node("u").alias("u"), node("v").alias("v"))).unionByName(rare))
-    members = keys.select("_gs_key", "_gs_row").join(rooted, F.col("_gs_key") == F.col("node")).select("_gs_key", "_gs_row", "root")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    members = keys.select("_gs_key", "_gs_row", "_gs_bytes").join(rooted, F.col("_gs_key") == F.col("node")).select("_gs_key", "_gs_row", "_gs_bytes", "root")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("_gs_bytes").alias("bytes")).where("n > 1")
+    sizes = sizes.select("root", F.ceil(F.greatest(F.col("n") / F.lit(block), F.least(F.col("n"), F.col("bytes") / F.lit(block_bytes)))).cast("int").alias("blocks"))
     members = written(members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("_gs_key"), F.col("blocks")).cast("int")), "members")
-    wanted = members.select(F.col("_gs_row").alias("r"), "_gs_key", "root", "blocks", "b").hint("shuffle_hash")
-    texts = rows.select("_gs_row", F.col(text_col).cast("string").alias("text")).join(wanted, F.col("_gs_row") == F.col("r"))
+    wanted = members.select(F.col("_gs_row").alias("r"), "_gs_key", "root", "blocks", "b")
+    texts = rows.select("_gs_row", body.alias("text")).join(wanted, F.col("_gs_row") == F.col("r"))
 
     @F.pandas_udf("binary")
     def hashes(text: pd.Series) -> pd.Series:
@@ -438,10 +453,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each class the row of least doc_id stays (nulls last; of repeated rows, the first)."""
     rows, classes = similar_documents(docs, **options)
-    narrow = rows.select("_gs_row", "_gs_key", "doc_id").join(classes, "_gs_key", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_gs_row")).alias("m")
-    kept = narrow.groupBy(F.coalesce("class", "_gs_key").alias("c")).agg(first).select(F.col("m._gs_row").alias("k")).hint("shuffle_hash")
-    return rows.join(kept, F.col("_gs_row") == F.col("k"), "left_semi").select(*docs.columns)
+    narrow = rows.select("_gs_row", "_gs_key", F.col("doc").getField("doc_id").alias("id")).join(classes, "_gs_key", "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_gs_row")).alias("m")
+    kept = narrow.groupBy(F.coalesce("class", "_gs_key").alias("c")).agg(first).select(F.col("m._gs_row").alias("k"))
+    return unpacked_rows(rows.join(kept, F.col("_gs_row") == F.col("k"), "left_semi"), docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

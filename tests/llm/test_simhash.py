@@ -128,3 +128,24 @@ def test_copies_that_differ_in_one_block_equal_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in S.one_of_each(docs, words=5, similarity=0.8).collect()) == sorted(set(label))
     assert 24 <= len(set(label)) < len(texts)
+
+
+def test_shards_are_trees_of_many_nodes_and_hold_every_link(spark):
+    """Fingerprints spread evenly: trees of about a hundred nodes or more, in which every linked pair meets."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    near = values[:600] ^ np.array([sum(1 << int(b) for b in rng.choice(64, 3, False)) for _ in range(600)], np.uint64)
+    every = np.unique(np.concatenate([values, near]))
+    fps = spark.createDataFrame([(0, int(v)) for v in every.view(np.int64)], "space int, fp long")
+    held = S.shards(fps).groupBy("route", "sub").agg({"fp": "collect_list"}).collect()
+    sizes = [len(r[2]) for r in held]
+    assert np.mean(sizes) > 100 and sum(sizes) == 4 * len(every)
+    together = set()
+    for r in held:
+        x = np.array(sorted(r[2]), np.int64).view(np.uint64)
+        q, node = S.BKTree(x).within(x, 3)
+        together |= {(int(x[i]), int(x[j])) for i, j in zip(q, node) if i != j}
+    brute = set()
+    for v in every:
+        brute |= {(int(v), int(w)) for w in every[np.bitwise_count(every ^ v) <= 3] if w != v}
+    assert together == brute and len(brute) >= 1200
