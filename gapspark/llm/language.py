@@ -6,8 +6,9 @@ each language, and the AND of an n-gram's slots names all languages that may con
 for each language (popcounts by bit), every count is corrected by that language's rate of false positives, and the
 language with the largest corrected share wins; n-grams that all languages contain say nothing and are left out of it.
 
-Training reads a bounded sample: for each language the `per_language` training documents of least hash of (doc_id, text).
-A language has at most `ngrams` n-grams in the filter, and at most 64 languages are learned (the most frequent).
+Training reads a bounded sample: for each language the `per_language` training documents of least hash of (doc_id, length
+of the text). A language has at most `ngrams` n-grams in the filter. Every language of the training documents is learned: a
+slot has as many 64-bit words (planes) as the languages need.
 
 A text that is null or has no letter is `und` with score 0; with no language learned every text is `und`. Ties go to the
 language that sorts first. A text none of whose n-grams is known gets the language most frequent in training and
@@ -27,9 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapspark.llm.common import table
+from gapspark.llm.common import table, written
 
-MAX_LANGUAGES = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -59,7 +59,7 @@ def hashed(points: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    slots: np.ndarray  # uint64 bitmasks
+    slots: np.ndarray  # (planes, size) of uint64: language k is bit k % 64 of plane k // 64
     false_rate: np.ndarray
     n: int
     default: int
@@ -71,28 +71,29 @@ class Model:
     @classmethod
     def built(cls, grams: dict[str, np.ndarray], frequent: str, n: int, bits: int = 20) -> Model:
         languages = sorted(grams)
-        slots = np.zeros(1 << bits, np.uint64)
+        slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), np.uint64)
         for k, name in enumerate(languages):
             for at in cls.places(grams[name], 1 << bits):
-                slots[at] |= np.uint64(1 << k)
-        fill = np.array([float(((slots >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(languages))])
+                slots[k // 64][at] |= np.uint64(1 << k % 64)
+        fill = np.array([float(((slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(languages))])
         return cls(languages, slots, fill ** len(_MIX), n, languages.index(frequent) if frequent in languages else 0)
 
     def predicted(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        every = np.uint64((1 << len(self.languages)) - 1)
+        total = len(self.languages)
+        every = [np.uint64((1 << min(64, total - at)) - 1) for at in range(0, total, 64)]
         for text in texts:
             points = letters_of(text or "")
-            if len(points) < 3 or not self.languages:
+            if len(points) < 3 or not total:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            h = hashed(points, self.n)
-            a, b, c = self.places(h, len(self.slots))
-            masks = self.slots[a] & self.slots[b] & self.slots[c]
-            said = masks[masks != every] if len(self.languages) > 1 else masks
-            count = np.array([int(((said >> np.uint64(k)) & np.uint64(1)).sum()) for k in range(len(self.languages))], float)
-            true = np.maximum(0, (count - len(said) * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
+            a, b, c = self.places(hashed(points, self.n), self.slots.shape[1])
+            masks = self.slots[:, a] & self.slots[:, b] & self.slots[:, c]
+            if total > 1:  # n-grams of all languages say nothing
+                masks = masks[:, ~np.logical_and.reduce([m == e for m, e in zip(masks, every)])]
+            count = np.array([int(((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum()) for k in range(total)], float)
+            true = np.maximum(0, (count - masks.shape[1] * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
             if true.sum() > 0:
                 best = int(np.argmax(true))
                 names.append(self.languages[best])
@@ -103,19 +104,33 @@ class Model:
         return names, scores
 
 
+def sampled(rows: DataFrame, per_language: int) -> DataFrame:
+    """(lang, doc_id, o) of the `per_language` rows of least (o, doc_id) in each language of rows(lang, doc_id, o), o a hash.
+
+    Counts by range of o, which Spark combines before the shuffle, tell up to which range a language's sample reaches; only
+    rows up to there (the sample and one range more) are put in order, so no task gets all of a language.
+    """
+    part = F.shiftright("o", 48) + (1 << 15)
+    counts = rows.groupBy("lang", part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("p")) - F.col("n")
+    reach = counts.withColumn("before", before).where(F.col("before") < per_language).groupBy("lang").agg(F.max("p").alias("reach"))
+    near = rows.join(reach.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).where(part <= F.col("reach"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
+    return near.withColumn("r", place).where(F.col("r") <= per_language).select("lang", "doc_id", "o")
+
+
 def train(docs: DataFrame, n: int = 4, per_language: int = 2000, ngrams: int = 50_000, bits: int = 20) -> Model:
     """A model from docs(doc_id, text, lang)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros(1, np.uint64), np.zeros(0), n, 0)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
-    sample = rows.withColumn("o", F.xxhash64(F.col("doc_id").cast("string"), F.length("text"))).where(F.col("lang").isin(list(sizes)))
-    # The sample's ids are chosen on narrow rows, the texts come from a second read. What is broadcast has at most
-    # MAX_LANGUAGES x per_language rows of 24 bytes.
-    chosen = sample.select("lang", "o", "doc_id").withColumn("r", place).where(F.col("r") <= per_language).select(F.col("lang").alias("l"), F.col("doc_id").alias("i"))
-    picked = sample.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("lang", "text")
+        return Model([], np.zeros((1, 1), np.uint64), np.zeros(0), n, 0)
+    # The sample is chosen on narrow rows, the texts come from a second read. It has at most per_language rows a language,
+    # and is written and joined as a table, which Spark broadcasts if it is small.
+    sample = rows.withColumn("o", F.xxhash64(F.col("doc_id").cast("string"), F.length("text")))
+    chosen = written(sampled(sample.select("lang", "doc_id", "o"), per_language), "sample").select(F.col("lang").alias("l"), F.col("doc_id").alias("i"), F.col("o").alias("k"))
+    picked = sample.join(chosen, (F.col("o") == F.col("k")) & (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

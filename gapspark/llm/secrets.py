@@ -14,13 +14,14 @@ than doc_id and text are not read, so clashing names cannot matter. An empty tab
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.utils import AnalysisException
 
-from gapspark.llm.common import new_path, table, written
+from gapspark.llm.common import new_path, packed_rows, table, written
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,9 @@ def update_ledger(docs: DataFrame, ledger: str, rules=BASE_RULES, id_col: str =
     """Scan what the ledger folder has not seen, add it there, and return the paths: (doc_id, blob).
 
     ledger/seen has (blob, rule, version), ledger/found the findings. A rerun with the same rules scans nothing;
-    a rule with a new version is run over all blobs again, the other rules are not.
+    a rule with a new version is run over all blobs again, the other rules are not. Findings are written before their blobs
+    are marked as seen. A run that is lost in between is done again by the next one; what both found is the same, because a
+    finding depends on nothing but the blob and the rule's version, and is read once (`findings`).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -91,59 +94,63 @@ def update_ledger(docs: DataFrame, ledger: str, rules=BASE_RULES, id_col: str =
             by_rules[(rule,)] = distinct.join(old, "blob", "left_anti")
     for part, unseen in by_rules.items():
         # One holder of each unseen blob is scanned: a semi-join whose key is spread evenly even where a blob is hot.
-        unseen = unseen.select(F.col("blob").alias("b"), F.col("holder").alias("h")).hint("shuffle_hash")
+        unseen = unseen.select(F.col("blob").alias("b"), F.col("holder").alias("h"))
+        if seen is not None:
+            unseen = written(unseen, "unseen")
         holders = rows.join(unseen, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("h")), "left_semi")
-        scan(holders.select("blob", "text"), part).distinct().write.mode("append").parquet(f"{ledger}/found")
+        scan(holders.select("blob", "text"), part).write.mode("append").parquet(f"{ledger}/found")
         marks = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in part])).alias("k")
-        done = distinct if seen is None else unseen.select(F.col("b").alias("blob"))
-        done.select("blob", marks).select("blob", "k.rule", "k.version").write.mode("append").parquet(f"{ledger}/seen")
+        unseen.select(F.col("b").alias("blob"), marks).select("blob", "k.rule", "k.version").write.mode("append").parquet(f"{ledger}/seen")
     return paths
 
 
 def findings(spark, ledger: str, rules=BASE_RULES) -> DataFrame:
-    """The ledger's findings by the given rule versions."""
+    """The ledger's distinct findings by the given rule versions."""
     found = spark.read.schema(_FOUND).parquet(f"{ledger}/found")
-    wanted = [F.lit(False)] + [(F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules]
-    keep = wanted[0]
-    for w in wanted[1:]:
-        keep = keep | w
-    return found.where(keep)
+    keep = reduce(lambda a, r: a | ((F.col("rule") == r.name) & (F.col("version") == r.version)), rules, F.lit(False))
+    return found.where(keep).distinct()
+
+
+def _by_blob(spark, ledger: str, rules) -> DataFrame:
+    """(blob, spans), a table: the spans of each blob that has any, in order of start, then rule."""
+    listed = F.array_sort(F.collect_list(F.struct("start", "ord", "end", "rule")))
+    return written(findings(spark, ledger, rules).groupBy("blob").agg(listed.alias("spans")), "spans")
 
 
 def scan_documents(docs: DataFrame, ledger: str | None = None, rules=BASE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans) with spans an array of (start, ord, end, rule), in order, one row per document."""
+    """(doc_id, spans, blob) with spans an array of (start, ord, end, rule), in order, one row per document."""
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "ledger")
     paths = update_ledger(docs, ledger, rules, id_col, text_col)
-    per_blob = findings(spark, ledger, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "rule"))).alias("spans"))
     none = F.expr("array()").cast("array<struct<start:bigint,ord:int,end:bigint,rule:string>>")
-    return paths.join(per_blob, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"), "blob")
+    return paths.join(_by_blob(spark, ledger, rules), "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"), "blob")
 
 
 def redacted(docs: DataFrame, mask: str = "[secret]", rules=BASE_RULES, ledger: str | None = None) -> DataFrame:
     """docs with every counting match masked in text and n_chars made to fit, all other columns as they were.
 
     Documents are joined to their findings by content address. Matches of one kind do not overlap; kinds are masked
-    from the end of the text to its start, and a match that overlaps one already masked is covered with it.
+    in order of start, and a match that overlaps one already masked is covered with it. Null texts stay null. An empty table
+    stays one; repeated rows are all kept, and no name of a column of docs can clash.
     """
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "ledger")
-    dropped_paths = update_ledger(docs, ledger, rules)
-    per_blob = findings(spark, ledger, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gs_spans"))
-    del dropped_paths
-    named = docs.withColumn("_gs_blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    joined = named.join(per_blob.withColumnRenamed("blob", "_gs_blob"), "_gs_blob", "left")
+    update_ledger(docs, ledger, rules)
+    text = F.col("doc").getField("text")
+    rows = packed_rows(docs).withColumn("key", F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+    joined = rows.join(_by_blob(spark, ledger, rules), F.col("key") == F.col("blob"), "left")
     # fold over the spans in order of start: what is kept before a span, then the mask, unless it starts inside the last one
     step = F.aggregate(
-        "_gs_spans",
+        "spans",
         F.struct(F.expr("array()").cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(F.concat(a["out"], F.array(F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))).alias("out"), s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
+        lambda a, s: F.when(s["start"] >= a["at"], F.struct(F.concat(a["out"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))).alias("out"), s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
     )
-    text = F.when(F.col("_gs_spans").isNotNull(), step).otherwise(F.col("text"))
-    out = joined.withColumn("_gs_text", text)
-    columns = [F.col("_gs_text").alias(c) if c == "text" else (F.when(F.col("_gs_spans").isNotNull(), F.length("_gs_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns]
-    return out.select(*columns)
+    out = joined.withColumn("masked", F.when(F.col("spans").isNotNull(), step).otherwise(text))
+    columns = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("masked")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("masked")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:

@@ -41,12 +41,13 @@ def test_filter_names_every_language_of_an_ngram():
     grams = {k: rng.integers(0, 1 << 63, 500, dtype=np.uint64) for k in ("x", "y")}
     model = L.Model.built(grams, "x", 4, bits=14)
     for k, name in enumerate(model.languages):
-        a, b, c = model.places(grams[name], len(model.slots))
-        assert ((model.slots[a] & model.slots[b] & model.slots[c]) >> np.uint64(k) & np.uint64(1)).all()
+        a, b, c = model.places(grams[name], model.slots.shape[1])
+        slots = model.slots[0]
+        assert ((slots[a] & slots[b] & slots[c]) >> np.uint64(k) & np.uint64(1)).all()
     other = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
-    a, b, c = model.places(other, len(model.slots))
+    a, b, c = model.places(other, model.slots.shape[1])
     for k in range(2):
-        seen = ((model.slots[a] & model.slots[b] & model.slots[c]) >> np.uint64(k) & np.uint64(1)).mean()
+        seen = ((slots[a] & slots[b] & slots[c]) >> np.uint64(k) & np.uint64(1)).mean()
         assert abs(seen - model.false_rate[k]) < 0.005
 
 
@@ -54,3 +55,34 @@ def test_nothing_to_learn_or_predict(spark, nothing, docs):
     empty = L.train(nothing)
     assert {r.lang_pred for r in L.predict(docs, empty).collect()} == {"und"}
     assert L.predict(nothing, empty).collect() == []
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(8)
+    stems = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=40)), lang) for i, lang in enumerate(sorted(stems) * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs.where("doc_id >= 70"))
+    assert model.slots.shape[0] == 2 and len(model.languages) == 70
+    got = L.predict(docs.where("doc_id < 70"), model).join(docs, "doc_id").collect()
+    assert len(got) == 70 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_sample_is_that_of_sorting_all(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 8 then 'big' when id % 10 = 8 then 'mid' else null end as lang", "case when id < 50 then 7L else xxhash64(cast(id as string)) end as o").where("lang is not null")
+    want = set()
+    for lang in ("big", "mid"):
+        want |= {(lang, r.doc_id) for r in sorted(rows.where(f"lang = '{lang}'").collect(), key=lambda r: (r.o, r.doc_id))[:200]}
+    for ranges in (200, 5000):
+        got = [(r.lang, r.doc_id) for r in L.sampled(rows, ranges).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == want if ranges == 200 else len(got) == rows.count()
+
+
+def test_query_on_a_folder(spark, tmp_path, labelled):
+    labelled.withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in L.op6_language(spark, str(tmp_path)).collect()}
+    assert len(out) == labelled.count() and out[900].lang_pred == out[902].lang_pred == "und"
+    told = {r.doc_id: r.lang for r in labelled.collect() if r.lang and r.text}
+    held = [i for i in told if i is not None and i < 900 and out[i].held_out]
+    assert sum(out[i].lang_pred == told[i] for i in held) >= 0.98 * len(held)
