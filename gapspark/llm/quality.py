@@ -2,14 +2,16 @@
 
 Each document gets its counts (words, characters, symbols, repeated lines, words in repeated 8-word windows). Documents
 that pass the base rules are described by four transformed statistics. For every language and source the minimum
-covariance determinant estimate is found by concentration steps: from the medians, the `share` of documents nearest by
-Mahalanobis distance give a new centre and covariance, until the steps are done. Documents farther than the chi-square
-quantile `level` are rejected. Groups of fewer than `least` documents are put together by language, then all together; if
-even that is too few, nothing is rejected by distance.
+covariance determinant estimate is sought: the centre and scatter of the `share` of documents whose scatter has the least
+determinant. As it is usual for this estimate, a few deterministic starts (scales along the axes, tanh correlations, spatial
+signs, the half nearest the medians; after Hubert, Rousseeuw and Verdonck, 2012) are each improved by concentration steps,
+which never raise the determinant but for rounding in quantiles; the start of least determinant goes on until the
+determinant settles. Documents farther than the chi-square quantile `level` are rejected. Groups of fewer than `least`
+documents are put together by language, then all together; if even that is too few, nothing is rejected by distance.
 
-The estimates see all documents; a group's state is a few sums and one quantile sketch, so a hot group is combined before
-the shuffle. A statistic that hardly varies in a group (most texts have no symbols) gets a floor under its spread,
-which keeps the covariance regular and ordinary documents inside.
+The estimates see all documents. Rows are joined to the estimates by group and a salt, a group's state in aggregation is a few
+sums and one quantile sketch, so rows of a hot group stay where they are. A statistic that hardly varies in a group (most
+texts have no symbols) gets a floor under its spread, which keeps scatters regular and ordinary documents inside.
 
 Windows are compared by 64-bit hash. Null and empty texts have no words and fail the base rules. Null langs and sources
 are groups of their own; null ids and repeated rows are kept. Only doc_id, text, lang and source are read.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from gapspark.llm.common import dropped, packed_rows, table, unpacked_rows, written
 
 WINDOW = 8
+SALTS = 16
 #: The statistics and the least spread of each: log of mean word length, log of symbols per 100 characters, shares of
 #: repeated lines and of repeated words.
 FLOORS = {"s1": 0.08, "s2": 0.3, "s3": 0.15, "s4": 0.12}
@@ -94,21 +97,34 @@ def chi2_below(x: float, dof: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of s1.. from m_1.. by the Cholesky factor f_i_j (forward substitution)."""
+def _distance(m: Column, f: Column) -> Column:
+    """Squared Mahalanobis distance of s1.. from the centre m by the Cholesky factor f (forward substitution)."""
     z: list[Column] = []
     for i, s in enumerate(NAMES):
-        z.append((F.col(s) - F.col(f"m_{i}") - reduce(lambda a, b: a + b, [F.col(f"f_{i}_{j}") * z[j] for j in range(i)], F.lit(0.0))) / F.col(f"f_{i}_{i}"))
-    return reduce(lambda a, b: a + b, [x * x for x in z])
+        inner = reduce(lambda a, b: a + b, [F.get(f, F.lit(PAIRS.index((i, j)))) * z[j] for j in range(i)], F.lit(0.0))
+        z.append((F.col(s) - F.get(m, F.lit(i)) - inner) / F.get(f, F.lit(PAIRS.index((i, i)))))
+    return _sum(x * x for x in z)
+
+
+def _sum(columns) -> Column:
+    return reduce(lambda a, b: a + b, columns)
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """g, m_i and the Cholesky factor f_i_j of the covariances c_i_j, which must be regular."""
+    """moments(g, start, m_i, c_i_j, ...) with the centre m, the Cholesky factor f of the scatter c, and log_det."""
     out = moments
     for i, j in PAIRS:
         inner = reduce(lambda a, b: a - b, [F.col(f"f_{i}_{k}") * F.col(f"f_{j}_{k}") for k in range(j)], F.col(f"c_{i}_{j}"))
-        out = out.withColumn(f"f_{i}_{j}", F.sqrt(inner) if i == j else inner / F.col(f"f_{j}_{j}"))
-    return out.select("g", *[f"m_{i}" for i in range(len(NAMES))], *[f"f_{i}_{j}" for i, j in PAIRS])
+        out = out.withColumn(f"f_{i}_{j}", F.sqrt(F.greatest(inner, F.lit(1e-12))) if i == j else inner / F.col(f"f_{j}_{j}"))
+    m, f = F.array(*[f"m_{i}" for i in range(len(NAMES))]), F.array(*[f"f_{i}_{j}" for i, j in PAIRS])
+    return out.select("g", "start", m.alias("m"), f.alias("f"), (2 * _sum(F.log(f"f_{i}_{i}") for i in range(len(NAMES)))).alias("log_det"), *[c for c in ("was",) if c in moments.columns])
+
+
+def _salted(rows: DataFrame, groups: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("g",)) -> DataFrame:
+    """rows(salt, keys, ...) joined to groups(keys, ...), which stands once for each salt, so no key's rows meet in one task."""
+    held = groups.select(*[F.col(k).alias(f"on_{k}") for k in keys], *[c for c in groups.columns if c not in keys], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("on_salt"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"on_{k}")) for k in keys], F.col("salt") == F.col("on_salt"))
+    return rows.join(held, on, how).drop("on_salt", *[f"on_{k}" for k in keys])
 
 
 def grouped(stats: DataFrame, least: int) -> DataFrame:
@@ -121,47 +137,88 @@ def grouped(stats: DataFrame, least: int) -> DataFrame:
     n_rest = by_lang.where(F.col("n_lang") < least).agg(F.coalesce(F.sum("n_lang"), F.lit(0))).first()[0]
     named = sizes.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     g = F.when(F.col("n") >= least, key("lang", "source")).when(F.col("n_lang") >= least, key("lang")).otherwise(F.lit("rest") if n_rest >= least else F.lit(None))
-    named = named.select(F.col("lang").alias("l"), F.col("source").alias("s"), g.alias("g"))
-    return stats.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
-
-
-def estimates(stats: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """One row for each group g of stats(g, s1..): centre m_i and Cholesky factor f_i_j of the scatter."""
-    dof = len(NAMES)
-    consistent = share / chi2_below(chi2_quantile(share, dof), dof + 2)
-    medians = stats.groupBy("g").agg(*[F.percentile_approx(s, F.lit(0.5), F.lit(10_000)).alias(f"m_{i}") for i, s in enumerate(NAMES)])
-    medians = written(medians, "medians")
-    spread = stats.join(medians, "g").groupBy("g").agg(
-        *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(dof)],
-        *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{i}")), F.lit(0.5), F.lit(10_000)).alias(f"d_{i}") for i, s in enumerate(NAMES)],
+    return _salted(stats, named.select("lang", "source", g.alias("g")), keys=("lang", "source"))
+
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """(g, start, m, f, log_det): the starts of each group of stats(g, salt, s1..)."""
+    every = range(len(NAMES))
+    median = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(10_000))
+    medians = written(stats.groupBy("g").agg(*[median(s).alias(f"m_{i}") for i, s in enumerate(NAMES)]), "medians")
+    apart = [median(F.abs(F.col(s) - F.col(f"m_{i}"))) for i, s in enumerate(NAMES)]
+    axes = _salted(stats, medians).groupBy("g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in every], *[F.sqrt(F.pow(1.4826 * apart[i], 2) + FLOORS[NAMES[i]] ** 2).alias(f"e_{i}") for i in every])
+    axes = written(axes, "axes")
+    z = _salted(stats, axes).withColumns({f"z_{i}": (F.col(s) - F.col(f"m_{i}")) / F.col(f"e_{i}") for i, s in enumerate(NAMES)})
+    z = z.withColumn("norm", _sum(F.col(f"z_{i}") * F.col(f"z_{i}") for i in every))
+    shapes = z.groupBy("g").agg(
+        median("norm").alias("half"),
+        *[F.covar_pop(F.tanh(f"z_{i}"), F.tanh(f"z_{j}")).alias(f"t_{i}_{j}") for i, j in PAIRS],
+        *[F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.greatest("norm", F.lit(1e-12))).alias(f"u_{i}_{j}") for i, j in PAIRS],
     )
-    for i, j in PAIRS:
-        spread = spread.withColumn(f"c_{i}_{j}", F.pow(1.4826 * F.col(f"d_{i}"), 2) + FLOORS[NAMES[i]] ** 2 if i == j else F.lit(0.0))
-    now = written(_factored(spread), "scatter")
-    for _ in range(steps):
-        near = stats.join(now, "g").select("g", *NAMES, _distance().alias("d"))
-        cut = written(near.groupBy("g").agg(F.percentile_approx("d", F.lit(share), F.lit(10_000)).alias("cut")), "cuts")
-        moments = near.join(cut, "g").where("d <= cut").groupBy("g").agg(
-            *[F.avg(s).alias(f"m_{i}") for i, s in enumerate(NAMES)],
-            *[(consistent * F.covar_pop(NAMES[i], NAMES[j]) + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS],
-        )
-        new = written(_factored(moments), "scatter")
-        dropped(cut)
+    shapes = written(shapes.join(axes, "g"), "shapes")
+    core = _salted(z, shapes.select("g", "half")).where("norm <= half").groupBy("g").agg(
+        *[F.avg(s).alias(f"m_{i}") for i, s in enumerate(NAMES)],
+        *[(F.covar_pop(NAMES[i], NAMES[j]) + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS],
+    )
+    of_axes = lambda shape: [(F.col(f"e_{i}") * F.col(f"e_{j}") * shape(i, j)).alias(f"c_{i}_{j}") for i, j in PAIRS]
+    tanh = lambda i, j: F.lit(1.0) if i == j else F.coalesce(0.99 * F.try_divide(F.col(f"t_{i}_{j}"), F.sqrt(F.col(f"t_{i}_{i}") * F.col(f"t_{j}_{j}"))), F.lit(0.0))
+    centre = [f"m_{i}" for i in every]
+    kinds = [lambda i, j: F.lit(float(i == j)), tanh, lambda i, j: F.col(f"u_{i}_{j}") + (0.01 if i == j else 0.0)]
+    tables = [shapes.select("g", F.lit(k).alias("start"), *centre, *of_axes(kind)) for k, kind in enumerate(kinds)]
+    tables.append(core.withColumn("start", F.lit(len(kinds))))
+    return written(_factored(reduce(DataFrame.unionByName, tables)), "scatter")
+
+
+def _concentrated(stats: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """One concentration step of each start: centre and scatter of the share of rows nearest by the estimate so far."""
+    p = len(NAMES)
+    consistent = share / chi2_below(chi2_quantile(share, p), p + 2)
+
+    def measured(estimates: DataFrame, *more: str) -> DataFrame:
+        held = estimates.groupBy("g").agg(F.collect_list(F.struct("start", "m", "f", "log_det", *more)).alias("x"))
+        each = _salted(stats, held).select("g", *NAMES, F.explode("x").alias("x"))
+        return each.select("g", *NAMES, "x.start", "x.log_det", *[f"x.{c}" for c in more], _distance(F.col("x.m"), F.col("x.f")).alias("d"))
+
+    cuts = measured(now).groupBy("g", "start").agg(F.percentile_approx("d", F.lit(share), F.lit(10_000)).alias("cut"))
+    cuts = written(now.join(cuts, ["g", "start"]), "cuts")
+    moments = measured(cuts, "cut").where("d <= cut").groupBy("g", "start").agg(
+        *[F.avg(s).alias(f"m_{i}") for i, s in enumerate(NAMES)],
+        *[(consistent * F.covar_pop(NAMES[i], NAMES[j]) + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS],
+        F.first("log_det").alias("was"),
+    )
+    out = written(_factored(moments), "scatter")
+    dropped(cuts)
+    return out
+
+
+def estimates(stats: DataFrame, share: float = 0.75, first_steps: int = 2, settled: float = 1e-3, most_steps: int = 30) -> DataFrame:
+    """(g, start, m, f, log_det) of each group g of stats(g, salt, s1..): the estimate of least determinant that is found.
+
+    All starts take `first_steps`, the best goes on until no group's log determinant moves by more than `settled`.
+    """
+    now = _starts(stats)
+    for _ in range(first_steps):
+        now = _concentrated(stats, now, share)
+    best = F.min_by(F.struct("start", "m", "f", "log_det"), F.struct("log_det", "start")).alias("x")
+    now = written(now.groupBy("g").agg(best).select("g", "x.*"), "scatter")
+    for _ in range(most_steps):
+        new = _concentrated(stats, now, share)
         dropped(now)
         now = new
-    dropped(medians)
+        if (now.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0] or 0.0) <= settled:
+            break
     return now
 
 
-def assessed(docs: DataFrame, level: float = 1 - 1e-6, share: float = 0.75, steps: int = 4, least: int = 50) -> DataFrame:
+def assessed(docs: DataFrame, level: float = 1 - 1e-6, share: float = 0.75, least: int = 50) -> DataFrame:
     """(doc_id, counts, base_failed, distance, kept) of every row of docs(doc_id, text, lang, source)."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     counted = with_counts(rows).drop("text").withColumn("base_failed", base_failed())
-    stats = written(counted.withColumns(_statistics()), "counts")
+    stats = written(counted.withColumns(_statistics()).withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")), "counts")
     passed = written(grouped(stats.where(~F.col("base_failed")), least), "statistics")
-    now = estimates(passed.where("g is not null").select("g", *NAMES), share, steps)
+    now = estimates(passed.where("g is not null").select("g", "salt", *NAMES), share)
     far = chi2_quantile(level, len(NAMES))
-    told = passed.join(now, "g", "left").withColumn("distance", _distance())
+    told = _salted(passed, now.select("g", "m", "f"), "left").withColumn("distance", _distance(F.col("m"), F.col("f")))
     told = told.withColumn("kept", F.coalesce(F.col("distance") <= far, F.lit(True)))
     failed = stats.where("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
