@@ -10,7 +10,8 @@ Benchmark items are held in blocks of at most `block_windows` windows, which is
 several blocks the documents pass through them one after another, so a benchmark of any size gives whole results.
 
 Nulls and texts without words have no words: not hit. Items that are null or have no words match nothing. Null ids
-are kept; a null item_id counts as an item but is left out of the item list. Repeated rows each get a row. Only doc_id
+are kept; a null item_id counts as an item but is left out of the item list. Repeated documents each get a row, repeated
+rows of an item_id are one item. Only doc_id
 and text (item_id and text) are read.
 """
 
@@ -44,7 +45,7 @@ class Index:
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
         self.shingle = shingle
         holders: dict[tuple[bytes, ...], set[int]] = {}
-        self.names = [name for name, _ in items]
+        self.names = [name for name, _ in items]  # rows of one item_id are one item
         for k, (_, w) in enumerate(items):
             for i in range(max(1, len(w) - window + 1)):
                 holders.setdefault(tuple(w[i : i + window]), set()).add(k)
@@ -100,19 +101,21 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items in blocks of at most `block_windows` windows; a longer item is cut into parts that overlap by a window less one word."""
     block, size = [], 0
     for name, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         w = words(text)
-        if w:
-            if block and size + len(w) > block_windows:
+        for at in range(0, max(1, len(w) - window + 1) if w else 0, block_windows):
+            part = w[at : at + block_windows + window - 1]
+            if block and size + len(part) > block_windows:
                 yield block
                 block, size = [], 0
-            block.append((name, w))
-            size += len(w)
+            block.append((name, part))
+            size += len(part)
     yield block
 
 
-_STATE = "doc_id {kind}, text string, carried {carried}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, n_items long"
+_STATE = "doc_id {kind}, text string, carried {carried}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, n_unnamed long"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, block_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -139,6 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
             counts = {r.id: r.n for r in rows.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator()}
         else:
             counts = {}
+        shared.destroy()
         index.prefixed(counts)
         ready = spark.sparkContext.broadcast(index)
         if number:
@@ -150,23 +154,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
                 each = [ready.value.found(w) for w in own]
                 names = ready.value.names
                 spans = [_merged(s) for s, _ in each]
-                items = [[names[k] for k in ks if names[k] is not None] for _, ks in each]
-                n_items = [len(ks) for _, ks in each]
+                items = [list(dict.fromkeys(names[k] for k in ks if names[k] is not None)) for _, ks in each]
+                n_unnamed = [sum(names[k] is None for k in ks) for _, ks in each]
                 if not first:
                     spans = [_merged(s + [(x["a"], x["b"]) for x in o]) for s, o in zip(spans, b.column(4).to_pylist())]
-                    items = [o + i for i, o in zip(items, b.column(5).to_pylist())]
-                    n_items = [o + i for i, o in zip(n_items, b.column(6).to_pylist())]
+                    items = [list(dict.fromkeys(o + i)) for i, o in zip(items, b.column(5).to_pylist())]
+                    n_unnamed = [o + i for i, o in zip(n_unnamed, b.column(6).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0), b.column(1), b.column(2), pa.array([len(w) for w in own], pa.int64()),
                         pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                        pa.array(items, pa.list_(pa.string())), pa.array(n_items, pa.int64()),
+                        pa.array(items, pa.list_(pa.string())), pa.array(n_unnamed, pa.int64()),
                     ],
-                    ["doc_id", "text", "carried", "n_words", "spans", "items", "n_items"],
+                    ["doc_id", "text", "carried", "n_words", "spans", "items", "n_unnamed"],
                 )
 
         state = (state if number else rows).mapInArrow(match, _STATE.format(kind=kind, carried=rows.schema["carried"].dataType.simpleString()))
-    return state
+    return state.withColumn("n_items", F.size("items") + F.col("n_unnamed")).drop("n_unnamed")
 
 
 def judged(found: DataFrame) -> DataFrame:

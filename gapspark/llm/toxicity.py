@@ -1,12 +1,14 @@
 """Toxicity by a classifier chain: each category's linear model also sees the probabilities of the categories before it.
 
-Features are the distinct lower-case words of a whole text and their first letters (4, 5 and 6), and in steps the shares of
+Features are the distinct lower-case words of a whole text and their first 3 to 8 letters, and in steps the shares of
 capital words and exclamation marks, all hashed, each weighed by its log-odds for the category (so words
-that say nothing weigh nothing), and the log-odds of the earlier categories' probabilities. The models are logistic, with L2
+that say nothing weigh nothing), and the earlier categories' probabilities. The models are logistic, with L2
 regularisation. While training, the earlier probabilities of a document come from models that have not seen it (out-of-fold
-over `folds` folds by hash of doc_id); in prediction they come from the final models, category by category.
+over `folds` folds by hash of doc_id); in prediction they come from the final models, category by category. A category is
+predicted from the probability on that has the best F1 out-of-fold.
 
-Training reads at most `sample` labelled documents, those of least hash of doc_id; rows with a null label are left out.
+Training reads at most `sample` labelled documents, those of least hash of doc_id; rows with a null label are left out. Of
+several rows of labels for one doc_id the largest labels count, of several texts one.
 Where a category has one class only, its probability is that class's share. Null and empty texts have no words and are
 predicted from the intercept; null ids are predicted but not trained on; repeated rows each get a row. Only doc_id, text and
 the label columns are read. An empty table gives an empty result; without labels all probabilities are 0.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from gapspark.llm.common import table
 
 _WORD = re.compile(r"[^\W\d_]+")
+PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
 class Hasher:
@@ -49,7 +52,7 @@ class Hasher:
         for w in set(map(str.lower, words)):
             at = known.get(w)
             if at is None:
-                at = known[w] = [self._place(w), *[self._place(f"{w[:n]}*") for n in (4, 5, 6) if len(w) > n]]
+                at = known[w] = [self._place(w), *[self._place(f"{w[:n]}*") for n in PREFIXES if len(w) > n]]
             out.update(at)
         if words:  # how much is shouted, in steps
             loud = sum(w.isupper() for w in words if len(w) > 1) / len(words)
@@ -95,7 +98,7 @@ def _minimised(f, x: np.ndarray, steps: int = 80, memory: int = 8) -> np.ndarray
 
 
 def _fitted(rows: list[np.ndarray], earlier: np.ndarray, label: np.ndarray, size: int, l2: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(weights of words, weights of the earlier categories' log-odds, intercept)."""
+    """(weights of words, weights of the earlier categories' probabilities, intercept)."""
     n, share = len(rows), float(label.mean()) if len(rows) else 0.0
     none = np.zeros(size, np.float32), np.zeros(earlier.shape[1])
     if share in (0.0, 1.0):
@@ -127,8 +130,17 @@ def _fitted(rows: list[np.ndarray], earlier: np.ndarray, label: np.ndarray, size
     return words, x[len(used) : len(used) + k], float(x[-1])
 
 
-def _log_odds(words: np.ndarray, others: np.ndarray, b: float, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
-    return np.clip(np.array([words[r].sum() for r in rows], float) + (earlier @ others if len(others) else 0.0) + b, -8, 8)
+def _probability(model: tuple[np.ndarray, np.ndarray, float], rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
+    words, others, b = model
+    z = np.array([words[r].sum() for r in rows], float) + (earlier @ others if len(others) else 0.0) + b
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _threshold(p: np.ndarray, label: np.ndarray) -> float:
+    """The probability, a half or less, from which on predictions have the best F1; of equals the highest."""
+    grid = np.arange(50, 9, -1) / 100
+    f1 = [2 * (label * (p >= t)).sum() / max(1.0, label.sum() + (p >= t).sum()) for t in grid]
+    return float(grid[int(np.argmax(f1))])
 
 
 @dataclass
@@ -136,34 +148,35 @@ class Chain:
     categories: list[str]
     bits: int
     models: list[tuple[np.ndarray, np.ndarray, float]]
+    thresholds: list[float]
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
         """One row for each document, one column for each category, in the chain's order."""
-        z = np.zeros((len(rows), 0))
-        for words, others, b in self.models:
-            z = np.column_stack([z, _log_odds(words, others, b, rows, z)])
-        return 1 / (1 + np.exp(-z))
+        p = np.zeros((len(rows), 0))
+        for model in self.models:
+            p = np.column_stack([p, _probability(model, rows, p)])
+        return p
 
     @classmethod
     def fitted(cls, categories: list[str], rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, bits: int, l2: float) -> Chain:
-        earlier, models = np.zeros((len(rows), 0)), []
+        earlier, models, thresholds = np.zeros((len(rows), 0)), [], []
         for k in range(len(categories)):
             models.append(_fitted(rows, earlier, labels[:, k], 1 << bits, l2))
-            if k + 1 == len(categories):
-                break
-            z = np.zeros(len(rows))
+            p = np.zeros(len(rows))
             for f in np.unique(fold):
                 mine, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
                 m = _fitted([rows[i] for i in rest], earlier[rest], labels[rest, k], 1 << bits, l2)
-                z[mine] = _log_odds(*m, [rows[i] for i in mine], earlier[mine])
-            earlier = np.column_stack([earlier, z])
-        return cls(categories, bits, models)
+                p[mine] = _probability(m, [rows[i] for i in mine], earlier[mine])
+            thresholds.append(_threshold(p, labels[:, k]))
+            earlier = np.column_stack([earlier, p])
+        return cls(categories, bits, models, thresholds)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = 12_000, folds: int = 5, bits: int = 18, l2: float = 1.0) -> Chain:
     """A chain from docs(doc_id, text) and labels(doc_id, a 0/1 column for each category), in the order of `categories`."""
     spark = docs.sparkSession
-    told = labels.select("doc_id", F.array(*[F.col(c).cast("double") for c in categories]).alias("y")).where("doc_id is not null").where(~F.exists("y", lambda x: x.isNull())).dropDuplicates(["doc_id"])
+    told = labels.select("doc_id", F.array(*[F.col(c).cast("double") for c in categories]).alias("y")).where("doc_id is not null").where(~F.exists("y", lambda x: x.isNull()))
+    told = told.groupBy("doc_id").agg(*[F.max(F.get("y", F.lit(k))).alias(f"y{k}") for k in range(len(categories))]).select("doc_id", F.array(*[f"y{k}" for k in range(len(categories))]).alias("y"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("i"), "y")
     # at most `sample` rows of an id and a few numbers are broadcast, and as many feature rows meet in the training task
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("i"))
@@ -178,17 +191,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "x"])
         chain = Chain.fitted(categories, [np.frombuffer(x, np.int32) for x in pdf["x"]], np.array(pdf["y"].tolist()), pdf["fold"].to_numpy(), bits, l2)
-        return pd.DataFrame([(k, np.flatnonzero(w).astype(np.int32).tobytes(), w[np.flatnonzero(w)].tobytes(), list(u), b) for k, (w, u, b) in enumerate(chain.models)], columns=["k", "at", "w", "u", "b"])
+        return pd.DataFrame([(k, np.flatnonzero(w).astype(np.int32).tobytes(), w[np.flatnonzero(w)].tobytes(), list(u), b, chain.thresholds[k]) for k, (w, u, b) in enumerate(chain.models)], columns=["k", "at", "w", "u", "b", "t"])
 
-    found = rows.mapInArrow(featured, "x binary, y array<double>, fold int, o long").groupBy().applyInPandas(fit, "k int, at binary, w binary, u array<double>, b double").collect()  # a row for each category
-    models = []
+    # one row of each doc_id, whatever repeats: at most `sample` rows are trained on in one task
+    told = rows.mapInArrow(featured, "x binary, y array<double>, fold int, o long").groupBy("o").agg(F.min(F.struct("x", "y", "fold")).alias("r")).select("o", "r.*")
+    found = told.groupBy().applyInPandas(fit, "k int, at binary, w binary, u array<double>, b double, t double").collect()  # a row for each category
+    models, thresholds = [], []
     for r in sorted(found, key=lambda r: r.k):
         words = np.zeros(1 << bits, np.float32)
         words[np.frombuffer(r.at, np.int32)] = np.frombuffer(r.w, np.float32)
         models.append((words, np.array(r.u, float), r.b))
+        thresholds.append(r.t)
     if not models:
+        thresholds = [0.5] * len(categories)
         models = [(np.zeros(1 << bits, np.float32), np.zeros(k), -50.0) for k in range(len(categories))]
-    return Chain(categories, bits, models)
+    return Chain(categories, bits, models, thresholds)
 
 
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,6 +225,7 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    out = predict(docs, train(docs, labels, ["low_quality", "toxic"]))
+    chain = train(docs, labels, ["low_quality", "toxic"])
+    out = predict(docs, chain)
     p = F.col("probabilities")
-    return out.select("doc_id", F.round(p[0], 6).alias("p_low_quality"), F.round(p[1], 6).alias("p_toxic"), (p[0] >= 0.5).alias("low_quality"), (p[1] >= 0.5).alias("toxic"))
+    return out.select("doc_id", F.round(p[0], 6).alias("p_low_quality"), F.round(p[1], 6).alias("p_toxic"), *[(p[k] >= chain.thresholds[k]).alias(c) for k, c in enumerate(chain.categories)])

@@ -59,3 +59,15 @@ def test_empty_tables(spark, docs, nothing, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert D.contamination(nothing, bench).collect() == []
     assert {r.n_hit for r in D.judged(D.contamination(docs, bench.limit(0))).collect()} == {0}
+
+
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_repeated_items_are_one_and_long_items_are_cut(spark, block):
+    w = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(w)), (1, " ".join(w)), (1, " ".join(w[:20])), (2, " ".join(w[5:25]))]
+    texts = [(0, " ".join(w)), (1, "x " + " ".join(w[3:16]) + " y"), (2, " ".join(w[:12]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = D.judged(D.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_windows=block)).collect()
+    expected = brute(texts, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"]), r.n_items) for r in rows} == expected
+    assert expected[0][2:] == (["1", "2"], 2) and expected[2][3] == 0

@@ -79,3 +79,25 @@ def test_odd_documents_and_labels(spark, docs, nothing, labelled):
     assert all(max(r.probabilities) < 0.001 for r in X.predict(train_docs, unlearned).collect())
     constant = X.train(train_docs, labels.withColumn("rude", F.lit(0)), ["rude"])
     assert all(r.probabilities[0] < 0.01 for r in X.predict(train_docs, constant).collect())
+
+
+def test_threshold_has_the_best_f1():
+    p = np.array([0.05, 0.2, 0.25, 0.3, 0.6, 0.7])
+    assert X._threshold(p, np.array([0.0, 0, 1, 1, 1, 1])) == 0.25 and X._threshold(p, np.array([0.0, 0, 0, 0, 1, 1])) == 0.5
+
+
+def test_repeated_and_conflicting_rows_are_learned_once(spark, labelled):
+    docs, labels = labelled
+    more = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 3"))
+    a = X.train(docs, labels, ["rude"])
+    b = X.train(more, labels.unionByName(labels.where("doc_id = 4").withColumn("rude", F.lit(0))), ["rude"])
+    assert np.allclose(a.models[0][0], b.models[0][0]) and a.thresholds == b.thresholds
+
+
+def test_query_finds_held_out_toxic_documents(spark, tmp_path, labelled):
+    docs, labels = labelled
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.where("doc_id % 5 <> 1").select("doc_id", (1 - F.col("rude")).alias("quality"), F.col("rude").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = X.op5_toxicity(spark, str(tmp_path)).collect()
+    held = [(r.toxic, r.doc_id % 4 == 0) for r in rows if r.doc_id % 5 == 1]
+    assert len(rows) == 600 and sum(a and b for a, b in held) >= 0.9 * sum(b for _, b in held) and not any(a and not b for a, b in held)
