@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--citation-year", type=int)
     r.add_argument("--drop-uncited", action="store_true")
     r.add_argument("--seed", type=int, default=42)
+    r.add_argument("--figures", action="store_true", help="save the data of the figures too")
     e = sub.add_parser("external", help="read a ranking made elsewhere")
     e.add_argument("ranking")
     e.add_argument("--corpus")
@@ -85,6 +86,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         corpus = load_csv(spark, a.corpus) if a.corpus else None
         result = load_external_ranking(spark, a.ranking, corpus, keyword_column=a.keyword_column, score_column=a.score_column, top_n=a.top_n, name=a.name)
     paths = result.save(a.outdir, result.mode.replace(":", "_"))
+    if getattr(a, "figures", False):
+        from gapspark.plans.figures import figure_data, save_figure_data
+
+        paths["figures"] = save_figure_data(figure_data(result), a.outdir)
     print(json.dumps(paths, indent=2))
     return 0
 

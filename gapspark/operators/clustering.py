@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapspark.config import ClusteringConfig
+from gapspark.functions.order import numbered
 from gapspark.functions.vectors import cosine_similarity, distance, mean_vectors
 
 
@@ -22,7 +23,7 @@ def rank_by_similarity(vectors: DataFrame, query: list[float]) -> DataFrame:
     q = F.array(*[F.lit(float(x)) for x in query])
     checked = F.when(F.size("vector") == len(query), F.col("vector")).otherwise(F.raise_error(F.lit("the query and the vectors differ in dimensions")).cast("array<double>"))
     out = vectors.withColumn("query_distance", distance(checked, q, "cosine"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy("query_distance", "row_id")).cast("long"))
+    return numbered(out, ["query_distance", "row_id"], "rank")
 
 
 def nearest(vectors: DataFrame, query: list[float], n: int) -> DataFrame:

@@ -12,9 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from gapspark.config import EncoderConfig
+from gapspark.functions.order import numbered
 from gapspark.functions.vectors import l2_normalize
+from gapspark.sources.tables import materialized
 
 
 def batched(items: Sequence, size: int) -> Iterator[Sequence]:
@@ -75,7 +78,7 @@ class TfidfSvdEncoder(Encoder):
     """Offline and repeatable: tf-idf, then a truncated SVD (U times the singular values).
 
     Transductive: texts that are to be compared must be encoded together. Up to `local_rows` texts the decomposition is
-    that of the texts' Gram matrix in one task; beyond, RowMatrix.computeSVD runs distributed over hashed terms.
+    that of the texts' Gram matrix in one task; beyond, RowMatrix.computeSVD finds the same one distributed over the same terms.
     """
 
     name = "tfidf-svd"
@@ -116,16 +119,20 @@ class TfidfSvdEncoder(Encoder):
         from pyspark.mllib.linalg import Vectors
         from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-        size = 1 << 18
-        hashed = features.groupBy("row_id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("i")).agg(F.sum("w").alias("w"))
-        rows = hashed.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("v"))
-        numbered = rows.withColumn("k", F.xxhash64("row_id"))
-        matrix = IndexedRowMatrix(numbered.select("k", "v").rdd.map(lambda r: IndexedRow(r.k, Vectors.sparse(size, [(x.i, x.w) for x in r.v]))))
-        svd = matrix.computeSVD(min(dims, n - 1), computeU=True)
+        terms = numbered(features.select("term").distinct(), ["term"], "i")
+        size = terms.count()
+        rows = features.join(terms, "term").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct((F.col("i") - 1).cast("int").alias("i"), "w"))).alias("v"))
+        keyed = materialized(numbered(rows.withColumn("_h", F.xxhash64("row_id")), ["_h", "row_id"], "k").select("row_id", "k", "v"), "rows")
+        matrix = IndexedRowMatrix(keyed.select("k", "v").rdd.map(lambda r: IndexedRow(r.k, Vectors.sparse(size, [(x.i, x.w) for x in r.v]))), numRows=n + 1, numCols=size)
+        svd = matrix.computeSVD(max(1, min(dims, min(n, max(1, size)) - 1)), computeU=True)
         s = svd.s.toArray().tolist()
-        u = svd.U.rows.map(lambda r: (r.index, [float(x * y) for x, y in zip(r.vector.toArray(), s)])).toDF("k long, vector array<double>")
+        u = materialized(svd.U.rows.map(lambda r: (r.index, [float(x * y) for x, y in zip(r.vector.toArray(), s)])).toDF("k long, vector array<double>"), "vectors")
+        # signs do not matter, but are kept fixed: the largest part of each component is positive
+        largest = u.select("k", F.posexplode("vector").alias("d", "x")).groupBy("d").agg(F.max_by("x", F.struct(F.abs("x"), -F.col("k"))).alias("x")).collect()
+        signs = F.array(*[F.lit(-1.0 if r.x < 0 else 1.0) for r in sorted(largest, key=lambda r: r.d)])
+        u = u.select("k", F.zip_with("vector", signs, lambda a, b: a * b).alias("vector"))
         zero = F.array(*[F.lit(0.0)] * len(s))
-        return texts.select("row_id", F.xxhash64("row_id").alias("k")).join(u, "k", "left").select("row_id", F.coalesce("vector", zero).alias("vector"))
+        return texts.select("row_id").join(keyed.select("row_id", "k").join(u, "k"), "row_id", "left").select("row_id", F.coalesce("vector", zero).alias("vector"))
 
 
 class PrecomputedEncoder(Encoder):
@@ -145,6 +152,36 @@ def missing_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.select("text").distinct().join(cache.select("text"), "text", "left_anti")
 
 
+class CachedEncoder(Encoder):
+    """Another encoder with a cache: a Parquet folder (text, vector) that is read first and gets what it lacked.
+
+    Only for encoders whose vectors do not depend on the other texts. A rerun over the same texts encodes nothing; if two
+    runs add the same text, one of its vectors is taken.
+    """
+
+    name = "cached"
+
+    def __init__(self, inner: Encoder, folder: str):
+        super().__init__(inner.config)
+        self.inner, self.folder = inner, folder
+
+    def _stored(self, texts: DataFrame) -> DataFrame:
+        try:
+            return texts.sparkSession.read.parquet(self.folder).groupBy("text").agg(F.min("vector").alias("vector"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return texts.sparkSession.createDataFrame([], "text string, vector array<double>")
+
+    def _encode(self, texts: DataFrame) -> DataFrame:
+        new = missing_texts(texts, self._stored(texts)).withColumn("row_id", F.monotonically_increasing_id())
+        new = materialized(new, "missing")  # so that row_id is the same in both uses
+        if new.limit(1).count():
+            self.inner.encode(new).join(new, "row_id").select("text", "vector").write.mode("append").parquet(self.folder)
+        found = self._stored(texts).withColumnRenamed("text", "_t")
+        return texts.join(found, F.col("text") == F.col("_t")).select("row_id", "vector")
+
+
 #: A transport takes (url, headers, payload) and returns the decoded JSON reply; tests pass their own.
 Transport = Callable[[str, dict, dict], dict]
 

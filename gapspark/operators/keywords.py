@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapspark.config import GapConfig
+from gapspark.functions.order import running
 from gapspark.functions.text import is_methodological, normalize_keyword, token_count
 
 
@@ -21,9 +22,9 @@ def keyword_frequencies(bag: DataFrame, *by: str) -> DataFrame:
 
 
 def unique_keywords(bag: DataFrame) -> DataFrame:
-    """keyword and kw_ord, from 0 in order of first appearance. The order is over all keywords, so use it for reports."""
+    """keyword and kw_ord, from 0 in order of first appearance."""
     first = bag.groupBy("keyword").agg(F.min(F.struct("row_id", "pos")).alias("first"))
-    return first.select("keyword", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("kw_ord"))
+    return running(first, ["first"], "kw_ord").select("keyword", F.col("kw_ord").cast("long").alias("kw_ord"))
 
 
 def spellings(articles: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapspark.functions.text import normalize_keyword
 from gapspark.sources.tables import materialized
 
 FLOOR = 0.001
@@ -32,11 +33,12 @@ def vocabulary(articles: DataFrame, low: int = 1, high: int = 5, max_features: i
     return weighted.select("term", "n", (F.col("w") / norms).alias("w")).groupBy("term").agg((F.sum("w") / F.first("n")).alias("score"))
 
 
-def _substrings(c: str, low: int, high: int):
-    """Every distinct substring of a column with low to high characters."""
-    size = F.length(c)
-    each = F.flatten(F.transform(F.sequence(F.lit(low), F.least(size, F.lit(high))), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda a: F.substring(F.col(c), a, n))))
-    return F.when(size >= low, F.array_distinct(each)).otherwise(F.expr("array()").cast("array<string>"))
+def _substrings(rows: DataFrame, c: str, low: int, high: int, into: str) -> DataFrame:
+    """rows with `into`: every substring of a column with low to high characters, in place of the column."""
+    rest = [x for x in rows.columns if x != c]
+    starts = rows.where(F.length(c) >= low).select(*rest, c, F.explode(F.sequence(F.lit(1), F.length(c) - low + 1)).alias("_a"))
+    sized = starts.select(*rest, c, "_a", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.length(c) - F.col("_a") + 1))).alias("_n"))
+    return sized.select(*rest, F.substring(c, F.col("_a"), F.col("_n")).alias(into))
 
 
 def _lengths(rows: DataFrame, c: str) -> tuple[int, int]:
@@ -51,12 +53,13 @@ def matched_salience(keywords: DataFrame, terms: DataFrame) -> DataFrame:
     the vocabulary has a fixed cap on its terms. Half of a keyword's tokens is one token for keywords of two, which
     needs only the best term of each token; longer keywords count their shared tokens with each term that shares one.
     """
-    exact = keywords.select("keyword").join(terms.withColumnRenamed("term", "keyword"), "keyword", "left")
+    # what the stages below read again and again is kept as a table
+    exact = materialized(keywords.select("keyword").join(terms.withColumnRenamed("term", "keyword"), "keyword", "left"), "exact")
     rest = exact.where("score is null and keyword <> ''").select("keyword")
-    inside = rest.select("keyword", F.explode(_substrings("keyword", *_lengths(terms, "term"))).alias("term")).join(terms, "term").select("keyword", "score")
-    parts = terms.select("score", F.explode(_substrings("term", *_lengths(rest, "keyword"))).alias("keyword"))
+    inside = _substrings(rest.withColumn("k", F.col("keyword")), "k", *_lengths(terms, "term"), "term").join(terms, "term").select("keyword", "score")
+    parts = _substrings(terms, "term", *_lengths(rest, "keyword"), "keyword").groupBy("keyword").agg(F.max("score").alias("score"))
     around = rest.join(parts, "keyword").select("keyword", "score")
-    contained = inside.unionByName(around).groupBy("keyword").agg(F.max("score").alias("c"))
+    contained = materialized(inside.unionByName(around).groupBy("keyword").agg(F.max("score").alias("c")), "contained")
     left = rest.join(contained, "keyword", "left").where("c is null or c <= 0").select("keyword", F.array_distinct(F.split("keyword", " ")).alias("kt")).where(F.size("kt") > 1)
     tokens = terms.select("term", "score", F.explode(F.array_distinct(F.split("term", " "))).alias("token"))
     own = left.select("keyword", F.size("kt").alias("k"), F.explode("kt").alias("token"))
@@ -80,5 +83,32 @@ def salience(articles: DataFrame, low: int = 1, high: int = 5, max_features: int
     return matched_salience(keywords, terms)
 
 
+class TfidfSalience:
+    """The salience of a corpus's keywords as an object: single look-ups, the best score, statistics, the table."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    @classmethod
+    def of(cls, articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000) -> TfidfSalience:
+        return cls(materialized(salience(articles, low, high, max_features), "salience"))
+
+    def get(self, keyword: str, default: float | None = None) -> float:
+        """The keyword's salience; the floor (or the default) if it is no keyword of the corpus."""
+        found = self.table.where(F.col("keyword") == normalize_keyword(F.lit(keyword))).select("tfidf").first()
+        return found.tfidf if found else FLOOR if default is None else default
+
+    @property
+    def max_score(self) -> float:
+        best = self.table.agg(F.max("tfidf")).first()[0]
+        return 1.0 if best is None else best
+
+    def match_statistics(self) -> dict[str, int]:
+        return {r.match_type: r.n for r in match_statistics(self.table).collect()}
+
+    def to_frame(self) -> DataFrame:
+        return self.table.select("keyword", "tfidf", "match_type").orderBy(F.desc("tfidf"), "keyword")
+
+
 def match_statistics(salient: DataFrame) -> DataFrame:
     return salient.groupBy("match_type").agg(F.count(F.lit(1)).alias("n"))

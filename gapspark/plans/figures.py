@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapspark.operators import keywords as K
 from gapspark.operators.clustering import KSelection, centroid_similarity
 from gapspark.plans.results import PipelineResult
+from gapspark.sources.tables import save_csv
 from gapspark.validation.metrics import LABELS, label_rates, slug
 
 
@@ -58,21 +61,45 @@ def validation_bars(judgements: DataFrame) -> DataFrame:
     return rates.select("keyword_set", F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"rate_{slug(x)}").alias("rate")) for x in LABELS])).alias("x")).select("keyword_set", "x.label", "x.rate")
 
 
-def figure_data(result: PipelineResult, vectors: DataFrame | None = None, judgements: DataFrame | None = None) -> dict:
-    """Every figure that the result has data for; the others are named under `skipped` with the reason."""
-    out: dict = {"gap_summary": gap_summary(result.gaps)}
-    skipped: dict[str, str] = {}
+def figure_data(result: PipelineResult, vectors: DataFrame | None = None, judgements: DataFrame | None = None, article_vectors: DataFrame | None = None, include: Sequence[str] | None = None) -> dict:
+    """Every figure that the result has data for (or those in `include`); the others are named under `skipped` with the reason."""
+    selection = result.diagnostics.get("k_selection") or {}
     made = {
+        "gap_summary": (True, "", lambda: gap_summary(result.gaps)),
         "network": ("keywords_normalized" in result.articles.columns, "no keywords", lambda: network(K.keyword_bag(result.articles))),
         "centroids": (result.centroids is not None, "no clusters", lambda: centroid_similarity(result.centroids)),
         "years": ({"year", "cluster"} <= set(result.articles.columns), "no clustered articles with years", lambda: year_distribution(result.articles)),
         "keyword_map": (vectors is not None, "no keyword vectors", lambda: keyword_map(result.keywords, vectors, result.gaps)),
+        "article_map": (article_vectors is not None and "cluster" in result.articles.columns, "no article vectors or clusters", lambda: article_map(result.articles, article_vectors)),
+        "k_selection": (len(selection.get("k_range", [])) > 1, "the number of clusters was given", lambda: selection_curve(result.gaps.sparkSession, KSelection(**selection))),
         "validation": (judgements is not None, "no judgements", lambda: validation_bars(judgements)),
     }
+    unknown = sorted(set(include or ()) - set(made))
+    if unknown:
+        raise ValueError(f"unknown figures {', '.join(unknown)}; known: {', '.join(made)}")
+    out: dict = {}
+    skipped: dict[str, str] = {}
     for name, (there, reason, make) in made.items():
+        if include and name not in include:
+            continue
         if there:
             out[name] = make()
         else:
             skipped[name] = reason
     out["skipped"] = skipped
     return out
+
+
+def save_figure_data(data: dict, folder: str, prefix: str = "fig") -> dict[str, str]:
+    """The tables as CSV, parts of a figure numbered; `skipped` is passed on as one line."""
+    out: dict[str, str] = {}
+    for name, tables in data.items():
+        if name == "skipped":
+            if tables:
+                out["skipped"] = "; ".join(f"{k}: {v}" for k, v in tables.items())
+        elif isinstance(tables, tuple):
+            for i, t in enumerate(tables, 1):
+                out[f"{name}_{i}"] = save_csv(t, f"{folder.rstrip('/')}/{prefix}_{name}_{i}.csv")
+        else:
+            out[name] = save_csv(tables, f"{folder.rstrip('/')}/{prefix}_{name}.csv")
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapspark.config import RunConfig
+from gapspark.functions.text import token_count
 from gapspark.functions.vectors import distance, mean_vectors
 from gapspark.operators import clustering as C
 from gapspark.operators import detectors as D
@@ -152,7 +153,7 @@ def articles_first(corpus: Corpus, config: RunConfig | None = None, labeler: Lab
     kept = D.deduplicate(found) if g.deduplicate_cross_cluster else found
     gaps = K.display(kept.join(F.broadcast(labels), "cluster", "left"), p.spelling)
     table = D.with_global_frequency(D.with_salience(space.drop("vector", "first"), p.salient), p.frequencies).join(p.core.select("keyword", F.lit(True).alias("is_core_domain")), "keyword", "left")
-    table = table.withColumn("is_core_domain", F.coalesce("is_core_domain", F.lit(False))).join(F.broadcast(labels), "cluster", "left").withColumnRenamed("cluster", "article_cluster")
+    table = table.withColumns({"is_core_domain": F.coalesce("is_core_domain", F.lit(False)), "n_tokens": token_count(F.col("keyword"))}).join(F.broadcast(labels), "cluster", "left").withColumnRenamed("cluster", "article_cluster")
     points = article_vectors.join(clusters.assignment.select("row_id", "cluster"), "row_id")
     q = quality(points, clusters.centroids.count(), config.clustering.local_rows)
     gaps = materialized(gaps, "gaps")
@@ -196,7 +197,7 @@ def keywords_first(corpus: Corpus, config: RunConfig | None = None, labeler: Lab
     gaps = materialized(K.display(found.join(F.broadcast(labels), "cluster", "left"), p.spelling), "gaps")
     ordered = gaps.orderBy(F.desc("score"), F.desc(F.coalesce("citations", F.lit(-1.0))), "keyword") if config.use_citations else gaps.orderBy(F.desc("score"), "keyword")
     table = D.with_salience(space.drop("first"), p.salient).withColumn("global_frequency", F.col("frequency")).join(p.core.select("keyword", F.lit(True).alias("is_core_domain")), "keyword", "left")
-    table = table.withColumn("is_core_domain", F.coalesce("is_core_domain", F.lit(False))).join(F.broadcast(labels), "cluster", "left")
+    table = table.withColumns({"is_core_domain": F.coalesce("is_core_domain", F.lit(False)), "n_tokens": token_count(F.col("keyword"))}).join(F.broadcast(labels), "cluster", "left")
     points = keyword_vectors.join(own.select("keyword", "cluster"), "keyword").withColumnRenamed("keyword", "row_id")
     q = quality(points, clusters.centroids.count(), config.clustering.local_rows)
     told = _diagnostics(p, clusters, q, config) | {"max_keyword_frequency": config.gaps.max_keyword_frequency}

@@ -1,22 +1,35 @@
 """Studies of rankings and arms: overlaps, baselines, resampling, ablations and sweeps.
 
-Random draws are hash orders of (seed, replicate, key): they repeat on any partitioning and need no driver loop.
+Random draws are orders by the MD5 of (seed, replicate, key): they repeat on any partitioning and need no driver loop.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import asdict
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapspark.functions import tails
+from gapspark.functions.order import numbered, running
 from gapspark.functions.scores import emerging
 from gapspark.config import EmergingWeights
 from gapspark.validation.metrics import krippendorff_alpha
 
 
+def hashed(seed: int, *parts) -> Column:
+    """The MD5 of the seed and the parts: an order that any engine with MD5 repeats."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
+def drawn(n: Column, seed: int, *parts) -> Column:
+    """A position from 0 to n - 1 by the first 52 bits of that hash."""
+    return F.pmod(F.conv(F.substring(hashed(seed, *parts), 1, 13), 16, 10).cast("long"), n)
+
+
 def ranked(gaps: DataFrame, *by: str) -> DataFrame:
     """by..., keyword, rank: distinct keywords by their best score (ties: by keyword)."""
     best = gaps.groupBy(*by, "keyword").agg(F.max("score").alias("score"))
@@ -37,13 +50,38 @@ def rank_biased_overlap(a: DataFrame, b: DataFrame, p: float = 0.9) -> DataFrame
     return s.select((F.col("xk") / F.col("k") * F.pow(F.lit(p), F.col("k")) + (1 - p) / p * F.col("s")).alias("rbo"))
 
 
-def kendall_tau(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: tau of the shared keywords (ranks without ties) and how many there are."""
-    both = a.select("keyword", F.col("rank").alias("ra")).join(b.select("keyword", F.col("rank").alias("rb")), "keyword")
-    other = both.select(F.col("ra").alias("sa"), F.col("rb").alias("sb"))
-    pairs = both.join(F.broadcast(other), F.col("ra") < F.col("sa"))  # of two candidate lists
+def kendall_tau(a: DataFrame, b: DataFrame, block: int = 20_000) -> DataFrame:
+    """One row: tau of the shared keywords (ranks without ties) and how many there are.
+
+    The shared keywords are cut into blocks by rank in a; every pair of blocks is one group, whose discordant pairs are
+    counted by sorting, so no list is held whole.
+    """
+    both = numbered(a.select("keyword", F.col("rank").alias("ra")).join(b.select("keyword", F.col("rank").alias("rb")), "keyword"), ["ra"], "place")
     n = both.agg(F.count(F.lit(1)).alias("n_shared"))
-    return pairs.agg(F.avg(F.signum(F.col("sb") - F.col("rb")).cast("double")).alias("tau")).join(F.broadcast(n))
+    at = F.floor((F.col("place") - 1) / F.lit(block)).cast("int")
+    last = F.floor((F.col("n_shared") - 1) / F.lit(block)).cast("int")
+    blocked = both.join(F.broadcast(n)).select("ra", "rb", at.alias("at"), F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    dealt = blocked.select("ra", "rb", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        """Concordant less discordant pairs of block i with block j (or, where they are one, within it)."""
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        group = group.sort_values("ra")
+        if i != j:
+            left, right = (np.sort(group.loc[group["at"] == k, "rb"].to_numpy()) for k in (i, j))
+            above = len(right) * len(left) - int(np.searchsorted(right, left).sum())
+            return pd.DataFrame({"s": [2 * above - len(left) * len(right)]})
+        rb, s, width = group["rb"].to_numpy(), 0, 1
+        while width < len(rb):  # merge sort from the bottom: pairs across the two halves of each run
+            for lo in range(0, len(rb), 2 * width):
+                left, right = np.sort(rb[lo : lo + width]), np.sort(rb[lo + width : lo + 2 * width])
+                s += len(left) * len(right) - 2 * int(np.searchsorted(right, left).sum())
+            width *= 2
+        return pd.DataFrame({"s": [s]})
+
+    found = dealt.groupBy("i", "j").applyInPandas(compare, "s long").agg(F.sum("s").alias("s"))
+    size = F.col("n_shared").cast("double")
+    return found.join(F.broadcast(n)).select(F.when(size > 1, F.col("s") / (size * (size - 1) / 2)).alias("tau"), "n_shared")
 
 
 def top_overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
@@ -83,7 +121,7 @@ def random_draw(pool: DataFrame, k: int, reps: int, seed: int = 42) -> DataFrame
     """rep, keyword: k keywords for each replicate, by hash order; the pool is judged keywords, the draws are spread by rep."""
     reps_of = pool.sparkSession.range(reps).withColumnRenamed("id", "rep")
     each = pool.select("keyword").distinct().join(F.broadcast(reps_of))  # pool x reps, as resampling is
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "keyword"), "keyword"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(hashed(seed, "rep", "keyword"), "keyword"))
     return each.withColumn("p", place).where(F.col("p") <= k).select("rep", "keyword")
 
 
@@ -92,19 +130,35 @@ def rarity_matched_draw(pool: DataFrame, selected: DataFrame, reps: int, seed: i
     quota = selected.groupBy("frequency").agg(F.count(F.lit(1)).alias("quota"))
     rest = pool.join(selected.select("keyword"), "keyword", "left_anti").join(quota, "frequency")
     each = rest.join(F.broadcast(pool.sparkSession.range(reps).withColumnRenamed("id", "rep")))
-    place = F.row_number().over(Window.partitionBy("rep", "frequency").orderBy(F.xxhash64(F.lit(seed), "rep", "keyword"), "keyword"))
+    place = F.row_number().over(Window.partitionBy("rep", "frequency").orderBy(hashed(seed, "rep", "keyword"), "keyword"))
     return each.withColumn("p", place).where(F.col("p") <= F.col("quota")).select("rep", "keyword", "frequency")
 
 
+def drawn_arms(draws: DataFrame, level: DataFrame) -> DataFrame:
+    """rep, n, gap_rate, novelty of draws(rep, keyword) judged by level(keyword, gap_share, novelty): the arms of a random control."""
+    return draws.join(level.select("keyword", "gap_share", "novelty"), "keyword").groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.avg("gap_share").alias("gap_rate"), F.avg("novelty").alias("novelty"))
+
+
+def against_draws(selected: DataFrame, arms: DataFrame, tail: float = 0.025) -> DataFrame:
+    """One row: the selected keywords' GAP rate and novelty beside the arms' mean and interval, and the share of arms that reach them."""
+    own = selected.agg(F.avg("gap_share").alias("gap_rate"), F.avg("novelty").alias("novelty"))
+    each = arms.select(*[F.col(c).alias(f"arm_{c}") for c in ("gap_rate", "novelty")]).join(F.broadcast(own))
+    return each.groupBy("gap_rate", "novelty").agg(*[x for c in ("gap_rate", "novelty") for x in (
+        F.avg(f"arm_{c}").alias(f"mean_{c}"), F.percentile(f"arm_{c}", F.lit(tail)).alias(f"low_{c}"), F.percentile(f"arm_{c}", F.lit(1 - tail)).alias(f"high_{c}"), F.avg((F.col(f"arm_{c}") >= F.col(c)).cast("double")).alias(f"reach_{c}"))])
+
+
 def bootstrap_mean_difference(values: DataFrame, reps: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: difference of means of values(is_left, x) with a percentile interval.
 
-    A value's weight in a replicate comes from a hash: draw j of the replicate takes the value at position hash mod n.
+    Draw j of a replicate takes the value at a position that follows from an MD5 hash.
     """
-    pos = values.select("is_left", F.col("x").cast("double").alias("x")).withColumn("i", F.row_number().over(Window.partitionBy("is_left").orderBy("x")) - 1)
-    sizes = pos.groupBy("is_left").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"))
+    values = values.select("is_left", F.col("x").cast("double").alias("x")).where("x is not null")
+    sizes = values.groupBy("is_left").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"))
+    pos = numbered(values, [F.desc("is_left"), "x"], "i")
+    first = pos.groupBy("is_left").agg(F.min("i").alias("first"))
+    pos = pos.join(F.broadcast(first), "is_left").select("is_left", "x", (F.col("i") - F.col("first")).alias("i"))
     draws = sizes.join(F.broadcast(values.sparkSession.range(reps).withColumnRenamed("id", "rep"))).select("is_left", "n", "rep", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("j"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "rep", "is_left", "j"), F.col("n")).cast("int"))
+    draws = draws.withColumn("i", drawn(F.col("n"), seed, "rep", F.col("is_left").cast("int"), "j"))
     means = draws.join(pos, ["is_left", "i"]).groupBy("rep").agg((F.avg(F.when(F.col("is_left"), F.col("x"))) - F.avg(F.when(~F.col("is_left"), F.col("x")))).alias("d"))
     point = sizes.agg((F.max(F.when(F.col("is_left"), F.col("m"))) - F.max(F.when(~F.col("is_left"), F.col("m")))).alias("difference"))
     tail = (1 - level) / 2
@@ -114,34 +168,38 @@ def bootstrap_mean_difference(values: DataFrame, reps: int = 2000, level: float
 def cluster_bootstrap(values: DataFrame, reps: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """As above for values(cluster, is_left, x), resampling whole clusters by their sums."""
     sums = values.groupBy("cluster").agg(*[f(F.when(F.col("is_left") == w, F.col("x"))).alias(f"{n}{k}") for n, f in (("s", F.sum), ("n", F.count)) for k, w in (("l", True), ("r", False))])
-    sums = sums.withColumn("i", F.row_number().over(Window.orderBy("cluster")) - 1)
+    sums = running(sums, ["cluster"], "i")
     size = sums.agg(F.count(F.lit(1)).alias("k"))
     draws = values.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("j"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "rep", "j"), F.col("k")).cast("int"))
-    d = draws.join(F.broadcast(sums), "i").groupBy("rep").agg((F.sum("sl") / F.sum("nl") - F.sum("sr") / F.sum("nr")).alias("d"))
+    draws = draws.withColumn("i", drawn(F.col("k"), seed, "rep", "j"))
+    d = draws.join(sums, "i").groupBy("rep").agg((F.sum("sl") / F.sum("nl") - F.sum("sr") / F.sum("nr")).alias("d"))
     tail = (1 - level) / 2
     return d.agg(F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(1 - tail)).alias("high"))
 
 
-def bootstrap_alpha(judgements: DataFrame, reps: int = 50, level: float = 0.95, seed: int = 42) -> tuple[float, float]:
-    """A percentile interval of the ordinal alpha over resampled keywords."""
-    keys = judgements.select("keyword").distinct().withColumn("i", F.row_number().over(Window.orderBy("keyword")) - 1)
-    n = keys.count()
-    out = []
-    for rep in range(reps):  # a statistic each, from a handful of numbers
-        drawn = judgements.sparkSession.range(n).select(F.col("id").alias("j"), F.pmod(F.xxhash64(F.lit(seed), F.lit(rep), "id"), F.lit(n)).cast("int").alias("i")).join(F.broadcast(keys), "i")
-        sample = drawn.join(judgements, "keyword").withColumn("keyword", F.concat_ws("#", "keyword", "j"))
-        alpha = krippendorff_alpha(sample).first()[0]
-        out += [] if alpha is None else [alpha]
-    out.sort()
-    at = lambda q: out[min(len(out) - 1, max(0, math.floor(q * (len(out) - 1))))]
-    return at((1 - level) / 2), at(1 - (1 - level) / 2)
+def bootstrap_alpha(judgements: DataFrame, reps: int = 400, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """One row (low, high, n_defined): a percentile interval of the ordinal alpha over resampled keywords.
+
+    The replicate is a key of one plan; a keyword drawn twice counts as two units.
+    """
+    keys = running(judgements.select("keyword").distinct(), ["keyword"], "i")
+    size = keys.agg(F.count(F.lit(1)).alias("k"))
+    draws = judgements.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("j"))
+    draws = draws.select("rep", "j", drawn(F.col("k"), seed, "rep", "j").alias("i")).join(keys, "i")
+    sample = draws.join(judgements, "keyword").withColumn("keyword", F.concat_ws("#", "keyword", "j"))
+    alphas = krippendorff_alpha(sample, "rep").where("alpha is not null")
+    tail = (1 - level) / 2
+    return alphas.agg(F.percentile("alpha", F.lit(tail)).alias("low"), F.percentile("alpha", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("n_defined"))
+
+
+def without(component: str, weights: EmergingWeights = EmergingWeights()) -> EmergingWeights:
+    """The weights without one component, the others scaled to a sum of 1."""
+    kept = {k: 0.0 if k == component else v for k, v in asdict(weights).items()}
+    return EmergingWeights(**{k: v / sum(kept.values()) for k, v in kept.items()})
 
 
-WEIGHT_VARIANTS = {
-    "default": EmergingWeights(), "equal": EmergingWeights(0.25, 0.25, 0.25, 0.25), "no_distance": EmergingWeights(0.0, 0.2, 0.4, 0.4), "no_centrality": EmergingWeights(0.3, 0.0, 0.35, 0.35),
-    "no_tfidf": EmergingWeights(0.36, 0.21, 0.0, 0.43), "no_rarity": EmergingWeights(0.36, 0.21, 0.43, 0.0),
-}
+COMPONENTS = tuple(asdict(EmergingWeights()))
+WEIGHT_VARIANTS = {"default": EmergingWeights(), "equal": EmergingWeights(0.25, 0.25, 0.25, 0.25)} | {f"no_{c}": without(c) for c in COMPONENTS}
 
 
 def ablated(candidates: DataFrame, variants: dict[str, EmergingWeights] = WEIGHT_VARIANTS) -> DataFrame:
@@ -162,12 +220,31 @@ def ablated(candidates: DataFrame, variants: dict[str, EmergingWeights] = WEIGHT
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("variant", "cluster").orderBy(F.desc("score"), "keyword")))
 
 
-def ablation_report(ranks: DataFrame, reference: str = "default", k: int = 5) -> DataFrame:
-    """variant, top_overlap (mean over clusters of shared first k, as a share), same_first (share of clusters)."""
-    ref = ranks.where(F.col("variant") == reference).select("cluster", "keyword", F.col("rank").alias("ref"))
-    both = ranks.where(F.col("variant") != reference).join(ref, ["cluster", "keyword"])
-    per = both.groupBy("variant", "cluster").agg((F.count_if((F.col("rank") <= k) & (F.col("ref") <= k)) / F.least(F.lit(k), F.count(F.lit(1)))).alias("o"), F.bool_or((F.col("rank") == 1) & (F.col("ref") == 1)).alias("s"))
-    return per.groupBy("variant").agg(F.avg("o").alias("top_overlap"), F.avg(F.col("s").cast("double")).alias("same_first"))
+def ablation_report(ranks: DataFrame, reference: str = "default", k: int = 5, p: float = 0.9, by: str = "cluster") -> DataFrame:
+    """by, variant, n_candidates, kendall_tau, rbo, top_overlap (of the first k, as a share of k), same_first, against the reference.
+
+    A variant ranks the same candidates, so ranks are compared where they are: an overlap at depth d is a candidate whose two
+    ranks are d or less. Tau needs three candidates. The RBO is the sum over the depths of the list, not extrapolated.
+    """
+    ref = ranks.where(F.col("variant") == reference).select(by, "keyword", F.col("rank").alias("ref"))
+    both = ranks.where(F.col("variant") != reference).join(ref, [by, "keyword"])
+    group = [by, "variant"]
+    facts = both.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_candidates"), (F.count_if((F.col("rank") <= k) & (F.col("ref") <= k)) / k).alias("top_overlap"), F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("ref") == 1)), F.lit(False)).alias("same_first"))
+    # the candidates of one list are those of a cluster: its pairs are compared within it
+    other = both.select(*group, F.col("ref").alias("ref2"), F.col("rank").alias("rank2"))
+    tau = both.join(other, group).where("ref < ref2").groupBy(*group).agg(F.avg(F.signum(F.col("rank2") - F.col("rank")).cast("double")).alias("tau"))
+    met = both.groupBy(*group, F.greatest("rank", "ref").alias("depth")).agg(F.count(F.lit(1)).alias("new"))
+    depths = facts.select(*group, F.explode(F.sequence(F.lit(1), F.col("n_candidates").cast("int"))).alias("depth"))
+    running_overlap = F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy(*group).orderBy("depth"))
+    rbo = depths.join(met, [*group, "depth"], "left").withColumn("x", running_overlap).groupBy(*group).agg(((1 - p) * F.sum(F.col("x") / F.col("depth") * F.pow(F.lit(p), F.col("depth") - 1))).alias("rbo"))
+    out = facts.join(tau, group, "left").join(rbo, group)
+    return out.select(*group, "n_candidates", F.when(F.col("n_candidates") >= 3, F.col("tau")).alias("kendall_tau"), "rbo", "top_overlap", "same_first")
+
+
+def ablation_aggregate(report: DataFrame) -> DataFrame:
+    """variant with the least and greatest tau, RBO and overlap of the first ones over all lists."""
+    return report.groupBy("variant").agg(*[f(c).alias(f"{c}_{n}") for c in ("kendall_tau", "rbo", "top_overlap") for n, f in (("min", F.min), ("max", F.max))])
 
 
 def ceiling_sweep(candidates: DataFrame, ceilings: list[int], reference: int = 1) -> DataFrame:

@@ -49,7 +49,7 @@ def _freq(arts: DataFrame) -> DataFrame:
 
 
 def _salient(arts: DataFrame) -> DataFrame:
-    return materialized(TF.salience(arts, 2, 2).withColumn("tfidf", F.round("tfidf", 9)), "salience")
+    return materialized(TF.salience(arts).withColumn("tfidf", F.round("tfidf", 9)), "salience")
 
 
 # Column functions
@@ -220,16 +220,21 @@ m as (select k.keyword, k.keyword = v.term as e, contains(k.keyword, v.term) or
 sal as (select keyword, coalesce(max(score) filter (e), max(score) filter (c), max(score) filter (o), 0.001e0) as tfidf,
     case when bool_or(e) then 'exact' when bool_or(c) then 'contains' when bool_or(o) then 'overlap' else 'fallback' end as match_type from m group by keyword)
 """
-#: The same for all keywords: only those without an exact term meet the whole vocabulary, and overlaps go by token.
+#: The same for all keywords: those without an exact term meet the vocabulary by substrings (either way), and by tokens.
 _PAIR_SAL = """
 ex as (select f.keyword, v.score from freq f left join voc v on v.term = f.keyword),
-con as (select e.keyword, max(v.score) as c from ex e join voc v on contains(e.keyword, v.term) or contains(v.term, e.keyword) where e.score is null group by 1),
+rest as (select keyword from ex where score is null),
+tl as (select min(length(term)) as lo, max(length(term)) as hi from voc),
+kl as (select min(length(keyword)) as lo, max(length(keyword)) as hi from rest),
+inside as (select keyword, substr(keyword, a, n) as s from (select keyword, a, unnest(range(lo, least(hi, length(keyword) - a + 1) + 1)) as n from (select keyword, unnest(range(1, length(keyword) + 1)) as a from rest), tl)),
+around as (select substr(term, a, n) as s, max(score) as score from (select term, score, a, unnest(range(lo, least(hi, length(term) - a + 1) + 1)) as n from (select term, score, unnest(range(1, length(term) + 1)) as a from voc), kl) group by 1),
+con as (select keyword, max(c) as c from (select keyword, score as c from inside join voc on s = term union all select keyword, score from rest join around on s = keyword) group by 1),
 tok as (select tok, max(score) as s from (select score, unnest(string_split(term, ' ')) as tok from voc) group by tok),
-ov as (select keyword, max(s) as o from (select keyword, unnest(string_split(keyword, ' ')) as tok from ex where score is null) join tok using (tok) group by 1),
+ov as (select keyword, max(s) as o from (select keyword, unnest(string_split(keyword, ' ')) as tok from rest) join tok using (tok) group by 1),
 sal as (select ex.keyword, round(coalesce(score, c, o, 0.001e0), 9) as tfidf, case when score is not null then 'exact' when c is not null then 'contains' when o is not null then 'overlap' else 'fallback' end as match_type
   from ex left join con using (keyword) left join ov using (keyword))
 """
-_PAIRS = f"{V.ARTICLES}, {_TERMS.format(low=2, high=2)}, {_PAIR_SAL}"
+_PAIRS = f"{V.ARTICLES}, {_TERMS.format(low=1, high=5)}, {_PAIR_SAL}"
 
 
 @query("tfidf_vocabulary", f"with {V.ARTICLES}, {_TERMS.format(low=1, high=5)} select count(*) as n, round(sum(score), 6) as total, round(max(score), 6) as best from voc")
@@ -239,21 +244,25 @@ def tfidf_vocabulary(spark, sf):
 
 @query("tfidf_salience", f"with {_PAIRS} select keyword, round(tfidf, 6) as tfidf, match_type from sal")
 def tfidf_salience(spark, sf):
-    return TF.salience(_art(spark, sf, True), 2, 2).select("keyword", r6(F.round("tfidf", 9), "tfidf"), "match_type")
+    return TF.salience(_art(spark, sf, True)).select("keyword", r6(F.round("tfidf", 9), "tfidf"), "match_type")
 
 
-_PROBES = ("brand-1 small", "brand-1 unheard", "p1", "heard of nothing", "unknown", "small brand-1")
+_PROBES = "probes as (select distinct replace(lower(p_brand), '#', '-') || ' ' || lower(p_name) as keyword from part union select 'p' || p_partkey from part union select lower(p_type) || ' s' || (p_partkey % 50) from part union select 'unheard ' || p_size from part)"
 
 
-@query("tfidf_backoff", f"with {V.ARTICLES}, {_TERMS.format(low=1, high=2)}, probes as (select unnest([{', '.join(repr(p) for p in _PROBES)}]) as keyword), {_MATCH.format(keys='probes')} select keyword, round(tfidf, 6) as tfidf, match_type from sal")
+@query("tfidf_backoff", f"with {V.ARTICLES}, {_TERMS.format(low=1, high=2)}, {_PROBES}, {_MATCH.format(keys='probes')} select keyword, round(tfidf, 6) as tfidf, match_type from sal")
 def tfidf_backoff(spark, sf):
-    probes = spark.createDataFrame([(p,) for p in _PROBES], "keyword string")
-    return TF.matched_salience(probes, TF.vocabulary(_art(spark, sf), 1, 2)).select("keyword", r6("tfidf", "tfidf"), "match_type")
+    p = V.table(spark, sf, "part")
+    brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))
+    number = F.col("p_partkey").cast("string")
+    probes = [F.concat_ws(" ", brand, F.lower("p_name")), F.concat(F.lit("p"), number), F.concat(F.lower("p_type"), F.lit(" s"), (F.col("p_partkey") % 50).cast("string")), F.concat(F.lit("unheard "), F.col("p_size").cast("string"))]
+    asked = p.select(F.explode(F.array(*probes)).alias("keyword")).distinct()
+    return TF.matched_salience(asked, materialized(TF.vocabulary(_art(spark, sf), 1, 2), "vocabulary")).select("keyword", r6("tfidf", "tfidf"), "match_type")
 
 
 @query("tfidf_match_stats", f"with {_PAIRS} select match_type, count(*) as n from sal group by 1")
 def tfidf_match_stats(spark, sf):
-    return TF.match_statistics(TF.salience(_art(spark, sf, True), 2, 2))
+    return TF.match_statistics(TF.salience(_art(spark, sf, True)))
 
 
 # Vectors
@@ -492,18 +501,18 @@ def mode_a(spark, sf):
 
 # Consensus: a run is (seed, size) = (year, cluster) and finds each record's keywords of brand and type
 
-_RUNS = f"{V.ARTICLES}, runs as (select distinct art.year * 10 + bag.cluster as run_id, year as seed, bag.cluster as size, 'Emerging Concept' as gap_type, keyword, length(keyword) / 10.0e0 as score, global_frequency as frequency, 'label ' || bag.cluster as cluster_label from bag join art using (row_id) join freq using (keyword) where keyword like 'brand%'), grid as (select distinct run_id, size from runs)"
+_RUNS = f"{V.ARTICLES}, runs as (select distinct art.year * 10 + bag.cluster as run_id, year as seed, bag.cluster as size, 'Emerging Concept' as gap_type, keyword, length(keyword) / 10.0e0 as score, global_frequency as frequency, 'label ' || bag.cluster as cluster_label from bag join art using (row_id) join freq using (keyword)), grid as (select distinct run_id, size from runs)"
 
 
 def _runs(spark, sf):
     a = _art(spark, sf)
-    b = V.bag(a).join(a.select("row_id", "year"), "row_id").where("keyword like 'brand%'").join(_freq(a).select("keyword", "global_frequency"), "keyword")
+    b = V.bag(a).join(a.select("row_id", "year"), "row_id").join(_freq(a).select("keyword", "global_frequency"), "keyword")
     return b.select((F.col("year") * 10 + F.col("cluster")).alias("run_id"), F.col("year").alias("seed"), F.col("cluster").alias("size"), F.lit(D.EMERGING).alias("gap_type"), "keyword", (F.length("keyword") / 10.0).alias("score"), F.col("global_frequency").alias("frequency"), F.concat(F.lit("label "), F.col("cluster").cast("string")).alias("cluster_label")).distinct()
 
 
-@query("consensus_pool", f"with {_RUNS} select keyword, count(distinct run_id) as n_runs_found, count(distinct seed) as n_seeds_found, count(distinct size) as n_sizes_found, round(avg(score), 6) as mean_score, round(avg(frequency), 6) as mean_frequency, array_to_string(list_sort(list_distinct(list(cluster_label))), ' | ') as cluster_labels, round(count(distinct run_id) / 30.0e0, 6) as support from runs group by keyword having count(distinct run_id) / 30.0e0 >= 0.5")
+@query("consensus_pool", f"with {_RUNS} select keyword, count(distinct run_id) as n_runs_found, count(distinct seed) as n_seeds_found, count(distinct size) as n_sizes_found, round(avg(score), 6) as mean_score, round(avg(frequency), 6) as mean_frequency, array_to_string(list_sort(list_distinct(list(cluster_label))), ' | ') as cluster_labels, round(count(distinct run_id) / 30.0e0, 6) as support from runs group by keyword having count(distinct run_id) / 30.0e0 >= 0.02")
 def consensus_pool(spark, sf):
-    return consensus.pooled(_runs(spark, sf), 30, 0.5).select("keyword", "n_runs_found", "n_seeds_found", "n_sizes_found", r6("mean_score", "mean_score"), r6("mean_frequency", "mean_frequency"), "cluster_labels", r6("support", "support"))
+    return consensus.pooled(_runs(spark, sf), 30, 0.02).select("keyword", "n_runs_found", "n_seeds_found", "n_sizes_found", r6("mean_score", "mean_score"), r6("mean_frequency", "mean_frequency"), "cluster_labels", r6("support", "support"))
 
 
 @query("consensus_stability", f"with {_RUNS}, n as (select run_id, size, count(distinct keyword) as n from runs group by 1, 2), p as (select a.run_id as l, b.run_id as r, a.size = b.size as same, a.n as na, b.n as nb from n a join n b on a.run_id < b.run_id), i as (select x.run_id as l, y.run_id as r, count(*) as i from (select distinct run_id, keyword from runs) x join (select distinct run_id, keyword from runs) y on x.keyword = y.keyword and x.run_id < y.run_id group by 1, 2), jj as (select same, coalesce(i, 0) / (na + nb - coalesce(i, 0)) as j from p left join i using (l, r)) select round(avg(j), 6) as mean_jaccard, round(min(j), 6) as min_jaccard, round(max(j), 6) as max_jaccard, round(avg(j) filter (same), 6) as mean_jaccard_same_size, round(avg(j) filter (not same), 6) as mean_jaccard_across_sizes, (select round(avg(n), 6) from n) as mean_candidates_per_run from jj")
@@ -559,10 +568,10 @@ def krippendorff_alpha(spark, sf):
     return M.krippendorff_alpha(_j(spark, sf)).select(r6("alpha", "alpha"), "n_values")
 
 
-@query("pairwise_agreement", f"with {V.JUDGEMENTS}, b as (select x.annotator as a, y.annotator as b, x.label as la, y.label as lb, x.novelty as na, y.novelty as nb from j x join j y on x.keyword = y.keyword and x.annotator < y.annotator), r as (select *, rank() over (partition by a, b order by na) + (count(*) over (partition by a, b, na) - 1) / 2.0e0 as ra, rank() over (partition by a, b order by nb) + (count(*) over (partition by a, b, nb) - 1) / 2.0e0 as rb from b) select a as annotator_a, b as annotator_b, count(*) as n_keywords, round(avg((la = lb)::int), 6) as label_agreement, round(corr(ra, rb), 6) as novelty_spearman from r group by 1, 2")
+@query("pairwise_agreement", f"with {V.JUDGEMENTS}, b as (select x.annotator as a, y.annotator as b, x.label as la, y.label as lb, x.novelty as na, y.novelty as nb from j x join j y on x.keyword = y.keyword and x.annotator < y.annotator), r as (select *, rank() over (partition by a, b order by na) + (count(*) over (partition by a, b, na) - 1) / 2.0e0 as ra, rank() over (partition by a, b order by nb) + (count(*) over (partition by a, b, nb) - 1) / 2.0e0 as rb from b) select a as annotator_a, b as annotator_b, count(*) as n_keywords, round(avg((la = lb)::int), 6) as label_agreement, round(corr(ra, rb), 6) as novelty_spearman, round(1 - abs(corr(ra, rb)) * list_sum(list_transform(range(0, (count(*) - 2) // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(k + 1.0e0)) / sqrt(pi()) * (1 - corr(ra, rb) ** 2) ** k)), 6) as novelty_p_value from r group by 1, 2")
 def pairwise_agreement(spark, sf):
     t = M.pairwise_agreement(_j(spark, sf))
-    return t.select("annotator_a", "annotator_b", "n_keywords", r6("label_agreement", "label_agreement"), r6("novelty_spearman", "novelty_spearman"))
+    return t.select("annotator_a", "annotator_b", "n_keywords", r6("label_agreement", "label_agreement"), r6("novelty_spearman", "novelty_spearman"), r6("novelty_p_value", "novelty_p_value"))
 
 
 @query("compare_sets", f"with {V.JUDGEMENTS}, r as (select *, rank() over (order by novelty) + (count(*) over (partition by novelty) - 1) / 2.0e0 as r from j), s as (select count(*) filter (keyword_set = 'SELECTED') as n1, count(*) filter (keyword_set = 'CONTROL') as n2, avg((label = 'GAP')::int) filter (keyword_set = 'SELECTED') as g1, avg((label = 'GAP')::int) filter (keyword_set = 'CONTROL') as g2, avg(novelty) filter (keyword_set = 'SELECTED') as m1, avg(novelty) filter (keyword_set = 'CONTROL') as m2, var_samp(novelty) filter (keyword_set = 'SELECTED') as v1, var_samp(novelty) filter (keyword_set = 'CONTROL') as v2, sum(r) filter (keyword_set = 'SELECTED') as rs from r) select n1 as n_left, n2 as n_right, cast(0 as bigint) as n_shared_keywords, round(g1, 6) as gap_rate_left, round(g2, 6) as gap_rate_right, round(100 * (g1 - g2), 6) as gap_rate_difference_pp, round(m1, 6) as mean_novelty_left, round(m2, 6) as mean_novelty_right, round(100 * (m1 - m2) / m2, 6) as novelty_difference_percent, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) as welch_t, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 6) as welch_df, round((m1 - m2) / sqrt((v1 + v2) / 2), 6) as cohens_d, round(rs - n1 * (n1 + 1) / 2.0e0, 6) as mann_whitney_u from s")
@@ -595,10 +604,13 @@ def control_split(spark, sf):
     return runner.control_split(f.where("keyword like 'brand%'"), f).select("keyword_set", "keyword")
 
 
-@query("permutation_test")
+_LEVEL = "lv as (select keyword_set = 'SELECTED' as l, avg(novelty) as x from j group by keyword_set, keyword)"
+
+
+@query("permutation_test", f"with {V.JUDGEMENTS}, {_LEVEL}, pool as (select l, x, row_number() over (order by l desc, x) as i from lv), st as (select count(*) filter (l) as nl, count(*) as n, sum(x) as s, avg(x) filter (l) - avg(x) filter (not l) as d from pool), e as (select rep, x, row_number() over (partition by rep order by md5('42:' || rep || ':' || i)) as p from pool, range(20000) t(rep)), lf as (select rep, sum(x) filter (p <= nl) as lt from e, st group by rep), mv as (select lt / nl - (s - lt) / (n - nl) as m, d from lf, st) select round(any_value(d), 6) as difference, round((count(*) filter (abs(m) >= abs(d) - 1e-12) + 1) / 20001.0e0, 6) as p_value from mv")
 def permutation_test(spark, sf):
     v = M.keyword_level(_j(spark, sf)).select((F.col("keyword_set") == "SELECTED").alias("is_left"), F.col("novelty").alias("x"))
-    return M.permutation_mean_difference(v, 2000).select(r6("difference", "difference"), r6("p_value", "p_value"))
+    return M.permutation_mean_difference(v).select(r6("difference", "difference"), r6("p_value", "p_value"))
 
 
 @query("validation_bars", f"with {V.JUDGEMENTS} select keyword_set, l as label, round(avg((label = l)::int), 6) as rate from j, (select unnest(['GAP', 'EXPLORED', 'LOW IMPORTANCE', 'METHOD', 'NOISE']) as l) group by 1, 2")
@@ -614,10 +626,16 @@ def stored_replay(spark, sf):
 
 # External rankings and studies
 
-@query("external_ranking", "with k as (select lower(p_name) as keyword, p_retailprice as s, p_partkey as i from part), d as (select keyword, s, i from (select *, row_number() over (partition by keyword order by s desc, i) as r from k) where r = 1), n as (select *, row_number() over (order by s desc, i) as position from d) select keyword, s as external_score, position, round(1 - (position - 1) / (select count(*) from d), 6) as score from n")
+@query("external_ranking", "with k as (select lower(p_name) as keyword, p_retailprice as s, row_number() over (order by p_retailprice desc, p_partkey) as place from part) select keyword, arg_min(s, place) as score, min(place) as external_rank, count(*) as n_rows from k group by keyword")
 def external_ranking(spark, sf):
     p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.upper("p_name").alias("Term"), F.col("p_retailprice").cast("string").alias("Total link strength"))
-    return ordered_ranking(p, "Term", "Total link strength", None, None).select("keyword", "external_score", F.col("position").cast("long").alias("position"), r6("score", "score"))
+    return ordered_ranking(p, "Term", "Total link strength", None, None).select("keyword", "score", "external_rank", "n_rows")
+
+
+@query("external_ranks_alone", "with k as (select lower(p_name) as keyword, p_size as r, row_number() over (order by p_size, p_partkey) as place from part), d as (select keyword, min(place) as external_rank from k group by keyword) select keyword, external_rank, round(1 - (row_number() over (order by external_rank) - 1) / (select count(*) from d), 6) as score from d")
+def external_ranks_alone(spark, sf):
+    p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.upper("p_name").alias("Term"), F.col("p_size").alias("Rank"))
+    return ordered_ranking(p, "Term", None, "Rank", None).select("keyword", "external_rank", r6("score", "score"))
 
 
 @query("external_unmatched", f"with {V.ARTICLES} select distinct keyword from (select 'p' || ps.i || ' s1' as keyword from (select p_partkey as i from part) ps) where keyword not in (select keyword from freq)")
@@ -651,13 +669,34 @@ def top_overlap(spark, sf):
     return studies.top_overlap(*_lists(spark, sf), 10)
 
 
-_ABL = "b as (select s_nationkey as cluster, s_name as keyword, s_acctbal as distance, s_suppkey as centrality, s_suppkey * 37 % 101 as tfidf, s_suppkey * 11 % 17 as rarity from supplier), n as (select cluster, keyword, " + ", ".join(f"case when max({c}) over w > min({c}) over w then ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) else 0 end as {c}" for c in ("distance", "centrality", "tfidf", "rarity")) + " from b window w as (partition by cluster)), s as (" + " union all ".join(f"select '{k}' as variant, cluster, keyword, {w.distance}e0 * distance + {w.centrality}e0 * centrality + {w.tfidf}e0 * tfidf + {w.rarity}e0 * rarity as score from n" for k, w in studies.WEIGHT_VARIANTS.items()) + "), r as (select variant, cluster, keyword, row_number() over (partition by variant, cluster order by score desc, keyword) as rank from s)"
+_WEIGHTS = "v as (select * from (values ('default', 0.25e0, 0.15e0, 0.3e0, 0.3e0), ('equal', 0.25e0, 0.25e0, 0.25e0, 0.25e0), ('no_distance', 0e0, 0.15e0 / 0.75e0, 0.3e0 / 0.75e0, 0.3e0 / 0.75e0), ('no_centrality', 0.25e0 / 0.85e0, 0e0, 0.3e0 / 0.85e0, 0.3e0 / 0.85e0), ('no_tfidf', 0.25e0 / 0.7e0, 0.15e0 / 0.7e0, 0e0, 0.3e0 / 0.7e0), ('no_rarity', 0.25e0 / 0.7e0, 0.15e0 / 0.7e0, 0.3e0 / 0.7e0, 0e0)) t(variant, wd, wc, wt, wr))"
+_SCALED = ", ".join(f"case when max({c}) over w > min({c}) over w then ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) else 0 end as {c}" for c in ("distance", "centrality", "tfidf", "rarity"))
+_ABL = f"""{_WEIGHTS},
+b as (select s_nationkey % 5 as cluster, s_name as keyword, s_acctbal as distance, s_suppkey as centrality, s_suppkey * 37 % 101 as tfidf, s_suppkey * 11 % 17 as rarity from supplier),
+n as (select cluster, keyword, {_SCALED} from b window w as (partition by cluster)),
+s as (select variant, cluster, keyword, round(wd * distance + wc * centrality + wt * tfidf + wr * rarity, 9) as score from n, v),
+r as (select variant, cluster, keyword, row_number() over (partition by variant, cluster order by score desc, keyword) as rank from s),
+m as (select r.variant, r.cluster, r.rank as a, d.rank as b from r join r d on d.variant = 'default' and d.cluster = r.cluster and d.keyword = r.keyword where r.variant <> 'default'),
+f as (select variant, cluster, count(*) as n_candidates, count(*) filter (a <= 5 and b <= 5) / 5 as top_overlap, bool_or(a = 1 and b = 1) as same_first from m group by 1, 2),
+t as (select x.variant, x.cluster, avg(sign(y.a - x.a)) as tau from m x join m y on x.variant = y.variant and x.cluster = y.cluster and x.b < y.b group by 1, 2),
+o as (select f.variant, f.cluster, sum(0.1e0 * 0.9e0 ** (d - 1) * (select count(*) from m where m.variant = f.variant and m.cluster = f.cluster and m.a <= d and m.b <= d) / d) as rbo from (select variant, cluster, unnest(range(1, n_candidates + 1)) as d from f) f group by 1, 2),
+report as (select f.cluster, f.variant, n_candidates, tau as kendall_tau, rbo, top_overlap, same_first from f join t using (variant, cluster) join o using (variant, cluster))"""
+
+
+def _ablation(spark, sf):
+    s = V.table(spark, sf, "supplier").select((F.col("s_nationkey") % 5).alias("cluster"), F.col("s_name").alias("keyword"), F.col("s_acctbal").alias("distance"), F.col("s_suppkey").alias("centrality"), (F.col("s_suppkey") * 37 % 101).alias("tfidf"), (F.col("s_suppkey") * 11 % 17).alias("rarity"))
+    return studies.ablation_report(materialized(studies.ablated(s), "ablation"))
 
 
-@query("weight_ablation", f"with {_ABL}, p as (select r.variant, r.cluster, count(*) filter (r.rank <= 5 and d.rank <= 5) / least(5, count(*)) as o, bool_or(r.rank = 1 and d.rank = 1) as s from r join r d on d.variant = 'default' and d.cluster = r.cluster and d.keyword = r.keyword where r.variant <> 'default' group by 1, 2) select variant, round(avg(o), 6) as top_overlap, round(avg(s::int), 6) as same_first from p group by 1")
+@query("weight_ablation", f"with {_ABL} select cluster, variant, n_candidates, round(kendall_tau, 6) as kendall_tau, round(rbo, 6) as rbo, round(top_overlap, 6) as top_overlap, same_first from report")
 def weight_ablation(spark, sf):
-    s = V.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("cluster"), F.col("s_name").alias("keyword"), F.col("s_acctbal").alias("distance"), F.col("s_suppkey").alias("centrality"), (F.col("s_suppkey") * 37 % 101).alias("tfidf"), (F.col("s_suppkey") * 11 % 17).alias("rarity"))
-    return studies.ablation_report(studies.ablated(s)).select("variant", r6("top_overlap", "top_overlap"), r6("same_first", "same_first"))
+    return _ablation(spark, sf).select("cluster", "variant", "n_candidates", r6("kendall_tau", "kendall_tau"), r6("rbo", "rbo"), r6("top_overlap", "top_overlap"), "same_first")
+
+
+@query("ablation_aggregate", f"with {_ABL} select variant, round(min(kendall_tau), 6) as kendall_tau_min, round(max(kendall_tau), 6) as kendall_tau_max, round(min(rbo), 6) as rbo_min, round(max(rbo), 6) as rbo_max, round(min(top_overlap), 6) as top_overlap_min, round(max(top_overlap), 6) as top_overlap_max from report group by variant")
+def ablation_aggregate(spark, sf):
+    t = studies.ablation_aggregate(_ablation(spark, sf))
+    return t.select("variant", *[r6(c, c) for c in t.columns if c != "variant"])
 
 
 @query("ceiling_sweep", f"with {V.ARTICLES} select c as ceiling, count(*) filter (global_frequency <= c) as n, count(*) filter (global_frequency <= c and global_frequency <= 2) as shared, round(count(*) filter (global_frequency <= c and global_frequency <= 2) / count(*) filter (global_frequency <= c or global_frequency <= 2), 6) as jaccard from freq, (select unnest([1, 2, 3, 5, 10]) as c) group by 1")
@@ -687,11 +726,11 @@ def blind_aware_shift(spark, sf):
     return t.select("n_pairs", r6("mean_shift", "mean_shift"), r6("label_changed", "label_changed"), "to_gap", "from_gap")
 
 
-@query("corpus_evidence", f"with {V.ARTICLES} select keyword, count(*) as n_articles, array_to_string((list(title order by row_id))[1:5], '|') as titles from bag join art using (row_id) where keyword like 'brand%' group by 1")
+@query("corpus_evidence", f"with {V.ARTICLES} select keyword, count(*) as n_articles, array_to_string((list(title order by row_id))[1:5], '|') as titles from bag join art using (row_id) group by 1")
 def corpus_evidence(spark, sf):
     a = _art(spark, sf)
     b = V.bag(a)
-    return studies.corpus_evidence(b.where("keyword like 'brand%'"), b, a).select("keyword", "n_articles", F.array_join("titles", "|").alias("titles"))
+    return studies.corpus_evidence(b, b, a).select("keyword", "n_articles", F.array_join("titles", "|").alias("titles"))
 
 
 @query("construct_validity", f"with {V.ARTICLES}, sel as (select keyword from freq where keyword like '% s7'), rare as (select keyword from freq order by global_frequency, first limit (select count(*) from sel)) select count(*) as n, round(avg((keyword in (select keyword from rare))::int), 6) as overlap_rarest, round(avg((global_frequency = 1)::int), 6) as singletons, 1.0e0 as multi_token, median(global_frequency) as median_frequency from sel join freq using (keyword)")
@@ -701,14 +740,22 @@ def construct_validity(spark, sf):
     return t.select("n", r6("overlap_rarest", "overlap_rarest"), r6("singletons", "singletons"), "multi_token", "median_frequency")
 
 
-@query("bootstrap_ci")
+_DRAW = "(('0x' || substr(md5('42:' || {parts}), 1, 13))::bigint % {n})"
+
+
+@query("bootstrap_ci", f"with {V.JUDGEMENTS}, {_LEVEL}, pos as (select l, x, row_number() over (partition by l order by x) - 1 as i from lv), sz as (select l, count(*) as n, avg(x) as m from pos group by l), dr as (select rep, l, {_DRAW.format(parts="rep || ':' || l::int || ':' || jj", n='n')} as i from (select rep, l, n, unnest(range(1, n + 1)) as jj from sz, range(2000) t(rep))), mn as (select rep, avg(x) filter (dr.l) - avg(x) filter (not dr.l) as d from dr join pos on dr.l = pos.l and dr.i = pos.i group by rep) select round(quantile_cont(d, 0.025), 6) as low, round(quantile_cont(d, 0.975), 6) as high, round((select max(m) filter (l) - max(m) filter (not l) from sz), 6) as difference from mn")
 def bootstrap_ci(spark, sf):
     v = M.keyword_level(_j(spark, sf)).select((F.col("keyword_set") == "SELECTED").alias("is_left"), F.col("novelty").alias("x"))
-    t = studies.bootstrap_mean_difference(v, 500)
+    t = studies.bootstrap_mean_difference(v)
     return t.select(*[r6(c, c) for c in t.columns])
 
 
-@query("rarity_matched_draw")
+@query("bootstrap_alpha", f"with {V.JUDGEMENTS}, ks as (select keyword, row_number() over (order by keyword) - 1 as i, count(*) over () as k from (select distinct keyword from j)), dr as (select rep, jj, {_DRAW.format(parts="rep || ':' || jj", n='k')} as i from (select rep, k, unnest(range(1, k + 1)) as jj from (select any_value(k) as k from ks), range(400) t(rep))), sm as (select rep, jj, novelty as v from dr join ks using (i) join j using (keyword)), u as (select rep, jj, v, count(*) as c, sum(count(*)) over (partition by rep, jj) as m from sm group by rep, jj, v qualify m > 1), t as (select rep, v, sum(c) as n, sum(sum(c)) over (partition by rep order by v) - sum(c) / 2.0e0 as at from u group by rep, v), a as (select u.*, t.at from u join t using (rep, v)), ob as (select x.rep, sum(x.c * y.c / (x.m - 1) * (x.at - y.at) ** 2) as o from a x join a y on x.rep = y.rep and x.jj = y.jj group by x.rep), ep as (select x.rep, sum(x.n * y.n * (x.at - y.at) ** 2) as e from t x join t y on x.rep = y.rep group by x.rep), al as (select 1 - (n - 1) * o / e as alpha from ob join ep using (rep) join (select rep, sum(n) as n from t group by rep) using (rep) where e > 0) select round(quantile_cont(alpha, 0.025), 6) as low, round(quantile_cont(alpha, 0.975), 6) as high, count(*) as n_defined from al")
+def bootstrap_alpha(spark, sf):
+    return studies.bootstrap_alpha(_j(spark, sf)).select(r6("low", "low"), r6("high", "high"), "n_defined")
+
+
+@query("rarity_matched_draw", f"with {V.ARTICLES}, sel as (select * from freq where keyword like '% s7'), qu as (select global_frequency, count(*) as q from sel group by 1), e as (select rep, keyword, global_frequency as frequency, q, row_number() over (partition by rep, global_frequency order by md5('42:' || rep || ':' || keyword), keyword) as p from freq join qu using (global_frequency), range(3) t(rep) where keyword not in (select keyword from sel)) select rep, keyword, frequency from e where p <= q")
 def rarity_matched_draw(spark, sf):
     f = K.keyword_frequencies(V.bag(_art(spark, sf))).select("keyword", "frequency")
     return studies.rarity_matched_draw(f, f.where("keyword like '% s7'"), 3)

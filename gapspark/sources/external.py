@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapspark.config import RunConfig
+from gapspark.functions.order import numbered, running
 from gapspark.functions.text import normalize_keyword, token_count
 from gapspark.operators import detectors as D
 from gapspark.operators import keywords as K
 from gapspark.plans.results import PipelineResult
 from gapspark.sources.corpus import Corpus, with_row_ids
+from gapspark.sources.tables import materialized
 
 EXTERNAL = "External Candidate"
 # Accepted headers, in order of priority; also as whole words of a longer header.
@@ -59,24 +61,27 @@ def read_ranking(spark: SparkSession, source) -> DataFrame:
 
 
 def ordered_ranking(frame: DataFrame, keyword: str, score: str | None, rank: str | None, gap_type: str | None, top_n: int | None = None, normalize: bool = True) -> DataFrame:
-    """keyword, external_score, gap_type, position (from 1), score: rank ascending, else score descending, else file order.
+    """keyword, score, gap_type, external_rank, n_rows: rank ascending, else score descending, else file order.
 
-    Blank keywords go first, then the top_n are taken, then repeated keywords keep their first place. The score falls from 1
-    by equal steps with the place.
+    Blank keywords go first, then the top_n are taken and numbered (external_rank, from 1), then repeated keywords keep their
+    first place. The score is the file's; in a file without scores it falls from 1 by equal steps over what is left.
     """
-    key = normalize_keyword(F.col(f"`{keyword}`").cast("string")) if normalize else F.trim(F.col(f"`{keyword}`").cast("string"))
+    trimmed = F.trim(F.col(f"`{keyword}`").cast("string"))
     number = lambda c: F.trim(F.col(f"`{c}`").cast("string")).try_cast("double")
-    rows = frame.select("row_id", key.alias("keyword"), (number(score) if score else F.lit(None).cast("double")).alias("external_score"), (number(rank) if rank else F.lit(None).cast("double")).alias("_rank"),
-                        (F.coalesce(F.col(f"`{gap_type}`").cast("string"), F.lit(EXTERNAL)) if gap_type else F.lit(EXTERNAL)).alias("gap_type"))
-    rows = rows.where((F.coalesce("keyword", F.lit("")) != "") & ~F.lower("keyword").isin("nan", "none"))
-    order = [F.asc_nulls_last("_rank"), "row_id"] if rank else [F.desc_nulls_last("external_score"), "row_id"] if score else ["row_id"]
+    kind = F.trim(F.col(f"`{gap_type}`").cast("string")) if gap_type else F.lit(None).cast("string")
+    rows = frame.select(
+        "row_id", (normalize_keyword(trimmed) if normalize else trimmed).alias("keyword"), (number(score) if score else F.lit(None).cast("double")).alias("score"),
+        (number(rank) if rank else F.lit(None).cast("double")).alias("_rank"), F.coalesce(F.when(kind != "", kind), F.lit(EXTERNAL)).alias("gap_type"))
+    rows = rows.where(F.coalesce("keyword", F.lit("")) != "")
+    order = [F.asc_nulls_last("_rank"), "row_id"] if rank else [F.desc_nulls_last("score"), "row_id"] if score else ["row_id"]
     if top_n:
         rows = rows.orderBy(*order).limit(top_n)
-    place = F.row_number().over(Window.partitionBy("keyword").orderBy(*order))
-    first = rows.withColumn("_p", place).where("_p = 1")
-    numbered = first.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    placed = numbered(rows, order, "external_rank")
+    first = placed.groupBy("keyword").agg(F.min_by(F.struct("score", "gap_type", "external_rank"), "external_rank").alias("x"), F.count(F.lit(1)).alias("n_rows")).select("keyword", "x.*", "n_rows")
+    if score:
+        return first
     n = first.agg(F.count(F.lit(1)).alias("_n"))
-    return numbered.join(F.broadcast(n)).select("keyword", "external_score", "gap_type", "position", (1 - (F.col("position") - 1) / F.col("_n")).alias("score"))
+    return running(first, ["external_rank"], "_at").join(F.broadcast(n)).withColumn("score", 1 - F.col("_at") / F.col("_n")).drop("_at", "_n")
 
 
 def with_corpus_evidence(ranking: DataFrame, corpus: Corpus, most: int = 5) -> DataFrame:
@@ -103,8 +108,9 @@ def load_external_ranking(spark: SparkSession, source, corpus: Corpus | None = N
             raise ValueError(f"no keyword column among {', '.join(headers)}")
         keyword = headers[0]
     score, rank, kind = (resolve_header([h for h in headers if h != keyword], a, x) for a, x in ((SCORE_ALIASES, score_column), (RANK_ALIASES, rank_column), (TYPE_ALIASES, type_column)))
-    ranking = ordered_ranking(frame, keyword, score, rank, kind, top_n, normalize)
-    if ranking.limit(1).count() == 0:
+    ranking = materialized(ordered_ranking(frame, keyword, score, rank, kind, top_n, normalize), "ranking")
+    told = ranking.agg(F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("rows")).first()
+    if not told.n:
         raise ValueError("the ranking has no keywords")
     none = F.expr("array()").cast("array<string>")
     if corpus is None:
@@ -112,9 +118,13 @@ def load_external_ranking(spark: SparkSession, source, corpus: Corpus | None = N
         missing = []
     else:
         rows = with_corpus_evidence(ranking, corpus)
-        places = unmatched(ranking, corpus).join(ranking.select("keyword", "position"), "keyword").orderBy("position")
+        places = unmatched(ranking, corpus).join(ranking.select("keyword", "external_rank"), "keyword").orderBy("external_rank")
         missing = [r.keyword for r in places.select("keyword").collect()]  # all of them, in the ranking's order
-    rows = rows.withColumns({"members": F.array("keyword"), "rationale": F.format_string(f"place %d of the list {name}", F.col("position")), "metrics": F.map_filter(F.create_map(F.lit("external_score"), F.col("external_score"), F.lit("position"), F.col("position").cast("double")), lambda k, v: v.isNotNull())})
-    gaps = rows.select(*D.GAP_COLUMNS, F.col("keyword").alias("keyword_display"), F.lit(name).alias("cluster_label")).orderBy(F.desc("score"))
-    told = {"source": name, "keyword_column": keyword, "score_column": score, "rank_column": rank, "type_column": kind, "unmatched": missing}
-    return PipelineResult(f"external:{name}", config or RunConfig(), corpus.frame if corpus else ranking.limit(0), ranking.select("keyword", token_count(F.col("keyword")).alias("n_tokens")), gaps, None, told)
+    rows = rows.withColumns({"members": F.array("keyword"), "rationale": F.format_string(f"place %d of the list {name}", F.col("external_rank")), "metrics": F.create_map(F.lit("external_rank"), F.col("external_rank").cast("double"))})
+    gaps = rows.select(*D.GAP_COLUMNS, F.col("keyword").alias("keyword_display"), F.lit(name).alias("cluster_label")).orderBy("gap_type", F.desc("score"), F.col("metrics")["external_rank"])
+    keywords = ranking.select("keyword", token_count(F.col("keyword")).alias("n_tokens")) if corpus is None else K.keyword_frequencies(corpus.bag).select("keyword", "frequency", F.lit(-1).alias("cluster"))
+    facts = {
+        "name": name, "source": source if isinstance(source, str) else type(source).__name__, "rows_read": told.rows, "candidates": told.n, "duplicates_dropped": told.rows - told.n, "keyword_column": keyword,
+        "score_column": score, "rank_column": rank, "type_column": kind, "normalized": normalize, "corpus_attached": corpus is not None, "unmatched_in_corpus": missing,
+    }
+    return PipelineResult("external", config or RunConfig(), corpus.frame if corpus else ranking.limit(0), keywords, gaps, None, {"external": facts})

@@ -5,17 +5,29 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=1)
+def _test_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='gapspark-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster that is an error, because executors
+    would not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='gapspark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _test_folder()
     return folder.rstrip("/")
 
 

@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapspark.functions.order import numbered
 from gapspark.sources.external import resolve_header
-from gapspark.sources.tables import save_parquet
+from gapspark.sources.tables import save_csv, save_parquet
 from gapspark.validation import metrics as M
+from gapspark.validation.protocol import RUBRIC
 
 
 def build_expert_sheet(keywords: DataFrame, seed: int = 42) -> DataFrame:
     """item, keyword and empty columns to fill in: distinct keywords in a hash order that does not depend on partitioning."""
     distinct = keywords.select("keyword").distinct()
-    item = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "keyword"), "keyword"))
-    return distinct.select(item.alias("item"), "keyword", F.lit(None).cast("double").alias("novelty"), F.lit(None).cast("string").alias("label"), F.lit("").alias("comment")).orderBy("item")
+    shuffled = numbered(distinct.withColumn("_h", F.xxhash64(F.lit(seed), "keyword")), ["_h", "keyword"], "item")
+    return shuffled.select("item", "keyword", F.lit(None).cast("double").alias("novelty"), F.lit(None).cast("string").alias("label"), F.lit("").alias("comment")).orderBy("item")
 
 
-def write_expert_sheet(sheet: DataFrame, path: str, experts: Sequence[str]) -> str:
-    """One partition for each expert."""
+def rubric(spark: SparkSession, problem: str | None = None) -> DataFrame:
+    """line, text: the problem, if there is one, and the rubric, as experts are given it."""
+    lines = ([f"Problem: {problem}"] if problem else []) + RUBRIC.splitlines()
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line int, text string")
+
+
+def write_expert_sheet(sheet: DataFrame, path: str, experts: Sequence[str], problem: str | None = None) -> str:
+    """One partition for each expert; the rubric is written beside the sheet, at path_rubric."""
+    save_csv(rubric(sheet.sparkSession, problem).coalesce(1), f"{path.rstrip('/')}_rubric")
     return save_parquet(sheet.withColumn("expert", F.explode(F.array(*[F.lit(e) for e in experts]))), path, "expert")
 
 

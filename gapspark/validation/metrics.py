@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapspark.functions import tails
+from gapspark.functions.order import numbered, with_average_rank
 
 # The labels a judgement may have, in order.
 LABELS = ("GAP", "EXPLORED", "LOW IMPORTANCE", "METHOD", "NOISE")
@@ -63,39 +65,51 @@ def fleiss_kappa(judgements: DataFrame) -> DataFrame:
     return s.withColumn("pe", pe).select(F.when(F.col("pe") < 1, (F.col("p") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"), "n_keywords", "n_raters")
 
 
-def krippendorff_alpha(judgements: DataFrame) -> DataFrame:
-    """alpha of the novelty scores by the ordinal metric (Krippendorff, 2011); units with one value count nothing.
+def krippendorff_alpha(judgements: DataFrame, *by: str) -> DataFrame:
+    """by..., alpha, n_values: the novelty scores by the ordinal metric (Krippendorff, 2011); units with one value count nothing.
 
     Coincidences come from the values' counts in each unit, so a unit's pairs are never laid out one by one.
     """
-    unit = judgements.where("novelty is not null").groupBy("keyword", F.col("novelty").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    unit = unit.withColumn("m", F.sum("c").over(Window.partitionBy("keyword"))).where("m > 1")
-    totals = unit.groupBy("v").agg(F.sum("c").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = totals.withColumn("at", below + F.col("n") / 2)  # one row a value of the scale
-    a = unit.join(F.broadcast(placed.select("v", "at")), "v")
-    b = a.select("keyword", F.col("v").alias("v2"), F.col("c").alias("c2"), F.col("at").alias("at2"))
+    keys = [*by] or ["_all"]
+    rows = judgements if by else judgements.withColumn("_all", F.lit(0))
+    unit = rows.where("novelty is not null").groupBy(*keys, "keyword", F.col("novelty").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    unit = unit.withColumn("m", F.sum("c").over(Window.partitionBy(*keys, "keyword"))).where("m > 1")
+    totals = unit.groupBy(*keys, "v").agg(F.sum("c").alias("n"))  # one row a value of the scale
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = totals.withColumn("at", below + F.col("n") / 2)
+    a = unit.join(placed.select(*keys, "v", "at"), [*keys, "v"])
+    b = a.select(*keys, "keyword", F.col("c").alias("c2"), F.col("at").alias("at2"))
     # the ordinal distance of two values is the squared number of values between their mid places
-    observed = a.join(b, "keyword").agg(F.sum(F.col("c") * F.col("c2") / (F.col("m") - 1) * F.pow(F.col("at") - F.col("at2"), 2)).alias("o"))
-    other = placed.select(F.col("n").alias("n2"), F.col("at").alias("at2"))
-    expected = placed.join(F.broadcast(other)).agg(F.sum(F.col("n") * F.col("n2") * F.pow(F.col("at") - F.col("at2"), 2)).alias("e"))
-    size = totals.agg(F.sum("n").alias("n"))
-    return observed.join(F.broadcast(expected)).join(F.broadcast(size)).select(F.when(F.col("e") > 0, 1 - (F.col("n") - 1) * F.col("o") / F.col("e")).alias("alpha"), F.col("n").alias("n_values"))
+    observed = a.join(b, [*keys, "keyword"]).groupBy(*keys).agg(F.sum(F.col("c") * F.col("c2") / (F.col("m") - 1) * F.pow(F.col("at") - F.col("at2"), 2)).alias("o"))
+    other = placed.select(*keys, F.col("n").alias("n2"), F.col("at").alias("at2"))
+    expected = placed.join(other, keys).groupBy(*keys).agg(F.sum(F.col("n") * F.col("n2") * F.pow(F.col("at") - F.col("at2"), 2)).alias("e"))
+    size = totals.groupBy(*keys).agg(F.sum("n").alias("n"))
+    return observed.join(expected, keys).join(size, keys).select(*by, F.when(F.col("e") > 0, 1 - (F.col("n") - 1) * F.col("o") / F.col("e")).alias("alpha"), F.col("n").alias("n_values"))
 
 
 def average_rank(value: str, *by: str) -> Column:
-    """Ranks from 1, ties sharing their mean rank."""
+    """Ranks from 1 within `by`, ties sharing their mean rank."""
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
 def pairwise_agreement(judgements: DataFrame) -> DataFrame:
-    """annotator_a, annotator_b, n_keywords, label_agreement, novelty_spearman, over (set, keyword) that both judged."""
+    """annotator_a, annotator_b, n_keywords, label_agreement, novelty_spearman and its p, over (set, keyword) that both judged.
+
+    The correlation needs more than two keywords.
+    """
     one = judgements.groupBy("annotator", "keyword_set", "keyword").agg(F.min_by("label", _label_order(F.col("label"))).alias("label"), F.avg("novelty").alias("novelty"))
     a, b = (one.select("keyword_set", "keyword", *[F.col(c).alias(f"{c}_{s}") for c in ("annotator", "label", "novelty")]) for s in "ab")
     both = a.join(b, ["keyword_set", "keyword"]).where("annotator_a < annotator_b")
     key = ["annotator_a", "annotator_b"]
     ranked = both.withColumns({"ra": average_rank("novelty_a", *key), "rb": average_rank("novelty_b", *key)})
-    return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n_keywords"), F.avg((F.col("label_a") == F.col("label_b")).cast("double")).alias("label_agreement"), safe_corr("ra", "rb").alias("novelty_spearman"))
+    n = F.count(F.lit(1))
+    out = ranked.groupBy(*key).agg(n.alias("n_keywords"), F.avg((F.col("label_a") == F.col("label_b")).cast("double")).alias("label_agreement"), F.when(n > 2, safe_corr("ra", "rb")).alias("novelty_spearman"))
+
+    @F.pandas_udf("double")
+    def p_of(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([spearman_p(None if pd.isna(r) else r, int(m)) for r, m in zip(rho, n)], dtype="float64")
+
+    return out.withColumn("novelty_p_value", F.nullif(p_of("novelty_spearman", "n_keywords"), F.lit(float("nan"))))  # a row for each pair of annotators
 
 
 def safe_corr(a: str, b: str) -> Column:
@@ -104,7 +118,7 @@ def safe_corr(a: str, b: str) -> Column:
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.withColumns({"_a": average_rank(a), "_b": average_rank(b)}).agg(F.count(F.lit(1)).alias("n"), safe_corr("_a", "_b").alias("rho"))
+    return with_average_rank(with_average_rank(pairs, a, "_a"), b, "_b").agg(F.count(F.lit(1)).alias("n"), safe_corr("_a", "_b").alias("rho"))
 
 
 def spearman_p(rho: float | None, n: int) -> float | None:
@@ -122,11 +136,14 @@ def compare_sets(judgements: DataFrame, left: str, right: str) -> DataFrame:
     rows = judgements.where(F.col("keyword_set").isin(left, right)).withColumn("l", F.col("keyword_set") == left)
     per = rows.groupBy("keyword").agg(F.bool_or("l").alias("a"), F.bool_or(~F.col("l")).alias("b")).agg(F.count_if(F.col("a") & F.col("b")).alias("n_shared_keywords"))
     side = lambda x, which: F.when(F.col("l") == which, x)
-    s = rows.withColumn("r", average_rank("novelty")).agg(
+    # rank sums come from the counts of the distinct values, of which a scale has few
+    values = rows.where("novelty is not null").groupBy("novelty").agg(F.count(F.lit(1)).alias("n"), F.count_if("l").alias("nl"))
+    placed = values.withColumn("at", F.sum("n").over(Window.orderBy("novelty")) - F.col("n") + (F.col("n") + 1) / 2.0)
+    ranks = placed.agg(F.sum(F.col("nl") * F.col("at")).alias("rank_sum"))
+    s = rows.agg(
         *[f(side(F.col("novelty"), w)).alias(f"{name}_{k}") for name, f in (("n", F.count), ("mean_novelty", F.avg), ("var", F.var_samp)) for k, w in (("left", True), ("right", False))],
-        *[F.coalesce(F.avg(side((F.col("label") == "GAP").cast("double"), w)), F.lit(0.0)).alias(f"gap_rate_{k}") for k, w in (("left", True), ("right", False))],
-        F.sum(side(F.col("r"), True)).alias("rank_sum"))
-    s = s.join(F.broadcast(per))
+        *[F.coalesce(F.avg(side((F.col("label") == "GAP").cast("double"), w)), F.lit(0.0)).alias(f"gap_rate_{k}") for k, w in (("left", True), ("right", False))])
+    s = s.join(F.broadcast(per)).join(F.broadcast(ranks))
     ok = F.col("n_shared_keywords") == 0
     nl, nr, vl, vr = (F.col(c) for c in ("n_left", "n_right", "var_left", "var_right"))
     diff = F.col("mean_novelty_left") - F.col("mean_novelty_right")
@@ -154,16 +171,16 @@ def with_p_values(comparison: DataFrame, ties: float = 0.0) -> dict:
 def permutation_mean_difference(values: DataFrame, reps: int = 20_000, seed: int = 42, slack: float = 1e-12) -> DataFrame:
     """One row: difference of means of values(is_left, x) and the two-sided add-one p over shuffles.
 
-    Each shuffle is a hash order of the pooled values, so it repeats on any partitioning; the values are the statistic's
-    own few (an arm's keywords), and the shuffles are spread over the tasks.
+    Each shuffle is an MD5 order of the pooled values, which repeats on any partitioning and in any engine that has MD5.
+    Shuffles are groups of rows that Spark deals to tasks; no list of values is held whole.
     """
-    pool = values.select("is_left", F.col("x").cast("double").alias("x")).withColumn("i", F.row_number().over(Window.orderBy("is_left", "x")))
+    pool = values.select("is_left", F.col("x").cast("double").alias("x")).where("x is not null")
+    pool = numbered(pool, [F.desc("is_left"), "x"], "i")
     stats = pool.agg(F.count_if("is_left").alias("nl"), F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("is_left"), F.col("x"))).alias("a"), F.avg(F.when(~F.col("is_left"), F.col("x"))).alias("b"), F.sum("x").alias("s"))
-    listed = pool.agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs"))
-    each = values.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(listed)).join(F.broadcast(stats))
-    order = F.array_sort(F.transform("xs", lambda e: F.struct(F.xxhash64(F.lit(seed), F.col("rep"), e["i"]).alias("h"), e["x"].alias("x"))))
-    left = F.aggregate(F.slice(order, 1, F.greatest(F.lit(1), F.col("nl").cast("int"))), F.lit(0.0), lambda a, e: a + e["x"])
-    moved = each.select(((left / F.col("nl")) - (F.col("s") - left) / (F.col("n") - F.col("nl"))).alias("d"), (F.col("a") - F.col("b")).alias("difference"))
+    each = pool.join(F.broadcast(values.sparkSession.range(reps).withColumnRenamed("id", "rep")))  # pool x reps, as resampling is
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "rep", "i"))))
+    left = each.select("rep", "x", place.alias("p")).join(F.broadcast(stats)).groupBy("rep").agg(F.sum(F.when(F.col("p") <= F.col("nl"), F.col("x")).otherwise(0.0)).alias("left"))
+    moved = left.join(F.broadcast(stats)).select((F.col("left") / F.col("nl") - (F.col("s") - F.col("left")) / (F.col("n") - F.col("nl"))).alias("d"), (F.col("a") - F.col("b")).alias("difference"))
     return moved.groupBy("difference").agg(F.count_if(F.abs("d") >= F.abs("difference") - slack).alias("k")).select("difference", ((F.col("k") + 1) / (reps + 1)).alias("p_value"))
 
 
@@ -172,7 +189,7 @@ def expert_concordance(experts: DataFrame, panel: DataFrame) -> DataFrame:
     e, m = keyword_consensus(experts), keyword_consensus(panel)
     e = e.groupBy("keyword").agg(F.avg("mean_novelty").alias("en"), F.first("majority_label").alias("el"), F.avg("gap_share").alias("eg"), F.avg("std_novelty").alias("es"))
     m = m.groupBy("keyword").agg(F.avg("mean_novelty").alias("mn"), F.first("majority_label").alias("ml"), F.avg("gap_share").alias("mg"), F.avg("std_novelty").alias("ms"))
-    both = e.join(m, "keyword").withColumns({"re": average_rank("en"), "rm": average_rank("mn")})
+    both = with_average_rank(with_average_rank(e.join(m, "keyword"), "en", "re"), "mn", "rm")
     n = F.count(F.lit(1))
     checked = F.when(n < 3, F.raise_error(F.lit("a concordance needs three shared keywords or more")).cast("double")).otherwise(safe_corr("re", "rm"))
     return both.agg(n.alias("n_keywords"), checked.alias("spearman"), F.avg((F.col("el") == F.col("ml")).cast("double")).alias("label_agreement"), F.avg("eg").alias("expert_gap_share"), F.avg("mg").alias("panel_gap_share"), F.avg("es").alias("expert_dispersion"), F.avg("ms").alias("panel_dispersion"))

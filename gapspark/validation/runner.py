@@ -6,9 +6,10 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapspark.functions.order import numbered
 from gapspark.plans.results import PipelineResult
 from gapspark.sources.tables import save_csv, save_json
 from gapspark.validation import metrics as M
@@ -18,7 +19,7 @@ from gapspark.validation.protocol import annotations_frame
 
 def expand_members(gaps: DataFrame) -> DataFrame:
     """keyword, ord: the distinct members of the gaps, in order of score."""
-    ranked = gaps.select("members", F.row_number().over(Window.orderBy(F.desc("score"), "gap_type", "cluster", "keyword")).alias("g"))
+    ranked = numbered(gaps.select("members", "score", "gap_type", "cluster", "keyword"), [F.desc("score"), "gap_type", "cluster", "keyword"], "g")
     each = ranked.select("g", F.posexplode("members").alias("p", "keyword"))
     return each.groupBy("keyword").agg(F.min(F.struct("g", "p")).alias("ord"))
 
@@ -35,8 +36,8 @@ def control_split(selected: DataFrame, frequencies: DataFrame, most: int | None
         rest = rest.orderBy(F.xxhash64(F.lit(seed), "keyword"), "keyword").limit(most)
     if rest.limit(1).count() == 0:
         raise ValueError("no keyword is left for a control set that is disjoint from the selected one")
-    listed = rest.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("frequency"), "first")))
-    return chosen.select(F.lit("SELECTED").alias("keyword_set"), "keyword", F.lit(0).alias("ord")).unionByName(listed.select(F.lit("CONTROL").alias("keyword_set"), "keyword", "ord"))
+    listed = numbered(rest.select("keyword", "frequency", "first"), [F.desc("frequency"), "first"], "ord")
+    return chosen.select(F.lit("SELECTED").alias("keyword_set"), "keyword", F.lit(0).cast("long").alias("ord")).unionByName(listed.select(F.lit("CONTROL").alias("keyword_set"), "keyword", "ord"))
 
 
 def nested_split(selected: DataFrame, frequencies: DataFrame) -> DataFrame:

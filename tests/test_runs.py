@@ -87,7 +87,7 @@ def test_mode_b_finds_the_planted_gaps(corpus, tmp_path, spark):
     assert spark.read.option("header", True).csv(paths["gaps"]).count() == r.gaps.count()
     assert json.loads(spark.read.text(paths["summary"]).first().value)["mode"] == "articles_first"
     data = figures.figure_data(r)
-    assert {"network", "centroids", "years", "gap_summary"} <= set(data) and set(data["skipped"]) == {"keyword_map", "validation"}
+    assert {"network", "centroids", "years", "gap_summary"} <= set(data) and set(data["skipped"]) == {"keyword_map", "article_map", "k_selection", "validation"}
     named = pipelines.run(corpus, "articles_first", CONFIG, lambda c, articles, members: f"theme {c}")
     assert {x.cluster_label for x in named.gaps.collect()} <= {"theme 0", "theme 1", "theme 2"}
 
@@ -158,9 +158,17 @@ def test_external_ranking(spark, corpus):
     r = X.load_external_ranking(spark, frame, corpus, name="maps")
     got = {x.keyword: x for x in r.gaps.collect()}
     assert list(x.keyword for x in r.gaps.orderBy(F.desc("score")).collect()) == ["unheard of", "digital market"]
-    assert got["digital market"].metrics["external_score"] == 7.0 and got["digital market"].n_articles == 20 and got["digital market"].cluster == -1 and len(got["digital market"].article_titles) == 5
-    assert r.diagnostics["unmatched"] == ["unheard of"] and got["unheard of"].gap_type == X.EXTERNAL
+    assert got["digital market"].score == 7.0 and got["digital market"].metrics == {"external_rank": 2.0} and got["digital market"].n_articles == 20 and got["digital market"].cluster == -1 and len(got["digital market"].article_titles) == 5
+    told = r.diagnostics["external"]
+    assert told["unmatched_in_corpus"] == ["unheard of"] and (told["rows_read"], told["candidates"], told["duplicates_dropped"]) == (3, 2, 1) and r.mode == "external" and got["unheard of"].gap_type == X.EXTERNAL
     assert [x.keyword for x in X.load_external_ranking(spark, ["B b", "a a", "b b"]).gaps.collect()] == ["b b", "a a"]
+    plain = X.load_external_ranking(spark, ["alpha", "ALPHA", "beta", "gamma"])
+    assert [round(x.score, 4) for x in plain.gaps.collect()] == [1.0, 0.6667, 0.3333] and [x.metrics["external_rank"] for x in plain.gaps.collect()] == [1.0, 3.0, 4.0]
+    assert [x.keyword for x in X.load_external_ranking(spark, ["nan", "none"]).gaps.collect()] == ["nan", "none"]
+    both = spark.createDataFrame([("c", "3", "0.5", ""), ("a", "1", "", "Emerging"), ("b", "2", "0.9", None)], "keyword string, rank string, score string, type string")
+    rows = {x.keyword: x for x in X.load_external_ranking(spark, both).gaps.collect()}
+    assert {k: (v.score, v.metrics["external_rank"], v.gap_type) for k, v in rows.items()} == {"a": (None, 1.0, "Emerging"), "b": (0.9, 2.0, X.EXTERNAL), "c": (0.5, 3.0, X.EXTERNAL)}
+    assert [x.keyword for x in X.load_external_ranking(spark, both, top_n=2).gaps.orderBy("keyword").collect()] == ["a", "b"]
     with pytest.raises(ValueError):
         X.load_external_ranking(spark, frame, keyword_column="nope")
     with pytest.raises(ValueError):
@@ -221,7 +229,10 @@ def test_metrics_by_hand(spark):
     # P = (1 + 0) / 2, Pe = .25 + .0625 + .0625
     assert M.fleiss_kappa(j).first().kappa == pytest.approx((0.5 - 0.375) / 0.625)
     p = M.pairwise_agreement(j).first()
-    assert (p.n_keywords, p.label_agreement, p.novelty_spearman) == (2, 0.5, pytest.approx(1.0))
+    assert (p.n_keywords, p.label_agreement, p.novelty_spearman, p.novelty_p_value) == (2, 0.5, None, None)
+    four = judgement(spark, [("a", "S", k, "GAP", float(x)) for k, x in zip("wxyz", (1, 2, 3, 4))] + [("b", "S", k, "GAP", float(x)) for k, x in zip("wxyz", (2, 1, 3, 4))])
+    p = M.pairwise_agreement(four).first()
+    assert p.novelty_spearman == pytest.approx(0.8) and p.novelty_p_value == pytest.approx(0.2)
     assert M.novelty_statistics(j.limit(1)).first()["std"] == 0.0
 
 
@@ -230,8 +241,14 @@ def test_alpha_of_perfect_and_of_no_variation(spark):
     assert M.krippendorff_alpha(perfect).first().alpha == pytest.approx(1.0)
     flat = judgement(spark, [(a, "S", f"k{i}", "GAP", 5.0) for a in "ab" for i in range(4)])
     assert M.krippendorff_alpha(flat).first().alpha is None
-    low, high = studies.bootstrap_alpha(perfect, 3)
-    assert low == high == pytest.approx(1.0)
+    r = studies.bootstrap_alpha(perfect, 20).first()
+    assert r.low == r.high == pytest.approx(1.0) and 15 <= r.n_defined <= 20
+    mixed = judgement(spark, [(a, "S", f"k{i}", "GAP", float(1 + (i * (2 if a == "a" else 3)) % 7)) for a in "ab" for i in range(12)])
+    r = studies.bootstrap_alpha(mixed, 50).first()
+    assert r.low < M.krippendorff_alpha(mixed).first().alpha < r.high
+    both = mixed.withColumn("g", F.lit("x")).unionByName(perfect.withColumn("g", F.lit("y")))
+    by = {r.g: r.alpha for r in M.krippendorff_alpha(both, "g").collect()}
+    assert by["y"] == pytest.approx(1.0) and by["x"] == pytest.approx(M.krippendorff_alpha(mixed).first().alpha)
 
 
 def test_comparisons(spark):
@@ -302,6 +319,12 @@ def test_studies(spark):
     g = lambda ks: studies.ranked(spark.createDataFrame([(k, 1.0 - i / 10) for i, k in enumerate(ks)], "keyword string, score double"))
     a, b = g("abcde"), g("abced")
     assert studies.kendall_tau(a, b).first().tau == pytest.approx(0.8) and studies.rank_biased_overlap(a, a).first().rbo == pytest.approx(1.0)
+    rng = random.Random(1)
+    left, right = list(range(1, 301)), rng.sample(range(1, 301), 300)
+    lists = [spark.createDataFrame([(f"k{i}", int(r)) for i, r in enumerate(x)], "keyword string, rank int") for x in (left, right)]
+    exact = sum(1 if (right[j] > right[i]) else -1 for i in range(300) for j in range(i + 1, 300)) / (300 * 299 / 2)
+    for block in (37, 300):
+        assert studies.kendall_tau(*lists, block=block).first().tau == pytest.approx(exact)
     assert studies.rank_biased_overlap(a, g("vwxyz")).first().rbo == 0.0 and studies.top_overlap(a, b, 2).first().overlap == 2
     pool = spark.createDataFrame([(f"p{i}", 1 + i % 2) for i in range(20)], "keyword string, frequency int")
     chosen = pool.where("keyword in ('p0', 'p2', 'p1')")
@@ -359,4 +382,123 @@ def test_registered_mode_b_takes_the_whole_table(spark, tmp_path, monkeypatch):
 
 def test_all_unmatched_keywords_are_told(spark, corpus):
     listed = [f"unheard {i}" for i in range(130)]
-    assert X.load_external_ranking(spark, listed, corpus).diagnostics["unmatched"] == listed
+    assert X.load_external_ranking(spark, listed, corpus).diagnostics["external"]["unmatched_in_corpus"] == listed
+
+
+def test_places_in_an_order_over_all_rows(spark):
+    from gapspark.functions.order import numbered, running, with_average_rank
+
+    rows = spark.createDataFrame([(i, (i * 37) % 101, i % 5) for i in range(101)], "a int, b int, w int").repartition(7)
+    assert {r.b: r.n for r in numbered(rows, ["b"], "n").collect()} == {b: b + 1 for b in range(101)}
+    weights = {(i * 37) % 101: i % 5 for i in range(101)}
+    assert {r.b: r.n for r in running(rows, [F.desc("b")], "n", "w").collect()} == {b: sum(weights[x] for x in range(b + 1, 101)) for b in range(101)}
+    ranks = {r.w: r.r for r in with_average_rank(rows, "w", "r").collect()}
+    assert ranks == {0: 11.0, 1: 31.5, 2: 51.5, 3: 71.5, 4: 91.5}
+    assert numbered(rows.limit(0), ["b"], "n").collect() == []
+
+
+def test_weights_of_the_ablation_are_exact_and_its_report_is_by_hand(spark):
+    w = studies.WEIGHT_VARIANTS["no_centrality"]
+    assert w.centrality == 0 and w.distance == 0.25 / 0.85 and w.tfidf == 0.30 / 0.85
+    rows = spark.createDataFrame([("m", v, k, r) for v, order in (("default", "abcde"), ("equal", "abced"), ("no_tfidf", "edcba")) for r, k in enumerate(order, 1)], "cluster string, variant string, keyword string, rank int")
+    got = {r.variant: r for r in studies.ablation_report(rows).collect()}
+    assert got["equal"].kendall_tau == pytest.approx(0.8) and got["no_tfidf"].kendall_tau == pytest.approx(-1.0) and got["equal"].same_first and not got["no_tfidf"].same_first
+    overlap = lambda a, b: 0.1 * sum(len(set(a[:d]) & set(b[:d])) / d * 0.9 ** (d - 1) for d in range(1, 6))
+    assert got["equal"].rbo == pytest.approx(overlap("abcde", "abced")) and got["no_tfidf"].rbo == pytest.approx(overlap("abcde", "edcba")) and got["no_tfidf"].top_overlap == 1.0
+    total = {r.variant: r for r in studies.ablation_aggregate(studies.ablation_report(rows)).collect()}
+    assert total["equal"].kendall_tau_min == total["equal"].kendall_tau_max == pytest.approx(0.8)
+
+
+def test_arms_drawn_at_random(spark):
+    level = spark.createDataFrame([(f"p{i}", float(i % 2), float(i)) for i in range(10)], "keyword string, gap_share double, novelty double")
+    arms = studies.drawn_arms(studies.random_draw(level, 4, 50), level)
+    assert arms.count() == 50 and {r.n for r in arms.collect()} == {4}
+    r = studies.against_draws(level.where("novelty >= 6"), arms).first()
+    assert r.gap_rate == 0.5 and r.novelty == 7.5 and r.low_novelty <= r.mean_novelty <= r.high_novelty and r.reach_novelty < 0.2
+
+
+def test_a_cache_of_vectors_is_written_back(spark, tmp_path):
+    asked = []
+
+    class Counting(E.Encoder):
+        name = "counting"
+
+        def _encode(self, texts):
+            asked.append({r.text for r in texts.collect()})
+            return texts.select("row_id", F.array(F.length("text").cast("double"), F.lit(1.0)).alias("vector"))
+
+    cached = E.CachedEncoder(Counting(EncoderConfig("counting", normalize=False)), f"{tmp_path}/cache")
+    one = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "row_id long, text string")
+    assert {r.row_id: r.vector for r in cached.encode(one).collect()} == {1: [1.0, 1.0], 2: [2.0, 1.0], 3: [1.0, 1.0], 4: [0.0, 1.0]}
+    two = spark.createDataFrame([(9, "ccc"), (8, "bb")], "row_id long, text string")
+    assert {r.row_id: r.vector[0] for r in cached.encode(two).collect()} == {9: 3.0, 8: 2.0}
+    assert asked == [{"a", "bb", ""}, {"ccc"}] and spark.read.parquet(f"{tmp_path}/cache").count() == 4
+
+
+def test_the_distributed_decomposition_is_the_local_one(spark):
+    texts = spark.createDataFrame([(i, f"market price {'digital' if i % 2 else 'rural'} theme{i % 5} word{i}") for i in range(24)] + [(99, "")], "row_id long, text string")
+    local = {r.row_id: r.vector for r in E.TfidfSvdEncoder(EncoderConfig(dimensions=6)).encode(texts).collect()}
+    other = E.TfidfSvdEncoder(EncoderConfig(dimensions=6))
+    other.local_rows = 3
+    far = {r.row_id: r.vector for r in other.encode(texts).collect()}
+    for i in local:
+        assert local[i] == pytest.approx(far[i], abs=1e-5), i
+
+
+def test_salience_as_an_object(spark, corpus):
+    from gapspark.operators.tfidf import FLOOR, TfidfSalience
+
+    s = TfidfSalience.of(corpus.frame)
+    rows = s.to_frame().collect()
+    assert s.max_score == rows[0].tfidf == max(r.tfidf for r in rows) and sum(s.match_statistics().values()) == len(rows)
+    assert s.get("  " + rows[3].keyword.upper()) == rows[3].tfidf and s.get("never heard of") == FLOOR and s.get("never heard of", 0.5) == 0.5
+
+
+def test_figures_are_chosen_and_saved(spark, corpus, tmp_path):
+    result = pipelines.articles_first(corpus, CONFIG)
+    vectors = pipelines.encode_articles(pipelines.prepare(corpus, CONFIG), CONFIG)
+    data = figures.figure_data(result, article_vectors=vectors, include=["article_map", "years", "keyword_map"])
+    assert set(data) == {"article_map", "years", "skipped"} and set(data["skipped"]) == {"keyword_map"}
+    assert data["article_map"].count() == result.articles.count() and set(data["article_map"].columns) == {"row_id", "x", "y", "cluster"}
+    paths = figures.save_figure_data(figures.figure_data(result), str(tmp_path))
+    assert {"gap_summary_1", "gap_summary_2", "centroids", "years", "network_1", "skipped"} <= set(paths) and "keyword_map" in paths["skipped"]
+    with pytest.raises(ValueError):
+        figures.figure_data(result, include=["nothing"])
+
+
+def test_sheets_and_checks_of_a_study(spark, corpus, tmp_path):
+    from gapspark.plans import reports
+
+    result = pipelines.articles_first(corpus, CONFIG)
+    assert reports.gap_sheet(result).count() == result.gaps.count()
+    c = reports.corpus_sheet({"mine": corpus}).first()
+    assert c.n_records == corpus.n_articles and c.mean_keywords_per_record > 1
+    d = reports.diagnostics_sheet(spark, {"mine": [result]}).first()
+    assert d.k == 3 and d.n_candidates == result.gaps.count() and json.loads(d.gap_types)
+    keys = [r.keyword for r in result.keywords.select("keyword").distinct().collect()]
+    own = {r.keyword for r in result.gaps.select(F.explode("members").alias("keyword")).collect()}
+    j = judgement(spark, [(a, "SELECTED" if k in own else "CONTROL", k, "GAP" if (k in own) == (i % 3 > 0) else "EXPLORED", float(1 + (i + n) % 10)) for n, a in enumerate(("m1", "m2", "m3")) for i, k in enumerate(sorted(keys))])
+    out = reports.leave_out_concordance(j, ["m3"])
+    assert out["n_keywords"] == len(own & set(keys)) and out["held_out_annotators"] == ["m3"] and out["panel_annotators"] == ["m1", "m2"] and 0 <= out["spearman_p"] <= 1
+    assert "error" in reports.leave_out_concordance(j, ["nobody"])
+    v = reports.validation_sheet(spark, {("mine", "articles_first"): R.ValidationReport(j)}, ["m3"]).first()
+    assert v.n_judgements == j.count() and v.leaveout_spearman_rho == pytest.approx(out["spearman"])
+    a = reports.external_audit(spark, corpus, j, result.gaps, result.keywords).first()
+    assert a.k_requested == result.gaps.select("keyword").distinct().count() and a.mode_of_result == "external" and 0 <= a.overlap_with_package <= 1 and 0 <= a.external_gap_rate <= 100
+    from gapspark.sources.tables import save_csv
+
+    save_csv(j, f"{tmp_path}/articles_first_validation_annotations_disjoint.csv")
+    save_csv(result.keywords, f"{tmp_path}/articles_first_keywords.csv")
+    arm = reports.load_arm(spark, str(tmp_path), "articles_first")
+    assert arm.count() == len(keys) and arm.where("frequency is null").count() == 0 and set(arm.columns) == {"keyword_set", "keyword", "gap_share", "novelty", "frequency", "n_tokens"}
+    assert reports.load_arm(spark, str(tmp_path), "keywords_first") is None
+
+
+def test_sensitivity_to_size_and_seed(spark, corpus):
+    from gapspark.plans import reports
+
+    sizes, seeds = reports.sensitivity({"mine": corpus}, CONFIG, [30, 60], seeds=(1, 2), modes=("articles_first",), reference=60)
+    rows = {r.n_articles: r for r in sizes.collect()}
+    assert set(rows) == {30, 60} and rows[60].jaccard_vs_reference == 1.0 and 0 <= rows[30].jaccard_vs_reference <= 1 and rows[60].n_gaps >= len(rows[60].candidates.split(" | "))
+    s = seeds.first()
+    assert s.n_seeds == 2 and s.min_pairwise_jaccard == s.max_pairwise_jaccard == s.mean_pairwise_jaccard
