@@ -187,6 +187,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+
+    Null and empty texts have no words and are not contaminated; null ids and repeated rows are kept; rows of one item_id are
+    one item. An empty benchmark hits nothing, an empty documents table gives no rows.
+    """
     out = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")

@@ -170,6 +170,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document.
+
+    Null texts and texts without letters are `und` with score 0; null ids are predicted, not learned from, and not held out;
+    ties go to the language that sorts first. With nothing to learn from all is `und`; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -113,4 +113,8 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
+
+    Null texts count as empty and have no ids; null ids and repeated rows are kept. An empty table gives no rows.
+    """
     return digests(table(spark, sf_dir, "documents"), model_path())

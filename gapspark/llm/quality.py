@@ -235,5 +235,10 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts, base_failed, kept of every document.
+
+    Null and empty texts have no words and fail; null ids, langs and sources and repeated rows are kept, null langs and sources
+    as groups of their own. An empty table gives no rows.
+    """
     out = assessed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

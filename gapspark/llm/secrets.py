@@ -154,6 +154,11 @@ def redacted(docs: DataFrame, mask: str = "[secret]", rules=BASE_RULES, ledger:
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts by kind, digest and list of spans of every document.
+
+    Null texts count as empty and have no spans; null ids and repeated rows are kept; spans that start together are in order of
+    kind. An empty table gives no rows.
+    """
     out = scan_documents(table(spark, sf_dir, "documents"))
     base = [r.name for r in BASE_RULES]
 

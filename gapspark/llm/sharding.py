@@ -186,5 +186,10 @@ def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, piece_r
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law (bytes), shard, slot, grown_shard (null) of every document.
+
+    Null texts count as empty; null ids come first among equal texts; repeated rows have slots of their own. An empty table
+    gives no rows; with fewer documents than shards some shards are empty.
+    """
     out = sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -460,5 +460,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document.
+
+    Null and empty texts and texts without words have fingerprint zero and are linked; repeated rows are repeated; a null doc_id
+    is linked but names no component. An empty table gives no rows.
+    """
     out = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -256,6 +256,11 @@ def _read(spark, folder: str, schema: str, made) -> DataFrame:
 
 
 def op9_tokens(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files.
+
+    Null texts count as empty and have the end id alone; null ids come first; repeated rows each have a place, rows of one
+    doc_id are in order of the hash of their text. An empty table gives no rows.
+    """
     import public_tokenizers
 
     folder = new_path(spark, "tokens")

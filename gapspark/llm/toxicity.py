@@ -223,6 +223,11 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, probabilities and verdicts of low quality and toxicity of every document.
+
+    Learned from at most 12,000 labelled documents; of conflicting labels the largest counts. Null and empty texts are judged by
+    the intercepts; null ids and repeated rows are kept. Without labels nothing is toxic; an empty table gives no rows.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = train(docs, labels, ["low_quality", "toxic"])
