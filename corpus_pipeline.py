@@ -17,27 +17,39 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    Null and empty texts fail the rules; repeated rows stay or go together; an empty table stays one.
+    """
     return quality.kept_documents(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each class of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Of each class the row of least doc_id stays (null ids last; of repeated rows one). Null and empty texts are one class.
+    """
     return simhash.one_of_each(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with the benchmark."""
+    """Documents that are not contaminated with the benchmark.
+
+    Null and empty texts and repeated rows stay; an empty benchmark contaminates nothing.
+    """
     return decontaminate.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked."""
+    """All documents, with the secrets in their texts masked and n_chars made to fit.
+
+    Null texts stay null; repeated rows stay.
+    """
     return secrets.redacted(docs.select(*COLUMNS))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document; null texts have no ids."""
     out = pieces.encoded(docs, pieces.model_path())
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
