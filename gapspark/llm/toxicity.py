@@ -61,7 +61,7 @@ class Hasher:
         return np.fromiter(out, np.int32, len(out))
 
 
-def _minimised(f, x: np.ndarray, steps: int = 80, memory: int = 8) -> np.ndarray:
+def _minimised(f, x: np.ndarray, steps: int = 40, memory: int = 8) -> np.ndarray:
     """L-BFGS with backtracking; f gives value and gradient."""
     value, grad = f(x)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -88,7 +88,7 @@ def _minimised(f, x: np.ndarray, steps: int = 80, memory: int = 8) -> np.ndarray
             break
         s, y = -t * d, new_grad - grad
         x = x + s
-        done = value - new_value < 1e-9 * max(1.0, abs(value))
+        done = value - new_value < 1e-5 * max(1.0, abs(value))
         value, grad = new_value, new_grad
         if y @ s > 1e-12:
             pairs = [*pairs[1 - memory :], (s, y)]
@@ -109,7 +109,7 @@ def _fitted(rows: list[np.ndarray], earlier: np.ndarray, label: np.ndarray, size
     neg = np.bincount(at, minlength=size) - pos
     odds = np.log((pos + 0.5) / (label.sum() + 1)) - np.log((neg + 0.5) / (n - label.sum() + 1))
     odds[(pos + neg) < 2] = 0  # a word of one document says nothing about others
-    used = np.flatnonzero(np.abs(odds) > 0.7)
+    used = np.flatnonzero(np.abs(odds) > 1.5)
     column = np.full(size, -1)
     column[used] = np.arange(len(used))
     keep = column[at] >= 0
@@ -138,7 +138,7 @@ def _probability(model: tuple[np.ndarray, np.ndarray, float], rows: list[np.ndar
 
 def _threshold(p: np.ndarray, label: np.ndarray) -> float:
     """The probability, a half or less, from which on predictions have the best F1; of equals the highest."""
-    grid = np.arange(50, 9, -1) / 100
+    grid = np.arange(50, 14, -1) / 100
     f1 = [2 * (label * (p >= t)).sum() / max(1.0, label.sum() + (p >= t).sum()) for t in grid]
     return float(grid[int(np.argmax(f1))])
 
