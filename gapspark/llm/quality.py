@@ -230,7 +230,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     content = F.xxhash64(F.col("doc.text").cast("string"), F.col("doc.lang").cast("string"), F.lit("/"), F.col("doc.source").cast("string"))
     rows = packed_rows(docs)
     inner = rows.select(F.struct("doc.doc_id", content.alias("c")).alias("doc_id"), "doc.text", "doc.lang", "doc.source")
-    kept = assessed(inner, **options).where("kept").select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.c").alias("c"))
+    kept = assessed(inner, **options).where("kept").select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.c").alias("c")).hint("merge")
     return unpacked_rows(rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("i")) & (content == F.col("c")), "left_semi"), docs.columns)
 
 

@@ -97,7 +97,7 @@ def update_ledger(docs: DataFrame, ledger: str, rules=BASE_RULES, id_col: str =
         unseen = unseen.select(F.col("blob").alias("b"), F.col("holder").alias("h"))
         if seen is not None:
             unseen = written(unseen, "unseen")
-        holders = rows.join(unseen, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("h")), "left_semi")
+        holders = rows.join(unseen.hint("merge"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("h")), "left_semi")
         scan(holders.select("blob", "text"), part).write.mode("append").parquet(f"{ledger}/found")
         marks = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in part])).alias("k")
         unseen.select(F.col("b").alias("blob"), marks).select("blob", "k.rule", "k.version").write.mode("append").parquet(f"{ledger}/seen")
@@ -138,7 +138,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]", rules=BASE_RULES, ledger:
     update_ledger(docs, ledger, rules)
     text = F.col("doc").getField("text")
     rows = packed_rows(docs).withColumn("key", F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
-    joined = rows.join(_by_blob(spark, ledger, rules), F.col("key") == F.col("blob"), "left")
+    joined = rows.join(_by_blob(spark, ledger, rules).hint("merge"), F.col("key") == F.col("blob"), "left")
     # fold over the spans in order of start: what is kept before a span, then the mask, unless it starts inside the last one
     step = F.aggregate(
         "spans",

@@ -428,7 +428,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("_gs_bytes").alias("bytes")).where("n > 1")
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("n") / F.lit(block), F.least(F.col("n"), F.col("bytes") / F.lit(block_bytes)))).cast("int").alias("blocks"))
     members = written(members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("_gs_key"), F.col("blocks")).cast("int")), "members")
-    wanted = members.select(F.col("_gs_row").alias("r"), "_gs_key", "root", "blocks", "b")
+    wanted = members.select(F.col("_gs_row").alias("r"), "_gs_key", "root", "blocks", "b").hint("merge")  # alike at every size, and may spill
     texts = rows.select("_gs_row", body.alias("text")).join(wanted, F.col("_gs_row") == F.col("r"))
 
     @F.pandas_udf("binary")
@@ -455,7 +455,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     rows, classes = similar_documents(docs, **options)
     narrow = rows.select("_gs_row", "_gs_key", F.col("doc").getField("doc_id").alias("id")).join(classes, "_gs_key", "left")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_gs_row")).alias("m")
-    kept = narrow.groupBy(F.coalesce("class", "_gs_key").alias("c")).agg(first).select(F.col("m._gs_row").alias("k"))
+    kept = narrow.groupBy(F.coalesce("class", "_gs_key").alias("c")).agg(first).select(F.col("m._gs_row").alias("k")).hint("merge")
     return unpacked_rows(rows.join(kept, F.col("_gs_row") == F.col("k"), "left_semi"), docs.columns)
 
 
