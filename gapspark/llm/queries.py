@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from gapspark.llm.codes import OP11_SQL, op11_codes
 from gapspark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from gapspark.llm.html import op8_html
 from gapspark.llm.language import op6_language
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_tokens": op9_tokens,
     "op10_quality": op10_quality,
+    "op11_codes": op11_codes,
 }
 
 ORACLES = {
     "op2_secrets": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op11_codes": OP11_SQL,
 }
