@@ -109,6 +109,7 @@ def test_empty_tables(spark, tmp_path, nothing, name):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert run(spark, str(tmp_path), name) == []
 
 
