@@ -7,10 +7,11 @@ scores are a draw without replacement in proportion to exp(weight / 1000).
 
 Two passes read the texts. Each batch interns its n-grams in an open-addressed NumPy table: keys are xxhash64 of the
 n-gram's bytes, and bytes are compared before an occurrence counts as one of a slot, so equal hashes do no harm. A slot
-stores the bucket and the count, so crc32 is taken once for each distinct n-gram of a batch. The first pass adds up
-counts by bucket, the second lets the occurrences' slot ids gather their gains. Batches are cut by number of words, inside
-texts too, so that memory is bounded however long a text is. Between the passes stand `buckets` sums for each side, which
-is all that reaches the driver. The draw numbers narrow rows by ranges of score.
+stores the bucket and the count, so crc32 is taken once for each distinct n-gram of a batch. Both hashes are worked out for
+all n-grams of one length at once. The first pass adds up counts by bucket, the second lets the occurrences' slot ids
+gather their gains. Batches are cut by number of words, inside texts too, so that memory is bounded however long a text is.
+Between the passes stand `buckets` sums for each side, which is all that reaches the driver. The draw numbers narrow rows
+by ranges of score.
 
 Null texts and texts without words have no features and weight 0. Null ids are kept, their noise is that of an empty id and
 they come last among ties; repeated rows each have a row and may both be drawn. An empty benchmark makes all buckets of it
@@ -36,32 +37,95 @@ from gapspark.llm.common import table, written
 #: A-Z to lower case; digits, a-z and all of UTF-8's longer sequences stay; everything else separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words whose n-grams are interned together.
-BATCH = 100_000
+BATCH = 32_768
 
 
 class Interned:
     """The n-grams data[start:end] of one batch, interned: `slot` of each occurrence, and by slot `bucket` and `count`."""
 
-    def __init__(self, data: bytes, start: np.ndarray, end: np.ndarray, buckets: int, hashed=xxhash.xxh64_intdigest):
-        size = 1 << max(4, (2 * len(start)).bit_length())
-        self.owner = np.full(size, -1, np.int64)  # the occurrence that a slot was opened for
-        self.slot = np.empty(len(start), np.int64)
-        key = np.fromiter((hashed(data[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+    def __init__(self, data: bytes, start: np.ndarray, end: np.ndarray, buckets: int, hashed=None):
         lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from any place
-        at, left = (key & np.uint64(size - 1)).astype(np.int64), np.arange(len(start))
+        key = (hashed or hashes)(data, lanes, start, end - start)
+        size = 1 << max(4, (3 * len(start) // 2).bit_length())
+        owner = np.full(size, -1, np.int32)  # the occurrence that a slot was opened for
+        self.slot = np.empty(len(start), np.int32)
+        left = np.arange(len(start), dtype=np.int32)
+        at = (key & np.uint64(size - 1)).astype(np.int32)
         while len(left):
-            free = self.owner[at] < 0
-            self.owner[at[free]] = left[free]  # of several that want a slot, one stays
-            mine = self.owner[at]
+            free = owner[at] < 0
+            owner[at[free]] = left[free]  # of several that want a slot, one stays
+            mine = owner[at]
             same = key[mine] == key[left]
-            same[same] = _equal(lanes, start, end, mine[same], left[same])
+            met = np.flatnonzero(same & (mine != left))
+            same[met] = _equal(lanes, start, end, mine[met], left[met])
             self.slot[left[same]] = at[same]
             left, at = left[~same], (at[~same] + 1) & (size - 1)
         self.count = np.bincount(self.slot, minlength=size)
-        self.bucket = np.zeros(size, np.int64)
-        used = np.flatnonzero(self.owner >= 0)
-        first = self.owner[used]
-        self.bucket[used] = [zlib.crc32(data[a:b]) % buckets for a, b in zip(start[first].tolist(), end[first].tolist())]
+        self.bucket = np.zeros(size, np.int32)
+        used = np.flatnonzero(owner >= 0)
+        first = owner[used]
+        self.bucket[used] = checksums(data, start[first], end[first] - start[first]) % np.uint32(buckets)
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _by_length(size: np.ndarray, most: int) -> tuple[Iterator[tuple[int, np.ndarray]], np.ndarray]:
+    """(length, places of the slices of that length) from 1 to `most`, and the places of longer ones."""
+    order = np.argsort(np.minimum(size, most + 1).astype(np.int8), kind="stable")
+    cuts = np.searchsorted(np.minimum(size, most + 1)[order], np.arange(1, most + 2)).tolist()
+    return ((n, order[a:b]) for n, a, b in zip(range(1, most + 1), cuts, cuts[1:]) if a < b), order[cuts[-1] :]
+
+
+def hashes(data: bytes, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The xxhash64 of every slice: those of one length below 32 bytes together by NumPy, longer ones by the library."""
+    out = np.empty(len(start), np.uint64)
+    groups, long = _by_length(size, 31)
+    for n, own in groups:
+        at = start[own]
+        h = np.full(len(own), _P5 + np.uint64(n))
+        for k in range(n // 8):
+            h ^= _rotated(lanes[at + 8 * k] * _P2, 31) * _P1
+            h = _rotated(h, 27) * _P1 + _P4
+        if n % 8:
+            rest = lanes[at + n // 8 * 8]
+            if n % 8 >= 4:
+                h ^= (rest & np.uint64(0xFFFFFFFF)) * _P1
+                h = _rotated(h, 23) * _P2 + _P3
+            for k in range(n % 8 // 4 * 4, n % 8):
+                h ^= ((rest >> np.uint64(8 * k)) & np.uint64(255)) * _P5
+                h = _rotated(h, 11) * _P1
+        h ^= h >> np.uint64(33)
+        h *= _P2
+        h ^= h >> np.uint64(29)
+        h *= _P3
+        out[own] = h ^ (h >> np.uint64(32))
+    out[long] = np.fromiter((xxhash.xxh64_intdigest(data[a : a + n]) for a, n in zip(start[long].tolist(), size[long].tolist())), np.uint64, len(long))
+    return out
+
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def checksums(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The crc32 of every slice: those of one length up to 64 bytes together by NumPy, longer ones by the library."""
+    out = np.empty(len(start), np.uint32)
+    every = np.frombuffer(data, np.uint8)
+    groups, long = _by_length(size, 64)
+    for n, own in groups:
+        at = start[own]
+        c = np.full(len(own), 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            c = _CRC[(c ^ every[at + k]) & np.uint32(255)] ^ (c >> np.uint32(8))
+        out[own] = ~c
+    out[long] = [zlib.crc32(data[a : a + n]) for a, n in zip(start[long].tolist(), size[long].tolist())]
+    return out
 
 
 def _equal(lanes: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,7 +192,7 @@ def bucket_counts(texts: DataFrame, longest: int = 3, buckets: int = 10_000) ->
         for b in batches:
             for data, start, end, _, _ in batches_of(b.column(0).to_pylist(), longest):
                 seen = Interned(data, start, end, buckets)
-                np.add.at(total, seen.bucket, seen.count)
+                total += np.bincount(seen.bucket, seen.count, buckets).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
@@ -161,7 +225,7 @@ def weighted(docs: DataFrame, gain: np.ndarray, longest: int = 3, seed: int = 42
             n_words, n_features, weight = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for data, start, end, row, n in batches_of(b.column(1).to_pylist(), longest):
                 seen = Interned(data, start, end, buckets)
-                np.add.at(weight, row, gain[seen.bucket][seen.slot])
+                weight += np.bincount(row, gain[seen.bucket[seen.slot]], b.num_rows).astype(np.int64)  # exact below 2^53
                 n_features += np.bincount(row, minlength=b.num_rows)
                 n_words += np.bincount(row[:n], minlength=b.num_rows)
             score = weight + np.array([noise(i, seed) for i in b.column(0).to_pylist()], np.int64)

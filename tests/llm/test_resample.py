@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 from gapspark.llm import resample as R
 
@@ -41,13 +42,23 @@ def brute(docs, items, percent=5, least=20):
 def test_equal_hashes_do_no_harm():
     texts = ["a b a b a", "b a c " * 50, "é日本 a b", "x" * 40 + " " + "x" * 41]
     data, start, end, _, _ = next(R.batches_of(texts, 3))
-    for hashed in (lambda g: 7, lambda g: len(g), None):
-        seen = R.Interned(data, start, end, 10_000, *([hashed] if hashed else []))
+    for hashed in (lambda data, lanes, start, size: np.full(len(start), 7, np.uint64), lambda data, lanes, start, size: size.astype(np.uint64), None):
+        seen = R.Interned(data, start, end, 10_000, hashed)
         occurrences = [data[a:b] for a, b in zip(start, end)]
         assert {occurrences[k]: int(seen.count[s]) for k, s in enumerate(seen.slot)} == Counter(occurrences)
         assert all(seen.bucket[s] == zlib.crc32(g) % 10_000 for g, s in zip(occurrences, seen.slot))
 
 
+def test_hashes_are_those_of_the_library():
+    rng = random.Random(6)
+    data = bytes(rng.randrange(256) for _ in range(5000))
+    start = np.array([rng.randrange(4800) for _ in range(3000)])
+    size = np.array([rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 12, 15, 16, 24, 28, 31, 32, 33, 100]) for _ in range(3000)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    assert R.hashes(data, lanes, start, size).tolist() == [xxhash.xxh64_intdigest(data[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]
+    assert R.checksums(data, start, size).tolist() == [zlib.crc32(data[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]
+
+
 def test_batches_inside_texts():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 2, 3, 7, 8, 9, 40, 1)] + [None]
