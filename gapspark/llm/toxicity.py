@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapspark.llm.common import table
+from gapspark.llm.common import dropped, table, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -61,7 +61,7 @@ class Hasher:
         return np.fromiter(out, np.int32, len(out))
 
 
-def _minimised(f, x: np.ndarray, steps: int = 40, memory: int = 8) -> np.ndarray:
+def _minimised(f, x: np.ndarray, steps: int = 80, memory: int = 8) -> np.ndarray:
     """L-BFGS with backtracking; f gives value and gradient."""
     value, grad = f(x)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -88,7 +88,7 @@ def _minimised(f, x: np.ndarray, steps: int = 40, memory: int = 8) -> np.ndarray
             break
         s, y = -t * d, new_grad - grad
         x = x + s
-        done = value - new_value < 1e-5 * max(1.0, abs(value))
+        done = value - new_value < 1e-9 * max(1.0, abs(value))
         value, grad = new_value, new_grad
         if y @ s > 1e-12:
             pairs = [*pairs[1 - memory :], (s, y)]
@@ -109,7 +109,7 @@ def _fitted(rows: list[np.ndarray], earlier: np.ndarray, label: np.ndarray, size
     neg = np.bincount(at, minlength=size) - pos
     odds = np.log((pos + 0.5) / (label.sum() + 1)) - np.log((neg + 0.5) / (n - label.sum() + 1))
     odds[(pos + neg) < 2] = 0  # a word of one document says nothing about others
-    used = np.flatnonzero(np.abs(odds) > 1.5)
+    used = np.flatnonzero(np.abs(odds) > 0.7)
     column = np.full(size, -1)
     column[used] = np.arange(len(used))
     keep = column[at] >= 0
@@ -136,9 +136,16 @@ def _probability(model: tuple[np.ndarray, np.ndarray, float], rows: list[np.ndar
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _out_of_fold(rows: list[np.ndarray], earlier: np.ndarray, label: np.ndarray, fold: np.ndarray, f: int, bits: int, l2: float) -> np.ndarray:
+    """The probabilities of fold f's rows by a model of the other folds."""
+    mine, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+    m = _fitted([rows[i] for i in rest], earlier[rest], label[rest], 1 << bits, l2)
+    return _probability(m, [rows[i] for i in mine], earlier[mine])
+
+
 def _threshold(p: np.ndarray, label: np.ndarray) -> float:
     """The probability, a half or less, from which on predictions have the best F1; of equals the highest."""
-    grid = np.arange(50, 14, -1) / 100
+    grid = np.arange(50, 9, -1) / 100
     f1 = [2 * (label * (p >= t)).sum() / max(1.0, label.sum() + (p >= t).sum()) for t in grid]
     return float(grid[int(np.argmax(f1))])
 
@@ -164,9 +171,7 @@ class Chain:
             models.append(_fitted(rows, earlier, labels[:, k], 1 << bits, l2))
             p = np.zeros(len(rows))
             for f in np.unique(fold):
-                mine, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-                m = _fitted([rows[i] for i in rest], earlier[rest], labels[rest, k], 1 << bits, l2)
-                p[mine] = _probability(m, [rows[i] for i in mine], earlier[mine])
+                p[fold == f] = _out_of_fold(rows, earlier, labels[:, k], fold, f, bits, l2)
             thresholds.append(_threshold(p, labels[:, k]))
             earlier = np.column_stack([earlier, p])
         return cls(categories, bits, models, thresholds)
@@ -188,20 +193,35 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
             x = pa.array([h.places(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([x, b.column(1), b.column(2), b.column(3)], ["x", "y", "fold", "o"])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o", "x"])
-        chain = Chain.fitted(categories, [np.frombuffer(x, np.int32) for x in pdf["x"]], np.array(pdf["y"].tolist()), pdf["fold"].to_numpy(), bits, l2)
-        return pd.DataFrame([(k, np.flatnonzero(w).astype(np.int32).tobytes(), w[np.flatnonzero(w)].tobytes(), list(u), b, chain.thresholds[k]) for k, (w, u, b) in enumerate(chain.models)], columns=["k", "at", "w", "u", "b", "t"])
-
-    # one row of each doc_id, whatever repeats: at most `sample` rows are trained on in one task
+    # one row of each doc_id, whatever repeats
     told = rows.mapInArrow(featured, "x binary, y array<double>, fold int, o long").groupBy("o").agg(F.min(F.struct("x", "y", "fold")).alias("r")).select("o", "r.*")
-    found = told.groupBy().applyInPandas(fit, "k int, at binary, w binary, u array<double>, b double, t double").collect()  # a row for each category
-    models, thresholds = [], []
-    for r in sorted(found, key=lambda r: r.k):
-        words = np.zeros(1 << bits, np.float32)
-        words[np.frombuffer(r.at, np.int32)] = np.frombuffer(r.w, np.float32)
-        models.append((words, np.array(r.u, float), r.b))
-        thresholds.append(r.t)
+    told = written(told, "toxicity_features")
+    each = told.withColumn("f", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))))
+    models, thresholds, earlier = [], [], {}
+    for k in range(len(categories)):
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            """The model of all rows (f is -1), or the probabilities of fold f's rows: one task each, of `sample` rows at most."""
+            pdf = pdf.sort_values(["o", "x"]).reset_index(drop=True)
+            f, fold, label = int(pdf["f"].iloc[0]), pdf["fold"].to_numpy(), np.array(pdf["y"].tolist())[:, k]
+            x, before = [np.frombuffer(v, np.int32) for v in pdf["x"]], np.array([earlier[o] if k else () for o in pdf["o"]], float).reshape(len(pdf), k)
+            if f >= 0:
+                mine = pdf[fold == f]
+                p = _out_of_fold(x, before, label, fold, f, bits, l2) if len(mine) else []
+                return pd.DataFrame({"o": mine["o"], "p": p, "y": label[fold == f], "at": None, "w": None, "u": None, "b": None})
+            w, u, b = _fitted(x, before, label, 1 << bits, l2)
+            return pd.DataFrame([(None, None, None, np.flatnonzero(w).astype(np.int32).tobytes(), w[np.flatnonzero(w)].tobytes(), list(u), b)], columns=["o", "p", "y", "at", "w", "u", "b"])
+
+        found = each.groupBy("f").applyInPandas(fit, "o long, p double, y double, at binary, w binary, u array<double>, b double").collect()  # `sample` numbers and a model
+        for r in found:
+            if r.o is None:
+                words = np.zeros(1 << bits, np.float32)
+                words[np.frombuffer(r.at, np.int32)] = np.frombuffer(r.w, np.float32)
+                models.append((words, np.array(r.u, float), r.b))
+        own = [r for r in found if r.o is not None]
+        thresholds.append(_threshold(np.array([r.p for r in own]), np.array([r.y for r in own])))
+        earlier = {r.o: (*earlier.get(r.o, ()), r.p) for r in own}
+    dropped(told)
     if not models:
         thresholds = [0.5] * len(categories)
         models = [(np.zeros(1 << bits, np.float32), np.zeros(k), -50.0) for k in range(len(categories))]
