@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: each category's linear model also sees the probabilities of the categories before it.
 
 Features are the distinct lower-case words of a whole text and their first 3 to 8 letters, and in steps the shares of
-capital words and exclamation marks, all hashed, each weighed by its log-odds for the category (so words
+capital words, exclamation marks, words said twice in a row and marks that prose has little of, all hashed, each weighed by its log-odds for the category (so words
 that say nothing weigh nothing), and the earlier categories' probabilities. The models are logistic, with L2
 regularisation. While training, the earlier probabilities of a document come from models that have not seen it (out-of-fold
 over `folds` folds by hash of doc_id); in prediction they come from the final models, category by category. A category is
@@ -31,6 +31,9 @@ from gapspark.llm.common import dropped, table, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Marks that prose has little of, and the shares of the words from which on a text counts as repeating itself, marked and so on.
+MARKS = "#*$%&<>^~=+@"
+STEPS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
 
 
 class Hasher:
@@ -54,10 +57,12 @@ class Hasher:
             if at is None:
                 at = known[w] = [self._place(w), *[self._place(f"{w[:n]}*") for n in PREFIXES if len(w) > n]]
             out.update(at)
-        if words:  # how much is shouted, in steps
+        if words:  # how much is shouted, repeated and marked, in steps
             loud = sum(w.isupper() for w in words if len(w) > 1) / len(words)
             out.add(self._place(f"#upper {int(loud * 10)}"))
             out.add(self._place(f"#bang {int(min(1.0, text.count('!') / len(words)) * 10)}"))
+            shares = {"again": sum(map(str.__eq__, words, words[1:])), "mark": sum(map(text.count, MARKS)), "bar": text.count("|"), "stress": text.count("!!"), "loud": loud * len(words)}
+            out.update(self._place(f"#{name} from {least}") for name, n in shares.items() for least in STEPS if n >= least * len(words))
         return np.fromiter(out, np.int32, len(out))
 
 

@@ -101,3 +101,14 @@ def test_query_finds_held_out_toxic_documents(spark, tmp_path, labelled):
     rows = X.op5_toxicity(spark, str(tmp_path)).collect()
     held = [(r.toxic, r.doc_id % 4 == 0) for r in rows if r.doc_id % 5 == 1]
     assert len(rows) == 600 and sum(a and b for a, b in held) >= 0.9 * sum(b for _, b in held) and not any(a and not b for a, b in held)
+
+
+def test_texts_that_repeat_or_mark_are_told_by_their_shares():
+    h = X.Hasher(18)
+    plain = "some words that are all different here and said once"
+    extra = lambda text: len(h.places(text)) - len(h.places(text.translate({ord(c): None for c in X.MARKS + "!|"})))
+    assert extra(plain) == 0
+    assert extra(plain.replace(" ", "%%% ")) == len(X.STEPS) == extra(plain.replace(" ", " | "))
+    twice = h.places(" ".join(w for w in plain.split() for _ in range(3)))
+    assert len(set(twice) - set(h.places(plain))) == len(X.STEPS)
+    assert len(h.places("")) == len(h.places(None)) == 0
