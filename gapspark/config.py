@@ -117,13 +117,16 @@ class ClusteringConfig:
     random_state: int = 42
     distance_metric: str = "cosine"  # or euclidean
     n_keyword_subclusters: int | None = None
-    local_rows: int = 5000  # up to so many rows one task clusters exactly; beyond, Spark ML does
+    init: str = "k-means||"  # or random: the first rows in order of MD5
+    task_rows: int = 4096  # sets of up to so many rows are clustered inside a task; moves work, not results
 
     def __post_init__(self) -> None:
         if self.k_min < 2 or self.k_max < self.k_min:
             raise ValueError("2 <= k_min <= k_max must hold")
         if self.n_clusters is not None and self.n_clusters < 2:
             raise ValueError("n_clusters must be 2 or more, or None")
+        if self.init not in ("k-means||", "random"):
+            raise ValueError(f"unknown init {self.init!r}")
         if self.k_selection not in ("auto", "elbow", "silhouette", "fixed"):
             raise ValueError(f"unknown k_selection {self.k_selection!r}")
         if self.distance_metric not in ("cosine", "euclidean"):

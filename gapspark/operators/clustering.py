@@ -1,8 +1,4 @@
-"""k-means, the choice of k, quality indices and centroids.
-
-Up to ClusteringConfig.local_rows vectors are clustered by plain Lloyd steps in one task for each (k, start), which is exact
-and repeatable; beyond, Spark ML's distributed KMeans runs with as many seeds. The silhouette is exact at every size. The path taken is part of the result.
-"""
+"""The choice of k, quality indices and centroids; operators/kmeans.py has the k-means itself."""
 
 from __future__ import annotations
 
@@ -16,6 +12,7 @@ from pyspark.sql import functions as F
 from gapspark.config import ClusteringConfig
 from gapspark.functions.order import numbered
 from gapspark.functions.vectors import cosine_similarity, distance, mean_vectors
+from gapspark.operators import kmeans
 
 
 def rank_by_similarity(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -33,94 +30,6 @@ def nearest(vectors: DataFrame, query: list[float], n: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy("query_distance", "row_id")).cast("long"))
 
 
-def _lloyd(x: np.ndarray, centres: np.ndarray, steps: int = 300, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    bound = tol * x.var(axis=0).mean()
-    for _ in range(steps):
-        d = ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :]).clip(0)
-        label = d.argmin(1)
-        new = np.zeros_like(centres)
-        np.add.at(new, label, x)
-        n = np.bincount(label, minlength=len(centres))
-        far = np.argsort(-d[np.arange(len(x)), label])
-        for k, row in zip(np.flatnonzero(n == 0), far):  # an empty cluster takes the farthest point
-            new[k], n[k] = x[row], 1
-        new /= n[:, None]
-        moved = ((new - centres) ** 2).sum()
-        centres = new
-        if moved <= bound:
-            break
-    d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2) if len(x) * len(centres) * x.shape[1] < 5e7 else ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :]).clip(0)
-    label = d.argmin(1)
-    return label, centres, float(d[np.arange(len(x)), label].sum())
-
-
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ starting centres, with a few candidates a step."""
-    tries = 2 + int(np.log(k))
-    centres = [x[rng.integers(len(x))]]
-    d = ((x - centres[0]) ** 2).sum(1)
-    for _ in range(1, k):
-        p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
-        picks = rng.choice(len(x), size=tries, p=p)
-        options = [np.minimum(d, ((x - x[i]) ** 2).sum(1)) for i in picks]
-        best = int(np.argmin([o.sum() for o in options]))
-        centres.append(x[picks[best]])
-        d = options[best]
-    return np.array(centres)
-
-
-def local_kmeans(x: np.ndarray, k: int, n_init: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Labels, centroids and inertia of the best of n_init starts."""
-    best = None
-    for start in range(n_init):
-        found = _lloyd(x, _plus_plus(x, k, np.random.default_rng([seed, k, start])))
-        if best is None or found[2] < best[2] - 1e-12:
-            best = found
-    # labels in order of first appearance do not depend on the start
-    order = {old: new for new, old in enumerate(dict.fromkeys(best[0].tolist()))}
-    rank = [order.get(c, len(order)) for c in range(k)]
-    centres = best[1][np.argsort(rank, kind="stable")]
-    return np.array([order[c] for c in best[0].tolist()]), centres, best[2]
-
-
-def local_silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    names = np.unique(label)
-    if len(names) < 2 or len(names) >= len(x):
-        return -1.0
-    sums = np.zeros((len(x), len(names)))
-    for i in range(0, len(x), 512):  # blocks keep memory linear
-        d = np.sqrt(np.maximum(0, ((x[i : i + 512, None, :] - x[None, :, :]) ** 2).sum(2)))
-        for j, c in enumerate(names):
-            sums[i : i + 512, j] = d[:, label == c].sum(1)
-    n = np.array([(label == c).sum() for c in names])
-    own = np.searchsorted(names, label)
-    a = sums[np.arange(len(x)), own] / np.maximum(1, n[own] - 1)
-    other = sums / n
-    other[np.arange(len(x)), own] = np.inf
-    b = other.min(1)
-    return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
-
-
-def local_quality(points: DataFrame) -> dict:
-    """The three indices of at most local_rows points(cluster, vector)."""
-    rows = points.select("cluster", "vector").collect()
-    x, label = np.array([r.vector for r in rows], float), np.array([r.cluster for r in rows])
-    names = np.unique(label)
-    if len(names) < 2:
-        return {}
-    centre = np.array([x[label == c].mean(0) for c in names])
-    n = np.array([(label == c).sum() for c in names])
-    spread = np.array([np.linalg.norm(x[label == c] - m, axis=1).mean() for c, m in zip(names, centre)])
-    apart = np.linalg.norm(centre[:, None, :] - centre[None, :, :], axis=2)
-    np.fill_diagonal(apart, np.inf)
-    with np.errstate(divide="ignore"):
-        worst = ((spread[:, None] + spread[None, :]) / apart).max(1).mean()
-    within = sum(((x[label == c] - m) ** 2).sum() for c, m in zip(names, centre))
-    between = (n * ((centre - x.mean(0)) ** 2).sum(1)).sum()
-    ratio = (between / (len(names) - 1)) / (within / (len(x) - len(names))) if within > 0 and len(x) > len(names) else None
-    return {"silhouette": local_silhouette(x, label), "davies_bouldin": float(worst), "calinski_harabasz": None if ratio is None else float(ratio)}
-
-
 def elbow(ks: list[int], wcss: list[float]) -> int | None:
     """The knee of a decreasing convex curve (Kneedle, Satopaa et al. 2011, sensitivity 1); None below three points or without one."""
     if len(ks) < 3:
@@ -155,18 +64,14 @@ class KSelection:
         return spark.createDataFrame([(int(k), float(w), float(s)) for k, w, s in zip(self.k_range, self.wcss, self.silhouette)], "k int, wcss double, silhouette double")
 
 
-def _ml(vectors: DataFrame, k: int, config: ClusteringConfig):
-    """The best of n_init seeds of Spark ML's KMeans: (model, frame with a features column)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _fits(vectors: DataFrame, ks: list[int], config: ClusteringConfig) -> kmeans.Fits:
+    """A fit for each k of vectors(row_id, vector), named by its k."""
+    jobs = vectors.sparkSession.createDataFrame([(0, k, k, config.random_state) for k in ks], "scope int, fit int, k int, seed long")
+    return kmeans.fitted(vectors.select(F.lit(0).alias("scope"), "row_id", "vector"), jobs, config.n_init, config.distance_metric, config.init, config.task_rows)
 
-    ready = vectors.withColumn("_gs_features", array_to_vector("vector"))
-    models = [KMeans(k=k, featuresCol="_gs_features", predictionCol="cluster", seed=config.random_state + s, maxIter=300).fit(ready) for s in range(config.n_init)]
-    return min(models, key=lambda m: m.summary.trainingCost), ready
 
-
-def select_k(vectors: DataFrame, config: ClusteringConfig) -> KSelection:
-    """The number of clusters of vectors(row_id, vector); one task for each (k, start)."""
+def _selected(vectors: DataFrame, config: ClusteringConfig) -> tuple[KSelection, kmeans.Fits | None]:
+    """The number of clusters, and the fits it was chosen from (None if there was no choice)."""
     n = vectors.count()
     if n < 2:
         raise ValueError("clustering needs two rows or more")
@@ -174,32 +79,18 @@ def select_k(vectors: DataFrame, config: ClusteringConfig) -> KSelection:
         if config.n_clusters is None:
             raise ValueError("k_selection 'fixed' needs n_clusters")
         k = min(config.n_clusters, n)
-        return KSelection(k, [k])
+        return KSelection(k, [k]), None
     ks = list(range(config.k_min, min(config.k_max, n - 1) + 1))
     if not ks:
-        return KSelection(min(2, n), rule="degenerate")
-    spark = vectors.sparkSession
-    if n <= config.local_rows:
-        x = _matrix(vectors)
-        shared = spark.sparkContext.broadcast(x)  # local_rows vectors at most
-        starts, seed = config.n_init, config.random_state
-
-        def one(rows):
-            for pdf in rows:
-                out = []
-                for k in pdf["k"]:
-                    label, _, inertia = local_kmeans(shared.value, int(k), starts, seed)
-                    out.append((int(k), inertia, local_silhouette(shared.value, label)))
-                yield pd.DataFrame(out, columns=["k", "wcss", "silhouette"])
-
-        grid = spark.createDataFrame([(k,) for k in ks], "k int").repartition(len(ks), "k")
-        found = {r.k: (r.wcss, r.silhouette) for r in grid.mapInPandas(one, "k int, wcss double, silhouette double").collect()}  # k_max rows
-    else:
-        found = {}
-        for k in ks:
-            model, ready = _ml(vectors, k, config)
-            found[k] = (model.summary.trainingCost, silhouette(model.transform(ready).select("row_id", "cluster", "vector")).first()[0])
-    wcss, sil = [found[k][0] for k in ks], [found[k][1] for k in ks]
+        return KSelection(min(2, n), rule="degenerate"), None
+    fits = _fits(vectors, ks, config)
+    cost = {r.fit: r.cost for r in fits.best.select("fit", "cost").collect()}  # k_max rows
+    told = {r.fit: r.silhouette for r in silhouettes(vectors.select(F.lit(0).alias("scope"), "row_id", "vector"), fits.labels).collect()}
+    return choice(ks, [cost[k] for k in ks], [told[k] for k in ks], config), fits
+
+
+def choice(ks: list[int], wcss: list[float], sil: list[float], config: ClusteringConfig) -> KSelection:
+    """The number of clusters by the configured rule, from the cost and the silhouette of each."""
     k_elbow, k_sil = elbow(ks, wcss), ks[int(np.argmax(sil))]
     middle = ks[len(ks) // 2]
     if config.k_selection == "elbow":
@@ -211,9 +102,9 @@ def select_k(vectors: DataFrame, config: ClusteringConfig) -> KSelection:
     return KSelection(k, ks, wcss, sil, k_elbow, k_sil, rule)
 
 
-def _matrix(vectors: DataFrame) -> np.ndarray:
-    """At most local_rows vectors in order of row_id, on the driver."""
-    return np.array([r.vector for r in vectors.select("row_id", "vector").orderBy("row_id").collect()], float)
+def select_k(vectors: DataFrame, config: ClusteringConfig) -> KSelection:
+    """The number of clusters of vectors(row_id, vector); every (k, start) is a key of one plan."""
+    return _selected(vectors, config)[0]
 
 
 @dataclass
@@ -222,7 +113,6 @@ class Clusters:
     centroids: DataFrame  # cluster, centroid
     selection: KSelection
     inertia: float
-    path: str
 
     @property
     def sizes(self) -> DataFrame:
@@ -231,24 +121,12 @@ class Clusters:
 
 def fit_kmeans(vectors: DataFrame, config: ClusteringConfig) -> Clusters:
     """k-means of vectors(row_id, vector), with distances to the own centroid in the configured metric."""
-    selection = select_k(vectors, config)
-    spark, n = vectors.sparkSession, vectors.count()
-    k = max(1, min(max(2, selection.k), n))
-    if n <= config.local_rows:
-        rows = [r.row_id for r in vectors.select("row_id").orderBy("row_id").collect()]
-        label, centres, inertia = local_kmeans(_matrix(vectors), k, config.n_init, config.random_state)
-        kind = vectors.schema["row_id"].dataType.simpleString()
-        labels = spark.createDataFrame([(r, int(c)) for r, c in zip(rows, label)], f"row_id {kind}, cluster int")
-        centroids = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cluster int, centroid array<double>")
-        path = "local"
-    else:
-        model, ready = _ml(vectors, k, config)
-        labels = model.transform(ready).select("row_id", "cluster")
-        centroids = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
-        inertia, path = model.summary.trainingCost, "distributed"
-    placed = vectors.join(labels, "row_id").join(F.broadcast(centroids), "cluster")  # k vectors
-    assignment = placed.select("row_id", "cluster", distance(F.col("vector"), F.col("centroid"), config.distance_metric).alias("distance_from_centroid"))
-    return Clusters(assignment, centroids, selection, inertia, path)
+    selection, fits = _selected(vectors, config)
+    fits = fits or _fits(vectors, [selection.k], config)
+    best = fits.best.where(F.col("fit") == selection.k)
+    centroids = best.select(F.posexplode("centres").alias("cluster", "centroid")).select(F.col("cluster").cast("int").alias("cluster"), "centroid")
+    assignment = fits.labels.where(F.col("fit") == selection.k).select("row_id", "cluster", F.col("distance").alias("distance_from_centroid"))
+    return Clusters(assignment, centroids, selection, best.first().cost)
 
 
 def lloyd_steps(vectors: DataFrame, centroids: DataFrame, steps: int) -> DataFrame:
@@ -263,35 +141,69 @@ def lloyd_steps(vectors: DataFrame, centroids: DataFrame, steps: int) -> DataFra
         now = mean_vectors(vectors.join(nearest_of, "row_id"), ["cluster"])
 
 
-def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
-    """One row: the mean silhouette (Euclidean) of points(row_id, cluster, vector). Exact, so quadratic in the points.
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to all of b, by one matrix product; where that cancels, by differences."""
+    size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    d = (size - 2 * (a @ b.T)).clip(0)
+    i, j = np.nonzero(d < 1e-8 * size)
+    for at in range(0, len(i), 16_384):
+        rows, columns = i[at : at + 16_384], j[at : at + 16_384]
+        d[rows, columns] = ((a[rows] - b[columns]) ** 2).sum(1)
+    return np.sqrt(d)
+
+
+def distance_sums(a: np.ndarray, b: np.ndarray, labels: np.ndarray, k: int, rows: int = 512) -> np.ndarray:
+    """For each row of a and each cluster the sum of distances to b's rows of it; labels: one row for each labelling of b.
 
-    Points are cut into blocks of about `block`; each ordered pair of blocks is one group, which leaves a sum of distances for
-    each of its points and clusters.
+    A slice of `rows` rows at a time, so the memory is that of rows x len(b) numbers whatever the dimensions.
     """
-    n = max(1, -(-points.count() // block))
-    mine = points.select("row_id", "cluster", "vector", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
-    dealt = mine.select("row_id", "cluster", "vector", F.lit(0).alias("side"), F.col("b").alias("x"), F.col("o").alias("y")).unionByName(mine.select("row_id", "cluster", "vector", F.lit(1).alias("side"), F.col("o").alias("x"), F.col("b").alias("y")))
-    kinds = {c: points.schema[c].dataType.simpleString() for c in ("row_id", "cluster")}
+    held = [np.eye(k)[own] for own in labels]
+    return np.concatenate([np.stack([d @ h for h in held]) for at in range(0, len(a), rows) for d in [distances(a[at : at + rows], b)]], axis=1)
+
+
+def silhouettes(points: DataFrame, labels: DataFrame, block: int = 2048) -> DataFrame:
+    """scope, fit, silhouette: the mean silhouette (Euclidean) of every labelling of points(scope, row_id, vector) by labels(scope, row_id, fit, cluster).
+
+    Exact, so quadratic in the points of a scope, but once for all its labellings: points are cut into blocks of about
+    `block`, and each ordered pair of blocks is one group, which measures its distances and leaves their sums for each point,
+    labelling and cluster. -1 for a labelling with one cluster only, or as many as points. Clusters are numbers from 0.
+    """
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("scope", "row_id")}
+    of = labels.groupBy("scope", "row_id").agg(F.array_sort(F.collect_list(F.struct("fit", "cluster"))).alias("own"))
+    sizes = points.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    placed = points.join(of, ["scope", "row_id"]).join(sizes, "scope").withColumn("b", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    mine = placed.select("scope", "row_id", "vector", F.transform("own", lambda o: o["fit"]).alias("fits"), F.transform("own", lambda o: o["cluster"]).alias("own"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    each = ["scope", "row_id", "vector", "fits", "own"]
+    dealt = mine.select(*each, F.lit(0).alias("side"), F.col("b").alias("x"), F.col("o").alias("y")).unionByName(mine.select(*each, F.lit(1).alias("side"), F.col("o").alias("x"), F.col("b").alias("y")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        xa, xb = (np.array(t["vector"].tolist(), float) for t in (a, b))
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in ("scope", "row_id", "fit", "ci", "cj", "s", "n")})
+        fits, la, lb = a["fits"].iloc[0], np.array(a["own"].tolist(), int).T, np.array(b["own"].tolist(), int).T
+        k = int(max(la.max(), lb.max())) + 1
+        total = distance_sums(np.array(a["vector"].tolist(), float), np.array(b["vector"].tolist(), float), lb, k)
+        same = pdf["x"].iloc[0] == pdf["y"].iloc[0]
         out = []
-        names = b["cluster"].unique()
-        ids, ida, own = b["row_id"].to_numpy(), a["row_id"].to_numpy(), a["cluster"].to_numpy()
-        for lo in range(0, len(a) if len(b) else 0, 64):
-            d = np.sqrt(((xa[lo : lo + 64, None, :] - xb[None, :, :]) ** 2).sum(2))
-            other = ids[None, :] != ida[lo : lo + 64, None]
-            for c in names:
-                met = other & (b["cluster"].to_numpy() == c)[None, :]
-                out.append(pd.DataFrame({"i": ida[lo : lo + 64], "ci": own[lo : lo + 64], "cj": c, "s": (d * met).sum(1), "n": met.sum(1)}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "ci": [], "cj": [], "s": [], "n": []})
-
-    parts = dealt.groupBy("x", "y").applyInPandas(run, f"i {kinds['row_id']}, ci {kinds['cluster']}, cj {kinds['cluster']}, s double, n long")
-    sums = parts.groupBy("i", "ci", "cj").agg((F.try_divide(F.sum("s"), F.sum("n"))).alias("d")).where("d is not null")
-    each = sums.groupBy("i").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
-    return each.agg(F.avg(F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)).alias("silhouette"))
+        for f, fit in enumerate(fits):
+            n = np.tile(np.bincount(lb[f], minlength=k), (len(a), 1))
+            n[np.arange(len(a)), la[f]] -= int(same)  # a point is no neighbour of itself
+            i, c = np.nonzero(n)
+            out.append(pd.DataFrame({"scope": a["scope"].iloc[0], "row_id": a["row_id"].to_numpy()[i], "fit": fit, "ci": la[f][i], "cj": c, "s": total[f][i, c], "n": n[i, c]}))
+        return pd.concat(out)
+
+    parts = dealt.groupBy("scope", "x", "y").applyInPandas(run, f"scope {kinds['scope']}, row_id {kinds['row_id']}, fit int, ci int, cj int, s double, n long")
+    sums = parts.groupBy("scope", "fit", "row_id", "ci", "cj").agg((F.sum("s") / F.sum("n")).alias("d"))
+    near = sums.groupBy("scope", "fit", "row_id", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
+    each_s = F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    found = near.groupBy("scope", "fit").agg(F.avg(each_s).alias("s"), F.count(F.lit(1)).alias("n"), F.size(F.collect_set("ci")).alias("k"))  # k numbers
+    return found.select("scope", "fit", F.when((F.col("k") < 2) | (F.col("k") >= F.col("n")), -1.0).otherwise(F.col("s")).alias("silhouette"))
+
+
+def silhouette(points: DataFrame) -> DataFrame:
+    """One row: the mean silhouette (Euclidean) of points(row_id, cluster, vector), exact at every size; clusters are numbers from 0."""
+    one = points.select(F.lit(0).alias("scope"), "row_id", "vector", F.lit(0).alias("fit"), F.col("cluster").cast("int").alias("cluster"))
+    return silhouettes(one.select("scope", "row_id", "vector"), one.select("scope", "row_id", "fit", "cluster")).select("silhouette")
 
 
 def davies_bouldin(points: DataFrame) -> DataFrame:
@@ -314,6 +226,21 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
     return s.select(((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
 
 
+def indices(points: DataFrame) -> dict[str, float | None]:
+    """Davies-Bouldin and Calinski-Harabasz of points(cluster, vector), from one row for each cluster."""
+    met = points.select("cluster", "vector").join(F.broadcast(mean_vectors(points, ["cluster"])), "cluster")  # k vectors
+    d = distance(F.col("vector"), F.col("centroid"), "euclidean")
+    rows = met.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("s"), F.sum(d * d).alias("w"), F.first("centroid").alias("m")).collect()
+    m, n, s, within = np.array([r.m for r in rows], float), np.array([r.n for r in rows]), np.array([r.s for r in rows]), sum(r.w for r in rows)
+    apart = np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(2))
+    np.fill_diagonal(apart, np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        worst = ((s[:, None] + s[None, :]) / apart).max(1).mean()
+    between = (n * ((m - (n[:, None] * m).sum(0) / n.sum()) ** 2).sum(1)).sum()
+    free = n.sum() - len(rows)
+    return {"davies_bouldin": float(worst), "calinski_harabasz": float((between / (len(rows) - 1)) / (within / free)) if within > 0 and free > 0 and len(rows) > 1 else None}
+
+
 def centroid_similarity(centroids: DataFrame) -> DataFrame:
     """left, right, similarity of all pairs of centroids: k times k rows."""
     a = centroids.select(F.col("cluster").alias("left"), F.col("centroid").alias("a"))
@@ -326,36 +253,14 @@ def default_subclusters(n: int) -> int:
 
 
 def fit_subclusters(space: DataFrame, config: ClusteringConfig) -> DataFrame:
-    """space(cluster, keyword, vector, centrality, ...) with subcluster and distance: one task a cluster's keywords.
+    """space(cluster, keyword, vector, centrality, ...) with subcluster and distance: the clusters are scopes of one k-means.
 
-    A scope of fewer than 4 keywords is not divided: label 0, and the centrality is the distance. A scope is the distinct
-    keywords of one cluster; scopes above local_rows go to the distributed k-means instead.
+    A scope of fewer than 4 keywords is not divided: label 0, and the centrality is the distance.
     """
-    n_sub, n_init, seed, metric, most = config.n_keyword_subclusters, config.n_init, config.random_state, config.distance_metric, config.local_rows
-    sizes = space.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    large = [(r.cluster, r.n) for r in sizes.where(F.col("n") > most).collect()]  # clusters too large for a task: a handful
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("keyword").reset_index(drop=True)
-        x = np.array(pdf["vector"].tolist(), float)
-        if len(pdf) < 4:
-            return pd.DataFrame({"cluster": pdf["cluster"], "keyword": pdf["keyword"], "subcluster": 0, "distance": pdf["centrality"]})
-        label, centres, _ = local_kmeans(x, min(n_sub or default_subclusters(len(x)), len(x)), n_init, seed)
-        own = centres[label]
-        if metric == "cosine":
-            n = np.linalg.norm(x, axis=1) * np.linalg.norm(own, axis=1)
-            d = 1 - (x * own).sum(1) / np.where(n > 0, n, 1)
-        else:
-            d = np.linalg.norm(x - own, axis=1)
-        return pd.DataFrame({"cluster": pdf["cluster"], "keyword": pdf["keyword"], "subcluster": label.astype("int32"), "distance": d})
-
-    kind = space.schema["cluster"].dataType.simpleString()
-    small = space if not large else space.where(~F.col("cluster").isin([c for c, _ in large]))
-    parts = small.select("cluster", "keyword", "vector", "centrality").groupBy("cluster").applyInPandas(run, f"cluster {kind}, keyword string, subcluster int, distance double")
-    for cluster, n in large:
-        own = space.where(F.col("cluster") == cluster).select(F.col("keyword").alias("row_id"), "vector")
-        from dataclasses import replace
-
-        fitted = fit_kmeans(own, replace(config, n_clusters=n_sub or default_subclusters(n)))
-        parts = parts.unionByName(fitted.assignment.select(F.lit(cluster).cast(kind).alias("cluster"), F.col("row_id").alias("keyword"), F.col("cluster").cast("int").alias("subcluster"), F.col("distance_from_centroid").alias("distance")))
-    return space.join(parts, ["cluster", "keyword"])
+    points = space.select(F.col("cluster").alias("scope"), F.col("keyword").alias("row_id"), "vector")
+    n = points.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    k = F.lit(config.n_keyword_subclusters) if config.n_keyword_subclusters else F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.sqrt("n"))))
+    jobs = n.select("scope", F.lit(0).alias("fit"), F.least(k, "n").cast("int").alias("k"), F.lit(config.random_state).cast("long").alias("seed"))
+    labels = kmeans.fitted(points, jobs, config.n_init, config.distance_metric, config.init, config.task_rows).labels
+    own = labels.select(F.col("scope").alias("cluster"), F.col("row_id").alias("keyword"), F.col("cluster").alias("subcluster"), "distance")
+    return space.join(own, ["cluster", "keyword"], "left").withColumns({"subcluster": F.coalesce("subcluster", F.lit(0)), "distance": F.coalesce("distance", "centrality")})

@@ -86,15 +86,11 @@ def build_spaces(bag: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
     return rows.join(F.broadcast(centres), "cluster").withColumn("centrality", distance(F.col("vector"), F.col("centroid"), metric)).drop("centroid")
 
 
-def quality(points: DataFrame, k: int, local_rows: int) -> dict:
-    """Silhouette, Davies-Bouldin and Calinski-Harabasz; empty for one cluster. Up to local_rows points they are computed in one
-    place; beyond, Spark does it by blocks, with the same results."""
-    n = points.count()
-    if k < 2 or n <= k:
+def quality(points: DataFrame, k: int) -> dict:
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz of points(row_id, cluster, vector), exact; empty for one cluster."""
+    if k < 2 or points.count() <= k:
         return {}
-    if n <= local_rows:
-        return C.local_quality(points) | {"silhouette_exact": True}
-    return {"silhouette": C.silhouette(points).first()[0], "silhouette_exact": True, "davies_bouldin": C.davies_bouldin(points).first()[0], "calinski_harabasz": C.calinski_harabasz(points).first()[0]}
+    return {"silhouette": C.silhouette(points).first()[0]} | C.indices(points)
 
 
 def separation_warning(found: dict, k: int, what: str) -> str | None:
@@ -112,7 +108,7 @@ def _warned(diagnostics: dict, *messages: str | None) -> None:
 
 def _diagnostics(p: Prepared, clusters: C.Clusters, found: dict, config: RunConfig) -> dict:
     return {
-        "n_clusters": clusters.centroids.count(), "cluster_quality": found, "clustering_path": clusters.path, "k_selection": dataclasses.asdict(clusters.selection),
+        "n_clusters": clusters.centroids.count(), "cluster_quality": found, "k_selection": dataclasses.asdict(clusters.selection),
         "distance_metric": config.clustering.distance_metric, "core_domain_terms": sorted(r.keyword for r in p.core.collect()),  # fewer than 1/share records' worth
         "tfidf_match_statistics": {r.match_type: r.n for r in match_statistics(p.salient).collect()}, "corpus": p.corpus.summary().first().asDict(), "ranking": p.ranking,
     }
@@ -155,7 +151,7 @@ def articles_first(corpus: Corpus, config: RunConfig | None = None, labeler: Lab
     table = D.with_global_frequency(D.with_salience(space.drop("vector", "first"), p.salient), p.frequencies).join(p.core.select("keyword", F.lit(True).alias("is_core_domain")), "keyword", "left")
     table = table.withColumns({"is_core_domain": F.coalesce("is_core_domain", F.lit(False)), "n_tokens": token_count(F.col("keyword"))}).join(F.broadcast(labels), "cluster", "left").withColumnRenamed("cluster", "article_cluster")
     points = article_vectors.join(clusters.assignment.select("row_id", "cluster"), "row_id")
-    q = quality(points, clusters.centroids.count(), config.clustering.local_rows)
+    q = quality(points, clusters.centroids.count())
     gaps = materialized(gaps, "gaps")
     told = _diagnostics(p, clusters, q, config) | {"gaps_before_deduplication": found.count(), "gaps_after_deduplication": gaps.count(), "skipped_clusters": skipped}
     _warned(told, separation_warning(q, told["n_clusters"], "article"))
@@ -199,7 +195,7 @@ def keywords_first(corpus: Corpus, config: RunConfig | None = None, labeler: Lab
     table = D.with_salience(space.drop("first"), p.salient).withColumn("global_frequency", F.col("frequency")).join(p.core.select("keyword", F.lit(True).alias("is_core_domain")), "keyword", "left")
     table = table.withColumns({"is_core_domain": F.coalesce("is_core_domain", F.lit(False)), "n_tokens": token_count(F.col("keyword"))}).join(F.broadcast(labels), "cluster", "left")
     points = keyword_vectors.join(own.select("keyword", "cluster"), "keyword").withColumnRenamed("keyword", "row_id")
-    q = quality(points, clusters.centroids.count(), config.clustering.local_rows)
+    q = quality(points, clusters.centroids.count())
     told = _diagnostics(p, clusters, q, config) | {"max_keyword_frequency": config.gaps.max_keyword_frequency}
     _warned(told, separation_warning(q, told["n_clusters"], "keyword"))
     return PipelineResult("keywords_first", config, p.frame, table, ordered, clusters.centroids, told)

@@ -363,15 +363,47 @@ def kmeans_lloyd_steps(spark, sf):
     return C.lloyd_steps(v, start.select("cluster", F.col("vector").alias("centroid")), 3).select("row_id", F.col("cluster").cast("int").alias("cluster"))
 
 
-@query("kmeans_full")
+#: Lloyd steps of every (k, start) until the centres stand, from the first rows by MD5; the best start of each k; its labels by first appearance.
+_KMEANS = f"""with recursive {V.VECTORS},
+pt as materialized (select row_id, vector from vec),
+bound as (select 1e-4 * avg(v) as bound from (select var_pop(x) as v from (select unnest(vector) as x, generate_subscripts(vector, 1) as d from pt) group by d)),
+h as (select start, row_id, vector, row_number() over (partition by start order by md5('42:' || start || ':' || row_id), row_id) as p from pt, (select unnest(range(10)) as start)),
+st(step, k, start, done, c) as (
+  select 0, k, start, false, list(vector order by p) from h, (select unnest(range({{low}}, {{high}} + 1)) as k) where p <= k group by k, start
+  union all
+  select step + 1, k, start, list_sum([list_sum([(q[1] - q[2]) * (q[1] - q[2]) for q in list_zip(z[1], z[2])]) for z in list_zip(c, nc)]) <= bound, nc
+  from (
+    select step, k, start, any_value(c) as c, list(coalesce(m, c[j]) order by j) as nc
+    from (select *, unnest(range(1, k + 1)) as j from st where not done)
+    left join (
+      select k, start, j, list(x order by d) as m from (
+        select k, start, j, d, avg(x) as x from (
+          select k, start, list_position(dist, list_min(dist)) as j, unnest(vector) as x, generate_subscripts(vector, 1) as d
+          from (select k, start, vector, [list_sum([(q[1] - q[2]) * (q[1] - q[2]) for q in list_zip(vector, e)]) for e in c] as dist from st, pt where not done))
+        group by 1, 2, 3, 4) group by 1, 2, 3) using (k, start, j)
+    group by step, k, start), bound),
+fin as materialized (select k, start, arg_max(c, step) as c from st group by k, start),
+lab as materialized (
+  select k, start, row_id, vector, list_position(dist, list_min(dist)) as j, list_min(dist) as d, c
+  from (select k, start, row_id, vector, c, [list_sum([(q[1] - q[2]) * (q[1] - q[2]) for q in list_zip(vector, e)]) for e in c] as dist from fin, pt)),
+best as (select k, arg_min(start, struct_pack(c := cost, s := start)) as start, arg_min(cost, struct_pack(c := cost, s := start)) as cost from (select k, start, cast(printf('%.10e', sum(d)) as double) as cost from lab group by k, start) group by k),
+own as materialized (select lab.* from lab join best using (k, start)),
+num as (select k, j, row_number() over (partition by k order by min(row_id)) - 1 as cluster from own group by k, j)"""
+
+
+@query("kmeans_full", f"{_KMEANS.format(low=5, high=5)} select row_id, cast(cluster as int) as cluster, round(1 - list_cosine_similarity(vector, c[own.j]), 6) as distance from own join num on own.k = num.k and own.j = num.j")
 def kmeans_full(spark, sf):
-    fitted = C.fit_kmeans(V.vectors(spark, sf).select("row_id", "vector"), ClusteringConfig(n_clusters=5, n_init=3))
+    fitted = C.fit_kmeans(V.vectors(spark, sf).select("row_id", "vector"), ClusteringConfig(n_clusters=5, init="random"))
     return fitted.assignment.select("row_id", "cluster", r6("distance_from_centroid", "distance"))
 
 
-@query("select_k")
+@query("select_k", f"""{_KMEANS.format(low=2, high=10)},
+d as (select a.k, a.row_id as i, a.j as ci, b.j as cj, avg(list_distance(a.vector, b.vector)) as d from own a join own b on a.k = b.k and a.row_id <> b.row_id group by 1, 2, 3, 4),
+e as (select k, i, max(d) filter (ci = cj) as a, min(d) filter (ci <> cj) as b from d group by 1, 2)
+select cast(k as int) as k, round(any_value(cost), 6) as wcss, round(avg(case when a is null then 0 when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end), 6) as silhouette from e join best using (k) group by k""")
 def select_k(spark, sf):
-    return C.select_k(V.vectors(spark, sf).select("row_id", "vector"), ClusteringConfig(k_max=6, n_init=2)).to_frame(spark)
+    chosen = C.select_k(V.vectors(spark, sf).select("row_id", "vector"), ClusteringConfig(init="random"))
+    return chosen.to_frame(spark).select("k", r6("wcss", "wcss"), r6("silhouette", "silhouette"))
 
 
 @query("tfidf_svd")

@@ -233,16 +233,15 @@ def blobs(spark, per=15, extra=0):
     return spark.createDataFrame([(c * per + i, [float(x) for x in np.array(centres[c]) + rng.normal(0, 0.5, 2)]) for c in range(3) for i in range(per)], "row_id long, vector array<double>")
 
 
-def test_planted_clusters_are_found_locally_and_by_ml(spark):
+def test_planted_clusters_are_found_inside_tasks_and_by_passes(spark):
     v = blobs(spark)
-    for rows, path in ((5000, "local"), (10, "distributed")):
-        fitted = C.fit_kmeans(v, ClusteringConfig(n_clusters=3, local_rows=rows, distance_metric="euclidean"))
-        assert fitted.path == path
+    for rows in (4096, 10):
+        fitted = C.fit_kmeans(v, ClusteringConfig(n_clusters=3, task_rows=rows, distance_metric="euclidean"))
         groups = {}
         for r in fitted.assignment.collect():
             groups.setdefault(r.row_id // 15, set()).add(r.cluster)
             assert r.distance_from_centroid < 3
-        assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == 3
+        assert [groups[i] for i in range(3)] == [{0}, {1}, {2}]  # numbered by the least row
         assert sorted(r.size for r in fitted.sizes.collect()) == [15, 15, 15]
     again = C.fit_kmeans(v.repartition(7), ClusteringConfig(n_clusters=3)).assignment
     assert {(r.row_id, r.cluster) for r in again.collect()} == {(r.row_id, r.cluster) for r in C.fit_kmeans(v, ClusteringConfig(n_clusters=3)).assignment.collect()}
@@ -264,13 +263,15 @@ def test_elbow():
     assert C.elbow([2, 3], [2, 1]) is None and C.elbow([2, 3, 4], [1, 1, 1]) is None
 
 
-def test_quality_indices_agree_with_the_local_ones(spark):
+def test_quality_indices(spark):
+    from gapspark.plans.pipelines import quality
+
     v = blobs(spark).withColumn("cluster", (F.col("row_id") / 15).cast("int"))
-    local = C.local_quality(v)
-    assert local["silhouette"] == pytest.approx(C.silhouette(v).first()[0]) and local["silhouette"] > 0.8
-    assert local["davies_bouldin"] == pytest.approx(C.davies_bouldin(v).first()[0])
-    assert local["calinski_harabasz"] == pytest.approx(C.calinski_harabasz(v).first()[0])
-    assert C.local_quality(v.withColumn("cluster", F.lit(0))) == {}
+    found = quality(v, 3)
+    assert found["silhouette"] == pytest.approx(C.silhouette(v).first()[0]) and found["silhouette"] > 0.8
+    assert found["davies_bouldin"] == pytest.approx(C.davies_bouldin(v).first()[0])
+    assert found["calinski_harabasz"] == pytest.approx(C.calinski_harabasz(v).first()[0])
+    assert quality(v.withColumn("cluster", F.lit(0)), 1) == {}
 
 
 def test_subclusters_of_small_spaces(spark):
@@ -292,22 +293,3 @@ def test_config_checks():
     with pytest.raises(ValueError):
         EmergingWeights(0.5, 0.5, 0.5, 0.5)
     assert (GapConfig().core_domain_share, GapConfig().min_tfidf, GapConfig().max_gaps_per_cluster, GapConfig().max_keyword_frequency) == (0.5, 0.005, 3, 1)
-
-
-def test_choice_of_k_is_the_same_beyond_local_rows(spark, monkeypatch):
-    from pyspark.ml.clustering import KMeans
-
-    from gapspark.config import ClusteringConfig
-    from gapspark.operators import clustering
-    from gapspark.plans.pipelines import quality
-
-    rows = [(i, [float(i % 3 * 9 + i % 5 / 4), float(i % 2 + i % 7 / 5)]) for i in range(60)]
-    vectors = spark.createDataFrame(rows, "row_id long, vector array<double>")
-    starts, fit = [], KMeans.fit
-    monkeypatch.setattr(KMeans, "fit", lambda self, *a: starts.append((self.getK(), self.getMaxIter())) or fit(self, *a))
-    one = clustering.select_k(vectors, ClusteringConfig(n_init=4, k_min=3, k_max=3))
-    far = clustering.select_k(vectors, ClusteringConfig(n_init=4, k_min=3, k_max=3, local_rows=10))
-    assert starts == [(3, 300)] * 4
-    assert abs(one.silhouette[0] - far.silhouette[0]) < 1e-9 and one.k == far.k
-    points = vectors.selectExpr("row_id", "cast(row_id % 3 as int) as cluster", "vector")
-    assert abs(quality(points, 3, 10)["silhouette"] - quality(points, 3, 100)["silhouette"]) < 1e-9
