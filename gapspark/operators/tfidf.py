@@ -2,85 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapspark.functions.text import normalize_keyword
+from gapspark.operators.backoff import FLOOR, Index
 from gapspark.sources.tables import materialized
 
-FLOOR = 0.001
-
 
-def ngram_counts(articles: DataFrame, low: int = 1, high: int = 5) -> DataFrame:
-    """row_id, term, tf: word n-grams of each record's keywords joined by blanks (so they cross keywords)."""
+def ngram_counts(articles: DataFrame, low: int = 1, high: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., row_id, term, tf: word n-grams of each record's keywords joined by blanks (so they cross keywords)."""
     text = F.array_join("keywords_normalized", " ")
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[\w\-]+\b"), F.lit(0))
-    rows = articles.select("row_id", tokens.alias("t")).where(F.size("t") > 0)
+    rows = articles.select(*by, "row_id", tokens.alias("t")).where(F.size("t") > 0)
     grams = F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.expr("array()").cast("array<string>"))))
-    return rows.select("row_id", F.explode(grams).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def vocabulary(articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000) -> DataFrame:
-    """term, score: the mean over records of the L2-normalised tf-idf weight; the most frequent max_features terms (ties: by term)."""
-    counts = ngram_counts(articles, low, high)
-    n = articles.where(F.size("keywords_normalized") > 0).agg(F.count(F.lit(1)).alias("n"))
-    terms = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    kept = terms.orderBy(F.desc("total"), "term").limit(max_features)
-    kept = kept.join(F.broadcast(n)).select("term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    # at most max_features rows of a term and two numbers
-    weighted = counts.join(F.broadcast(kept), "term").select("row_id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
-    return weighted.select("term", "n", (F.col("w") / norms).alias("w")).groupBy("term").agg((F.sum("w") / F.first("n")).alias("score"))
-
+    return rows.select(*by, "row_id", F.explode(grams).alias("term")).groupBy(*by, "row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
-def _substrings(rows: DataFrame, c: str, low: int, high: int, into: str) -> DataFrame:
-    """rows with `into`: every substring of a column with low to high characters, in place of the column."""
-    rest = [x for x in rows.columns if x != c]
-    starts = rows.where(F.length(c) >= low).select(*rest, c, F.explode(F.sequence(F.lit(1), F.length(c) - low + 1)).alias("_a"))
-    sized = starts.select(*rest, c, "_a", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.length(c) - F.col("_a") + 1))).alias("_n"))
-    return sized.select(*rest, F.substring(c, F.col("_a"), F.col("_n")).alias(into))
 
+def vocabulary(articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., term, score: the mean over records of the L2-normalised tf-idf weight; the most frequent max_features terms (ties: by term).
 
-def _lengths(rows: DataFrame, c: str) -> tuple[int, int]:
-    low, high = rows.agg(F.min(F.length(c)), F.max(F.length(c))).first()
-    return max(1, low or 1), high or 1
-
-
-def matched_salience(keywords: DataFrame, terms: DataFrame) -> DataFrame:
-    """keyword, tfidf, match_type. Exact terms are an equi-join; the rest falls back by equi-joins too.
-
-    A term inside a keyword is one of the keyword's substrings; a keyword inside a term is one of the term's substrings, and
-    the vocabulary has a fixed cap on its terms. Half of a keyword's tokens is one token for keywords of two, which
-    needs only the best term of each token; longer keywords count their shared tokens with each term that shares one.
+    by names the corpora (a few) that the records belong to; each has a vocabulary of its own.
+    """
+    counts = ngram_counts(articles, low, high, by)
+    n = F.broadcast(articles.where(F.size("keywords_normalized") > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("n")))  # a row for each corpus
+    terms = counts.groupBy(*by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if by:
+        kept = terms.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "term"))).where(F.col("_p") <= max_features).join(n, list(by))
+    else:
+        kept = terms.orderBy(F.desc("total"), "term").limit(max_features).join(n)
+    kept = kept.select(*by, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    # at most max_features rows of a term and two numbers for each corpus
+    weighted = counts.join(F.broadcast(kept), [*by, "term"]).select(*by, "row_id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "row_id")))
+    return weighted.select(*by, "term", "n", (F.col("w") / norms).alias("w")).groupBy(*by, "term").agg((F.sum("w") / F.first("n")).alias("score"))
+
+
+def matched_salience(keywords: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., keyword, tfidf, match_type of keywords(by..., keyword), in one pass (see operators/backoff.py).
+
+    All tasks hold the vocabularies, whose size is capped (max_features terms for each corpus).
     """
-    # what the stages below read again and again is kept as a table
-    exact = materialized(keywords.select("keyword").join(terms.withColumnRenamed("term", "keyword"), "keyword", "left"), "exact")
-    rest = exact.where("score is null and keyword <> ''").select("keyword")
-    inside = _substrings(rest.withColumn("k", F.col("keyword")), "k", *_lengths(terms, "term"), "term").join(terms, "term").select("keyword", "score")
-    parts = _substrings(terms, "term", *_lengths(rest, "keyword"), "keyword").groupBy("keyword").agg(F.max("score").alias("score"))
-    around = rest.join(parts, "keyword").select("keyword", "score")
-    contained = materialized(inside.unionByName(around).groupBy("keyword").agg(F.max("score").alias("c")), "contained")
-    left = rest.join(contained, "keyword", "left").where("c is null or c <= 0").select("keyword", F.array_distinct(F.split("keyword", " ")).alias("kt")).where(F.size("kt") > 1)
-    tokens = terms.select("term", "score", F.explode(F.array_distinct(F.split("term", " "))).alias("token"))
-    own = left.select("keyword", F.size("kt").alias("k"), F.explode("kt").alias("token"))
-    short = own.where("k = 2").join(tokens.groupBy("token").agg(F.max("score").alias("score")), "token").groupBy("keyword").agg(F.max("score").alias("o"))
-    shared = own.where("k > 2").join(tokens, "token").groupBy("keyword", "term").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"), F.first("score").alias("score"))
-    long = shared.where("n / k >= 0.5").groupBy("keyword").agg(F.max("score").alias("o"))
-    best = exact.join(contained, "keyword", "left").join(short.unionByName(long), "keyword", "left")
-    hit = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
-    return best.select(
-        "keyword",
-        F.when(F.col("score").isNotNull(), F.col("score")).when(hit("c"), F.col("c")).when(hit("o"), F.col("o")).otherwise(FLOOR).alias("tfidf"),
-        F.when(F.col("score").isNotNull(), "exact").when(hit("c"), "contains").when(hit("o"), "overlap").otherwise("fallback").alias("match_type"),
-    )
-
-
-def salience(articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000) -> DataFrame:
-    """keyword, tfidf, match_type of every keyword of the records."""
-    keywords = articles.select(F.explode("keywords_normalized").alias("keyword")).where("keyword <> ''").distinct()
-    # read by every stage of the back-off, so it is computed once; it has max_features rows at most
-    terms = materialized(vocabulary(articles, low, high, max_features), "vocabulary")
-    return matched_salience(keywords, terms)
+    held: dict[tuple, tuple[list, list]] = {}
+    for r in terms.select(*by, "term", "score").toLocalIterator():
+        own = held.setdefault(tuple(r[c] for c in by), ([], []))
+        own[0].append(r.term)
+        own[1].append(r.score)
+    shared = keywords.sparkSession.sparkContext.broadcast({k: Index(*v) for k, v in held.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = Index([], [])
+        for b in batches:
+            keys = zip(*(b.column(i).to_pylist() for i in range(len(by)))) if by else ((),) * b.num_rows
+            told = [shared.value.get(k, none).match(w or "") for k, w in zip(keys, b.column(len(by)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t for t, _ in told], pa.float64()), pa.array([m for _, m in told], pa.string())], [*by, "keyword", "tfidf", "match_type"])
+
+    rows = keywords.select(*by, "keyword")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", tfidf double, match_type string")
+
+
+def salience(articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., keyword, tfidf, match_type of every keyword of the records."""
+    keywords = articles.select(*by, F.explode("keywords_normalized").alias("keyword")).where("keyword <> ''").distinct()
+    return matched_salience(keywords, vocabulary(articles, low, high, max_features, by), by)
 
 
 class TfidfSalience:
