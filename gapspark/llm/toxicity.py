@@ -17,9 +17,9 @@ the label columns are read. An empty table gives an empty result; without labels
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -67,6 +67,15 @@ class Hasher:
         return np.fromiter(out, np.int32, len(out))
 
 
+def squeezed(places: np.ndarray) -> bytes:
+    """Places as compressed gaps: each fold's task gets a copy of them."""
+    return zlib.compress(np.diff(np.sort(places), prepend=0).astype("<i4").tobytes(), 1)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int32)
+
+
 def _minimised(f, x: np.ndarray, steps: int = 80, memory: int = 8) -> np.ndarray:
     """L-BFGS with backtracking; f gives value and gradient."""
     value, grad = f(x)
@@ -196,34 +205,29 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(bits)
         for b in batches:
-            x = pa.array([h.places(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())
+            x = pa.array([squeezed(h.places(t)) for t in b.column(0).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([x, b.column(1), b.column(2), b.column(3)], ["x", "y", "fold", "o"])
 
     # one row of each doc_id, whatever repeats
     told = rows.mapInArrow(featured, "x binary, y array<double>, fold int, o long").groupBy("o").agg(F.min(F.struct("x", "y", "fold")).alias("r")).select("o", "r.*")
     told = written(told, "toxicity_features")
-    # a partition for each fold, and one for the model of all rows, that reads the whole sample: nothing is shuffled
-    each = reduce(DataFrame.unionByName, [told.coalesce(1).withColumn("f", F.lit(f)) for f in range(-1, folds)])
+    each = told.withColumn("f", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))))
     models, thresholds, earlier = [], [], {}
     for k in range(len(categories)):
 
-        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             """The model of all rows (f is -1), or the probabilities of fold f's rows: one task each, of `sample` rows at most."""
-            held = [b for b in batches if len(b)]
-            if not held:
-                return
-            pdf = pd.concat(held).sort_values(["o", "x"]).reset_index(drop=True)
+            pdf = pdf.sort_values(["o", "x"]).reset_index(drop=True)
             f, fold, label = int(pdf["f"].iloc[0]), pdf["fold"].to_numpy(), np.array(pdf["y"].tolist())[:, k]
-            x, before = [np.frombuffer(v, np.int32) for v in pdf["x"]], np.array([earlier[o] if k else () for o in pdf["o"]], float).reshape(len(pdf), k)
+            x, before = [unsqueezed(v) for v in pdf["x"]], np.array([earlier[o] if k else () for o in pdf["o"]], float).reshape(len(pdf), k)
             if f >= 0:
                 mine = pdf[fold == f]
                 p = _out_of_fold(x, before, label, fold, f, bits, l2) if len(mine) else []
-                yield pd.DataFrame({"o": mine["o"], "p": p, "y": label[fold == f], "at": None, "w": None, "u": None, "b": None})
-                return
+                return pd.DataFrame({"o": mine["o"], "p": p, "y": label[fold == f], "at": None, "w": None, "u": None, "b": None})
             w, u, b = _fitted(x, before, label, 1 << bits, l2)
-            yield pd.DataFrame([(None, None, None, np.flatnonzero(w).astype(np.int32).tobytes(), w[np.flatnonzero(w)].tobytes(), list(u), b)], columns=["o", "p", "y", "at", "w", "u", "b"])
+            return pd.DataFrame([(None, None, None, np.flatnonzero(w).astype(np.int32).tobytes(), w[np.flatnonzero(w)].tobytes(), list(u), b)], columns=["o", "p", "y", "at", "w", "u", "b"])
 
-        found = each.mapInPandas(fit, "o long, p double, y double, at binary, w binary, u array<double>, b double").collect()  # `sample` numbers and a model
+        found = each.groupBy("f").applyInPandas(fit, "o long, p double, y double, at binary, w binary, u array<double>, b double").collect()  # `sample` numbers and a model
         for r in found:
             if r.o is None:
                 words = np.zeros(1 << bits, np.float32)
