@@ -70,25 +70,50 @@ def _fits(vectors: DataFrame, ks: list[int], config: ClusteringConfig) -> kmeans
     return kmeans.fitted(vectors.select(F.lit(0).alias("scope"), "row_id", "vector"), jobs, config.n_init, config.distance_metric, config.init, config.task_rows)
 
 
-def _selected(vectors: DataFrame, config: ClusteringConfig) -> tuple[KSelection, kmeans.Fits | None]:
-    """The number of clusters, and the fits it was chosen from (None if there was no choice)."""
-    n = vectors.count()
+def _tried(n: int, config: ClusteringConfig) -> tuple[list[int], KSelection | None]:
+    """The numbers of clusters to try for n rows, and the selection where there is nothing to choose."""
     if n < 2:
         raise ValueError("clustering needs two rows or more")
     if config.n_clusters is not None or config.k_selection == "fixed":
         if config.n_clusters is None:
             raise ValueError("k_selection 'fixed' needs n_clusters")
         k = min(config.n_clusters, n)
-        return KSelection(k, [k]), None
+        return [k], KSelection(k, [k])
     ks = list(range(config.k_min, min(config.k_max, n - 1) + 1))
-    if not ks:
-        return KSelection(min(2, n), rule="degenerate"), None
+    return (ks, None) if ks else ([min(2, n)], KSelection(min(2, n), rule="degenerate"))
+
+
+def _selected(vectors: DataFrame, config: ClusteringConfig) -> tuple[KSelection, kmeans.Fits | None]:
+    """The number of clusters, and the fits it was chosen from (None if there was no choice)."""
+    ks, only = _tried(vectors.count(), config)
+    if only:
+        return only, None
     fits = _fits(vectors, ks, config)
     cost = {r.fit: r.cost for r in fits.best.select("fit", "cost").collect()}  # k_max rows
     told = {r.fit: r.silhouette for r in silhouettes(vectors.select(F.lit(0).alias("scope"), "row_id", "vector"), fits.labels).collect()}
     return choice(ks, [cost[k] for k in ks], [told[k] for k in ks], config), fits
 
 
+def fit_runs(vectors: DataFrame, seeds: list[int], config: ClusteringConfig) -> DataFrame:
+    """scope, seed, row_id, cluster, distance of vectors(scope, row_id, vector): what fit_kmeans gives for every scope and seed.
+
+    All scopes, seeds, numbers of clusters and starts are keys of one plan. The scopes are a few (sizes of a corpus).
+    """
+    spark, kind = vectors.sparkSession, vectors.schema["scope"].dataType.simpleString()
+    tried = {r.scope: _tried(r["count"], config) for r in vectors.groupBy("scope").count().collect()}
+    jobs = [(scope, i * 1000 + k, k, seed) for scope, (ks, _) in tried.items() for i, seed in enumerate(seeds) for k in ks]
+    fits = kmeans.fitted(vectors, spark.createDataFrame(jobs, f"scope {kind}, fit int, k int, seed long"), config.n_init, config.distance_metric, config.init, config.task_rows)
+    cost = {(r.scope, r.fit): r.cost for r in fits.best.select("scope", "fit", "cost").collect()}  # a number for each fit
+    told = {(r.scope, r.fit): r.silhouette for r in silhouettes(vectors, fits.labels).collect()} if any(only is None for _, only in tried.values()) else {}
+    chosen = []
+    for scope, (ks, only) in tried.items():
+        for i, seed in enumerate(seeds):
+            k = (only or choice(ks, [cost[scope, i * 1000 + k] for k in ks], [told[scope, i * 1000 + k] for k in ks], config)).k
+            chosen.append((scope, i * 1000 + k, seed))
+    own = spark.createDataFrame(chosen, f"scope {kind}, fit int, seed long")
+    return fits.labels.join(F.broadcast(own), ["scope", "fit"]).select("scope", "seed", "row_id", "cluster", "distance")
+
+
 def choice(ks: list[int], wcss: list[float], sil: list[float], config: ClusteringConfig) -> KSelection:
     """The number of clusters by the configured rule, from the cost and the silhouette of each."""
     k_elbow, k_sil = elbow(ks, wcss), ks[int(np.argmax(sil))]
@@ -252,15 +277,19 @@ def default_subclusters(n: int) -> int:
     return 1 if n < 2 else min(5, max(2, int(n**0.5)))
 
 
-def fit_subclusters(space: DataFrame, config: ClusteringConfig) -> DataFrame:
-    """space(cluster, keyword, vector, centrality, ...) with subcluster and distance: the clusters are scopes of one k-means.
+def fit_subclusters(space: DataFrame, config: ClusteringConfig, scope: tuple[str, ...] = ()) -> DataFrame:
+    """space(scope..., cluster, keyword, vector, centrality, ...) with subcluster and distance: the clusters are scopes of one k-means.
 
-    A scope of fewer than 4 keywords is not divided: label 0, and the centrality is the distance.
+    A cluster of fewer than 4 keywords is not divided: label 0, and the centrality is the distance. With a column `seed` in
+    scope each run has its own seed.
     """
-    points = space.select(F.col("cluster").alias("scope"), F.col("keyword").alias("row_id"), "vector")
-    n = points.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in (*scope, "cluster")])
+    seed = F.col("seed") if "seed" in scope else F.lit(config.random_state)
+    points = space.select(name.alias("scope"), F.col("keyword").alias("row_id"), "vector", seed.cast("long").alias("seed"))
+    n = points.groupBy("scope", "seed").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
     k = F.lit(config.n_keyword_subclusters) if config.n_keyword_subclusters else F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.sqrt("n"))))
-    jobs = n.select("scope", F.lit(0).alias("fit"), F.least(k, "n").cast("int").alias("k"), F.lit(config.random_state).cast("long").alias("seed"))
-    labels = kmeans.fitted(points, jobs, config.n_init, config.distance_metric, config.init, config.task_rows).labels
-    own = labels.select(F.col("scope").alias("cluster"), F.col("row_id").alias("keyword"), F.col("cluster").alias("subcluster"), "distance")
-    return space.join(own, ["cluster", "keyword"], "left").withColumns({"subcluster": F.coalesce("subcluster", F.lit(0)), "distance": F.coalesce("distance", "centrality")})
+    jobs = n.select("scope", F.lit(0).alias("fit"), F.least(k, "n").cast("int").alias("k"), "seed")
+    labels = kmeans.fitted(points.drop("seed"), jobs, config.n_init, config.distance_metric, config.init, config.task_rows).labels
+    own = labels.select(F.col("scope").alias("_s"), F.col("row_id").alias("keyword"), F.col("cluster").alias("subcluster"), "distance")
+    out = space.withColumn("_s", name).join(own, ["_s", "keyword"], "left").drop("_s")
+    return out.withColumns({"subcluster": F.coalesce("subcluster", F.lit(0)), "distance": F.coalesce("distance", "centrality")})

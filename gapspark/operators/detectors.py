@@ -6,6 +6,9 @@ articles   row_id, title, doi, year, citations, cluster
 salient    keyword, tfidf        corpus_freq   keyword, global_frequency        core   keyword
 
 All return GAP_COLUMNS. Ties in the score go to the keyword that appears first.
+
+Several runs are worked on at once where `scope` names the columns that tell them apart: space, bag and articles then have these
+columns too, and the gaps; salient, corpus_freq, core and spelling have as many of them as they depend on.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from pyspark.sql import functions as F
 
 from gapspark.config import GapConfig
 from gapspark.functions import scores
+from gapspark.functions.quantiles import exact_quantiles
 from gapspark.functions.text import PAIR_SEPARATOR, is_methodological, token_count
 from gapspark.operators import keywords as K
-from gapspark.operators.tfidf import FLOOR
+from gapspark.operators.backoff import FLOOR
+from gapspark.sources.tables import materialized
 
 EMERGING, COMBINATION, CROSS_CLUSTER, PERIPHERAL = "Emerging Concept", "Conceptual Combination", "Cross-Cluster Concept", "Peripheral Keyword"
 GAP_COLUMNS = ["gap_type", "keyword", "cluster", "score", "frequency", "n_articles", "citations", "rationale", "article_titles", "article_dois", "members", "metrics"]
@@ -25,12 +30,14 @@ _METRICS = "map<string,double>"
 
 
 def with_salience(rows: DataFrame, salient: DataFrame, keyword: str = "keyword", into: str = "tfidf") -> DataFrame:
-    s = salient.select(F.col("keyword").alias(keyword), F.col("tfidf").alias(into))
-    return rows.join(s, keyword, "left").withColumn(into, F.coalesce(into, F.lit(FLOOR)))
+    keys = K.shared(rows, salient, "keyword", "tfidf", "match_type")
+    s = salient.select(*keys, F.col("keyword").alias(keyword), F.col("tfidf").alias(into))
+    return rows.join(s, [*keys, keyword], "left").withColumn(into, F.coalesce(into, F.lit(FLOOR)))
 
 
 def with_global_frequency(rows: DataFrame, corpus_freq: DataFrame) -> DataFrame:
-    return rows.join(corpus_freq.select("keyword", "global_frequency"), "keyword", "left").withColumn("global_frequency", F.coalesce("global_frequency", F.lit(0)).cast("long"))
+    keys = [*K.shared(rows, corpus_freq, "keyword", "global_frequency", "first"), "keyword"]
+    return rows.join(corpus_freq.select(*keys, "global_frequency"), keys, "left").withColumn("global_frequency", F.coalesce("global_frequency", F.lit(0)).cast("long"))
 
 
 def top_k(rows: DataFrame, k: int, order: list[Column], *by: str) -> DataFrame:
@@ -42,59 +49,60 @@ def _metrics(*names: str) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names])).cast(_METRICS)
 
 
-def article_evidence(gaps: DataFrame, bag: DataFrame, articles: DataFrame, elsewhere: bool = False, most: int = 3, scoped: bool = True) -> DataFrame:
+def article_evidence(gaps: DataFrame, bag: DataFrame, articles: DataFrame, elsewhere: bool = False, most: int = 3, scoped: bool = True, scope: tuple[str, ...] = ()) -> DataFrame:
     """gaps with n_articles, citations, article_titles and article_dois of the records with the keyword.
 
-    The records are those of the gap's cluster; with `elsewhere`, of all others; not `scoped`: of all clusters. The few
-    gaps are joined first, so only their records are ranked, and at most `most` of them are gathered for a gap.
+    The records are those of the gap's cluster; with `elsewhere`, of all others; not `scoped`: of all clusters. Counts and
+    citations are partial aggregates; of the records themselves each task passes on the first `most` of a gap, and only
+    those meet titles, so no task holds a keyword's records.
     """
-    wanted = gaps.select("keyword", F.col("cluster").alias("_c")).distinct()
-    hits = bag.select("row_id", "keyword", *(["cluster"] if scoped else [])).distinct().join(wanted, "keyword")
+    wanted = gaps.select(*scope, "keyword", F.col("cluster").alias("_c")).distinct()
+    hits = bag.select(*scope, "row_id", "keyword", *(["cluster"] if scoped else [])).join(wanted, [*scope, "keyword"])
     if scoped:
         hits = hits.where(F.col("cluster") != F.col("_c") if elsewhere else F.col("cluster") == F.col("_c")).drop("cluster")
-    facts = hits.join(articles.select("row_id", "title", "doi", "citations"), "row_id")
-    place = F.row_number().over(Window.partitionBy("keyword", "_c").orderBy("row_id"))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("_p") <= most, F.struct("_p", c)))), lambda x: x[c])
-    found = facts.withColumn("_p", place).groupBy("keyword", "_c").agg(
-        F.count(F.lit(1)).alias("n_articles"), F.max("citations").alias("citations"), listed("title").alias("article_titles"), listed("doi").alias("article_dois"))
+    key, row = [*scope, "keyword", "_c"], [*scope, "row_id"]
+    counts = hits.join(articles.select(*row, "citations"), row).groupBy(*key).agg(F.count(F.lit(1)).alias("n_articles"), F.max("citations").alias("citations"))
+    first = top_k(hits, most, [F.col("row_id")], *key).join(articles.select(*row, "title", "doi"), row)
+    listed = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row_id", "title", "doi"))).alias("_l"))  # `most` records
+    out = gaps.join(counts.withColumnRenamed("_c", "cluster"), [*scope, "keyword", "cluster"], "left").join(listed.withColumnRenamed("_c", "cluster"), [*scope, "keyword", "cluster"], "left")
     none = F.expr("array()").cast("array<string>")
-    out = gaps.join(found.withColumnRenamed("_c", "cluster"), ["keyword", "cluster"], "left")
-    return out.withColumns({"n_articles": F.coalesce("n_articles", F.lit(0)).cast("long"), "article_titles": F.coalesce("article_titles", none), "article_dois": F.coalesce("article_dois", none)})
+    told = lambda c: F.coalesce(F.transform("_l", lambda x: x[c]), none)
+    return out.withColumns({"n_articles": F.coalesce("n_articles", F.lit(0)).cast("long"), "article_titles": told("title"), "article_dois": told("doi")}).drop("_l")
 
 
-def emerging_concepts(space: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, corpus_freq: DataFrame, core: DataFrame | None, config: GapConfig) -> DataFrame:
+def emerging_concepts(space: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, corpus_freq: DataFrame, core: DataFrame | None, config: GapConfig, scope: tuple[str, ...] = ()) -> DataFrame:
     """Type 1: rare, peripheral, salient keywords of a cluster."""
+    by = (*scope, "cluster")
     rows = K.candidates(space, config, core)
     if config.max_keyword_frequency is not None:
         rows = rows.where(F.col("frequency") <= config.max_keyword_frequency)
     if config.citation_filter_active:
-        rows = K.citation_filtered(rows, K.citation_support(bag, articles, config, "cluster"), config, "cluster")
-    rows = with_global_frequency(with_salience(rows, salient), corpus_freq)
-    # scaled over the candidates of the cluster, before the best are taken
-    rows = rows.withColumn("distance_zscore", scores.zscore(F.col("distance"), "cluster"))
-    rows = rows.withColumn("score", scores.emerging(
-        scores.minmax(F.col("distance_zscore"), "cluster"), scores.minmax(F.col("centrality"), "cluster"),
-        scores.minmax(F.col("tfidf"), "cluster"), 1 - scores.minmax(F.col("global_frequency"), "cluster"), config.emerging_weights))
-    rows = top_k(rows, config.max_gaps_per_cluster, [F.desc("score"), F.col("first")], "cluster")
+        rows = K.citation_filtered(rows, K.citation_support(bag, articles, config, *by, scope=scope), config, *by)
+    # scaled over the candidates of the cluster, before the best are taken; kept, since the scales are counted first
+    rows = materialized(with_global_frequency(with_salience(rows, salient), corpus_freq), "candidates")
+    rows = scores.scaled(rows, by, {"_d": "distance_zscore", "_m": "centrality", "_t": "tfidf", "_f": "global_frequency"}, {"distance_zscore": "distance"})
+    rows = rows.withColumn("score", scores.emerging(F.col("_d"), F.col("_m"), F.col("_t"), 1 - F.col("_f"), config.emerging_weights)).drop("_d", "_m", "_t", "_f")
+    rows = top_k(rows, config.max_gaps_per_cluster, [F.desc("score"), F.col("first")], *by)
     rows = rows.withColumnRenamed("distance", "distance_from_subcentroid")
     why = F.format_string("in %d record(s) of the cluster and %d of the corpus; distance z %.2f; tf-idf %.4f", F.col("frequency"), F.col("global_frequency"), F.col("distance_zscore"), F.col("tfidf"))
-    gaps = rows.select(F.lit(EMERGING).alias("gap_type"), "keyword", "cluster", "score", "frequency", why.alias("rationale"), F.array("keyword").alias("members"),
+    gaps = rows.select(*scope, F.lit(EMERGING).alias("gap_type"), "keyword", "cluster", "score", "frequency", why.alias("rationale"), F.array("keyword").alias("members"),
                        _metrics("distance_from_subcentroid", "distance_zscore", "centrality", "tfidf", "global_frequency").alias("metrics"))
-    return article_evidence(gaps, bag, articles).select(*GAP_COLUMNS)
+    return article_evidence(gaps, bag, articles, scope=scope).select(*scope, *GAP_COLUMNS)
 
 
-def related_pairs(rows: DataFrame, config: GapConfig, block: int = 1024) -> DataFrame:
+def related_pairs(rows: DataFrame, config: GapConfig, block: int = 1024, scope: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows(cluster, keyword, first, frequency, tfidf, vector) of a cluster inside the similarity window, first before second.
 
     A cluster's rows are cut into blocks of about `block`; every pair of blocks is one group of at most twice that many
     vectors, compared by one matrix product, and only pairs inside the window with enough mean salience leave it.
     """
     (low, high), least = config.combination_similarity_range, config.min_tfidf
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = rows.join(F.broadcast(sizes), "cluster").withColumn("b", F.pmod(F.xxhash64("keyword"), F.col("blocks")).cast("int"))
+    by = [*scope, "cluster"]
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    placed = rows.join(F.broadcast(sizes), by).withColumn("b", F.pmod(F.xxhash64("keyword"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "keyword", F.col("first.row_id").alias("r"), F.col("first.pos").alias("p"), "frequency", "tfidf", "vector")
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("cluster", "frequency")}
+        *by, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "keyword", F.col("first.row_id").alias("r"), F.col("first.pos").alias("p"), "frequency", "tfidf", "vector")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (*by, "frequency")}
     first = rows.schema["first"].dataType
 
     def run(pdf):
@@ -111,47 +119,50 @@ def related_pairs(rows: DataFrame, config: GapConfig, block: int = 1024) -> Data
         if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             keep &= b[:, None] != b[None, :]
         a, c = np.nonzero(keep)
-        out = {"cluster": pdf["cluster"].iloc[:1].repeat(len(a)).to_numpy(), "similarity": sim[a, c], "mean_tfidf": (t[a] + t[c]) / 2}
+        out = {**{c: pdf[c].iloc[:1].repeat(len(a)).to_numpy() for c in by}, "similarity": sim[a, c], "mean_tfidf": (t[a] + t[c]) / 2}
         for side, at in ((1, a), (2, c)):
             out |= {f"{name}_{side}": pdf[name].to_numpy()[at] for name in ("keyword", "r", "p", "frequency")}
         return pd.DataFrame(out)
 
     sides = ", ".join(f"keyword_{k} string, r_{k} {first['row_id'].dataType.simpleString()}, p_{k} {first['pos'].dataType.simpleString()}, frequency_{k} {kinds['frequency']}" for k in (1, 2))
-    found = dealt.groupBy("cluster", "i", "j").applyInPandas(run, f"cluster {kinds['cluster']}, similarity double, mean_tfidf double, {sides}")
+    found = dealt.groupBy(*by, "i", "j").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + f", similarity double, mean_tfidf double, {sides}")
     return found.withColumns({f"first_{k}": F.struct(f"r_{k}", f"p_{k}") for k in (1, 2)}).drop("r_1", "p_1", "r_2", "p_2")
 
 
-def conceptual_combinations(space: DataFrame, vectors: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, config: GapConfig) -> DataFrame:
+def conceptual_combinations(space: DataFrame, vectors: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, config: GapConfig, scope: tuple[str, ...] = ()) -> DataFrame:
     """Type 2: pairs of established keywords of a cluster that never occur together but are related.
 
     vectors is (keyword, vector). Pairs are those of the eligible keywords of one cluster: found two times or more there.
     """
+    by = (*scope, "cluster")
     rows = K.candidates(space, config).where("frequency >= 2")
     if config.citation_filter_active:
-        rows = K.citation_filtered(rows, K.citation_support(bag, articles, config, "cluster"), config, "cluster")
-    rows = with_salience(rows, salient).join(vectors.select("keyword", "vector"), "keyword")
-    pairs = related_pairs(rows, config)
-    met = K.cooccurrence(bag.join(rows.select("cluster", "keyword"), ["cluster", "keyword"], "left_semi"), "cluster")
-    pairs = pairs.withColumns({"left": F.least("keyword_1", "keyword_2"), "right": F.greatest("keyword_1", "keyword_2")}).join(met, ["cluster", "left", "right"], "left_anti")
+        rows = K.citation_filtered(rows, K.citation_support(bag, articles, config, *by, scope=scope), config, *by)
+    keys = [*K.shared(rows, vectors, "keyword", "vector"), "keyword"]
+    rows = with_salience(rows, salient).join(vectors.select(*keys, "vector"), keys)
+    pairs = related_pairs(rows, config, scope=scope)
+    met = K.cooccurrence(bag.join(rows.select(*by, "keyword"), [*by, "keyword"], "left_semi"), *by)
+    pairs = pairs.withColumns({"left": F.least("keyword_1", "keyword_2"), "right": F.greatest("keyword_1", "keyword_2")}).join(met, [*by, "left", "right"], "left_anti")
     pairs = pairs.withColumn("score", scores.combination(F.col("similarity"), F.col("frequency_1"), F.col("frequency_2"), F.col("mean_tfidf"), config.combination_weights, config.combination_similarity_optimum))
-    pairs = top_k(pairs, config.max_gaps_per_cluster, [F.desc("score"), F.col("first_1"), F.col("first_2")], "cluster")
+    pairs = top_k(pairs, config.max_gaps_per_cluster, [F.desc("score"), F.col("first_1"), F.col("first_2")], *by)
     why = F.format_string("related (similarity %.2f) but never in one record; mean tf-idf %.4f", F.col("similarity"), F.col("mean_tfidf"))
     none = F.expr("array()").cast("array<string>")
     return pairs.select(
-        F.lit(COMBINATION).alias("gap_type"), F.concat_ws(PAIR_SEPARATOR, "keyword_1", "keyword_2").alias("keyword"), "cluster", "score",
+        *scope, F.lit(COMBINATION).alias("gap_type"), F.concat_ws(PAIR_SEPARATOR, "keyword_1", "keyword_2").alias("keyword"), "cluster", "score",
         (F.col("frequency_1") + F.col("frequency_2")).alias("frequency"), F.lit(0).cast("long").alias("n_articles"), F.lit(None).cast("double").alias("citations"), why.alias("rationale"),
         none.alias("article_titles"), none.alias("article_dois"), F.array("keyword_1", "keyword_2").alias("members"), _metrics("similarity", "frequency_1", "frequency_2", "mean_tfidf").alias("metrics"))
 
 
-def cross_cluster_candidates(bag: DataFrame, articles: DataFrame, salient: DataFrame, core: DataFrame | None, config: GapConfig) -> DataFrame:
-    """cluster, keyword, frequency_other, presence_ratio, tfidf, first: Type 3 before scoring.
+def cross_cluster_candidates(bag: DataFrame, articles: DataFrame, salient: DataFrame, core: DataFrame | None, config: GapConfig, scope: tuple[str, ...] = ()) -> DataFrame:
+    """scope..., cluster, keyword, frequency_other, presence_ratio, tfidf, first: Type 3 before scoring.
 
     A keyword is absent from cluster c if c is not among the clusters that have it, and then all of its records are
     elsewhere; so what is rare in the corpus is found first, and only that is laid against the clusters.
     """
-    own = K.keyword_frequencies(bag, "cluster")
-    n = articles.agg(F.count(F.lit(1)).alias("n_all"))  # one row
-    kept = own.groupBy("keyword").agg(F.sum("frequency").alias("total"), F.min("first").alias("first"), F.collect_set("cluster").alias("in_clusters"))
+    own = K.keyword_frequencies(bag, *scope, "cluster")
+    met = lambda rows, few: rows.join(F.broadcast(few), list(scope)) if scope else rows.join(F.broadcast(few))
+    n = articles.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_all"))  # a row for each run
+    kept = own.groupBy(*scope, "keyword").agg(F.sum("frequency").alias("total"), F.min("first").alias("first"), F.collect_set("cluster").alias("in_clusters"))
     kept = kept.where(F.col("total") <= config.max_frequency_other_clusters).where(F.col("keyword") != "")
     if config.gap_token_count is not None:
         kept = kept.where(token_count(F.col("keyword")) == config.gap_token_count)
@@ -160,70 +171,78 @@ def cross_cluster_candidates(bag: DataFrame, articles: DataFrame, salient: DataF
     if config.extra_stop_keywords:
         kept = kept.where(~F.col("keyword").isin([" ".join(k.lower().split()) for k in config.extra_stop_keywords]))
     if core is not None:
-        kept = kept.join(core.select("keyword"), "keyword", "left_anti")
-    kept = kept.join(F.broadcast(n)).withColumn("presence_ratio", F.col("total") / F.col("n_all")).where(F.col("presence_ratio") <= config.max_presence_ratio)
+        kept = K.without(kept, core)
+    kept = met(kept, n).withColumn("presence_ratio", F.col("total") / F.col("n_all")).where(F.col("presence_ratio") <= config.max_presence_ratio)
     kept = with_salience(kept, salient).where(F.col("tfidf") >= config.min_tfidf)
-    clusters = articles.select("cluster").distinct().agg(F.sort_array(F.collect_set("cluster")).alias("clusters"))  # one row, one number a cluster
-    absent = kept.join(F.broadcast(clusters)).withColumn("cluster", F.explode(F.array_except("clusters", "in_clusters")))
-    out = absent.select("cluster", "keyword", F.col("total").alias("frequency_other"), "presence_ratio", "tfidf", "first")
+    clusters = articles.groupBy(*scope).agg(F.sort_array(F.collect_set("cluster")).alias("clusters"))  # a row for each run, a number for each cluster
+    absent = met(kept, clusters).withColumn("cluster", F.explode(F.array_except("clusters", "in_clusters")))
+    out = absent.select(*scope, "cluster", "keyword", F.col("total").alias("frequency_other"), "presence_ratio", "tfidf", "first")
     if config.citation_filter_active:
-        out = K.citation_filtered(out, _support_elsewhere(out, bag, articles, config), config, "cluster")
+        out = K.citation_filtered(out, _support_elsewhere(out, bag, articles, config, scope), config, *scope, "cluster")
     return out
 
 
-def _support_elsewhere(rows: DataFrame, bag: DataFrame, articles: DataFrame, config: GapConfig) -> DataFrame:
-    """cluster, keyword, citations, velocity over the other clusters' records; ages count from their latest year."""
-    last = articles.groupBy("cluster").agg(F.max("year").alias("y"))
+def _support_elsewhere(rows: DataFrame, bag: DataFrame, articles: DataFrame, config: GapConfig, scope: tuple[str, ...] = ()) -> DataFrame:
+    """scope..., cluster, keyword, citations, velocity over the other clusters' records; ages count from their latest year."""
+    by = [*scope, "cluster"]
+    last = articles.groupBy(*by).agg(F.max("year").alias("y"))  # a row for each cluster
+    others = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
     if config.citation_year_reference is not None:
-        ref = rows.select("cluster").distinct().withColumn("ref", F.lit(config.citation_year_reference))
+        ref = last.select(*by, F.lit(config.citation_year_reference).alias("ref"))
     elif config.reference_scope == "corpus":
-        ref = articles.select("cluster").distinct().join(F.broadcast(last.agg(F.max("y").alias("ref"))))
-    else:
-        ref = articles.select("cluster").distinct().join(F.broadcast(last.withColumnRenamed("cluster", "o")), F.col("o") != F.col("cluster"), "left").groupBy("cluster").agg(F.max("y").alias("ref"))
-    facts = rows.select("cluster", "keyword").join(bag.select("row_id", "keyword").distinct(), "keyword").join(articles.select("row_id", "year", "citations"), "row_id").join(F.broadcast(ref), "cluster")
+        ref = last.select(*by, F.max("y").over(others).alias("ref"))
+    else:  # the latest year of the other clusters, from the best two of all
+        years = F.sort_array(F.collect_list(F.struct("y", "cluster")).over(others), asc=False)
+        ref = last.select(*by, F.when(F.get(years, 0)["cluster"] == F.col("cluster"), F.get(years, 1)["y"]).otherwise(F.get(years, 0)["y"]).alias("ref"))
+    facts = rows.select(*by, "keyword").join(bag.select(*scope, "row_id", "keyword").distinct(), [*scope, "keyword"]).join(articles.select(*scope, "row_id", "year", "citations"), [*scope, "row_id"]).join(F.broadcast(ref), by)
     rate = F.col("citations") / F.greatest(F.lit(1), F.col("ref") - F.col("year") + 1)
-    return facts.groupBy("cluster", "keyword").agg(F.max("citations").alias("citations"), F.max(rate).alias("velocity"))
+    return facts.groupBy(*by, "keyword").agg(F.max("citations").alias("citations"), F.max(rate).alias("velocity"))
 
 
-def cross_cluster_concepts(bag: DataFrame, articles: DataFrame, salient: DataFrame, core: DataFrame | None, config: GapConfig, clusters: DataFrame | None = None) -> DataFrame:
+def cross_cluster_concepts(bag: DataFrame, articles: DataFrame, salient: DataFrame, core: DataFrame | None, config: GapConfig, clusters: DataFrame | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
     """Type 3: concepts of other clusters that a cluster lacks. clusters(cluster) limits whose gaps are reported."""
     if "cluster" not in articles.columns:
         raise ValueError("cross-cluster detection needs a cluster column")
-    rows = cross_cluster_candidates(bag, articles, salient, core, config)
+    by = (*scope, "cluster")
+    rows = cross_cluster_candidates(bag, articles, salient, core, config, scope)
     if clusters is not None:
-        rows = rows.join(clusters.select("cluster"), "cluster", "left_semi")
-    best = salient.agg(F.coalesce(F.max("tfidf"), F.lit(1.0)).alias("tfidf_max"))  # one row
-    rows = rows.join(F.broadcast(best)).withColumn("score", scores.cross_cluster(F.col("frequency_other"), F.col("presence_ratio"), F.col("tfidf"), F.col("tfidf_max"), config.cross_cluster_weights))
-    rows = top_k(rows, config.max_gaps_per_cluster, [F.desc("score"), F.col("first")], "cluster").withColumn("frequency_other_clusters", F.col("frequency_other"))
+        rows = rows.join(clusters.select(*by), list(by), "left_semi")
+    keys = K.shared(rows, salient, "keyword", "tfidf", "match_type")
+    best = F.broadcast(salient.groupBy(*keys).agg(F.coalesce(F.max("tfidf"), F.lit(1.0)).alias("tfidf_max")))  # a row for each corpus
+    rows = (rows.join(best, keys) if keys else rows.join(best)).withColumn("score", scores.cross_cluster(F.col("frequency_other"), F.col("presence_ratio"), F.col("tfidf"), F.col("tfidf_max"), config.cross_cluster_weights))
+    rows = top_k(rows, config.max_gaps_per_cluster, [F.desc("score"), F.col("first")], *by).withColumn("frequency_other_clusters", F.col("frequency_other"))
     why = F.format_string("not in cluster %s; in %d record(s) elsewhere (%.1f%% of the corpus); tf-idf %.4f", F.col("cluster").cast("string"), F.col("frequency_other"), 100 * F.col("presence_ratio"), F.col("tfidf"))
-    gaps = rows.select(F.lit(CROSS_CLUSTER).alias("gap_type"), "keyword", "cluster", "score", F.col("frequency_other").alias("frequency"), why.alias("rationale"), F.array("keyword").alias("members"),
+    gaps = rows.select(*scope, F.lit(CROSS_CLUSTER).alias("gap_type"), "keyword", "cluster", "score", F.col("frequency_other").alias("frequency"), why.alias("rationale"), F.array("keyword").alias("members"),
                        _metrics("frequency_other_clusters", "presence_ratio", "tfidf").alias("metrics"))
-    return article_evidence(gaps, bag, articles, elsewhere=True).select(*GAP_COLUMNS)
+    return article_evidence(gaps, bag, articles, elsewhere=True, scope=scope).select(*scope, *GAP_COLUMNS)
+
 
+def periphery_thresholds(space: DataFrame, percentile: float, scope: tuple[str, ...] = ()) -> DataFrame:
+    """scope..., cluster, threshold: the exact percentile (linear between ranks) of all members' distances."""
+    return exact_quantiles(space, [*scope, "cluster"], "distance", percentile / 100).withColumnRenamed("quantile", "threshold")
 
-def periphery_thresholds(space: DataFrame, percentile: float) -> DataFrame:
-    """cluster, threshold: the exact percentile (linear between ranks) of all members' distances."""
-    return space.groupBy("cluster").agg(F.percentile("distance", F.lit(percentile / 100)).alias("threshold"))
 
+def peripheral_keywords(space: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, core: DataFrame | None, config: GapConfig, scope: tuple[str, ...] = (), ceiling: Column | None = None) -> DataFrame:
+    """Mode A: keywords at or beyond the percentile of their cluster's distances. bag needs no cluster.
 
-def peripheral_keywords(space: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, core: DataFrame | None, config: GapConfig) -> DataFrame:
-    """Mode A: keywords at or beyond the percentile of their cluster's distances. bag needs no cluster."""
+    A ceiling, where it is given, stands for max_keyword_frequency.
+    """
     rows = K.candidates(space, config, core)
-    if config.max_keyword_frequency is not None:
-        rows = rows.where(F.col("frequency") <= config.max_keyword_frequency)
+    if ceiling is not None or config.max_keyword_frequency is not None:
+        rows = rows.where(F.col("frequency") <= (config.max_keyword_frequency if ceiling is None else ceiling))
     if config.citation_filter_active:
-        rows = K.citation_filtered(rows, K.citation_support(bag, articles, config), config)
-    rows = rows.join(periphery_thresholds(space, config.periphery_percentile), "cluster").where("distance >= threshold")
+        rows = K.citation_filtered(rows, K.citation_support(bag, articles, config, *scope, scope=scope), config, *scope)
+    rows = rows.join(periphery_thresholds(space, config.periphery_percentile, scope), [*scope, "cluster"]).where("distance >= threshold")
     rows = with_salience(rows, salient).withColumns({"distance_from_centroid": F.col("distance"), "cluster_threshold": F.col("threshold"), "score": F.col("distance")})
     why = F.format_string("distance %.4f at or beyond the cluster's percentile %.4f; in %d record(s); tf-idf %.4f", F.col("distance"), F.col("threshold"), F.col("frequency"), F.col("tfidf"))
-    gaps = rows.select(F.lit(PERIPHERAL).alias("gap_type"), "keyword", "cluster", "score", "frequency", why.alias("rationale"), F.array("keyword").alias("members"),
+    gaps = rows.select(*scope, F.lit(PERIPHERAL).alias("gap_type"), "keyword", "cluster", "score", "frequency", why.alias("rationale"), F.array("keyword").alias("members"),
                        _metrics("distance_from_centroid", "cluster_threshold", "centrality", "tfidf").alias("metrics"))
-    return article_evidence(gaps, bag, articles, scoped=False).select(*GAP_COLUMNS)
+    return article_evidence(gaps, bag, articles, scoped=False, scope=scope).select(*scope, *GAP_COLUMNS)
 
 
-def deduplicate(gaps: DataFrame) -> DataFrame:
+def deduplicate(gaps: DataFrame, *scope: str) -> DataFrame:
     """The best row of each type and keyword; ties go to the lowest cluster."""
-    return top_k(gaps, 1, [F.desc("score"), F.col("cluster")], "gap_type", "keyword")
+    return top_k(gaps, 1, [F.desc("score"), F.col("cluster")], *scope, "gap_type", "keyword")
 
 
 def flattened(gaps: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -235,24 +254,25 @@ def flattened(gaps: DataFrame, names: list[str] | None = None) -> DataFrame:
     return out.drop("metrics").orderBy("gap_type", F.desc("score"), "cluster", "keyword")
 
 
-def cluster_labels(bag: DataFrame, core: DataFrame | None, spelling: DataFrame | None, n_terms: int = 2) -> DataFrame:
-    """cluster, cluster_label of bag(cluster, ...): the most frequent keywords that are not core; ties by first appearance."""
-    freq = K.keyword_frequencies(bag, "cluster")
+def cluster_labels(bag: DataFrame, core: DataFrame | None, spelling: DataFrame | None, n_terms: int = 2, scope: tuple[str, ...] = ()) -> DataFrame:
+    """scope..., cluster, cluster_label of bag(cluster, ...): the most frequent keywords that are not core; ties by first appearance."""
+    freq = K.keyword_frequencies(bag, *scope, "cluster")
     if core is not None:
-        freq = freq.join(core.select("keyword"), "keyword", "left_anti")
-    return _labelled(freq, [F.desc("frequency"), F.col("first")], spelling, n_terms, bag.select("cluster").distinct())
+        freq = K.without(freq, core)
+    return _labelled(freq, [F.desc("frequency"), F.col("first")], spelling, n_terms, bag.select(*scope, "cluster").distinct())
 
 
-def member_labels(space: DataFrame, core: DataFrame | None, spelling: DataFrame | None, n_terms: int = 2) -> DataFrame:
+def member_labels(space: DataFrame, core: DataFrame | None, spelling: DataFrame | None, n_terms: int = 2, scope: tuple[str, ...] = ()) -> DataFrame:
     """Mode A: the first members that are not core."""
-    rows = space if core is None else space.join(core.select("keyword"), "keyword", "left_anti")
-    return _labelled(rows, [F.col("first")], spelling, n_terms, space.select("cluster").distinct())
+    rows = space if core is None else K.without(space, core)
+    return _labelled(rows, [F.col("first")], spelling, n_terms, space.select(*scope, "cluster").distinct())
 
 
 def _labelled(rows: DataFrame, order: list[Column], spelling: DataFrame | None, n_terms: int, clusters: DataFrame) -> DataFrame:
     from gapspark.functions.text import capitalise
 
-    place = rows.withColumn("p", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).where(F.col("p") <= n_terms)
-    named = place.join(spelling, "keyword", "left") if spelling is not None else place.withColumn("spelling", F.lit(None).cast("string"))
-    joined = named.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("spelling", "keyword").alias("s")))), lambda x: x["s"]), " & ").alias("l"))
-    return clusters.join(joined, "cluster", "left").select("cluster", F.coalesce(capitalise(F.col("l")), F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))).alias("cluster_label"))
+    by = clusters.columns
+    place = rows.withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("p") <= n_terms)
+    named = place.join(spelling, [*K.shared(place, spelling, "keyword", "spelling"), "keyword"], "left") if spelling is not None else place.withColumn("spelling", F.lit(None).cast("string"))
+    joined = named.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("spelling", "keyword").alias("s")))), lambda x: x["s"]), " & ").alias("l"))
+    return clusters.join(joined, by, "left").select(*by, F.coalesce(capitalise(F.col("l")), F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))).alias("cluster_label"))

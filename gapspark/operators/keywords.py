@@ -17,8 +17,13 @@ def keyword_bag(articles: DataFrame, *carry: str) -> DataFrame:
 
 def keyword_frequencies(bag: DataFrame, *by: str) -> DataFrame:
     """by..., keyword, frequency (records, not occurrences) and first, the place of the first appearance."""
-    # a record lists a keyword once, because its list is distinct; a bag from elsewhere is made so first
-    return bag.groupBy(*by, "keyword").agg(F.countDistinct("row_id").alias("frequency"), F.min(F.struct("row_id", "pos")).alias("first"))
+    # a record lists a keyword once, because its list is distinct, so rows are records
+    return bag.groupBy(*by, "keyword").agg(F.count(F.lit(1)).alias("frequency"), F.min(F.struct("row_id", "pos")).alias("first"))
+
+
+def shared(rows: DataFrame, other: DataFrame, *own: str) -> list[str]:
+    """The columns of `other`, besides its own, that name the run or corpus a row belongs to, as far as rows have them."""
+    return [c for c in other.columns if c not in own and c in rows.columns]
 
 
 def unique_keywords(bag: DataFrame) -> DataFrame:
@@ -27,18 +32,18 @@ def unique_keywords(bag: DataFrame) -> DataFrame:
     return running(first, ["first"], "kw_ord").select("keyword", F.col("kw_ord").cast("long").alias("kw_ord"))
 
 
-def spellings(articles: DataFrame) -> DataFrame:
-    """keyword, spelling: the most frequent source spelling of each keyword; ties go to the one seen first."""
-    raw = articles.select("row_id", F.posexplode("author_keywords").alias("pos", "spelling"))
+def spellings(articles: DataFrame, *by: str) -> DataFrame:
+    """by..., keyword, spelling: the most frequent source spelling of each keyword; ties go to the one seen first."""
+    raw = articles.select(*by, "row_id", F.posexplode("author_keywords").alias("pos", "spelling"))
     raw = raw.withColumn("keyword", normalize_keyword(F.col("spelling"))).where("keyword <> ''")
-    counted = raw.groupBy("keyword", "spelling").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "pos")).alias("first"))
-    best = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("n"), "first"))
-    return counted.withColumn("r", best).where("r = 1").select("keyword", "spelling")
+    counted = raw.groupBy(*by, "keyword", "spelling").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "pos")).alias("first"))
+    best = F.row_number().over(Window.partitionBy(*by, "keyword").orderBy(F.desc("n"), "first"))
+    return counted.withColumn("r", best).where("r = 1").select(*by, "keyword", "spelling")
 
 
-def core_terms(frequencies: DataFrame, n_articles: Column, share: float) -> DataFrame:
+def core_terms(frequencies: DataFrame, n_articles: Column, share: float, *by: str) -> DataFrame:
     """Keywords in more than `share` of the records."""
-    return frequencies.where(F.col("frequency") > n_articles * share).select("keyword", "frequency")
+    return frequencies.where(F.col("frequency") > n_articles * share).select(*by, "keyword", "frequency")
 
 
 def candidate_mask(keyword: Column, config: GapConfig) -> Column:
@@ -55,7 +60,13 @@ def candidate_mask(keyword: Column, config: GapConfig) -> Column:
 
 def candidates(frequencies: DataFrame, config: GapConfig, core: DataFrame | None = None) -> DataFrame:
     out = frequencies.where(candidate_mask(F.col("keyword"), config))
-    return out if core is None else out.join(core.select("keyword"), "keyword", "left_anti")
+    return out if core is None else without(out, core)
+
+
+def without(rows: DataFrame, core: DataFrame) -> DataFrame:
+    """rows whose keyword is no core term."""
+    keys = [*shared(rows, core, "keyword", "frequency"), "keyword"]
+    return rows.join(core.select(*keys), keys, "left_anti")
 
 
 def frequency_ceiling(n_articles: Column) -> Column:
@@ -63,18 +74,18 @@ def frequency_ceiling(n_articles: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(n_articles / F.lit(50.0), 0).cast("int"))
 
 
-def citation_support(bag: DataFrame, articles: DataFrame, config: GapConfig, *by: str) -> DataFrame:
+def citation_support(bag: DataFrame, articles: DataFrame, config: GapConfig, *by: str, scope: tuple[str, ...] = ()) -> DataFrame:
     """by..., keyword, citations, velocity: the best record's citations, and the best citations per year.
 
     The age of a record counts from the reference year, which is the configured one or the latest of the rows alike
-    in `by` (with reference_scope 'corpus': of all rows). Unknown values give null, never 0.
+    in `by` (with reference_scope 'corpus': of all rows alike in `scope`, which is part of `by` and names the run). Unknown values give null, never 0.
     """
-    rows = bag.select(*by, "row_id", "keyword").distinct().join(articles.select("row_id", "year", "citations"), "row_id")
+    rows = bag.select(*by, "row_id", "keyword").distinct().join(articles.select(*scope, "row_id", "year", "citations"), [*scope, "row_id"])
     if config.citation_year_reference is not None:
         rows = rows.withColumn("ref", F.lit(config.citation_year_reference))
-    elif config.reference_scope == "corpus" or not by:
-        last = articles.agg(F.max("year").alias("ref"))
-        rows = rows.join(F.broadcast(last))  # one row
+    elif config.reference_scope == "corpus" or set(by) == set(scope):
+        last = F.broadcast(articles.groupBy(*scope).agg(F.max("year").alias("ref")))  # a row for each run
+        rows = rows.join(last, list(scope)) if scope else rows.join(last)
     else:
         last = articles.groupBy(*by).agg(F.max("year").alias("ref"))
         rows = rows.join(last, list(by))
@@ -116,7 +127,8 @@ def display(keywords: DataFrame, spelling: DataFrame, members: str = "members",
     from gapspark.functions.text import PAIR_SEPARATOR, capitalise
 
     keyed = keywords.withColumn("_gs_id", F.xxhash64(*[F.col(c) for c, t in keywords.dtypes if not t.startswith("map")], F.lit(1)))
-    each = keyed.select("_gs_id", F.posexplode(members).alias("pos", "keyword")).distinct().join(spelling, "keyword", "left")
+    scope = shared(keywords, spelling, "keyword", "spelling")
+    each = keyed.select("_gs_id", *scope, F.posexplode(members).alias("pos", "keyword")).distinct().join(spelling, [*scope, "keyword"], "left")
     named = each.select("_gs_id", F.struct("pos", capitalise(F.coalesce("spelling", "keyword")).alias("s")).alias("x"))
     shown = named.groupBy("_gs_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), PAIR_SEPARATOR).alias(into))
     return keyed.join(shown, "_gs_id", "left").drop("_gs_id")

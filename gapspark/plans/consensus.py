@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,8 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapspark.config import RunConfig
-from gapspark.plans.pipelines import MODES, encode_articles, encode_keywords, prepare
-from gapspark.plans.results import PipelineResult
+from gapspark.functions.order import numbered
+from gapspark.operators import clustering as C
+from gapspark.operators import detectors as D
+from gapspark.operators import keywords as K
+from gapspark.operators.encoders import get_encoder
+from gapspark.operators.tfidf import salience
+from gapspark.plans.pipelines import MODES, default_ceiling, keyword_space, rank_corpus, search_articles
 from gapspark.sources.corpus import Corpus
 from gapspark.sources.tables import materialized, save_csv, save_json
 
@@ -65,7 +71,7 @@ def support_histogram(consensus: DataFrame) -> DataFrame:
 @dataclass
 class ConsensusResult:
     gaps: DataFrame
-    reference: PipelineResult
+    mode: str
     runs: DataFrame
     grid: DataFrame
     min_support: float
@@ -82,30 +88,89 @@ class ConsensusResult:
         return row.asDict() | self.stability.first().asDict()
 
     def save(self, folder: str, prefix: str | None = None) -> dict[str, str]:
-        base = f"{folder.rstrip('/')}/{prefix or self.reference.mode}"
+        base = f"{folder.rstrip('/')}/{prefix or self.mode}"
         return {"consensus": save_csv(self.gaps, f"{base}_consensus_gaps.csv"), "summary": save_json(self.gaps.sparkSession, self.summary(), f"{base}_consensus_summary.json")}
 
 
+@dataclass
+class Sized:
+    """What depends on the size of the corpus only, each table with its `size` (-1: all articles)."""
+
+    frame: DataFrame
+    salient: DataFrame
+    frequencies: DataFrame
+    core: DataFrame
+    spelling: DataFrame
+    keyword_vectors: DataFrame
+    article_vectors: DataFrame | None
+    n_articles: dict[int, int]
+
+
+def _sized(corpus: Corpus, mode: str, config: RunConfig, sizes: list[int]) -> Sized:
+    """The articles are ranked once; a size is a key of all that is counted on them. Encoders see one size's texts together, so each size is encoded."""
+    frame, most = corpus.frame, None if -1 in sizes else max(sizes)
+    if config.problem_description:
+        ranked = rank_corpus(corpus, config.problem_description, config, most)
+        frame = frame.join(ranked, "row_id").withColumnRenamed("row_id", "source_row_id").withColumn("row_id", F.col("rank"))
+        place = F.col("rank")
+    else:
+        kept = frame.orderBy("row_id").limit(most) if most else frame
+        frame = numbered(kept, ["row_id"], "_place")
+        place = F.col("_place")
+    at = F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size")
+    frame = materialized(frame.select("*", at).where((F.col("size") < 0) | (place <= F.col("size"))), "sized")
+    by, n = ("size",), frame.groupBy("size").agg(F.count(F.lit(1)).alias("n_articles"))
+    frequencies = materialized(K.keyword_frequencies(K.keyword_bag(frame, *by), *by).withColumnRenamed("frequency", "global_frequency"), "frequencies")
+    core = K.core_terms(frequencies.withColumnRenamed("global_frequency", "frequency").join(F.broadcast(n), "size"), F.col("n_articles"), config.gaps.core_domain_share, *by)
+
+    def encoded(rows: DataFrame, encoder, name: str) -> DataFrame:
+        own = [get_encoder(encoder).encode(rows.where(F.col("size") == size).select("row_id", "text")).withColumn("size", F.lit(size)) for size in sizes]
+        return materialized(reduce(DataFrame.unionByName, own), name)
+
+    keyword_vectors = encoded(frequencies.select("size", F.col("keyword").alias("row_id"), F.col("keyword").alias("text")), config.keyword_encoder, "keyword_vectors").withColumnRenamed("row_id", "keyword")
+    article_vectors = encoded(frame.select("size", "row_id", F.col("combined_text").alias("text")), config.article_encoder, "article_vectors") if mode == "articles_first" else None
+    return Sized(frame, materialized(salience(frame, by=by), "salience"), frequencies, materialized(core, "core"), materialized(K.spellings(frame, *by), "spelling"), keyword_vectors, article_vectors, {r.size: r.n_articles for r in n.collect()})
+
+
+def _articles_runs(s: Sized, config: RunConfig, seeds: list[int]) -> DataFrame:
+    scope = ("size", "seed")
+    labels = C.fit_runs(s.article_vectors.withColumnRenamed("size", "scope"), seeds, config.clustering).withColumnRenamed("scope", "size")
+    frame = materialized(s.frame.join(labels.withColumnRenamed("distance", "distance_from_centroid"), ["size", "row_id"]), "clustered")
+    bag, _, _, found = search_articles(frame, s.keyword_vectors, s.salient, s.frequencies, s.core, config, scope)
+    kept = D.deduplicate(found, *scope) if config.gaps.deduplicate_cross_cluster else found
+    return kept.join(D.cluster_labels(bag, s.core, s.spelling, scope=scope), [*scope, "cluster"], "left")
+
+
+def _keywords_runs(s: Sized, config: RunConfig, seeds: list[int]) -> DataFrame:
+    scope = ("size", "seed")
+    labels = C.fit_runs(s.keyword_vectors.select(F.col("size").alias("scope"), F.col("keyword").alias("row_id"), "vector"), seeds, config.clustering)
+    own = labels.select(F.col("scope").alias("size"), "seed", F.col("row_id").alias("keyword"), "cluster", "distance")
+    space = keyword_space(s.frequencies, s.keyword_vectors, own, config.clustering.distance_metric, ("size",), scope)
+    ceiling = None
+    if config.gaps.max_keyword_frequency is None:  # it depends on the size
+        ceiling = F.create_map(*[F.lit(x) for n, k in s.n_articles.items() for x in (n, default_ceiling(k))])[F.col("size")]
+    frame = s.frame.withColumn("seed", F.explode(F.array(*[F.lit(x).cast("long") for x in seeds])))
+    bag = K.keyword_bag(s.frame, "size").join(F.broadcast(space.select(*scope).distinct()), "size")  # a row for each run
+    found = D.peripheral_keywords(space, bag, frame, s.salient, s.core, config.gaps, scope, ceiling)
+    return found.join(D.member_labels(space, s.core, s.spelling, scope=scope), [*scope, "cluster"], "left")
+
+
 def consensus_gaps(corpus: Corpus, mode: str = "articles_first", config: RunConfig | None = None, seeds: Sequence[int] = DEFAULT_SEEDS, min_support: float = 0.0, sizes: Sequence[int] | None = None) -> ConsensusResult:
-    """A run for each (size, seed). Texts are ranked and encoded once for each size, since a seed only moves the clustering."""
+    """A run for each (size, seed), which are keys of one plan through clustering and detectors. The runs are those that `run` makes one by one."""
     config = config or RunConfig()
     seeds = list(dict.fromkeys(seeds))
     sizes = list(dict.fromkeys(sizes)) if sizes else [config.top_n_articles]
     if len(seeds) < 2 or any(s is not None and s < 2 for s in sizes) or not 0 <= min_support <= 1:
         raise ValueError("a consensus needs two seeds or more, sizes of two or more and a support from 0 to 1")
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
     spark = corpus.frame.sparkSession
-    parts, grid, reference = [], [], None
-    for size in sizes:
-        sized = config.replace(top_n_articles=size)
-        p = prepare(corpus, sized)
-        vectors = (encode_articles(p, sized) if mode == "articles_first" else None, encode_keywords(p, sized))
-        for seed in seeds:
-            result = MODES[mode](corpus, sized.seeded(seed), None, p, vectors)
-            reference = reference or result
-            run_id = len(grid)
-            grid.append((run_id, seed, size))
-            parts.append(result.gaps.select(F.lit(run_id).alias("run_id"), F.lit(seed).alias("seed"), F.lit(size).cast("int").alias("size"), "gap_type", "keyword", "keyword_display", "score", "frequency", "cluster_label"))
-    runs = materialized(reduce(DataFrame.unionByName, parts), "runs")
-    shown = runs.groupBy("gap_type", "keyword").agg(F.min("keyword_display").alias("keyword_display"))
-    gaps = pooled(runs, len(grid), min_support).join(shown, ["gap_type", "keyword"]).orderBy(F.desc("support"), F.desc("mean_score"), "gap_type", "keyword")
-    return ConsensusResult(gaps, reference, runs, spark.createDataFrame(grid, "run_id int, seed int, size int"), min_support)
+    s = _sized(corpus, mode, config, [-1 if n is None else n for n in sizes])
+    found = (_articles_runs if mode == "articles_first" else _keywords_runs)(s, config, seeds)
+    grid = [(i, seed, size) for i, (size, seed) in enumerate((n, x) for n in sizes for x in seeds)]
+    named = spark.createDataFrame([(i, seed, -1 if size is None else size) for i, seed, size in grid], "run_id int, seed long, size int")
+    shown = K.display(found, s.spelling).join(F.broadcast(named), ["size", "seed"])
+    runs = materialized(shown.select("run_id", F.col("seed").cast("int").alias("seed"), F.nullif(F.col("size"), F.lit(-1)).alias("size"), "gap_type", "keyword", "keyword_display", "score", "frequency", "cluster_label"), "runs")
+    display = runs.groupBy("gap_type", "keyword").agg(F.min("keyword_display").alias("keyword_display"))
+    gaps = pooled(runs, len(grid), min_support).join(display, ["gap_type", "keyword"]).orderBy(F.desc("support"), F.desc("mean_score"), "gap_type", "keyword")
+    return ConsensusResult(gaps, mode, runs, spark.createDataFrame(grid, "run_id int, seed int, size int"), min_support)

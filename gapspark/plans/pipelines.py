@@ -79,11 +79,13 @@ def encode_keywords(p: Prepared, config: RunConfig) -> DataFrame:
     return materialized(get_encoder(config.keyword_encoder).encode(texts).withColumnRenamed("row_id", "keyword"), "keyword_vectors")
 
 
-def build_spaces(bag: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
-    """cluster, keyword, frequency, first, vector, centrality of bag(cluster, ...): each cluster's keywords as a space."""
-    rows = K.keyword_frequencies(bag, "cluster").join(vectors, "keyword")
-    centres = mean_vectors(rows.select("cluster", "vector"), ["cluster"])
-    return rows.join(F.broadcast(centres), "cluster").withColumn("centrality", distance(F.col("vector"), F.col("centroid"), metric)).drop("centroid")
+def build_spaces(bag: DataFrame, vectors: DataFrame, metric: str, scope: tuple[str, ...] = ()) -> DataFrame:
+    """scope..., cluster, keyword, frequency, first, vector, centrality of bag(cluster, ...): each cluster's keywords as a space."""
+    by = [*scope, "cluster"]
+    rows = K.keyword_frequencies(bag, *by)
+    rows = rows.join(vectors, [*K.shared(rows, vectors, "keyword", "vector"), "keyword"])
+    centres = mean_vectors(rows.select(*by, "vector"), by)
+    return rows.join(F.broadcast(centres), by).withColumn("centrality", distance(F.col("vector"), F.col("centroid"), metric)).drop("centroid")
 
 
 def quality(points: DataFrame, k: int) -> dict:
@@ -118,6 +120,23 @@ def _custom_labels(labeler: Labeler, clusters: list[int], articles, members) ->
     return [(c, labeler(c, articles(c), members(c))) for c in clusters]
 
 
+def search_articles(frame: DataFrame, keyword_vectors: DataFrame, salient: DataFrame, frequencies: DataFrame, core: DataFrame, config: RunConfig, scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(bag, usable clusters, space, gaps of three types before deduplication) of clustered articles, for all runs of scope at once."""
+    by = (*scope, "cluster")
+    bag = materialized(K.keyword_bag(frame, *by), "bag")
+    # clusters with fewer than three keyword occurrences are skipped, for all types
+    usable = materialized(bag.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select(*by), "usable")
+    inside = bag.join(F.broadcast(usable), list(by), "left_semi")  # a row for each cluster of each run
+    space = materialized(C.fit_subclusters(build_spaces(inside, keyword_vectors, config.clustering.distance_metric, scope), config.clustering, scope), "space")
+    plain, g = space.drop("vector"), config.gaps
+    found = (
+        D.emerging_concepts(plain, bag, frame, salient, frequencies, core, g, scope)
+        .unionByName(D.conceptual_combinations(plain, keyword_vectors, inside, frame, salient, g, scope))
+        .unionByName(D.cross_cluster_concepts(bag, frame, salient, core, g, usable, scope))
+    )
+    return bag, usable, space, materialized(found, "gaps")
+
+
 def articles_first(corpus: Corpus, config: RunConfig | None = None, labeler: Labeler | None = None, prepared: Prepared | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> PipelineResult:
     """Mode B: articles are clustered, and each cluster's keywords are searched for three types of gap.
 
@@ -128,20 +147,9 @@ def articles_first(corpus: Corpus, config: RunConfig | None = None, labeler: Lab
     article_vectors, keyword_vectors = vectors or (encode_articles(p, config), encode_keywords(p, config))
     clusters = C.fit_kmeans(article_vectors, config.clustering)
     frame = materialized(p.frame.join(clusters.assignment, "row_id"), "clustered")
-    bag = materialized(K.keyword_bag(frame, "cluster"), "bag")
-    # clusters with fewer than three keyword occurrences are skipped, for all types
-    occurrences = bag.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    usable = materialized(occurrences.where("n >= 3").select("cluster"), "usable")
+    bag, usable, space, found = search_articles(frame, keyword_vectors, p.salient, p.frequencies, p.core, config)
     skipped = {r.cluster: "fewer than 3 keywords" for r in clusters.centroids.join(usable, "cluster", "left_anti").select("cluster").collect()}  # k rows
-    inside = bag.join(F.broadcast(usable), "cluster", "left_semi")
-    space = materialized(C.fit_subclusters(build_spaces(inside, keyword_vectors, config.clustering.distance_metric), config.clustering), "space")
     g = config.gaps
-    found = (
-        D.emerging_concepts(space.drop("vector"), bag, frame, p.salient, p.frequencies, p.core, g)
-        .unionByName(D.conceptual_combinations(space.drop("vector"), keyword_vectors, inside, frame, p.salient, g))
-        .unionByName(D.cross_cluster_concepts(bag, frame, p.salient, p.core, g, usable))
-    )
-    found = materialized(found, "gaps")
     labels = D.cluster_labels(bag, p.core, p.spelling)
     if labeler:
         names = _custom_labels(labeler, [r.cluster for r in clusters.centroids.select("cluster").collect()], lambda c: frame.where(F.col("cluster") == c), lambda c: [])
@@ -162,22 +170,34 @@ def encode_articles(p: Prepared, config: RunConfig) -> DataFrame:
     return materialized(get_encoder(config.article_encoder).encode(p.frame.select("row_id", F.col("combined_text").alias("text"))), "article_vectors")
 
 
+def default_ceiling(n_articles: int) -> int:
+    """Mode A's ceiling of a keyword's records where none is set: one in fifty, half to even."""
+    return max(1, round(n_articles / 50))
+
+
+def keyword_space(frequencies: DataFrame, vectors: DataFrame, labels: DataFrame, metric: str, corpus: tuple[str, ...] = (), scope: tuple[str, ...] = ()) -> DataFrame:
+    """Mode A's space: keywords with their cluster, distance and centrality; corpus names what frequencies and vectors belong to, scope the runs of labels."""
+    keys = [*corpus, "keyword"]
+    centre = F.broadcast(mean_vectors(vectors, list(corpus)))  # a vector for each corpus
+    rows = frequencies.withColumnRenamed("global_frequency", "frequency").join(vectors, keys)
+    rows = rows.join(centre, list(corpus)) if corpus else rows.join(centre)
+    rows = rows.withColumn("centrality", distance(F.col("vector"), F.col("centroid"), metric)).drop("vector", "centroid")
+    return materialized(rows.join(labels, keys), "space")
+
+
 def keywords_first(corpus: Corpus, config: RunConfig | None = None, labeler: Labeler | None = None, prepared: Prepared | None = None, vectors: tuple | None = None) -> PipelineResult:
     """Mode A: the keywords are clustered, and those on the rim of their cluster are gaps."""
     config = config or RunConfig()
     p = prepared or prepare(corpus, config)
-    if config.gaps.max_keyword_frequency is None:  # half to even
-        config = config.replace(gaps=dataclasses.replace(config.gaps, max_keyword_frequency=max(1, round(p.n_articles / 50))))
+    if config.gaps.max_keyword_frequency is None:
+        config = config.replace(gaps=dataclasses.replace(config.gaps, max_keyword_frequency=default_ceiling(p.n_articles)))
     if p.frequencies.limit(4).count() < 4:
         raise ValueError("Mode A needs four distinct keywords or more")
     keyword_vectors = vectors[1] if vectors else encode_keywords(p, config)
     metric = config.clustering.distance_metric
-    centre = mean_vectors(keyword_vectors, [])
     clusters = C.fit_kmeans(keyword_vectors.withColumnRenamed("keyword", "row_id"), config.clustering)
-    rows = p.frequencies.withColumnRenamed("global_frequency", "frequency").join(keyword_vectors, "keyword").join(F.broadcast(centre))
-    rows = rows.withColumn("centrality", distance(F.col("vector"), F.col("centroid"), metric)).drop("vector", "centroid")
     own = clusters.assignment.select(F.col("row_id").alias("keyword"), "cluster", F.col("distance_from_centroid").alias("distance"))
-    space = materialized(rows.join(own, "keyword"), "space")
+    space = keyword_space(p.frequencies, keyword_vectors, own, metric)
     found = D.peripheral_keywords(space, p.bag, p.frame, p.salient, p.core, config.gaps)
     labels = D.member_labels(space, p.core, p.spelling)
     if labeler:

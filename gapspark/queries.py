@@ -105,8 +105,8 @@ def candidate_mask(spark, sf):
 
 @query("scalings", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when max(l_quantity) over w > min(l_quantity) over w then (l_quantity - min(l_quantity) over w) / (max(l_quantity) over w - min(l_quantity) over w) else 0.5 end, 6) as minmax, round(case when stddev_pop(l_quantity) over w > 0 then (l_quantity - avg(l_quantity) over w) / stddev_pop(l_quantity) over w else 0.0 end, 6) as zscore from lineitem window w as (partition by l_suppkey)")
 def scalings(spark, sf):
-    x = F.col("l_quantity")
-    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(scores.minmax(x, "l_suppkey"), "minmax"), r6(scores.zscore(x, "l_suppkey"), "zscore"))
+    out = scores.scaled(V.table(spark, sf, "lineitem"), ("l_suppkey",), {"minmax": "l_quantity"}, {"zscore": "l_quantity"})
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("minmax", "minmax"), r6("zscore", "zscore"))
 
 
 @query("gap_scores", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.25e0 * l_discount + 0.15e0 * l_tax + 0.3e0 * (l_quantity / 50) + 0.3e0 * (1 - l_discount), 6) as emerging, round(0.4e0 * (1 - 2 * abs(l_quantity / 50 - 0.45e0)) + 0.3e0 * least((l_linenumber + l_suppkey % 7) / 10.0e0, 1.0e0) + 0.3e0 * least(10 * l_discount, 1.0e0), 6) as combination, round(0.25e0 * least(l_linenumber / 5.0e0, 1.0e0) + 0.35e0 * (1 - l_discount) + 0.4e0 * case when l_tax > 0 then least(l_discount / l_tax, 1.0e0) else 0.0e0 end, 6) as cross_cluster from lineitem")
