@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,32 +15,63 @@ from gapspark.operators.backoff import FLOOR, Index
 from gapspark.sources.tables import materialized
 
 
-def ngram_counts(articles: DataFrame, low: int = 1, high: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., row_id, term, tf: word n-grams of each record's keywords joined by blanks (so they cross keywords)."""
+def tokens(articles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., t: the words of each record's keywords, in order and across keywords."""
     text = F.array_join("keywords_normalized", " ")
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[\w\-]+\b"), F.lit(0))
-    rows = articles.select(*by, "row_id", tokens.alias("t")).where(F.size("t") > 0)
+    return articles.select(*by, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[\w\-]+\b"), F.lit(0)).alias("t")).where(F.size("t") > 0)
+
+
+def ngram_counts(articles: DataFrame, low: int = 1, high: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., term, total, df: how often each word n-gram occurs, and in how many records."""
     grams = F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.expr("array()").cast("array<string>"))))
-    return rows.select(*by, "row_id", F.explode(grams).alias("term")).groupBy(*by, "row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ordered = tokens(articles, by).select(*by, F.array_sort(grams).alias("g"))
+    # in order, a record's first of equal n-grams counts for the record, so that records need not be grouped
+    each = ordered.select(*by, F.explode(F.transform("g", lambda x, i: F.struct(x.alias("term"), F.coalesce(F.get("g", i - 1) != x, F.lit(True)).alias("new")))).alias("e"))
+    return each.groupBy(*by, F.col("e.term").alias("term")).agg(F.count(F.lit(1)).alias("total"), F.count_if("e.new").alias("df"))
 
 
 def vocabulary(articles: DataFrame, low: int = 1, high: int = 5, max_features: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
     """by..., term, score: the mean over records of the L2-normalised tf-idf weight; the most frequent max_features terms (ties: by term).
 
-    by names the corpora (a few) that the records belong to; each has a vocabulary of its own.
+    by names the corpora (a few) that the records belong to; each has a vocabulary of its own. Weights are summed where the
+    records are: every task holds the terms, max_features for each corpus, and passes on a sum for each.
     """
-    counts = ngram_counts(articles, low, high, by)
-    n = F.broadcast(articles.where(F.size("keywords_normalized") > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("n")))  # a row for each corpus
-    terms = counts.groupBy(*by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    n = {tuple(r[c] for c in by): r["count"] for r in articles.where(F.size("keywords_normalized") > 0).groupBy(*by).count().collect()}  # a row for each corpus
+    terms = ngram_counts(articles, low, high, by)
     if by:
-        kept = terms.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "term"))).where(F.col("_p") <= max_features).join(n, list(by))
+        terms = terms.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "term"))).where(F.col("_p") <= max_features)
     else:
-        kept = terms.orderBy(F.desc("total"), "term").limit(max_features).join(n)
-    kept = kept.select(*by, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    # at most max_features rows of a term and two numbers for each corpus
-    weighted = counts.join(F.broadcast(kept), [*by, "term"]).select(*by, "row_id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "row_id")))
-    return weighted.select(*by, "term", "n", (F.col("w") / norms).alias("w")).groupBy(*by, "term").agg((F.sum("w") / F.first("n")).alias("score"))
+        terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
+    idf: dict[tuple, dict[str, float]] = {}
+    for r in terms.toLocalIterator():
+        key = tuple(r[c] for c in by)
+        idf.setdefault(key, {})[r.term] = math.log((1 + n[key]) / (1 + r.df)) + 1
+    shared, sizes = articles.sparkSession.sparkContext.broadcast(idf), range(low, high + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, dict[str, float]] = {}
+        for b in batches:
+            keys = zip(*(b.column(i).to_pylist() for i in range(len(by)))) if by else ((),) * b.num_rows
+            for key, t in zip(keys, b.column(len(by)).to_pylist()):
+                known, own = shared.value.get(key, {}), sums.setdefault(key, {})
+                found = Counter(g for k in sizes for i in range(len(t) - k + 1) if (g := " ".join(t[i : i + k])) in known)
+                weights = {g: tf * known[g] for g, tf in found.items()}
+                norm = math.sqrt(sum(w * w for w in weights.values()))
+                for g, w in weights.items():
+                    own[g] = own.get(g, 0.0) + w / norm
+        rows = [(*key, g, w) for key, own in sums.items() for g, w in own.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = pa.schema([*((c, to_arrow_type(articles.schema[c].dataType)) for c in by), ("term", pa.string()), ("w", pa.float64())])
+    told = ", ".join(f"{c} {articles.schema[c].dataType.simpleString()}" for c in by)
+    summed = tokens(articles, by).mapInArrow(run, f"{told}, term string, w double" if by else "term string, w double").groupBy(*by, "term").agg(F.sum("w").alias("w"))
+    if not by:
+        return summed.select("term", (F.col("w") / float(n.get((), 1))).alias("score"))
+    counts = articles.sparkSession.createDataFrame([(*key, k) for key, k in n.items()], f"{told}, n long") if n else articles.select(*by, F.lit(1).cast("long").alias("n")).limit(0)
+    return summed.join(F.broadcast(counts), list(by)).select(*by, "term", (F.col("w") / F.col("n")).alias("score"))
 
 
 def matched_salience(keywords: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
