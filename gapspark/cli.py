@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if getattr(a, "figures", False):
         from gapspark.plans.figures import figure_data, save_figure_data
 
-        paths["figures"] = save_figure_data(figure_data(result), a.outdir)
+        paths["figures"] = save_figure_data(figure_data(result, result.vectors.get("keywords"), article_vectors=result.vectors.get("articles")), a.outdir)
     print(json.dumps(paths, indent=2))
     return 0
 

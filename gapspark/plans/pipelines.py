@@ -163,7 +163,7 @@ def articles_first(corpus: Corpus, config: RunConfig | None = None, labeler: Lab
     gaps = materialized(gaps, "gaps")
     told = _diagnostics(p, clusters, q, config) | {"gaps_before_deduplication": found.count(), "gaps_after_deduplication": gaps.count(), "skipped_clusters": skipped}
     _warned(told, separation_warning(q, told["n_clusters"], "article"))
-    return PipelineResult("articles_first", config, frame, table, gaps, clusters.centroids, told)
+    return PipelineResult("articles_first", config, frame, table, gaps, clusters.centroids, told, {"keywords": keyword_vectors, "articles": article_vectors})
 
 
 def encode_articles(p: Prepared, config: RunConfig) -> DataFrame:
@@ -218,7 +218,7 @@ def keywords_first(corpus: Corpus, config: RunConfig | None = None, labeler: Lab
     q = quality(points, clusters.centroids.count())
     told = _diagnostics(p, clusters, q, config) | {"max_keyword_frequency": config.gaps.max_keyword_frequency}
     _warned(told, separation_warning(q, told["n_clusters"], "keyword"))
-    return PipelineResult("keywords_first", config, p.frame, table, ordered, clusters.centroids, told)
+    return PipelineResult("keywords_first", config, p.frame, table, ordered, clusters.centroids, told, {"keywords": keyword_vectors})
 
 
 MODES = {"keywords_first": keywords_first, "articles_first": articles_first}

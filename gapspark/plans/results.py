@@ -20,6 +20,8 @@ class PipelineResult:
     gaps: DataFrame
     centroids: DataFrame | None = None
     diagnostics: dict = field(default_factory=dict)
+    vectors: dict[str, DataFrame] = field(default_factory=dict)  # keywords: keyword, vector; articles: row_id, vector
+    unmatched: DataFrame | None = None  # keyword, external_rank of a foreign ranking's keywords that the corpus lacks
 
     @property
     def gap_type_counts(self) -> DataFrame:

@@ -5,6 +5,7 @@ Random draws are orders by the MD5 of (seed, replicate, key): they repeat on any
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict
 from functools import reduce
 
@@ -39,15 +40,16 @@ def ranked(gaps: DataFrame, *by: str) -> DataFrame:
 def rank_biased_overlap(a: DataFrame, b: DataFrame, p: float = 0.9) -> DataFrame:
     """One row: extrapolated RBO (Webber et al., 2010) of rankings a and b (keyword, rank), to the shorter one's depth.
 
-    A shared keyword counts from the depth where both lists have it, so overlaps are a running sum over depths.
+    A keyword that both lists have by depth e adds 1/d to the agreement of every depth d from there on, so each adds its own
+    share of the sum and nothing runs over depths. Weights p^d fall so fast that a share has a few hundred terms.
     """
     la, lb = a.select("keyword", F.col("rank").alias("ra")), b.select("keyword", F.col("rank").alias("rb"))
-    both = la.join(lb, "keyword").groupBy(F.greatest("ra", "rb").alias("depth")).agg(F.count(F.lit(1)).alias("new"))
-    size = a.agg(F.max("rank").alias("n")).join(F.broadcast(b.agg(F.max("rank").alias("m")))).select(F.least("n", "m").alias("k"))
-    depths = size.select(F.explode(F.sequence(F.lit(1), F.col("k"))).alias("depth"), "k")
-    x = depths.join(both, "depth", "left").withColumn("x", F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("depth")))
-    s = x.agg(F.sum(F.col("x") / F.col("depth") * F.pow(F.lit(p), F.col("depth"))).alias("s"), F.max("x").alias("xk"), F.max("k").alias("k"))
-    return s.select((F.col("xk") / F.col("k") * F.pow(F.lit(p), F.col("k")) + (1 - p) / p * F.col("s")).alias("rbo"))
+    size = a.agg(F.max("rank").alias("n")).join(F.broadcast(b.agg(F.max("rank").alias("m")))).select(F.least("n", "m").cast("long").alias("k"))  # one row
+    far = math.ceil(math.log(1e-18) / math.log(p))
+    both = la.join(lb, "keyword").select(F.greatest("ra", "rb").cast("long").alias("e")).join(F.broadcast(size)).where("e <= k")
+    share = F.aggregate(F.sequence("e", F.least("k", F.col("e") + far)), F.lit(0.0), lambda s, d: s + F.pow(F.lit(p), d) / d)
+    told = both.agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("xk"))
+    return told.join(F.broadcast(size)).select((F.col("xk") / F.col("k") * F.pow(F.lit(p), F.col("k")) + (1 - p) / p * F.col("s")).alias("rbo"))
 
 
 def kendall_tau(a: DataFrame, b: DataFrame, block: int = 20_000) -> DataFrame:

@@ -84,6 +84,10 @@ def ordered_ranking(frame: DataFrame, keyword: str, score: str | None, rank: str
     return running(first, ["external_rank"], "_at").join(F.broadcast(n)).withColumn("score", 1 - F.col("_at") / F.col("_n")).drop("_at", "_n")
 
 
+#: Unmatched keywords that the diagnostics of a foreign ranking name.
+TOLD = 1000
+
+
 def with_corpus_evidence(ranking: DataFrame, corpus: Corpus, most: int = 5) -> DataFrame:
     """ranking with frequency, n_articles, citations and the first titles of the corpus; unmatched keywords have 0 and null."""
     bag = corpus.bag
@@ -115,16 +119,16 @@ def load_external_ranking(spark: SparkSession, source, corpus: Corpus | None = N
     none = F.expr("array()").cast("array<string>")
     if corpus is None:
         rows = ranking.withColumns({"cluster": F.lit(-1), "frequency": F.lit(0).cast("long"), "n_articles": F.lit(0).cast("long"), "citations": F.lit(None).cast("double"), "article_titles": none, "article_dois": none})
-        missing = []
+        missing, places = [], None
     else:
         rows = with_corpus_evidence(ranking, corpus)
         places = unmatched(ranking, corpus).join(ranking.select("keyword", "external_rank"), "keyword").orderBy("external_rank")
-        missing = [r.keyword for r in places.select("keyword").collect()]  # all of them, in the ranking's order
+        missing = [r.keyword for r in places.select("keyword").limit(TOLD).collect()]  # the first in the ranking's order; the result has them all
     rows = rows.withColumns({"members": F.array("keyword"), "rationale": F.format_string(f"place %d of the list {name}", F.col("external_rank")), "metrics": F.create_map(F.lit("external_rank"), F.col("external_rank").cast("double"))})
     gaps = rows.select(*D.GAP_COLUMNS, F.col("keyword").alias("keyword_display"), F.lit(name).alias("cluster_label")).orderBy("gap_type", F.desc("score"), F.col("metrics")["external_rank"])
     keywords = ranking.select("keyword", token_count(F.col("keyword")).alias("n_tokens")) if corpus is None else K.keyword_frequencies(corpus.bag).select("keyword", "frequency", F.lit(-1).alias("cluster"))
     facts = {
         "name": name, "source": source if isinstance(source, str) else type(source).__name__, "rows_read": told.rows, "candidates": told.n, "duplicates_dropped": told.rows - told.n, "keyword_column": keyword,
-        "score_column": score, "rank_column": rank, "type_column": kind, "normalized": normalize, "corpus_attached": corpus is not None, "unmatched_in_corpus": missing,
+        "score_column": score, "rank_column": rank, "type_column": kind, "normalized": normalize, "corpus_attached": corpus is not None, "unmatched_in_corpus": missing, "n_unmatched": places.count() if places is not None else 0,
     }
-    return PipelineResult("external", config or RunConfig(), corpus.frame if corpus else ranking.limit(0), keywords, gaps, None, {"external": facts})
+    return PipelineResult("external", config or RunConfig(), corpus.frame if corpus else ranking.limit(0), keywords, gaps, None, {"external": facts}, unmatched=places)
