@@ -82,7 +82,7 @@ class TfidfSvdEncoder(Encoder):
     """
 
     name = "tfidf-svd"
-    local_rows = 2000
+    local_rows = 4096  # the Gram matrix takes 134 MB then
 
     def _encode(self, texts: DataFrame) -> DataFrame:
         spark = texts.sparkSession

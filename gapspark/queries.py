@@ -514,20 +514,21 @@ def cluster_label_a(spark, sf):
 def _small_corpus(spark, sf) -> Corpus:
     docs = V.table(spark, sf, "benchmark")
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3)
-    kws = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat_ws(" ", F.get(words, 2 * i), F.get(words, 2 * i + 1)))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 2).cast("int")), lambda i: F.concat_ws(" ", F.get(words, 2 * i), F.get(words, 2 * i + 1)))
+    kws = F.filter(pairs, lambda x: x != "")  # all words of the text, two by two
     frame = docs.select(F.col("item_id").alias("row_id"), F.concat_ws(" ", F.lit("item"), F.col("item_id").cast("string")).alias("title"), F.col("text").alias("abstract"), F.array_join(kws, "; ").alias("author_keywords"), (F.col("item_id") % 20 + 2000).cast("string").alias("year"), F.col("item_id").cast("string").alias("citations"))
     return from_dataframe(frame)
 
 
 @query("mode_b")
 def mode_b(spark, sf):
-    config = RunConfig(None, None, EncoderConfig(dimensions=16), EncoderConfig(dimensions=16), ClusteringConfig(n_clusters=3, n_init=2), GapConfig(min_tfidf=0.0))
+    config = RunConfig(None, None, EncoderConfig(dimensions=16), EncoderConfig(dimensions=16), ClusteringConfig(n_clusters=3), GapConfig(min_tfidf=0.0))
     return pipelines.articles_first(_small_corpus(spark, sf), config).gaps.select("gap_type", "keyword", "cluster", r6("score", "score"), "n_articles")
 
 
 @query("mode_a")
 def mode_a(spark, sf):
-    config = RunConfig(50, "the main thing", EncoderConfig(dimensions=16), EncoderConfig(dimensions=16), ClusteringConfig(n_clusters=3, n_init=2), GapConfig(periphery_percentile=90.0))
+    config = RunConfig(50, "the main thing", EncoderConfig(dimensions=16), EncoderConfig(dimensions=16), ClusteringConfig(n_clusters=3), GapConfig(periphery_percentile=90.0))
     return pipelines.keywords_first(_small_corpus(spark, sf), config).gaps.select("gap_type", "keyword", "cluster", r6("score", "score"), "n_articles")
 
 
