@@ -22,6 +22,7 @@ from gapspark.functions.quantiles import exact_quantiles
 from gapspark.functions.text import PAIR_SEPARATOR, is_methodological, token_count
 from gapspark.operators import keywords as K
 from gapspark.operators.backoff import FLOOR
+from gapspark.operators.pairs import best_pairs, related_pairs  # noqa: F401
 from gapspark.sources.tables import materialized
 
 EMERGING, COMBINATION, CROSS_CLUSTER, PERIPHERAL = "Emerging Concept", "Conceptual Combination", "Cross-Cluster Concept", "Peripheral Keyword"
@@ -90,45 +91,6 @@ def emerging_concepts(space: DataFrame, bag: DataFrame, articles: DataFrame, sal
     return article_evidence(gaps, bag, articles, scope=scope).select(*scope, *GAP_COLUMNS)
 
 
-def related_pairs(rows: DataFrame, config: GapConfig, block: int = 1024, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of rows(cluster, keyword, first, frequency, tfidf, vector) of a cluster inside the similarity window, first before second.
-
-    A cluster's rows are cut into blocks of about `block`; every pair of blocks is one group of at most twice that many
-    vectors, compared by one matrix product, and only pairs inside the window with enough mean salience leave it.
-    """
-    (low, high), least = config.combination_similarity_range, config.min_tfidf
-    by = [*scope, "cluster"]
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = rows.join(F.broadcast(sizes), by).withColumn("b", F.pmod(F.xxhash64("keyword"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *by, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "keyword", F.col("first.row_id").alias("r"), F.col("first.pos").alias("p"), "frequency", "tfidf", "vector")
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (*by, "frequency")}
-    first = rows.schema["first"].dataType
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["r", "p"]).reset_index(drop=True)
-        x = np.array(pdf["vector"].tolist(), float)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-        sim = x @ x.T
-        t, b = pdf["tfidf"].to_numpy(), pdf["b"].to_numpy()
-        keep = np.triu((sim > low) & (sim < high), 1) & ((t[:, None] + t[None, :]) / 2 >= least)
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-            keep &= b[:, None] != b[None, :]
-        a, c = np.nonzero(keep)
-        out = {**{c: pdf[c].iloc[:1].repeat(len(a)).to_numpy() for c in by}, "similarity": sim[a, c], "mean_tfidf": (t[a] + t[c]) / 2}
-        for side, at in ((1, a), (2, c)):
-            out |= {f"{name}_{side}": pdf[name].to_numpy()[at] for name in ("keyword", "r", "p", "frequency")}
-        return pd.DataFrame(out)
-
-    sides = ", ".join(f"keyword_{k} string, r_{k} {first['row_id'].dataType.simpleString()}, p_{k} {first['pos'].dataType.simpleString()}, frequency_{k} {kinds['frequency']}" for k in (1, 2))
-    found = dealt.groupBy(*by, "i", "j").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + f", similarity double, mean_tfidf double, {sides}")
-    return found.withColumns({f"first_{k}": F.struct(f"r_{k}", f"p_{k}") for k in (1, 2)}).drop("r_1", "p_1", "r_2", "p_2")
-
-
 def conceptual_combinations(space: DataFrame, vectors: DataFrame, bag: DataFrame, articles: DataFrame, salient: DataFrame, config: GapConfig, scope: tuple[str, ...] = ()) -> DataFrame:
     """Type 2: pairs of established keywords of a cluster that never occur together but are related.
 
@@ -140,11 +102,8 @@ def conceptual_combinations(space: DataFrame, vectors: DataFrame, bag: DataFrame
         rows = K.citation_filtered(rows, K.citation_support(bag, articles, config, *by, scope=scope), config, *by)
     keys = [*K.shared(rows, vectors, "keyword", "vector"), "keyword"]
     rows = with_salience(rows, salient).join(vectors.select(*keys, "vector"), keys)
-    pairs = related_pairs(rows, config, scope=scope)
     met = K.cooccurrence(bag.join(rows.select(*by, "keyword"), [*by, "keyword"], "left_semi"), *by)
-    pairs = pairs.withColumns({"left": F.least("keyword_1", "keyword_2"), "right": F.greatest("keyword_1", "keyword_2")}).join(met, [*by, "left", "right"], "left_anti")
-    pairs = pairs.withColumn("score", scores.combination(F.col("similarity"), F.col("frequency_1"), F.col("frequency_2"), F.col("mean_tfidf"), config.combination_weights, config.combination_similarity_optimum))
-    pairs = top_k(pairs, config.max_gaps_per_cluster, [F.desc("score"), F.col("first_1"), F.col("first_2")], *by)
+    pairs = best_pairs(rows, met, config, scope=scope)
     why = F.format_string("related (similarity %.2f) but never in one record; mean tf-idf %.4f", F.col("similarity"), F.col("mean_tfidf"))
     none = F.expr("array()").cast("array<string>")
     return pairs.select(
