@@ -9,8 +9,6 @@ import math
 from dataclasses import asdict
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from gapspark.functions import tails
 from gapspark.functions.order import numbered, running
 from gapspark.functions.scores import emerging
 from gapspark.config import EmergingWeights
+from gapspark.plans.inversions import discordant_pairs, tau
 from gapspark.validation.metrics import krippendorff_alpha
 
 
@@ -53,37 +52,9 @@ def rank_biased_overlap(a: DataFrame, b: DataFrame, p: float = 0.9) -> DataFrame
 
 
 def kendall_tau(a: DataFrame, b: DataFrame, block: int = 20_000) -> DataFrame:
-    """One row: tau of the shared keywords (ranks without ties) and how many there are.
-
-    The shared keywords are cut into blocks by rank in a; every pair of blocks is one group, whose discordant pairs are
-    counted by sorting, so no list is held whole.
-    """
-    both = numbered(a.select("keyword", F.col("rank").alias("ra")).join(b.select("keyword", F.col("rank").alias("rb")), "keyword"), ["ra"], "place")
-    n = both.agg(F.count(F.lit(1)).alias("n_shared"))
-    at = F.floor((F.col("place") - 1) / F.lit(block)).cast("int")
-    last = F.floor((F.col("n_shared") - 1) / F.lit(block)).cast("int")
-    blocked = both.join(F.broadcast(n)).select("ra", "rb", at.alias("at"), F.explode(F.sequence(F.lit(0), last)).alias("o"))
-    dealt = blocked.select("ra", "rb", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        """Concordant less discordant pairs of block i with block j (or, where they are one, within it)."""
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        group = group.sort_values("ra")
-        if i != j:
-            left, right = (np.sort(group.loc[group["at"] == k, "rb"].to_numpy()) for k in (i, j))
-            above = len(right) * len(left) - int(np.searchsorted(right, left).sum())
-            return pd.DataFrame({"s": [2 * above - len(left) * len(right)]})
-        rb, s, width = group["rb"].to_numpy(), 0, 1
-        while width < len(rb):  # merge sort from the bottom: pairs across the two halves of each run
-            for lo in range(0, len(rb), 2 * width):
-                left, right = np.sort(rb[lo : lo + width]), np.sort(rb[lo + width : lo + 2 * width])
-                s += len(left) * len(right) - 2 * int(np.searchsorted(right, left).sum())
-            width *= 2
-        return pd.DataFrame({"s": [s]})
-
-    found = dealt.groupBy("i", "j").applyInPandas(compare, "s long").agg(F.sum("s").alias("s"))
-    size = F.col("n_shared").cast("double")
-    return found.join(F.broadcast(n)).select(F.when(size > 1, F.col("s") / (size * (size - 1) / 2)).alias("tau"), "n_shared")
+    """One row: tau of the shared keywords (ranks without ties) and how many there are; see discordant_pairs."""
+    both = a.select("keyword", F.col("rank").alias("ra")).join(b.select("keyword", F.col("rank").alias("rb")), "keyword")
+    return discordant_pairs(both, [], block).select(tau(F.col("n"), F.col("discordant")).alias("tau"), F.col("n").alias("n_shared"))
 
 
 def top_overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
@@ -209,14 +180,15 @@ def ablated(candidates: DataFrame, variants: dict[str, EmergingWeights] = WEIGHT
 
     A component that does not vary counts 0 here, unlike in the detector.
     """
-    w = Window.partitionBy("cluster")
+    names = ("distance", "centrality", "tfidf", "rarity")
+    ends = candidates.groupBy("cluster").agg(*[f(c).alias(f"_{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))])
 
     def scaled(c: str) -> Column:
-        low, high = F.min(c).over(w), F.max(c).over(w)
+        low, high = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(0.0))
 
-    parts = {c: scaled(c) for c in ("distance", "centrality", "tfidf", "rarity")}
-    rows = candidates.select("cluster", "keyword", *[v.alias(k) for k, v in parts.items()])
+    parts = {c: scaled(c) for c in names}
+    rows = candidates.join(ends, "cluster").select("cluster", "keyword", *[v.alias(k) for k, v in parts.items()])
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), emerging(*[F.col(k) for k in parts], v).alias("score")) for n, v in variants.items()])).alias("v")
     out = rows.select("cluster", "keyword", each).select("v.variant", "cluster", "keyword", "v.score")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("variant", "cluster").orderBy(F.desc("score"), "keyword")))
@@ -233,14 +205,13 @@ def ablation_report(ranks: DataFrame, reference: str = "default", k: int = 5, p:
     group = [by, "variant"]
     facts = both.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_candidates"), (F.count_if((F.col("rank") <= k) & (F.col("ref") <= k)) / k).alias("top_overlap"), F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("ref") == 1)), F.lit(False)).alias("same_first"))
-    # the candidates of one list are those of a cluster: its pairs are compared within it
-    other = both.select(*group, F.col("ref").alias("ref2"), F.col("rank").alias("rank2"))
-    tau = both.join(other, group).where("ref < ref2").groupBy(*group).agg(F.avg(F.signum(F.col("rank2") - F.col("rank")).cast("double")).alias("tau"))
-    met = both.groupBy(*group, F.greatest("rank", "ref").alias("depth")).agg(F.count(F.lit(1)).alias("new"))
-    depths = facts.select(*group, F.explode(F.sequence(F.lit(1), F.col("n_candidates").cast("int"))).alias("depth"))
-    running_overlap = F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy(*group).orderBy("depth"))
-    rbo = depths.join(met, [*group, "depth"], "left").withColumn("x", running_overlap).groupBy(*group).agg(((1 - p) * F.sum(F.col("x") / F.col("depth") * F.pow(F.lit(p), F.col("depth") - 1))).alias("rbo"))
-    out = facts.join(tau, group, "left").join(rbo, group)
+    told = discordant_pairs(both.select(*group, F.col("ref").alias("ra"), F.col("rank").alias("rb")), group).select(*group, tau(F.col("n"), F.col("discordant")).alias("tau"))
+    # a candidate that both lists have by depth e adds to every depth from there on, until weights are nothing
+    far = math.ceil(math.log(1e-18) / math.log(p))
+    depth = F.greatest("rank", "ref").cast("long")
+    share = F.aggregate(F.sequence("depth", F.least("n_candidates", F.col("depth") + far)), F.lit(0.0), lambda s, d: s + F.pow(F.lit(p), d - 1) / d)
+    rbo = both.select(*group, depth.alias("depth")).join(facts.select(*group, "n_candidates"), group).groupBy(*group).agg(((1 - p) * F.sum(share)).alias("rbo"))
+    out = facts.join(told, group, "left").join(rbo, group)
     return out.select(*group, "n_candidates", F.when(F.col("n_candidates") >= 3, F.col("tau")).alias("kendall_tau"), "rbo", "top_overlap", "same_first")
 
 
