@@ -17,7 +17,7 @@ from gapspark.plans import consensus, figures, pipelines, studies
 from gapspark.sources.corpus import Corpus, corpus_summary, from_dataframe
 from gapspark.sources.external import ordered_ranking
 from gapspark.sources.tables import materialized
-from gapspark.validation import experts, metrics as M, runner
+from gapspark.validation import experts, metrics as M, replies as R, runner
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -657,6 +657,18 @@ def stored_replay(spark, sf):
     return studies.replayed(j.where("annotator <> 'a1'"), "SELECTED", "a1", j)
 
 
+@query("reply_judgements", rf"""with {V.REPLIES},
+b as (select *, regexp_extract(reply, '\{{.*\}}', 0, 's') as body from replies),
+l as (select annotator, asked, case when json_valid(body) then json_extract(body, '$.annotations[*]') else cast(list_filter(list_transform(regexp_extract_all(reply, '\{{[^{{}}]*\}}'), lambda x: regexp_replace(x, ',\s*\}}', '}}')), lambda x: json_valid(x)) as json[]) end as es from b),
+e as (select annotator, asked, i, es[i] as e from (select *, unnest(range(1, len(es) + 1)) as i from l)),
+k as (select annotator, asked, i, lower(trim(e->>'keyword')) as keyword, replace(upper(e->>'label'), '_', ' ') as label, least(10.0, greatest(1.0, cast(e->>'novelty' as double))) as novelty, coalesce(e->>'rationale', '') as rationale from e),
+g as (select annotator, keyword, arg_min({{'label': label, 'novelty': novelty, 'rationale': rationale}}, asked * 2 + i) as x from k where label <> 'UNSURE' and keyword in (select 'kw ' || (event_id % 40) from events) group by 1, 2)
+select annotator, keyword, x.label as label, cast(x.novelty as double) as novelty, x.rationale as rationale from g""")
+def reply_judgements(spark, sf):
+    keywords = V.table(spark, sf, "events").select(F.lit("SELECTED").alias("keyword_set"), F.concat(F.lit("kw "), (F.col("event_id") % 40).cast("string")).alias("keyword")).distinct()
+    return R.judgements(V.replies(spark, sf), keywords).drop("keyword_set")
+
+
 # External rankings and studies
 
 @query("external_ranking", "with k as (select lower(p_name) as keyword, p_retailprice as s, row_number() over (order by p_retailprice desc, p_partkey) as place from part) select keyword, arg_min(s, place) as score, min(place) as external_rank, count(*) as n_rows from k group by keyword")

@@ -3,6 +3,7 @@
 baskets     an order is a record, its lines are its keywords (frequent ones of brand and type, rare ones of part and supplier)
 vectors     embeddings as labelled vectors, and a vector for each basket keyword
 judgements  events as annotators' judgements of forty keywords in two sets
+replies     events as annotators' replies about these keywords, some of them fenced, some broken off
 All views cover their whole tables.
 """
 
@@ -107,3 +108,24 @@ ev as (select 'a' || (user_id % 5) as annotator, 'kw ' || (event_id % 40) as key
     case event_type when 'click' then 'GAP' when 'view' then 'EXPLORED' when 'purchase' then 'LOW IMPORTANCE' when 'error' then 'METHOD' else 'NOISE' end as label, cast(1 + cast(floor(value) as bigint) % 10 as double) as novelty from events),
 j as (select annotator, case when any_value(num) % 2 = 0 then 'SELECTED' else 'CONTROL' end as keyword_set, keyword, arg_max(label, event_id) as label, arg_max(novelty, event_id) as novelty from ev group by annotator, keyword)
 """
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """annotator, keyword_set, asked, reply: two entries an event; every third reply is fenced, every fifth breaks off."""
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in zip(("click", "view", "purchase", "error", "signup"), ("gap", "Explored", "low_importance", "METHOD", "unsure")) for x in kv]), F.col("event_type"))
+    broken, fenced = F.col("event_id") % 5 == 0, F.col("event_id") % 3 == 0
+    number = F.floor("value").cast("string")
+    one = F.concat(F.lit('{"keyword": " Kw '), (F.col("event_id") % 40).cast("string"), F.lit(' ", "label": "'), label, F.lit('", "novelty": '), number, F.lit(', "rationale": "event '), F.col("event_id").cast("string"), F.when(broken, '",}').otherwise('"}'))
+    two = F.concat(F.lit('{"keyword": "KW '), (F.col("event_id") * 7 % 45).cast("string"), F.lit('", "label": "GAP", "novelty": "'), number, F.lit('"}'))
+    body = F.concat(F.lit('{"annotations": ['), one, F.lit(", "), two, F.when(broken, ', {"keyw').otherwise("]}"))
+    reply = F.concat(F.when(fenced, "```json\n").otherwise(""), body, F.when(fenced, "\n```").otherwise(""))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("a"), (F.col("user_id") % 5).cast("string")).alias("annotator"), F.lit("SELECTED").alias("keyword_set"), F.col("event_id").alias("asked"), reply.alias("reply"))
+
+
+REPLIES = """
+ev as (select *, event_id % 5 = 0 as broken, event_id % 3 = 0 as fenced, cast(cast(floor(value) as bigint) as varchar) as num,
+    case event_type when 'click' then 'gap' when 'view' then 'Explored' when 'purchase' then 'low_importance' when 'error' then 'METHOD' else 'unsure' end as lab from events),
+replies as (select 'a' || (user_id % 5) as annotator, 'SELECTED' as keyword_set, event_id as asked,
+    case when fenced then '```json' || chr(10) else '' end || '{"annotations": [{"keyword": " Kw ' || (event_id % 40) || ' ", "label": "' || lab || '", "novelty": ' || num || ', "rationale": "event ' || event_id || case when broken then '",}' else '"}' end
+    || ', {"keyword": "KW ' || (event_id * 7 % 45) || '", "label": "GAP", "novelty": "' || num || '"}' || case when broken then ', {"keyw' else ']}' end || case when fenced then chr(10) || '```' else '' end as reply from ev)
+"""
