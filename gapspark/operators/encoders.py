@@ -233,6 +233,7 @@ class RemoteEncoder(Encoder):
         return texts.mapInPandas(run, f"row_id {kind}, vector array<double>")
 
 
+# Fixed values, here and in the three classes below: services' public addresses, default models, environment variables of keys, batch limits.
 class OpenAIEncoder(RemoteEncoder):
     name, url, key_env, default_model, most = "openai", "https://api.openai.com/v1/embeddings", "OPENAI_API_KEY", "text-embedding-3-large", 256
 
