@@ -54,8 +54,9 @@ def judgements(replies: DataFrame, keywords: DataFrame) -> DataFrame:
     rows = each.select(
         "annotator", "keyword_set", "asked", "at", F.lower(_stripped(told("keyword", "string"))).alias("_key"),
         F.replace(F.upper(_stripped(told("label", "string"))), F.lit("_"), F.lit(" ")).alias("label"), novelty.alias("novelty"), F.substring(F.coalesce(told("rationale", "string"), F.lit("")), 1, 500).alias("rationale"))
-    rows = rows.where(F.col("label").isin(*LABELS)).join(known, ["keyword_set", "_key"])
-    first = rows.groupBy("annotator", "keyword_set", "keyword").agg(F.min_by(F.struct("label", "novelty", "rationale"), F.struct("asked", "at")).alias("x"))
+    # the first entry of each key is found before keywords are met: entries are many and are neither shuffled nor broadcast, keys are few
+    first = rows.where(F.col("label").isin(*LABELS) & F.col("_key").isNotNull()).groupBy("annotator", "keyword_set", "_key").agg(F.min_by(F.struct("label", "novelty", "rationale"), F.struct("asked", "at")).alias("x"))
+    first = first.join(known.hint("merge"), ["keyword_set", "_key"])  # sizes are guessed before entries are listed, so no side is broadcast by a guess
     return first.select("annotator", "keyword_set", "keyword", "x.label", "x.novelty", "x.rationale")
 
 
