@@ -186,39 +186,75 @@ def distance_sums(a: np.ndarray, b: np.ndarray, labels: np.ndarray, k: int, rows
     return np.concatenate([np.stack([d @ h for h in held]) for at in range(0, len(a), rows) for d in [distances(a[at : at + rows], b)]], axis=1)
 
 
-def silhouettes(points: DataFrame, labels: DataFrame, block: int = 2048) -> DataFrame:
+def distance_sums_both(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, numbers: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of distances of a's rows to b's by column of of_b (a 1 for each row's clusters), and of b's rows to a's by those of of_a.
+
+    Each distance is measured once. A slice of a at a time, so that about `numbers` distances are held.
+    """
+    rows, forth, back = max(1, numbers // max(1, len(b))), [], np.zeros((len(b), of_a.shape[1]))
+    for at in range(0, len(a), rows):
+        d = distances(a[at : at + rows], b)
+        forth.append(d @ of_b)
+        back += d.T @ of_a[at : at + rows]
+    return np.concatenate(forth), back
+
+
+#: Sums in one row of a point's sums; most points of a block, and most numbers of its vectors.
+WIDE, BLOCK, NUMBERS = 16, 32_768, 1 << 22
+
+
+def silhouettes(points: DataFrame, labels: DataFrame, block: int | None = None) -> DataFrame:
     """scope, fit, silhouette: the mean silhouette (Euclidean) of every labelling of points(scope, row_id, vector) by labels(scope, row_id, fit, cluster).
 
-    Exact, so quadratic in the points of a scope, but once for all its labellings: points are cut into blocks of about
-    `block`, and each ordered pair of blocks is one group, which measures its distances and leaves their sums for each point,
-    labelling and cluster. -1 for a labelling with one cluster only, or as many as points. Clusters are numbers from 0.
+    Exact, so quadratic in the points of a scope, but once for all its labellings: points are cut into blocks, as large as a
+    task can hold (or of about `block`), and each pair of blocks is one group, which measures its distances once and leaves a
+    row of sums for each of its points. What is shuffled is a point for each block, hence little beside the pairs.
+    -1 for a labelling with one cluster only, or as many as points. Clusters are numbers from 0.
     """
     kinds = {c: points.schema[c].dataType.simpleString() for c in ("scope", "row_id")}
+    spark, places, at = points.sparkSession, [], {}
+    for r in sorted(labels.groupBy("scope", "fit", "cluster").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (str(r.scope), r.fit, r.cluster)):  # a row for each cluster
+        own = at.setdefault(r.scope, {})
+        own[r.fit, r.cluster] = len(own)
+        places.append((r.scope, r.fit, r.cluster, r.n, own[r.fit, r.cluster] // WIDE, own[r.fit, r.cluster] % WIDE))
+    place = F.broadcast(spark.createDataFrame(places, f"scope {kinds['scope']}, fit int, cj int, n long, chunk int, i int"))
     of = labels.groupBy("scope", "row_id").agg(F.array_sort(F.collect_list(F.struct("fit", "cluster"))).alias("own"))
-    sizes = points.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = points.join(of, ["scope", "row_id"]).join(sizes, "scope").withColumn("b", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
-    mine = placed.select("scope", "row_id", "vector", F.transform("own", lambda o: o["fit"]).alias("fits"), F.transform("own", lambda o: o["cluster"]).alias("own"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    each = ["scope", "row_id", "vector", "fits", "own"]
-    dealt = mine.select(*each, F.lit(0).alias("side"), F.col("b").alias("x"), F.col("o").alias("y")).unionByName(mine.select(*each, F.lit(1).alias("side"), F.col("o").alias("x"), F.col("b").alias("y")))
+    most = F.least(F.lit(BLOCK), F.floor(F.lit(NUMBERS) / F.greatest(F.lit(1), F.max(F.size("vector")))))
+    many = F.ceil(F.count(F.lit(1)) / (F.lit(block) if block else most))
+    few = F.lit(1) if block else F.least(F.lit(4), F.ceil(F.count(F.lit(1)) / F.lit(2048)))  # small sets use some cores too
+    sizes = points.groupBy("scope").agg(F.greatest(few, many).cast("int").alias("blocks"))
+    placed = points.join(of, ["scope", "row_id"]).join(F.broadcast(sizes), "scope").withColumn("b", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    dealt = placed.select("scope", "row_id", "vector", F.transform("own", lambda o: o["fit"]).alias("fits"), F.transform("own", lambda o: o["cluster"]).alias("own"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in ("scope", "row_id", "fit", "ci", "cj", "s", "n")})
-        fits, la, lb = a["fits"].iloc[0], np.array(a["own"].tolist(), int).T, np.array(b["own"].tolist(), int).T
-        k = int(max(la.max(), lb.max())) + 1
-        total = distance_sums(np.array(a["vector"].tolist(), float), np.array(b["vector"].tolist(), float), lb, k)
-        same = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+        scope, same = pdf["scope"].iloc[0], pdf["x"].iloc[0] == pdf["y"].iloc[0]
+        here = (pdf["b"] == pdf["x"]).to_numpy()
+        x, mine = np.array(pdf["vector"].tolist(), float), at[scope]
+        of = np.zeros((len(pdf), len(mine)))
+        for row, (fits, own) in enumerate(zip(pdf["fits"], pdf["own"])):
+            of[row, [mine[f, c] for f, c in zip(fits, own)]] = 1
+        if same:
+            total = distance_sums_both(x, x, of[:, :0], of)[0]
+        elif here.all() or not here.any():
+            return pd.DataFrame({c: [] for c in names})
+        else:
+            total = np.zeros_like(of)
+            total[here], total[~here] = distance_sums_both(x[here], x[~here], of[here], of[~here])
         out = []
-        for f, fit in enumerate(fits):
-            n = np.tile(np.bincount(lb[f], minlength=k), (len(a), 1))
-            n[np.arange(len(a)), la[f]] -= int(same)  # a point is no neighbour of itself
-            i, c = np.nonzero(n)
-            out.append(pd.DataFrame({"scope": a["scope"].iloc[0], "row_id": a["row_id"].to_numpy()[i], "fit": fit, "ci": la[f][i], "cj": c, "s": total[f][i, c], "n": n[i, c]}))
+        for chunk in range(-(-len(mine) // WIDE)):
+            part = total[:, chunk * WIDE : (chunk + 1) * WIDE]
+            part = np.pad(part, ((0, 0), (0, WIDE - part.shape[1])))
+            out.append(pd.DataFrame({"scope": scope, "row_id": pdf["row_id"].to_numpy(), "chunk": chunk, **{f"s{i}": part[:, i] for i in range(WIDE)}}))
         return pd.concat(out)
 
-    parts = dealt.groupBy("scope", "x", "y").applyInPandas(run, f"scope {kinds['scope']}, row_id {kinds['row_id']}, fit int, ci int, cj int, s double, n long")
-    sums = parts.groupBy("scope", "fit", "row_id", "ci", "cj").agg((F.sum("s") / F.sum("n")).alias("d"))
+    names = ["scope", "row_id", "chunk", *[f"s{i}" for i in range(WIDE)]]
+    parts = dealt.groupBy("scope", "x", "y").applyInPandas(run, f"scope {kinds['scope']}, row_id {kinds['row_id']}, chunk int, " + ", ".join(f"s{i} double" for i in range(WIDE)))
+    summed = parts.groupBy("scope", "row_id", "chunk").agg(*[F.sum(c).alias(c) for c in names[3:]])
+    each = summed.select("scope", "row_id", "chunk", F.posexplode(F.array(*names[3:])).alias("i", "s")).join(place, ["scope", "chunk", "i"])
+    each = each.join(labels.select("scope", "row_id", "fit", F.col("cluster").alias("ci")), ["scope", "row_id", "fit"])
+    n = F.col("n") - (F.col("ci") == F.col("cj")).cast("long")  # a point is no neighbour of itself
+    sums = each.where(n > 0).withColumn("d", F.col("s") / n)
     near = sums.groupBy("scope", "fit", "row_id", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
     each_s = F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
     found = near.groupBy("scope", "fit").agg(F.avg(each_s).alias("s"), F.count(F.lit(1)).alias("n"), F.size(F.collect_set("ci")).alias("k"))  # k numbers
