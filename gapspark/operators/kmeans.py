@@ -37,13 +37,13 @@ _SUMS = ["job", "cluster", "block", "n", "cost", *[f"s{i}" for i in range(BLOCK)
 
 # Kernels
 
-def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each point, ties to the lower index, and the squared distance.
+def nearest(x: np.ndarray, c: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point, ties to the lower index, and the squared distance (rough, where the points' squared sizes are given).
 
     Distances come from one matrix product; where the two best are too close to tell, and for the distance itself where it
     cancels, differences are squared instead, so results do not depend on how points are cut into blocks.
     """
-    size = (x * x).sum(1)
+    rough, size = size is not None, (x * x).sum(1) if size is None else size
     d = (size[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None, :]).clip(0)
     label = d.argmin(1)
     best = d[np.arange(len(x)), label]
@@ -53,6 +53,8 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, len(close), 256):
             rows = close[at : at + 256]
             label[rows] = np.stack([((x[rows] - e) ** 2).sum(1) for e in c], 1).argmin(1)
+    if rough:
+        return label, best
     for at in range(0, len(x), 4096):
         own = x[at : at + 4096] - c[label[at : at + 4096]]
         best[at : at + 4096] = (own * own).sum(1)
@@ -96,11 +98,16 @@ def thinned(candidates: np.ndarray, weight: np.ndarray, k: int, seed: int, start
     return candidates[chosen]
 
 
-def sums(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of points, their sum and their squared distances, for each centre."""
-    label, d = nearest(x, c)
-    total = np.zeros_like(c)
-    np.add.at(total, label, x)
+def sums(x: np.ndarray, c: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of points, their sum and their squared distances (rough with a size, see nearest), for each centre."""
+    label, d = nearest(x, c, size)
+    if len(c) <= 64:
+        own = np.zeros((len(c), len(x)))
+        own[label, np.arange(len(x))] = 1
+        total = own @ x
+    else:
+        total = np.zeros_like(c)
+        np.add.at(total, label, x)
     return np.bincount(label, minlength=len(c)), total, np.bincount(label, d, len(c))
 
 
@@ -133,8 +140,9 @@ def inside(x: np.ndarray, keys: np.ndarray, k: int, seed: int, start: int, centr
             known[seed, start, draws(k)] = candidates, np.bincount(nearest(x, candidates)[0], minlength=len(candidates))
         c = thinned(*known[seed, start, draws(k)], k, seed, start)
     bound = _still(len(x), x.sum(0), (x * x).sum(0), tol)
+    size = (x * x).sum(1)
     for _ in range(STEPS):
-        n, total, _ = sums(x, c)
+        n, total, _ = sums(x, c, size)
         c, far = moved(c, n, total)
         if far <= bound:
             break
@@ -190,9 +198,10 @@ class _Passes:
                 keys, at = b.column(1).to_numpy(zero_copy_only=False), scopes.indices.to_numpy(zero_copy_only=False)
                 x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else None
                 for k, scope in enumerate(scopes.dictionary.to_pylist()):
-                    mine = at == k
+                    mine = slice(None) if len(scopes.dictionary) == 1 else at == k
+                    own, its = x[mine], keys[mine]
                     for job, entry in work.get(scope, ()):
-                        held[job] = kernel(job, entry, x[mine], keys[mine], held.get(job))
+                        held[job] = kernel(job, entry, own, its, held.get(job))
             rows = [r for job, state in held.items() for r in kernel(job, None, None, None, state)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, _ARROW[kind]) for v, (_, kind) in zip(zip(*rows), columns)], [c for c, _ in columns])
@@ -226,8 +235,8 @@ class _Passes:
             found[r.job].append(r.vector)
         return {i: np.array(v[: n[i]], float).reshape(-1, entries[i][1].shape[1] if entries[i][1].size else len(v[0]) if v else 0) for i, v in found.items()}
 
-    def _summed(self, entries: dict) -> dict:
-        """For each id the number of points, their sum and their cost by centre; entries: id -> (scope, centres)."""
+    def _summed(self, entries: dict, rough: bool = False) -> dict:
+        """For each id the number of points, their sum and their cost by centre; entries: id -> (scope, centres). Steps need rough costs only."""
         work: dict = {}
         for i, (scope, c) in entries.items():
             work.setdefault(scope, []).append((i, c))
@@ -237,7 +246,7 @@ class _Passes:
                 n, total, cost = state
                 return [(job, e, b, int(n[e]) if not b else 0, float(cost[e]) if not b else 0.0, *np.pad(total[e, b * BLOCK : (b + 1) * BLOCK], (0, max(0, (b + 1) * BLOCK - total.shape[1]))).tolist())
                         for e in np.flatnonzero(n).tolist() for b in range(-(-total.shape[1] // BLOCK))]
-            new = sums(x, c)
+            new = sums(x, c, (x * x).sum(1) if rough else None)
             return new if state is None else tuple(a + b for a, b in zip(state, new))
 
         rows = self._over(work, "job int, cluster int, block int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(BLOCK)), kernel)
@@ -276,7 +285,7 @@ class _Passes:
         for _ in range(STEPS):
             if not going:
                 break
-            for i, (n, total, _) in self._summed({i: (self.jobs[i].scope, centres[i]) for i in going}).items():
+            for i, (n, total, _) in self._summed({i: (self.jobs[i].scope, centres[i]) for i in going}, True).items():
                 centres[i], far = moved(centres[i], n, total)
                 if far <= bounds[self.jobs[i].scope]:
                     going.discard(i)
@@ -317,7 +326,8 @@ def fitted(points: DataFrame, jobs: DataFrame, n_init: int = 10, metric: str = "
     some = F.col("scope").isin(large) if large else F.lit(False)
     done = _inside(keyed.where(~some), each.where(~some), tol, kind)
     if large:
-        far = materialized(keyed.where(some), "points")
+        # jobs are worked on together wherever points are, so the points of a pass go to all cores, however few files they came from
+        far = materialized(keyed.where(some).repartition(spark.sparkContext.defaultParallelism), "points")
         rows = _Passes(far, each.where(some).collect(), tol).run()  # jobs of the large sets
         done = done.unionByName(spark.createDataFrame(_numbered(far, rows, kind), done.schema))
     done = materialized(done, "fits")

@@ -126,3 +126,29 @@ def test_distances_where_products_cancel():
     a = np.array([[1e6, 1.0], [1e6, 1.0 + 1e-4], [0.0, 0.0]])
     exact = np.sqrt(((a[:, None] - a) ** 2).sum(2))
     assert np.allclose(C.distances(a, a), exact, rtol=1e-9, atol=0)
+
+
+def test_passes_use_all_cores_however_few_files_the_points_came_from(spark, monkeypatch):
+    seen = []
+
+    class Watched(K._Passes):
+        def __init__(self, points, jobs, tol):
+            seen.append(points.rdd.getNumPartitions())
+            super().__init__(points, jobs, tol)
+
+    monkeypatch.setattr(K, "_Passes", Watched)
+    jobs = spark.createDataFrame([(0, 2, 2, 42)], "scope int, fit int, k int, seed long")
+    K.fitted(cloud(spark).coalesce(1), jobs, n_init=1, init="random", task_rows=10)
+    assert seen and seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_each_distance_serves_both_of_its_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(30, 4)), rng.normal(size=(21, 4))
+    of_a, of_b = np.eye(3)[rng.integers(0, 3, 30)], np.eye(3)[rng.integers(0, 3, 21)]
+    d = np.sqrt(((a[:, None] - b) ** 2).sum(2))
+    measured = []
+    whole = C.distances
+    monkeypatch.setattr(C, "distances", lambda x, y: measured.append(len(x) * len(y)) or whole(x, y))
+    forth, back = C.distance_sums_both(a, b, of_a, of_b, numbers=100)
+    assert np.allclose(forth, d @ of_b) and np.allclose(back, d.T @ of_a) and sum(measured) == 30 * 21 and max(measured) <= 100
