@@ -16,6 +16,7 @@ from gapspark.functions import tails
 from gapspark.functions.order import numbered, running
 from gapspark.functions.scores import emerging
 from gapspark.config import EmergingWeights
+from gapspark.sources.tables import materialized
 from gapspark.plans.inversions import discordant_pairs, tau
 from gapspark.validation.metrics import krippendorff_alpha
 
@@ -101,10 +102,18 @@ def random_draw(pool: DataFrame, k: int, reps: int, seed: int = 42) -> DataFrame
 def rarity_matched_draw(pool: DataFrame, selected: DataFrame, reps: int, seed: int = 42) -> DataFrame:
     """rep, keyword: for each frequency as many keywords of pool(keyword, frequency) as selected(keyword, frequency) has."""
     quota = selected.groupBy("frequency").agg(F.count(F.lit(1)).alias("quota"))
-    rest = pool.join(selected.select("keyword"), "keyword", "left_anti").join(quota, "frequency")
-    each = rest.join(F.broadcast(pool.sparkSession.range(reps).withColumnRenamed("id", "rep")))
-    place = F.row_number().over(Window.partitionBy("rep", "frequency").orderBy(hashed(seed, "rep", "keyword"), "keyword"))
-    return each.withColumn("p", place).where(F.col("p") <= F.col("quota")).select("rep", "keyword", "frequency")
+    rest = materialized(pool.join(selected.select("keyword"), "keyword", "left_anti").join(F.broadcast(quota), "frequency"), "draw_pool")  # a row for each frequency
+    h = hashed(seed, "rep", "keyword")
+    each = rest.join(F.broadcast(pool.sparkSession.range(reps).withColumnRenamed("id", "rep"))).withColumn("_cell", F.substring(h, 1, 4))
+    # keywords before the hash cell in which a quota is filled are drawn, and only those in that cell are put in order
+    cells = each.groupBy("rep", "frequency", "quota", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("rep", "frequency").orderBy("_cell"))
+    last = cells.withColumn("_before", upto - F.col("_n")).where(F.col("_before") < F.col("quota")).groupBy("rep", "frequency").agg(F.max(F.struct("_cell", "_before")).alias("_last"))
+    near = each.join(F.broadcast(last), ["rep", "frequency"])
+    sure = near.where(F.col("_cell") < F.col("_last._cell"))
+    place = F.row_number().over(Window.partitionBy("rep", "frequency").orderBy(h, "keyword"))
+    filled = near.where(F.col("_cell") == F.col("_last._cell")).withColumn("p", place).where(F.col("p") <= F.col("quota") - F.col("_last._before"))
+    return sure.select("rep", "keyword", "frequency").unionByName(filled.select("rep", "keyword", "frequency"))
 
 
 def drawn_arms(draws: DataFrame, level: DataFrame) -> DataFrame:

@@ -293,3 +293,32 @@ def test_config_checks():
     with pytest.raises(ValueError):
         EmergingWeights(0.5, 0.5, 0.5, 0.5)
     assert (GapConfig().core_domain_share, GapConfig().min_tfidf, GapConfig().max_gaps_per_cluster, GapConfig().max_keyword_frequency) == (0.5, 0.005, 3, 1)
+
+
+def test_ngrams_of_rare_words_are_left_out_and_change_nothing(spark):
+    """Words below the last place that counts are in no n-gram that does, so their n-grams need not be counted."""
+    from gapspark.operators import tfidf as TF
+
+    rows = [(i, [f"w{i % 3} w{i % 4}", f"w{i % 5} rare{i}", "w1 w2 w1"][: 1 + i % 3]) for i in range(60)]
+    arts = spark.createDataFrame(rows, "row_id long, keywords_normalized array<string>")
+    every = {r.term: (r.total, r.df) for r in TF.ngram_counts(arts, 1, 5).collect()}
+    for most in (1, 3, 7, 20, 1000):
+        best = dict(sorted(every.items(), key=lambda kv: (-kv[1][0], kv[0]))[:most])
+        assert {r.term: (r.total, r.df) for r in TF.frequent_terms(arts, 1, 5, most).collect()} == best
+    made = {r.term for r in TF._longer_counts(arts, 5, (), {(): {"w0", "w1", "w2"}}).collect()}
+    assert made and all(w in ("w0", "w1", "w2") for term in made for w in term.split(" "))
+
+
+def test_a_draw_puts_only_the_last_hash_cell_in_order(spark):
+    """One frequency holds nearly all keywords; a window over it was one task."""
+    import hashlib
+
+    from gapspark.plans.studies import rarity_matched_draw
+
+    pool = spark.createDataFrame([(f"k{i}", 1 + (i % 50 == 0)) for i in range(3000)], "keyword string, frequency long")
+    chosen = pool.where("keyword like '%7'")
+    got = {(r.rep, r.keyword) for r in rarity_matched_draw(pool, chosen, 2).collect()}
+    for rep in (0, 1):
+        own = sorted((k for k in (f"k{i}" for i in range(3000) if i % 50) if not k.endswith("7")), key=lambda k: hashlib.md5(f"42:{rep}:{k}".encode()).hexdigest())
+        assert {k for r, k in got if r == rep} == set(own[:300])
+    assert "_cell" in rarity_matched_draw(pool, chosen, 2)._jdf.queryExecution().analyzed().toString()
