@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gapspark.functions.order import numbered
 from gapspark.plans.results import PipelineResult
-from gapspark.sources.tables import save_csv, save_json
+from gapspark.sources.tables import materialized, save_csv, save_json
 from gapspark.validation import metrics as M
 from gapspark.validation.annotators import Annotator
 from gapspark.validation.protocol import annotations_frame
@@ -34,9 +34,10 @@ def control_split(selected: DataFrame, frequencies: DataFrame, most: int | None
     rest = frequencies.join(chosen, "keyword", "left_anti")
     if most is not None:
         rest = rest.orderBy(F.xxhash64(F.lit(seed), "keyword"), "keyword").limit(most)
-    if rest.limit(1).count() == 0:
+    rest = materialized(rest.select("keyword", "frequency", "first"), "control")  # read by the check, by the ranges of its order, and by the order
+    if rest.isEmpty():
         raise ValueError("no keyword is left for a control set that is disjoint from the selected one")
-    listed = numbered(rest.select("keyword", "frequency", "first"), [F.desc("frequency"), "first"], "ord")
+    listed = numbered(rest, [F.desc("frequency"), "first"], "ord")
     return chosen.select(F.lit("SELECTED").alias("keyword_set"), "keyword", F.lit(0).cast("long").alias("ord")).unionByName(listed.select(F.lit("CONTROL").alias("keyword_set"), "keyword", "ord"))
 
 
