@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Seed trees come from a bounded sample of each host's distinct pages (`sample_pages`, of least hash): a sampled page that simple
-tree matching (Yang, 1991) finds unlike the seeds so far, largest first, is the seed of another layout. All pages of
-the host are then aligned with their nearest seed, and it is counted how many distinct pages have which text on which seed
-node. A text that `share` of the pages that have the node agree on, and at least `least` of them, is constant: template, if
+Seed trees are found in rounds, until every page has one. In each, from up to `sample_pages` distinct pages of a host, of least
+hash, a page that simple tree matching (Yang, 1991) finds unlike the round's seeds so far, largest first, is the seed of
+another layout. All pages of the round are then aligned with their nearest seed; those that no seed matches go on to the next
+round, which ends when a host has fewer than `least` distinct pages left, too few to agree on a text. So no layout is
+missed, however rare it is, and a round's seeds are few. It is counted how many distinct pages have which text on which seed node. A text that `share` of the pages that have the node agree on, and at least `least` of them, is constant: template, if
 these pages differ otherwise: those whose other nodes hold a fifth of the page's text or more have `least` or more longest
 blocks there. So a host that serves one article, or near copies of one, under many addresses has no template. Nodes without a constant text are slots whose texts vary. On a page, a block on a template node with the template's text is left out,
 all other blocks are content.
@@ -16,8 +17,9 @@ it is all of the body that is neither template nor a list of links.
 Beyond `dynamic` pairs of children, children of two nodes are paired in order by label and text, then by label, in place of
 the best pairing; no node is left out at any size or depth.
 
-Seeds and constants of a host are bounded by its sample. They are joined to pages by host as a table; Spark broadcasts it
-only if its size on disk is below the session's threshold, and otherwise may split hot hosts.
+Seeds and constants of a host in a round are bounded by that round's pages. They are joined to pages by host as a table; Spark
+broadcasts it only if its size on disk is below the session's threshold, and otherwise may split hot hosts. Pages of later
+rounds are kept as tables, so a page is met by its own round's seeds and those of the rounds before, one round at a time.
 
 Null and empty html gives an empty text; null urls have no host and no template; null ids and repeated rows are kept. Only
 page_id, url and html are read. An empty table gives an empty result.
@@ -32,7 +34,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -71,6 +73,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 
 
+#: The part of its mean size with a seed that a page of the seed's layout matches.
+ALIKE = 0.5
 #: Pages of which less than one part in so many varies say nothing about what is template.
 VARYING = 5
 
@@ -231,12 +235,17 @@ def blocks(node: Node) -> Iterator[tuple[Node, str]]:
 class Shape:
     """A page's tree for matching: runs of like siblings that hold no blocks are one node; texts by node."""
 
-    __slots__ = ("label", "children", "texts", "size", "number")
+    __slots__ = ("label", "children", "texts", "size", "kind", "number")
 
     def __init__(self, label: str, children: list[Shape], texts: list[str]):
         self.label, self.children, self.texts = label, children, texts
-        self.size = 1 + sum(c.size for c in children)
         self.number = -1  # its place in a seed, parents first
+        self.close()
+
+    def close(self) -> None:
+        """Size and kind, once the children have theirs; trees of one kind have the same labels in the same places."""
+        self.size = 1 + sum(c.size for c in self.children)
+        self.kind = hash((self.label, *[c.kind for c in self.children]))
 
     def text_hash(self) -> int | None:
         """A signed 64-bit hash of the node's own text; none without text."""
@@ -279,7 +288,7 @@ def shape(root: Node) -> tuple[Shape, dict[int, Shape]]:
         out.children = [Shape(r[0].label, [], []) for r in runs]
         stack += zip(out.children, runs)
     for s in reversed(order):
-        s.size = 1 + sum(c.size for c in s.children)
+        s.close()
     return top, of
 
 
@@ -303,6 +312,8 @@ def matched(a: Shape, b: Shape, dynamic: int = 40_000) -> tuple[int, list[tuple[
 def _matched(a: Shape, b: Shape, dynamic: int) -> tuple[int, list[tuple[Shape, Shape]]]:
     if a.label != b.label:
         return 0, []
+    if a.kind == b.kind:
+        return a.size, _alike(a, b)
     n, m = len(a.children), len(b.children)
     if n * m > dynamic:
         total, out = 1, [(a, b)]
@@ -334,6 +345,16 @@ def _matched(a: Shape, b: Shape, dynamic: int) -> tuple[int, list[tuple[Shape, S
     return score[n][m] + 1, out
 
 
+def _alike(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
+    """All nodes of two trees of one kind, place by place: nothing else matches as many."""
+    out, stack = [], [(a, b)]
+    while stack:
+        x = stack.pop()
+        out.append(x)
+        stack += zip(x[0].children, x[1].children)
+    return out
+
+
 def _in_order(a: list[Shape], b: list[Shape]) -> list[tuple[int, int]]:
     """Places of children that are paired in order: the next one with the same label and text, else the next of the label."""
     alike: dict[tuple[str, str], list[int]] = {}
@@ -353,6 +374,11 @@ def _in_order(a: list[Shape], b: list[Shape]) -> list[tuple[int, int]]:
     return out
 
 
+def _like(seed: Shape, page: Shape, n_matched: int) -> bool:
+    """Whether a seed matches a page: by half of their mean size."""
+    return n_matched >= ALIKE * (seed.size + page.size) / 2
+
+
 class Wrapper:
     """The layouts of a host: seed trees, whose nodes are numbered through, and their constant texts by hash."""
 
@@ -368,11 +394,11 @@ class Wrapper:
                 stack += reversed(s.children)
 
     @classmethod
-    def of_sample(cls, pages: list[str], alike: float = 0.5) -> Wrapper:
-        """Seeds from some pages: largest first, each page that no seed matches by `alike` of their mean size."""
+    def of_sample(cls, pages: list[str]) -> Wrapper:
+        """Seeds from some pages: largest first, each page that no seed matches."""
         seeds: list[Shape] = []
         for s in sorted((shape(parse(p))[0] for p in pages), key=lambda s: -s.size):
-            if not any(matched(seed, s)[0] >= alike * (seed.size + s.size) / 2 for seed in seeds):
+            if not any(_like(seed, s, matched(seed, s)[0]) for seed in seeds):
                 seeds.append(s)
         return cls(seeds)
 
@@ -401,19 +427,27 @@ class Wrapper:
             if n:
                 open_.append([s, n])
             while open_ and not open_[-1][1]:
-                done = open_.pop()[0]
-                done.size = 1 + sum(c.size for c in done.children)
+                open_.pop()[0].close()
         return cls(seeds, set(constants))
 
-    def aligned(self, root: Node) -> tuple[dict[int, Shape], dict[int, int]]:
-        """The shape node of each tree node by id(), and the seed node's number of each shape node by id()."""
-        mine, of = shape(root)
-        best = max((matched(seed, mine) for seed in self.seeds), key=lambda x: x[0], default=(0, []))
-        return of, {id(b): a.number for a, b in best[1]}
+    def aligned(self, root: Node) -> tuple[dict[int, Shape], dict[int, int], bool]:
+        """The shape node of each tree node by id(), the seed node's number of each shape node by id(), and whether any seed matches.
 
-    def held(self, source: str) -> list[tuple[int, int, int]]:
-        """(seed node, hash of the text, its length) of all the page's matched nodes with text; node -1 for unmatched ones."""
-        of, number = self.aligned(parse(source))
+        The nearest seed is the one with the most nodes matched among those that match, else among all.
+        """
+        mine, of = shape(root)
+        told = [(_like(seed, mine, n), n, pairs) for seed in self.seeds for n, pairs in [matched(seed, mine)]]
+        like, _, pairs = max(told, key=lambda x: x[:2], default=(False, 0, []))
+        return of, {id(b): a.number for a, b in pairs}, like
+
+    def held(self, source: str, strict: bool = False) -> list[tuple[int, int, int]] | None:
+        """(seed node, hash of the text, its length) of all the page's matched nodes with text; node -1 for unmatched ones.
+
+        None, if strict, for a page that no seed matches.
+        """
+        of, number, like = self.aligned(parse(source))
+        if strict and not like:
+            return None
         nodes = {id(s): s for s in of.values() if s.texts}
         return [(number.get(k, -1), s.text_hash(), sum(map(len, s.texts))) for k, s in nodes.items()]
 
@@ -451,14 +485,16 @@ def _all_links(n: Node) -> bool:
     return links >= 3
 
 
-def main_text(source: str | None, wrapper: Wrapper | None) -> str:
-    """The main text of one page, given its host's wrapper if it has one."""
+def main_text(source: str | None, wrapper: Wrapper | None, strict: bool = False) -> str | None:
+    """The main text of one page, given its host's wrapper if it has one; None, if strict, for a page that the wrapper's seeds do not match."""
     if not source:
         return ""
     root = parse(source)
     constant: set[int] = set()
-    if wrapper and wrapper.constants:
-        of, number = wrapper.aligned(root)
+    if wrapper and (wrapper.constants or strict):
+        of, number, like = wrapper.aligned(root)
+        if strict and not like:
+            return None
         hashes = {id(s): s.text_hash() for s in of.values()}
         constant = {node for node, s in of.items() if (number.get(id(s)), hashes[id(s)]) in wrapper.constants}
     regions = _regions(root, constant)
@@ -505,46 +541,62 @@ def host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample_pages: int = 8, share: float = 0.8, least: int = 4) -> DataFrame:
-    """(host, seeds, constants array<struct<node, text>>) of pages(page_id, url, html), for hosts that have constants."""
-    rows = pages.select("page_id", "html", host(F.col("url")).alias("host")).where("host is not null and html is not null and html <> ''").withColumn("o", F.xxhash64("html"))
-    distinct = rows.groupBy("host", "o").agg(F.min("page_id").alias("page_id"))
-    # the distinct pages of least hash, of each range of hashes first, so that no task gets all of a host
-    few = distinct.withColumn("r", F.row_number().over(Window.partitionBy("host", F.shiftright("o", 58)).orderBy("o"))).where(F.col("r") <= sample_pages)
-    chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("o"))).where(F.col("r") <= sample_pages)
-    counted = chosen.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("host"))).where(F.col("n") >= least)
-    chosen = written(counted.select(F.col("host").alias("h"), F.col("o").alias("k"), F.col("page_id").alias("i")), "sample")
-    sample = rows.join(chosen, (F.col("host") == F.col("h")) & (F.col("o") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("i")), "left_semi").select("host", "html", "o")
-
-    def seeded(group: pd.DataFrame) -> pd.DataFrame:
-        one_of_each = group.drop_duplicates("o").sort_values("o")
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "seeds": [Wrapper.of_sample(one_of_each["html"].tolist()).dumps()]})
-
-    seeds = written(sample.groupBy("host").applyInPandas(seeded, "host string, seeds string"), "seeds")
-    named = seeds.withColumnRenamed("host", "h")
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def layouts(pages: DataFrame, sample_pages: int = 8, least: int = 4) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(pages, seeds, nodes) of each round over pages(page_id, url, html): the pages that no seed of an earlier round matches, as (host, page_id, url, html, o);
+    (host, seeds) of hosts with `least` or more distinct ones; (host, page, node, text, n_chars) of the pages that these match."""
+    given = pages.select(host(F.col("url")).alias("host"), "page_id", "url", "html").withColumn("o", F.xxhash64("html"))
+    rows, rounds = given.where("host is not null and html is not null and html <> ''"), []
+    while True:
+        distinct = rows.groupBy("host", "o").agg(F.min("page_id").alias("page_id"))
+        # the distinct pages of least hash, of each range of hashes first, so that no task gets all of a host
+        few = distinct.withColumn("r", F.row_number().over(Window.partitionBy("host", F.shiftright("o", 58)).orderBy("o"))).where(F.col("r") <= sample_pages)
+        chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("o"))).where(F.col("r") <= sample_pages)
+        counted = chosen.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("host"))).where(F.col("n") >= least)
+        chosen = written(counted.select(F.col("host").alias("h"), F.col("o").alias("k"), F.col("page_id").alias("i")), "sample")
+        if chosen.isEmpty():
+            return rounds
+        sample = rows.join(chosen, (F.col("host") == F.col("h")) & (F.col("o") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("i")), "left_semi").select("host", "html", "o")
+        seeds = written(sample.groupBy("host").applyInPandas(_seeded, "host string, seeds string"), "seeds")
+        kind = rows.schema["page_id"].dataType.simpleString()
+        joined = rows.join(seeds.withColumnRenamed("host", "h"), F.col("host") == F.col("h")).select("host", "o", "html", "seeds", "page_id", "url")
+        met = written(joined.mapInArrow(_met, f"host string, page long, node int, text long, n_chars int, page_id {kind}, url string, html string"), "met")
+        nodes = written(met.where("node is not null").select("host", "page", "node", "text", "n_chars").distinct(), "nodes")
+        rounds.append((rows, seeds, nodes))
+        # a seed matches itself, so pages grow fewer
+        rows = met.where("node is null and html is not null").select("host", "page_id", "url", "html", F.col("page").alias("o"))
+
+
+def _seeded(group: pd.DataFrame) -> pd.DataFrame:
+    one_of_each = group.drop_duplicates("o").sort_values("o")
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "seeds": [Wrapper.of_sample(one_of_each["html"].tolist()).dumps()]})
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of each page that the seeds match, and all of each page that they do not."""
+    for whole in batches:
+        kept = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.int32()), ("text", pa.int64()), ("n_chars", pa.int32()), ("page_id", whole.column(4).type), ("url", pa.string()), ("html", pa.string())])
+        for at in range(0, whole.num_rows, 500):
             out: list[tuple] = []
-            for name, o, html, known in zip(*(c.to_pylist() for c in b.columns)):
-                out += [(name, o, *x) for x in _loaded(known).held(html)]
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, types)], ["host", "page", "node", "text", "n_chars"])
-
-    seen = rows.join(named, F.col("host") == F.col("h")).select("host", "o", "html", "seeds").mapInArrow(held, "host string, page long, node int, text long, n_chars int")
-    seen = written(seen.distinct(), "nodes")
-    texts = seen.where("node >= 0").groupBy("host", "node", "text").agg(F.count(F.lit(1)).alias("n"))
-    on_node = texts.groupBy("host", "node").agg(F.sum("n").alias("n_node"), F.max(F.struct("n", "text")).alias("most"))
-    agreed = on_node.where((F.col("most.n") >= least) & (F.col("most.n") >= share * F.col("n_node"))).select("host", "node", F.col("most.text").alias("text"))
+            for name, o, html, known, page_id, url in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns)):
+                nodes = _loaded(known).held(html, strict=True)
+                out += [(name, o, None, None, None, page_id, url, html)] if nodes is None else [(name, o, *x, None, None, None) for x in nodes]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 8, kept)], schema=kept)
+
+
+def constants(seen: DataFrame, share: float = 0.8, least: int = 4) -> DataFrame:
+    """(host, round, constants array<struct<node, text>>) of seen(host, round, page, node, text, n_chars), for hosts that have constants in a round."""
+    by = ["host", "round"]
+    texts = seen.where("node >= 0").groupBy(*by, "node", "text").agg(F.count(F.lit(1)).alias("n"))
+    on_node = texts.groupBy(*by, "node").agg(F.sum("n").alias("n_node"), F.max(F.struct("n", "text")).alias("most"))
+    agreed = on_node.where((F.col("most.n") >= least) & (F.col("most.n") >= share * F.col("n_node"))).select(*by, "node", F.col("most.text").alias("text"))
     agreed = written(agreed, "agreed")
     # what else the pages hold: of each, the longest block that is not agreed on; template are texts of pages that differ in it
-    marked = seen.join(agreed.withColumn("is_agreed", F.lit(True)), ["host", "node", "text"], "left")
+    marked = seen.join(agreed.withColumn("is_agreed", F.lit(True)), [*by, "node", "text"], "left")
     other = F.col("is_agreed").isNull()
-    rest = marked.groupBy("host", "page").agg(F.max(F.when(other, F.struct("n_chars", "text"))).alias("rest"), F.sum(F.when(other, F.col("n_chars")).otherwise(0)).alias("n_rest"), F.sum("n_chars").alias("n_all"))
-    pages_of = marked.where("is_agreed").join(rest.where(VARYING * F.col("n_rest") >= F.col("n_all")), ["host", "page"]).where("rest is not null")
-    constant = pages_of.select("host", "node", "text", "rest").distinct().groupBy("host", "node", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    listed = constant.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("node", "text"))).alias("constants"))
-    return listed.join(seeds, "host").select("host", "seeds", "constants")
+    rest = marked.groupBy(*by, "page").agg(F.max(F.when(other, F.struct("n_chars", "text"))).alias("rest"), F.sum(F.when(other, F.col("n_chars")).otherwise(0)).alias("n_rest"), F.sum("n_chars").alias("n_all"))
+    pages_of = marked.where("is_agreed").join(rest.where(VARYING * F.col("n_rest") >= F.col("n_all")), [*by, "page"]).where("rest is not null")
+    constant = pages_of.select(*by, "node", "text", "rest").distinct().groupBy(*by, "node", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return constant.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("node", "text"))).alias("constants"))
 
 
 @lru_cache(maxsize=64)
@@ -552,22 +604,39 @@ def _loaded(seeds: str, constants: tuple[tuple[int, int], ...] = ()) -> Wrapper:
     return Wrapper.loads(seeds, constants)
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each page; none of a page that the seeds do not match, if a later round has it."""
+    for whole in batches:
+        for at in range(0, max(1, whole.num_rows), 500):
+            b = whole.slice(at, 500)
+            texts = []
+            for html, seeds, constants, goes_on in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                wrapper = _loaded(seeds, tuple((c["node"], c["text"]) for c in constants or ())) if seeds else None
+                text = main_text(html, wrapper, strict=True)
+                texts.append(main_text(html, None) if text is None and not goes_on else text)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
 def extracted(pages: DataFrame, sample_pages: int = 8, share: float = 0.8, least: int = 4) -> DataFrame:
     """(page_id, url, text): the main text of each page."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = written(wrappers(rows, sample_pages, share, least), "wrappers")
-    joined = rows.join(known, host(F.col("url")) == F.col("host"), "left").select("page_id", "url", "html", "seeds", "constants")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 500):
-                b = whole.slice(at, 500)
-                texts = []
-                for html, seeds, constants in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-                    texts.append(main_text(html, _loaded(seeds, tuple((c["node"], c["text"]) for c in constants)) if seeds else None))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
+    rounds = layouts(rows, sample_pages, least)
+    out, kind = [], f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
+    if rounds:
+        seen = reduce(DataFrame.unionByName, [nodes.withColumn("round", F.lit(i)) for i, (_, _, nodes) in enumerate(rounds)])
+        known = written(constants(seen, share, least), "constants")
+        last = written(known.groupBy("host").agg(F.max("round").alias("last")), "last")
+    for i, (held, seeds, _) in enumerate(rounds):
+        # hosts with constants in this round or a later one; pages of the others meet no seeds
+        own = seeds.join(last.where(F.col("last") >= i), "host").join(known.where(F.col("round") == i).select("host", "constants"), "host", "left")
+        # a written table, whose size is known, so that pages are not shuffled to meet a few wrappers
+        own = written(own.select(F.col("host").alias("h"), "seeds", "constants", (F.col("last") > i).alias("goes_on")), "wrappers")
+        met = held.join(own, F.col("host") == F.col("h")) if i else rows.join(own, host(F.col("url")) == F.col("h"), "left")
+        out.append(met.select("page_id", "url", "html", "seeds", "constants", "goes_on").mapInArrow(_read, kind).where("text is not null"))
+    if not rounds:
+        none = F.lit(None)
+        out = [rows.select("page_id", "url", "html", none.cast("string"), none.cast("array<struct<node:int,text:bigint>>"), F.lit(False)).mapInArrow(_read, kind)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:

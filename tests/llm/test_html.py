@@ -187,3 +187,28 @@ def test_topics_that_sound_like_names_of_parts():
 
 def test_images_stand_inside_a_word():
     assert told("<article><p>foo<img src='x'>bar</p></article>") == "foobar"
+
+
+def layout(k, i):
+    """Page i of layout k, whose template only alignment can tell."""
+    tags = ["section", "div", "table", "dl", "blockquote", "center", "fieldset", "ol"]
+    shell = "".join(f'<{tags[(k >> j) % 8]} class="{"abcdefgh"[(k + j) % 8] * (k + 1)}"><p>part {j} of layout {k}</p></{tags[(k >> j) % 8]}>' for j in range(4))
+    return f'<body><div class="{"z" * (k + 1)}">{shell}<div class="{"y" * (k + 1)}"><p>{" ".join(f"word{i}x{n}" for n in range(20))}</p></div></div></body>'
+
+
+def test_a_layout_that_the_first_sample_misses_has_a_template(spark):
+    pages = [(i, "http://rare.example/", plain(i)) for i in range(400)] + [(1000 + i, "http://rare.example/", layout(0, i)) for i in range(5)]
+    pages += [(2000 + 10 * k + i, "http://many.example/", layout(k, i)) for k in range(30) for i in range(5)]
+    pages += [pages[-1], (None, *pages[-1][1:]), (3000, "http://many.example/", "<body><b>one of its own</b></body>")]
+    out = H.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    told = lambda i: " ".join(f"word{i}x{n}" for n in range(20))
+    assert len(out) == len(pages) and [r.text for r in out].count(told(4)) == 33 and sum(r.page_id is None for r in out) == 1
+    by_id = {r.page_id: r.text for r in out}
+    assert all(by_id[1000 + i] == told(i) for i in range(5)) and all(by_id[i] == f"Story {i} {told(i)}" for i in range(400))
+    assert all(by_id[2000 + 10 * k + i] == told(i) for k in range(30) for i in range(5)) and by_id[3000] == "one of its own"
+
+
+def test_a_seed_of_many_children_matches_its_own_page():
+    long = H.parse("<body>" + "".join(f"<{'p' if k % 3 else 'ul'}><div>t{k}</div></{'p' if k % 3 else 'ul'}>" for k in range(900)) + "</body>")
+    seed = H.Wrapper.loads(H.Wrapper([H.shape(long)[0]]).dumps()).seeds[0]
+    assert H.matched(seed, H.shape(long)[0])[0] == seed.size
