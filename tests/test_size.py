@@ -38,6 +38,13 @@ def test_intersections_of_runs_need_no_pairs_of_rows(spark):
     assert s.mean_candidates_per_run == sum(map(len, own.values())) / 7
 
 
+def test_a_member_of_many_keywords_is_told_by_broadcast(spark):
+    rows = spark.createDataFrame([(f"k{i}", [f"k{i}", "z z", "y"]) for i in range(40)] + [("k1", ["k1", "z z", "y"])], "keyword string, members array<string>")
+    spelling = spark.createDataFrame([(f"k{i}", f"K{i}x") for i in range(40)] + [("y", "yY")], "keyword string, spelling string")
+    out = K.display(rows, spelling, often=10).collect()
+    assert len(out) == 41 and all(r.keyword_display == f"K{r.keyword[1:]}x x Z z x YY" for r in out)
+
+
 def test_keywords_of_numbers_are_made_after_the_shuffle(spark, tmp_path):
     spark.sql("select 7L l_orderkey, id l_partkey, id + 2 l_suppkey, cast(id as int) l_linenumber from range(1, 4)").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.sql("select id p_partkey, concat('Brand#', id) p_brand, 'TIN' p_type from range(5)").write.parquet(f"{tmp_path}/part.parquet")
