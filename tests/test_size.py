@@ -38,6 +38,17 @@ def test_intersections_of_runs_need_no_pairs_of_rows(spark):
     assert s.mean_candidates_per_run == sum(map(len, own.values())) / 7
 
 
+def test_evidence_counts_before_gaps_are_met(spark):
+    articles = spark.createDataFrame([(i, f"t{i}", f"d{i}", float(i), ["a", f"b{i % 3}"]) for i in range(9)], "row_id long, title string, doi string, citations double, keywords_normalized array<string>")
+    bag = K.keyword_bag(articles, "citations")
+    gaps = spark.createDataFrame([("a", -1), ("b1", -1), ("none", -1)], "keyword string, cluster int")
+    out = D.article_evidence(gaps, bag, articles, scoped=False)
+    assert plan(out).count("Join") == 4  # counts, titles, and titles of wanted gaps; citations come with the bag
+    got = {r.keyword: (r.n_articles, r.citations, r.article_titles) for r in out.collect()}
+    assert got == {"a": (9, 8.0, ["t0", "t1", "t2"]), "b1": (3, 7.0, ["t1", "t4", "t7"]), "none": (0, None, [])}
+    assert {r.keyword: r.n_articles for r in studies.corpus_evidence(gaps, bag, articles).collect()} == {"a": 9, "b1": 3, "none": 0}
+
+
 def test_a_member_of_many_keywords_is_told_by_broadcast(spark):
     rows = spark.createDataFrame([(f"k{i}", [f"k{i}", "z z", "y"]) for i in range(40)] + [("k1", ["k1", "z z", "y"])], "keyword string, members array<string>")
     spelling = spark.createDataFrame([(f"k{i}", f"K{i}x") for i in range(40)] + [("y", "yY")], "keyword string, spelling string")
