@@ -5,6 +5,7 @@ import numpy as np
 from gapspark.config import GapConfig
 from gapspark.operators import keywords as K
 from gapspark.operators import pairs as P
+from gapspark.operators import tfidf as TF
 from test_pairs import SCHEMA, brute
 
 
@@ -29,3 +30,24 @@ def test_keywords_of_a_record_are_paired_once(spark):
     bag = spark.createDataFrame([(0, 1, "b"), (0, 1, "a"), (0, 1, "c"), (0, 2, "a"), (1, 3, "a"), (1, 3, "b")], "cluster int, row_id long, keyword string")
     got = sorted(tuple(r) for r in K.occurring_together(bag, "cluster").collect())
     assert got == [(0, "a", "b"), (0, "a", "c"), (0, "b", "c"), (1, "a", "b")]
+
+
+def test_a_tree_of_terms_finds_what_slices_find():
+    import pyarrow as pa
+
+    rng, terms = np.random.default_rng(5), ["a", "b", "a b", "b a b", "c d e", "d e"]  # not every beginning of a term is one
+    lists = [[str(w) for w in rng.choice(list("abcdez"), rng.integers(1, 12))] for _ in range(50)]
+    record, term = TF._Prefixes(terms).found(pa.array(lists))
+    got = sorted(zip(record.tolist(), (terms[i] for i in term)))
+    assert got == sorted((r, g) for r, t in enumerate(lists) for k in (1, 2, 3) for i in range(len(t) - k + 1) if (g := " ".join(t[i : i + k])) in terms)
+
+
+def test_vocabularies_read_the_words_of_records_once(spark, monkeypatch):
+    arts = spark.createDataFrame([(r % 2, [f"w{r % 3} w{r % 4}", f"w{r % 5}"]) for r in range(40)] + [(0, [])], "size int, keywords_normalized array<string>")
+    made, kept = [], TF.tokens
+    monkeypatch.setattr(TF, "tokens", lambda *a: made.append(a) or kept(*a))
+    both = {(r.size, r.term): r.score for r in TF.vocabulary(arts, 1, 3, 6, ("size",)).collect()}
+    assert len(made) == 1 and len(both) == 12
+    for size in (0, 1):
+        own = {r.term: r.score for r in TF.vocabulary(arts.where(f"size = {size}"), 1, 3, 6).collect()}
+        assert {t for s, t in both if s == size} == set(own) and all(abs(both[size, t] - x) < 1e-12 for t, x in own.items())
