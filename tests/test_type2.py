@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from gapspark import queries as Q
 from gapspark.config import GapConfig
 from gapspark.operators import keywords as K
 from gapspark.operators import pairs as P
@@ -51,3 +52,19 @@ def test_vocabularies_read_the_words_of_records_once(spark, monkeypatch):
     for size in (0, 1):
         own = {r.term: r.score for r in TF.vocabulary(arts.where(f"size = {size}"), 1, 3, 6).collect()}
         assert {t for s, t in both if s == size} == set(own) and all(abs(both[size, t] - x) < 1e-12 for t, x in own.items())
+
+
+def test_keywords_of_little_salience_are_paired_too(spark, tmp_path):
+    import duckdb
+
+    # of 15,000 records two have each of two related keywords, so both are far less salient than 0.0001; the others' keyword is no candidate
+    spark.sql("select 3 * id + if(id < 4, 0, 1) o_orderkey, date'2020-01-01' o_orderdate, 1500.0 o_totalprice from range(15000)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select 3 * id + if(id < 4, 0, 1) l_orderkey, case when id < 2 then 3L when id < 4 then 4L else 1L end l_partkey, if(id < 2, 5L, 7L) l_suppkey, if(id < 4, 2, 1) l_linenumber from range(15000)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select id p_partkey, concat('Brand#', id) p_brand, 'PROMO' p_type from range(5)").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select cast(id as int) vec_id, 0 label, case id when 98 then array(1.0f, 0.0f) else array(0.5f, 1.0f) end embedding from range(200)").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "part", "embeddings"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in Q.type2_combinations(spark, str(tmp_path)).collect()]
+    assert got == con.execute(Q.ORACLES["type2_combinations"]).fetchall()
+    assert [r[:2] for r in got] == [(0, "p3 s5 x p4 s7")] and got[0][3] == 4
